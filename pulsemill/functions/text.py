@@ -32,13 +32,11 @@ def canonical_source(c) -> Column:
 
 def resolve_column(columns, aliases: list) -> Column:
     """Name in `columns` that matches the first matching alias; later duplicates win."""
-    names = _col(columns)
-    tries = []
-    for alias in aliases:
-        token = "".join(ch for ch in alias if ch.isalnum()).lower()
-        hits = F.filter(names, lambda c, t=token: normalize_token(c) == F.lit(t))
-        tries.append(F.try_element_at(hits, F.lit(-1)))
-    return F.coalesce(*tries)
+    def last_match(alias):
+        return F.try_element_at(
+            F.filter(_col(columns), lambda c: normalize_token(c) == normalize_token(F.lit(alias))),
+            F.lit(-1))
+    return F.coalesce(*[last_match(a) for a in aliases])
 
 
 def safe_token(c) -> Column:

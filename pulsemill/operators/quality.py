@@ -84,7 +84,8 @@ def build_unified_manifest(manifest: DataFrame, file_info: DataFrame, split, sou
 
 def classify_manifest(df: DataFrame, file_info: DataFrame) -> DataFrame:
     """Each unified row with its first failing class in `problem` (NULL when valid)."""
-    rows = with_file_info(df, file_info)
+    rows = with_file_info(df, file_info.select("parquet", "file_exists", "read_error", "columns",
+                                               "file_fs"))
     absent = F.lit(False)
     for c in fixed.UNIFIED_MANIFEST_COLUMNS:
         if c not in fixed.UNIFIED_MANIFEST_NULLABLE:

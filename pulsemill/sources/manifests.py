@@ -66,8 +66,9 @@ def inspect_record_files(paths: DataFrame) -> DataFrame:
                                 & F.col("abp_col").isNotNull(), F.lit(False))})
 
 
-def method_columns(df: DataFrame, method: str, include_meta: bool = True) -> DataFrame:
-    """Only the inputs a method may see, its target, and meta columns."""
+def method_columns(df: DataFrame, method: str, include_meta: bool = True,
+                   also: list = ()) -> DataFrame:
+    """Only the inputs a method may see, its target, meta columns, and those in `also`."""
     inputs, target, _, _ = fixed.METHOD_POLICIES[method]
     absent = [c for c in inputs + [target] if c not in df.columns]
     if absent:
@@ -75,4 +76,4 @@ def method_columns(df: DataFrame, method: str, include_meta: bool = True) -> Dat
     keep = inputs + [target]
     if include_meta:
         keep += [c for c in fixed.RECORD_META_COLUMNS if c in df.columns and c not in keep]
-    return df.select(*keep)
+    return df.select(*keep, *also)

@@ -42,7 +42,7 @@ def export_method_view(samples: DataFrame, manifest: DataFrame, method: str, pat
 
     `samples` are standardised records with `i`. The manifest has one row per record.
     """
-    view = method_columns(samples, method).withColumn("i", samples["i"])
+    view = method_columns(samples, method, also=["i"])
     (view.write.mode("errorifexists").partitionBy("split").parquet(path))
     inputs, target, _, _ = fixed.METHOD_POLICIES[method]
     counts = (samples.sparkSession.read.parquet(path).groupBy("split", "record_id")
