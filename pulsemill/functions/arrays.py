@@ -47,9 +47,9 @@ def unit_range(a) -> Column:
     """Z-score then map to [-1, 1]; NULL when the window is (nearly) constant."""
     x = _col(a)
     sd, m = F.sqrt(array_var_pop(x)), array_mean(x)
-    z = F.transform(x, lambda v: (v - m) / sd)
+    z = F.transform(x, lambda v: F.try_divide(v - m, sd))
     lo, hi = F.array_min(z), F.array_max(z)
-    scaled = F.transform(z, lambda v: F.lit(-1.0) + F.lit(2.0) * (v - lo) / (hi - lo))
+    scaled = F.transform(z, lambda v: F.lit(-1.0) + F.try_divide(F.lit(2.0) * (v - lo), hi - lo))
     return F.when((sd > 1e-12) & (hi - lo > 1e-12), scaled)
 
 

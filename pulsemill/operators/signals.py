@@ -212,10 +212,11 @@ def apply_minmax(windows: DataFrame, constants: DataFrame, cols: list) -> DataFr
     """Scale array columns by the fitted constants (read once, as a scalar subquery)."""
     k = constants.select(F.struct("*")).scalar()
     df = windows.withColumn("__k", k)
-    out = {}
-    for c in cols:
+
+    def scaled(c):
         lo, hi = F.col("__k").getField(f"min_{c}"), F.col("__k").getField(f"max_{c}")
         span = F.when(hi > lo, hi - lo).otherwise(
             F.raise_error(F.lit("normalization span must be positive")).cast("double"))
-        out[c] = F.transform(c, lambda v, lo=lo, span=span: (v - lo) / span)
-    return df.withColumns(out).drop("__k")
+        return F.transform(c, lambda v: (v - lo) / span)
+
+    return df.withColumns({c: scaled(c) for c in cols}).drop("__k")
