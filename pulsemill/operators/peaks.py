@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pulsemill.functions.arrays import array_mean
+from pulsemill.functions.arrays import array_mean, bind
 from pulsemill.functions.numeric import is_finite
 from pulsemill.operators.indexing import with_halo
 from pulsemill.operators.windows import tag_segments
@@ -118,34 +118,36 @@ def beat_segments(peaks, n) -> Column:
 
     Beats shorter than 3 samples or not holding their peak are dropped.
     """
-    p = F.col(peaks) if isinstance(peaks, str) else peaks
     size = F.col(n) if isinstance(n, str) else n
 
-    def one(peak, k):
-        start = F.when(k == 0, F.lit(0)).otherwise(
-            F.floor((F.get(p, k - F.lit(1)) + peak) / F.lit(2)))
-        end = F.when(k == F.size(p) - F.lit(1), size).otherwise(
-            F.floor((peak + F.get(p, k + F.lit(1))) / F.lit(2)))
-        return F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"),
-                        peak.cast("bigint").alias("peak"))
-
-    return F.filter(F.transform(p, one), lambda s: (s["end"] - s["start"] >= 3)
+    def cut(p):
+        def one(peak, k):
+            start = F.when(k == 0, F.lit(0)).otherwise(
+                F.floor((F.get(p, k - F.lit(1)) + peak) / F.lit(2)))
+            end = F.when(k == F.size(p) - F.lit(1), size).otherwise(
+                F.floor((peak + F.get(p, k + F.lit(1))) / F.lit(2)))
+            return F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"),
+                            peak.cast("bigint").alias("peak"))
+        return F.transform(p, one)
+
+    return F.filter(bind(peaks, cut), lambda s: (s["end"] - s["start"] >= 3)
                     & (s["peak"] >= s["start"]) & (s["peak"] < s["end"]))
 
 
 def beat_stats(values, segments) -> Column:
     """Per beat: value at the given peak, minimum, mean. Beats with a gap are dropped."""
-    x = F.col(values) if isinstance(values, str) else values
     segs = F.col(segments) if isinstance(segments, str) else segments
 
-    def one(s):
-        beat = F.slice(x, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
-        return F.struct(
-            F.get(x, s["peak"].cast("int")).alias("sbp"), F.array_min(beat).alias("dbp"),
-            array_mean(beat).alias("map"), s["peak"].alias("peak"),
-            F.forall(beat, lambda v: is_finite(v)).alias("ok"))
+    def measure(x):
+        def one(s):
+            beat = F.slice(x, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+            return bind(beat, lambda b: F.struct(
+                F.get(x, s["peak"].cast("int")).alias("sbp"), F.array_min(b).alias("dbp"),
+                array_mean(b).alias("map"), s["peak"].alias("peak"),
+                F.forall(b, lambda v: is_finite(v)).alias("ok")))
+        return F.transform(segs, one)
 
-    return F.filter(F.transform(segs, one), lambda b: b["ok"])
+    return F.filter(bind(values, measure), lambda b: b["ok"])
 
 
 def pulse_triplets(windows: DataFrame, values: str, peaks: str, keys: list) -> DataFrame:

@@ -162,9 +162,12 @@ def waveform_qc(windows: DataFrame, col: str = "y_true", min_abp=fixed.QC_MIN_AB
     Comparisons are made only on fully finite windows.
     """
     _check_thresholds(min_abp, max_abp, min_std, min_range, max_range)
-    finite = all_finite(col)
-    lo, hi = F.when(finite, F.array_min(col)), F.when(finite, F.array_max(col))
-    sd = F.when(finite, F.sqrt(array_var_pop(col)))
+    out = windows.withColumn("__ok", all_finite(col))
+    finite = F.col("__ok")
+    measured = out.withColumns({
+        "__lo": F.when(finite, F.array_min(col)), "__hi": F.when(finite, F.array_max(col)),
+        "__sd": F.when(finite, F.sqrt(array_var_pop(col)))})
+    lo, hi, sd = F.col("__lo"), F.col("__hi"), F.col("__sd")
     is_true = lambda c: F.coalesce(c, F.lit(False))
     flags = {
         "qc_nonfinite": ~finite,
@@ -172,11 +175,11 @@ def waveform_qc(windows: DataFrame, col: str = "y_true", min_abp=fixed.QC_MIN_AB
         "qc_below_min_std": is_true(sd < min_std),
         "qc_below_min_range": is_true(hi - lo < min_range),
         "qc_above_max_range": is_true(hi - lo > max_range)}
-    out = windows.withColumns(flags)
+    out = measured.withColumns(flags)
     bad = F.lit(False)
     for f in flags:
         bad = bad | F.col(f)
-    return out.withColumn("qc_valid", ~bad)
+    return out.withColumn("qc_valid", ~bad).drop("__ok", "__lo", "__hi", "__sd")
 
 
 def _check_thresholds(min_abp, max_abp, min_std, min_range, max_range):

@@ -10,7 +10,7 @@ from fractions import Fraction
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pulsemill.functions.arrays import all_finite
+from pulsemill.functions.arrays import all_finite, bind
 from pulsemill.functions.numeric import round_even
 from pulsemill.operators.indexing import with_halo
 from pulsemill.operators.windows import BLOCK, fixed_windows, tag_segments
@@ -137,27 +137,29 @@ def resample_polyphase(tagged: DataFrame, cols: list, fs_in: float, fs_out: floa
     size = F.ceil(n * F.lit(up) / F.lit(down))
     first = F.ceil(F.col("__blk") * F.lit(block) * F.lit(up) / F.lit(down))
     stop = F.least(size, F.ceil((F.col("__blk") + 1) * F.lit(block) * F.lit(up) / F.lit(down)))
-    packed = (packed.withColumns({
-        "__m0": F.greatest(first, F.lit(0)).cast("bigint"), "__m1": stop.cast("bigint"),
-        "__k0": F.get("__d.__k", F.lit(0)), "__h": F.lit(taps),
-        "__last": F.get("__d.__k", F.size("__d") - 1)})
-        .where(F.col("__m1") > F.col("__m0")))
+    packed = packed.withColumns({
+        "__m0": F.greatest(first, F.lit(0)).cast("bigint"), "__m1": stop.cast("bigint")})
+    packed = packed.where(F.col("__m1") > F.col("__m0"))
+    grid = F.sequence("__m0", F.col("__m1") - 1, F.lit(1))
+
+    def filtered(x, k0):
+        last = k0 + F.size(x) - F.lit(1)
 
-    def value(x):
         def at(m):
-            lo = F.greatest(F.ceil((m * down - half) / F.lit(up)), F.col("__k0"))
-            hi = F.least(F.floor((m * down + half) / F.lit(up)), F.col("__last"))
+            lo = F.greatest(F.ceil((m * down - half) / F.lit(up)), k0)
+            hi = F.least(F.floor((m * down + half) / F.lit(up)), last)
             near = F.when(hi >= lo, F.sequence(lo, hi, F.lit(1))).otherwise(
                 F.array().cast("array<bigint>"))
-            return F.aggregate(near, F.lit(0.0), lambda s, k: s + F.get(
-                x, (k - F.col("__k0")).cast("int")) * F.get(
-                "__h", (m * down - k * up + half).cast("int")))
-        return at
+            return F.aggregate(near, F.lit(0.0), lambda s, k: s + F.get(x, (k - k0).cast("int"))
+                               * F.get(F.lit(taps), (m * down - k * up + half).cast("int")))
+        return F.transform(grid, at)
+
+    def column(c):
+        first_k = F.get(F.col("__d").getField("__k"), F.lit(0))
+        return bind(F.col("__d").getField(c), lambda x: bind(first_k, lambda k0: filtered(x, k0)))
 
-    grid = F.sequence("__m0", F.col("__m1") - 1, F.lit(1))
-    columns = {c: F.transform(grid, value(F.col("__d").getField(c))) for c in cols}
     zipped = packed.select(*keys, "seg_end", F.arrays_zip(
-        grid.alias("m"), *[v.alias(c) for c, v in columns.items()]).alias("__z"))
+        grid.alias("m"), *[column(c).alias(c) for c in cols]).alias("__z"))
     return zipped.select(*keys, "seg_end", F.explode("__z").alias("__o")).select(
         *keys, "seg_end", F.col("__o.m").alias("m"), *[F.col(f"__o.{c}").alias(c) for c in cols])
 
