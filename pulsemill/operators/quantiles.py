@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pulsemill.functions.numeric import is_finite
 
 SALTS = 32
+ONE_TASK_LIMIT = 1_000_000
 
 
 def _bin(v, lo, hi, bins: int):
@@ -13,24 +14,41 @@ def _bin(v, lo, hi, bins: int):
     return F.when(hi > lo, F.least(raw, F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
 
 
-def exact_quantiles(df: DataFrame, by: list, value: str, probs: dict,
-                    bins: int = 1024) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: list, value: str, probs: dict, bins: int = 1024,
+                    one_task_limit: int = ONE_TASK_LIMIT) -> DataFrame:
     """One row per group with the linear-interpolated quantiles named in `probs`.
 
-    Equal values are counted together first. Two rounds of equal-width bins then narrow
-    each wanted rank down to one bin of a bin, so no task ever sorts a whole group.
+    Equal values are counted together first. Groups with at most `one_task_limit` distinct
+    values use the built-in aggregate, which holds them in one task. Larger groups go
+    through `_wide_quantiles`; without any, that branch is empty and skipped at run time.
     Missing and non-finite values are left out; a group without values gives no row.
     """
     if not by:
-        whole = exact_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, probs, bins)
+        whole = exact_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, probs, bins,
+                                one_task_limit)
         return whole.drop("__all")
     by = list(by)
     base = (df.where(is_finite(value))
             .groupBy(*by, F.col(value).cast("double").alias("__v"))
-            .agg(F.count(F.lit(1)).alias("__c"))
-            .withColumn("__salt", F.pmod(F.xxhash64("__v"), F.lit(SALTS)).cast("int")))
+            .agg(F.count(F.lit(1)).alias("__c")))
     stats = base.groupBy(*by).agg(F.sum("__c").alias("__total"), F.min("__v").alias("__lo"),
-                                  F.max("__v").alias("__hi"))
+                                  F.max("__v").alias("__hi"), F.count(F.lit(1)).alias("__distinct"))
+    wide = stats.where(F.col("__distinct") > one_task_limit)
+    names = list(probs)
+    small = (base.join(wide.select(*by), by, "left_anti").groupBy(*by)
+             .agg(F.percentile("__v", [float(probs[n]) for n in names], F.col("__c")).alias("__q"))
+             .select(*by, *[F.get("__q", F.lit(k)).alias(n) for k, n in enumerate(names)]))
+    return small.unionByName(_wide_quantiles(base, wide, by, probs, bins))
+
+
+def _wide_quantiles(base: DataFrame, stats: DataFrame, by: list, probs: dict,
+                    bins: int) -> DataFrame:
+    """Quantiles of the groups in `stats` without ever sorting a whole group.
+
+    Two rounds of equal-width bins narrow each wanted rank down to one bin of a bin; only
+    what is left there is sorted.
+    """
+    base = base.withColumn("__salt", F.pmod(F.xxhash64("__v"), F.lit(SALTS)).cast("int"))
     below = {k: F.floor(F.lit(p) * (F.col("__total") - 1)).cast("bigint")
              for k, p in probs.items()}
     above = {k: F.least(below[k] + 1, F.col("__total") - 1) for k in probs}
