@@ -66,15 +66,16 @@ def to_long(df: DataFrame, key: str, cols: list) -> DataFrame:
             .where(is_finite("value")))
 
 
-def distribution_summary(long: DataFrame, metrics: list = None) -> DataFrame:
+def distribution_summary(long: DataFrame, metrics: list = None, max_rows: int = None) -> DataFrame:
     """Per metric over patients: number, mean, median, quartiles.
 
     With `metrics` every listed name gets a row, also when no value is finite.
+    `max_rows` is the number of rows where the caller has counted them.
     """
     base = long.groupBy("metric").agg(F.count("value").alias("n_patients"),
                                       F.avg("value").alias("mean"))
     q = exact_quantiles(long, ["metric"], "value",
-                        {"iqr_low": 0.25, "median": 0.5, "iqr_high": 0.75})
+                        {"iqr_low": 0.25, "median": 0.5, "iqr_high": 0.75}, max_rows=max_rows)
     out = base.join(q, "metric", "left")
     if metrics is None:
         return out

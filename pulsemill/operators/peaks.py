@@ -180,70 +180,81 @@ def pulse_triplets(windows: DataFrame, values: str, peaks: str, keys: list) -> D
                     F.col("__t.trough_after").alias("trough_after"), "pulse_pressure"))
 
 
-def segment_peaks(samples: DataFrame, segments: DataFrame, col: str, prominence: float,
-                  min_distance_sec: float, invert: bool = False, keys=("record_id",),
-                  block: int = PEAK_BLOCK, halo: int = PEAK_HALO) -> DataFrame:
-    """Peaks of the z-scored signal in segments of any length; one row per peak.
-
-    A segment is examined per block with a halo on both sides. The helper reports which
-    peaks could still change with a wider view; only their blocks are examined again,
-    with a wider halo, until every peak is settled. Flat segments have no peaks.
+def segment_peaks(samples: DataFrame, segments: DataFrame, channels: dict,
+                  min_distance_sec: float, keys=("record_id",), block: int = PEAK_BLOCK,
+                  halo: int = PEAK_HALO) -> DataFrame:
+    """Peaks of z-scored signals in segments of any length; one row per (kind, peak).
+
+    `channels`: kind -> (column, prominence, invert). All channels share one pass. A segment
+    is examined per block with a halo on both sides. The helper reports which peaks could
+    still change with a wider view; only their blocks are examined again, with a wider halo,
+    until every peak is settled. Flat segments have no peaks.
     """
-    keys = list(keys)
+    keys, kinds = list(keys), list(channels)
+    cols = sorted({channels[k][0] for k in kinds})
     seg_keys = keys + ["seg_start", "seg_end", "fs"]
-    tagged = tag_segments(samples.select(*keys, "i", "fs", F.col(col).alias("__x")),
+    tagged = tag_segments(samples.select(*keys, "i", "fs", *cols),
                           segments.select(*keys, "seg_start", "seg_end"), keys)
-    stats = tagged.groupBy(*seg_keys).agg(F.avg("__x").alias("__m"),
-                                          F.stddev_pop("__x").alias("__sd"))
-    stats = stats.where(F.col("__sd") > 1e-12)
-    long = tag_segments(samples.select(*keys, "i", F.col(col).alias("__x")), stats, keys)
-    sign = -1.0 if invert else 1.0
-
-    schema = "array<struct<p: bigint, sure: boolean>>"
-
-    @F.pandas_udf(schema)
-    def examine(first: pd.Series, x: pd.Series, mean: pd.Series, sd: pd.Series, fs: pd.Series,
+    moments = [f(c).alias(f"{n}_{c}") for c in cols
+               for n, f in (("__m", F.avg), ("__sd", F.stddev_pop))]
+    stats = tagged.groupBy(*seg_keys).agg(*moments)
+    names = [f"{n}_{c}" for c in cols for n in ("__m", "__sd")]
+    long = tag_segments(samples.select(*keys, "i", *cols), stats, keys)
+
+    def examine(kind):
+        _, prominence, invert = channels[kind]
+        sign = -1.0 if invert else 1.0
+
+        @F.pandas_udf("array<struct<p: bigint, sure: boolean>>")
+        def run(first: pd.Series, x: pd.Series, mean: pd.Series, sd: pd.Series, fs: pd.Series,
                 start: pd.Series, end: pd.Series) -> pd.Series:
-        out = []
-        for f, a, m, s, rate, lo, hi in zip(first, x, mean, sd, fs, start, end):
-            z = sign * ((np.asarray(a, dtype=np.float64) - m) / s)
-            apart = max(1, int(round(min_distance_sec * rate)))
-            found, sure = find_peaks(z, apart, prominence, f > lo, f + z.size < hi)
-            out.append([{"p": int(f + p), "sure": ok} for p, ok in zip(found, sure)])
-        return pd.Series(out, dtype=object)
+            out = []
+            for f, a, m, s, rate, lo, hi in zip(first, x, mean, sd, fs, start, end):
+                found, sure = [], []
+                if s > 1e-12:
+                    z = sign * ((np.asarray(a, dtype=np.float64) - m) / s)
+                    apart = max(1, int(round(min_distance_sec * rate)))
+                    found, sure = find_peaks(z, apart, prominence, f > lo, f + z.size < hi)
+                out.append([{"p": int(f + p), "sure": ok} for p, ok in zip(found, sure)])
+            return pd.Series(out, dtype=object)
+
+        c = channels[kind][0]
+        return run(F.get("__d.i", F.lit(0)), F.col("__d").getField(c), f"__m_{c}", f"__sd_{c}",
+                   "fs", "seg_start", "seg_end")
 
     def look(rows, reach):
         wide = with_halo(rows, "i", block, reach, "__blk", "__core").where(
             F.col("__blk").between(F.floor(F.col("seg_start") / F.lit(block)),
                                    F.floor((F.col("seg_end") - 1) / F.lit(block))))
-        packed = wide.groupBy(*seg_keys, "__m", "__sd", "__blk").agg(
-            F.array_sort(F.collect_list(F.struct("i", "__x"))).alias("__d"))
-        peaks = packed.select(*seg_keys, "__blk", F.explode(examine(
-            F.get("__d.i", F.lit(0)), F.col("__d.__x"), "__m", "__sd", "fs", "seg_start",
-            "seg_end")).alias("__o"))
+        packed = wide.groupBy(*seg_keys, *names, "__blk").agg(
+            F.array_sort(F.collect_list(F.struct("i", *cols))).alias("__d"))
+        seen = packed.select(*seg_keys, "__blk", F.explode(F.array(*[
+            F.struct(F.lit(k).alias("kind"), examine(k).alias("o")) for k in kinds])).alias("__k"))
+        peaks = seen.select(*seg_keys, "__blk", F.col("__k.kind").alias("kind"),
+                            F.explode("__k.o").alias("__o"))
         home = F.floor(F.col("__o.p") / F.lit(block))
         return peaks.where(home == F.col("__blk")).select(
-            *seg_keys, "__blk", F.col("__o.p").alias("peak"), F.col("__o.sure").alias("__sure"))
-
-    # A segment that fits into one view needs no second look.
-    seen = materialize(look(long, halo))
-    parts, reach = [seen.where("__sure")], halo
-    open_blocks = seen.where(~F.col("__sure")).select(*keys, "seg_start", "__blk").distinct()
-    while not open_blocks.isEmpty():
-        # Blocks looked at again replace their first answer completely.
-        parts = [p.join(open_blocks, keys + ["seg_start", "__blk"], "left_anti") for p in parts]
+            *seg_keys, "__blk", "kind", F.col("__o.p").alias("peak"),
+            F.col("__o.sure").alias("__sure"))
+
+    place = keys + ["seg_start", "__blk"]
+    seen, reach = materialize(look(long, halo)), halo
+    parts = [seen.where("__sure")]
+    unsettled = seen.where(~F.col("__sure")).select(*place).distinct()
+    while not unsettled.isEmpty():
+        # A block looked at again replaces its earlier answer completely.
+        parts = [p.join(unsettled, place, "left_anti") for p in parts]
         reach *= HALO_GROWTH
-        near = (open_blocks.withColumn("__near", F.explode(F.sequence(
+        near = (unsettled.withColumn("__home", F.explode(F.sequence(
             F.floor((F.col("__blk") * block - reach) / F.lit(block)),
             F.floor(((F.col("__blk") + 1) * block - 1 + reach) / F.lit(block)), F.lit(1))))
-            .select(*keys, "seg_start", F.col("__near").alias("__home")).distinct())
+            .select(*keys, "seg_start", "__home").distinct())
         rows = (long.withColumn("__home", F.floor(F.col("i") / F.lit(block)))
                 .join(near, keys + ["seg_start", "__home"], "left_semi").drop("__home"))
-        again = look(rows, reach).join(open_blocks, keys + ["seg_start", "__blk"], "left_semi")
-        seen = materialize(again)
+        seen = materialize(look(rows, reach).join(unsettled, place, "left_semi"))
         parts.append(seen.where("__sure"))
-        open_blocks = seen.where(~F.col("__sure")).select(*keys, "seg_start", "__blk").distinct()
+        unsettled = seen.where(~F.col("__sure")).select(*place).distinct()
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    return found.select(*keys, "seg_start", "seg_end", "fs", "peak")
+    return found.select(*seg_keys, "kind", "peak")

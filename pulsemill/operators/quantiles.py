@@ -3,9 +3,11 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pulsemill.functions.numeric import is_finite
+from pulsemill.sources.storage import estimated_bytes
 
 SALTS = 32
 ONE_TASK_LIMIT = 1_000_000
+SMALL_BYTES = 64 * 1024 * 1024
 
 
 def _bin(v, lo, hi, bins: int):
@@ -15,29 +17,39 @@ def _bin(v, lo, hi, bins: int):
 
 
 def exact_quantiles(df: DataFrame, by: list, value: str, probs: dict, bins: int = 1024,
-                    one_task_limit: int = ONE_TASK_LIMIT) -> DataFrame:
+                    one_task_limit: int = ONE_TASK_LIMIT, small_bytes: int = SMALL_BYTES,
+                    max_rows: int = None) -> DataFrame:
     """One row per group with the linear-interpolated quantiles named in `probs`.
 
-    Equal values are counted together first. Groups with at most `one_task_limit` distinct
+    The result is exact on every path; size only decides how it is computed. An input of
+    at most `small_bytes` by the optimizer's estimate, or of at most `one_task_limit` rows
+    by the caller's count `max_rows`, uses the built-in aggregate directly.
+
+    Otherwise equal values are counted together first. Groups with at most `one_task_limit` distinct
     values use the built-in aggregate, which holds them in one task. Larger groups go
     through `_wide_quantiles`; without any, that branch is empty and skipped at run time.
     Missing and non-finite values are left out; a group without values gives no row.
     """
     if not by:
         whole = exact_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, probs, bins,
-                                one_task_limit)
+                                one_task_limit, small_bytes, max_rows)
         return whole.drop("__all")
-    by = list(by)
+    by, names = list(by), list(probs)
+    wanted = [float(probs[n]) for n in names]
+    unpack = [F.get("__q", F.lit(k)).alias(n) for k, n in enumerate(names)]
+    if (max_rows is not None and max_rows <= one_task_limit) or estimated_bytes(df) <= small_bytes:
+        x = F.col(value).cast("double")
+        return (df.where(is_finite(value)).groupBy(*by).agg(F.percentile(x, wanted).alias("__q"))
+                .select(*by, *unpack))
     base = (df.where(is_finite(value))
             .groupBy(*by, F.col(value).cast("double").alias("__v"))
             .agg(F.count(F.lit(1)).alias("__c")))
     stats = base.groupBy(*by).agg(F.sum("__c").alias("__total"), F.min("__v").alias("__lo"),
                                   F.max("__v").alias("__hi"), F.count(F.lit(1)).alias("__distinct"))
     wide = stats.where(F.col("__distinct") > one_task_limit)
-    names = list(probs)
     small = (base.join(wide.select(*by), by, "left_anti").groupBy(*by)
-             .agg(F.percentile("__v", [float(probs[n]) for n in names], F.col("__c")).alias("__q"))
-             .select(*by, *[F.get("__q", F.lit(k)).alias(n) for k, n in enumerate(names)]))
+             .agg(F.percentile("__v", wanted, F.col("__c")).alias("__q"))
+             .select(*by, *unpack))
     return small.unionByName(_wide_quantiles(base, wide, by, probs, bins))
 
 

@@ -7,18 +7,25 @@ from pulsemill.functions.numeric import is_finite, round_even
 from pulsemill.operators.indexing import dense_index, with_next
 from pulsemill.operators.peaks import segment_peaks
 from pulsemill.operators.windows import BLOCK, finite_segments, tag_segments
+from pulsemill.sources.storage import materialize
+
+
+def _of_kind(peaks: DataFrame, kind: str, name: str) -> DataFrame:
+    return peaks.where(F.col("kind") == kind).drop("kind").withColumnRenamed("peak", name)
 
 
 def ecg_r_peaks(samples, segments, ecg="ecg", prominence=fixed.ECG_PROMINENCE,
                 min_distance_sec=fixed.MIN_PEAK_DISTANCE_SEC, keys=("record_id",)) -> DataFrame:
-    return segment_peaks(samples, segments, ecg, prominence, min_distance_sec,
-                         keys=keys).withColumnRenamed("peak", "r")
+    """R peaks: peaks of the z-scored ecg."""
+    found = segment_peaks(samples, segments, {"r": (ecg, prominence, False)}, min_distance_sec, keys)
+    return _of_kind(found, "r", "r")
 
 
 def ppg_feet(samples, segments, ppg="ppg", prominence=fixed.PPG_PROMINENCE,
              min_distance_sec=fixed.MIN_PEAK_DISTANCE_SEC, keys=("record_id",)) -> DataFrame:
-    return segment_peaks(samples, segments, ppg, prominence, min_distance_sec, invert=True,
-                         keys=keys).withColumnRenamed("peak", "foot")
+    """Pulse feet: peaks of the negated z-scored pulse."""
+    found = segment_peaks(samples, segments, {"foot": (ppg, prominence, True)}, min_distance_sec, keys)
+    return _of_kind(found, "foot", "foot")
 
 
 def label_r_peaks(r_peaks: DataFrame, feet: DataFrame, min_ptt_sec=fixed.MIN_PTT_SEC,
@@ -78,9 +85,11 @@ def extract_beats(samples: DataFrame, min_segment_sec=fixed.MIN_FINITE_SEGMENT_S
     if not 0 < min_ptt_sec < max_ptt_sec:
         raise ValueError("need 0 < min_ptt_sec < max_ptt_sec")
     need = round_even(F.col("fs") * min_segment_sec)
-    segments = finite_segments(samples, ["ecg", "ppg", "abp"], need, keys)
-    r = ecg_r_peaks(samples, segments, "ecg", ecg_prominence, min_distance_sec, keys)
-    feet = ppg_feet(samples, segments, "ppg", ppg_prominence, min_distance_sec, keys)
+    segments = materialize(finite_segments(samples, ["ecg", "ppg", "abp"], need, keys))
+    found = segment_peaks(samples, segments, {"r": ("ecg", ecg_prominence, False),
+                                              "foot": ("ppg", ppg_prominence, True)},
+                          min_distance_sec, keys)
+    r, feet = _of_kind(found, "r", "r"), _of_kind(found, "foot", "foot")
     labelled = label_r_peaks(r, feet, min_ptt_sec, max_ptt_sec, keys)
     return pair_ptt(labelled, samples, "abp", keys), labelled, feet, segments
 

@@ -100,8 +100,8 @@ def patient_metrics_scalar(preds: DataFrame, labels: DataFrame = None,
 
 
 def _summaries(table, names, pooled, n_bootstrap, seed, subject_level, method, metrics_json):
-    long = patients.to_long(table, "subject_id", names)
-    summary = patients.distribution_summary(long, names)
+    long = materialize(patients.to_long(table, "subject_id", names))
+    summary = patients.distribution_summary(long, names, long.count())
     ci = patients.bootstrap_ci(long, "subject_id", n_bootstrap, seed, subject_level)
     summary = materialize(summary.join(ci, "metric", "left"))
     pooled = materialize(pooled)

@@ -40,3 +40,8 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     _ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of a result; nothing is run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
