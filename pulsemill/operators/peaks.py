@@ -89,6 +89,24 @@ def find_peaks(x, distance, prominence, open_left=False, open_right=False):
     return found, sure
 
 
+def _cut_tops(x, open_left, open_right, step):
+    """Positions, at least one per `step`, inside flat tops that reach an open end.
+
+    Such a top may have its middle, and so a peak, anywhere along it.
+    """
+    change = np.flatnonzero(x[1:] != x[:-1])
+    spans = []
+    if not change.size:
+        spans = [(0, x.size - 1)] if open_left and open_right else []
+    else:
+        first, last = change[0], change[-1] + 1
+        if open_left and x[first + 1] < x[0]:
+            spans.append((0, first))
+        if open_right and x[last - 1] < x[-1]:
+            spans.append((last, x.size - 1))
+    return sorted({int(p) for a, b in spans for p in [*range(a, b + 1, step), b]})
+
+
 def detect_peaks(values, window_seconds: float, min_distance_sec: float = 0.30,
                  prominence_scale: float = 0.10) -> Column:
     """Peak positions of one window as an ARRAY<BIGINT>; empty when the window is unusable.
@@ -187,8 +205,8 @@ def segment_peaks(samples: DataFrame, segments: DataFrame, channels: dict,
 
     `channels`: kind -> (column, prominence, invert). All channels share one pass. A segment
     is examined per block with a halo on both sides. The helper reports which peaks could
-    still change with a wider view; only their blocks are examined again, with a wider halo,
-    until every peak is settled. Flat segments have no peaks.
+    still change with a wider view; only those are looked at again, in wider blocks with a
+    wider halo, until every peak is settled. Flat segments have no peaks.
     """
     keys, kinds = list(keys), list(channels)
     cols = sorted({channels[k][0] for k in kinds})
@@ -214,7 +232,10 @@ def segment_peaks(samples: DataFrame, segments: DataFrame, channels: dict,
                 if s > 1e-12:
                     z = sign * ((np.asarray(a, dtype=np.float64) - m) / s)
                     apart = max(1, int(round(min_distance_sec * rate)))
-                    found, sure = find_peaks(z, apart, prominence, f > lo, f + z.size < hi)
+                    ends = (f > lo, f + z.size < hi)
+                    found, sure = find_peaks(z, apart, prominence, *ends)
+                    cut = _cut_tops(z, *ends, block)
+                    found, sure = found + cut, sure + [False] * len(cut)
                 out.append([{"p": int(f + p), "sure": ok} for p, ok in zip(found, sure)])
             return pd.Series(out, dtype=object)
 
@@ -222,39 +243,36 @@ def segment_peaks(samples: DataFrame, segments: DataFrame, channels: dict,
         return run(F.get("__d.i", F.lit(0)), F.col("__d").getField(c), f"__m_{c}", f"__sd_{c}",
                    "fs", "seg_start", "seg_end")
 
-    def look(rows, reach):
-        wide = with_halo(rows, "i", block, reach, "__blk", "__core").where(
-            F.col("__blk").between(F.floor(F.col("seg_start") / F.lit(block)),
-                                   F.floor((F.col("seg_end") - 1) / F.lit(block))))
+    def look(size, reach, blocks=None):
+        wide = with_halo(long, "i", size, reach, "__blk", "__core").where(
+            F.col("__blk").between(F.floor(F.col("seg_start") / F.lit(size)),
+                                   F.floor((F.col("seg_end") - 1) / F.lit(size))))
+        if blocks is not None:
+            wide = wide.join(blocks, keys + ["seg_start", "__blk"], "left_semi")
         packed = wide.groupBy(*seg_keys, *names, "__blk").agg(
             F.array_sort(F.collect_list(F.struct("i", *cols))).alias("__d"))
         seen = packed.select(*seg_keys, "__blk", F.explode(F.array(*[
             F.struct(F.lit(k).alias("kind"), examine(k).alias("o")) for k in kinds])).alias("__k"))
         peaks = seen.select(*seg_keys, "__blk", F.col("__k.kind").alias("kind"),
                             F.explode("__k.o").alias("__o"))
-        home = F.floor(F.col("__o.p") / F.lit(block))
-        return peaks.where(home == F.col("__blk")).select(
-            *seg_keys, "__blk", "kind", F.col("__o.p").alias("peak"),
-            F.col("__o.sure").alias("__sure"))
-
-    place = keys + ["seg_start", "__blk"]
-    seen, reach = materialize(look(long, halo)), halo
-    parts = [seen.where("__sure")]
+        mine = F.floor(F.col("__o.p") / F.lit(size)) == F.col("__blk")
+        return peaks.where(mine).select(
+            *seg_keys, "kind", F.col("__o.p").alias("peak"), F.col("__o.sure").alias("__sure"),
+            F.floor(F.col("__o.p") / F.lit(block)).alias("__home"))
+
+    # Verdicts are taken per home block: a block with an open question is left to the next
+    # round as a whole, all other blocks are final.
+    place = keys + ["seg_start", "kind", "__home"]
+    seen, size, reach = materialize(look(block, halo)), block, halo
     unsettled = seen.where(~F.col("__sure")).select(*place).distinct()
+    found = seen.join(unsettled, place, "left_anti")
     while not unsettled.isEmpty():
-        # A block looked at again replaces its earlier answer completely.
-        parts = [p.join(unsettled, place, "left_anti") for p in parts]
         reach *= HALO_GROWTH
-        near = (unsettled.withColumn("__home", F.explode(F.sequence(
-            F.floor((F.col("__blk") * block - reach) / F.lit(block)),
-            F.floor(((F.col("__blk") + 1) * block - 1 + reach) / F.lit(block)), F.lit(1))))
-            .select(*keys, "seg_start", "__home").distinct())
-        rows = (long.withColumn("__home", F.floor(F.col("i") / F.lit(block)))
-                .join(near, keys + ["seg_start", "__home"], "left_semi").drop("__home"))
-        seen = materialize(look(rows, reach).join(unsettled, place, "left_semi"))
-        parts.append(seen.where("__sure"))
+        size = block * max(1, -(-reach // block))
+        blocks = unsettled.select(*keys, "seg_start", F.floor(
+            F.col("__home") * F.lit(block) / F.lit(size)).alias("__blk")).distinct()
+        seen = materialize(look(size, reach, blocks).join(unsettled, place, "left_semi")
+                           .select(*seen.columns))
         unsettled = seen.where(~F.col("__sure")).select(*place).distinct()
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+        found = found.unionByName(seen.join(unsettled, place, "left_anti"))
     return found.select(*seg_keys, "kind", "peak")

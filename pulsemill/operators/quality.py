@@ -12,7 +12,10 @@ from pulsemill.operators.quantiles import exact_quantiles
 def with_file_info(manifest: DataFrame, file_info: DataFrame) -> DataFrame:
     """Attach what was read from each file: file_exists, read_error, columns, ecg_col,
     ppg_col, abp_col, file_fs. A path without information counts as missing."""
-    return (manifest.join(file_info, "parquet", "left")
+    # Rows without a path get a key of their own, so that they do not meet in one task.
+    key = F.coalesce(F.col("parquet"), F.concat(F.lit("no path "), "source_row_index"))
+    info = file_info.withColumnRenamed("parquet", "__path")
+    return (manifest.withColumn("__path", key).join(info, "__path", "left").drop("__path")
             .withColumn("file_exists", F.coalesce("file_exists", F.lit(False))))
 
 

@@ -75,22 +75,23 @@ def smooth_zero_phase(tagged: DataFrame, col: str, out: str, width: int, keys=SE
     names = [k for k in keys if k != "seg_start"]
     rows = tag_segments(rows.drop("seg_start", "seg_end"), ends, names, block)
     i, s, e, x = F.col("i"), F.col("seg_start"), F.col("seg_end"), F.col(col)
-    own = F.struct(i.alias("i"), x.alias("x"))
-    left = F.when((i > s) & (i - s <= reach),
-                  F.struct((s * 2 - i).alias("i"), (F.col("__x0") * 2 - x).alias("x")))
+    # Mirrored rows exist only for the sums; the original columns travel with the real row.
+    kept = F.struct(*[c for c in rows.columns if c not in ("__x0", "__x1")])
+    none = F.lit(None).cast(rows.select(kept).schema[0].dataType)
+    part = lambda at, value, row: F.struct(at.alias("i"), value.alias("x"), row.alias("row"))
+    left = F.when((i > s) & (i - s <= reach), part(s * 2 - i, F.col("__x0") * 2 - x, none))
     right = F.when((i < e - 1) & (e - 1 - i <= reach),
-                   F.struct(((e - 1) * 2 - i).alias("i"), (F.col("__x1") * 2 - x).alias("x")))
-    extended = (rows.select(*keys, "seg_end", F.explode(F.array_compact(
-        F.array(own, left, right))).alias("__p"))
-        .select(*keys, "seg_end", F.col("__p.i").alias("i"), F.col("__p.x").alias("__x")))
-    halo = with_halo(extended, "i", block, reach, "__blk", "__core")
-    w = Window.partitionBy(*keys, "__blk").orderBy("i")
+                   part((e - 1) * 2 - i, F.col("__x1") * 2 - x, none))
+    extended = rows.select(*keys, F.explode(F.array_compact(
+        F.array(part(i, x, kept), left, right))).alias("__p"))
+    extended = extended.select(*keys, F.col("__p.i").alias("__i"), F.col("__p.x").alias("__x"),
+                               F.col("__p.row").alias("__row"))
+    halo = with_halo(extended, "__i", block, reach, "__blk", "__core")
+    w = Window.partitionBy(*keys, "__blk").orderBy("__i")
     done = (halo.withColumn("__f", F.avg("__x").over(w.rowsBetween(-(width - 1), 0)))
             .withColumn(out, F.avg("__f").over(w.rowsBetween(0, width - 1)))
-            .where(F.col("__core") & (F.col("i") >= F.col("seg_start"))
-                   & (F.col("i") < F.col("seg_end")))
-            .select(*keys, "i", out))
-    return rows.drop("__x0", "__x1").join(done, keys + ["i"])
+            .where(F.col("__core") & F.col("__row").isNotNull()))
+    return done.select("__row.*", out)
 
 
 def smoothing_width(fs: float, milliseconds: float) -> int:

@@ -23,10 +23,12 @@ def group_split(df: DataFrame, group: str, val_fraction: float = 0.2,
         raise ValueError("need at least two groups to split")
     n_val = min(max(1, int(round(total * val_fraction))), total - 1)
     ordered = dense_index(groups, [], ["__h", group], [F.substring("__h", 1, 4)], "__pos")
-    val = ordered.where(F.col("__pos") < n_val).select(F.col(group).alias("__g"))
-    # One row per val group; the split column is set by presence on the right.
-    marked = df.drop("split").join(val.withColumn("__hit", F.lit(True)),
-                                   F.col(group) == F.col("__g"), "left")
+    val = ordered.where(F.col("__pos") < n_val).select(
+        F.col(group).cast("string").alias("__g"), F.lit(True).alias("__hit"))
+    # Rows without a group get a scattered key, so that they do not meet in one task.
+    key = F.coalesce(F.col(group).cast("string"),
+                     F.concat(F.lit("no group "), F.xxhash64(*[c for c in df.columns if c != "split"]).cast("string")))
+    marked = df.drop("split").withColumn("__g", key).join(val, "__g", "left")
     return marked.withColumn("split", F.when(F.col("__hit"), "val").otherwise("train")).drop(
         "__g", "__hit")
 

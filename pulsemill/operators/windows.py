@@ -57,17 +57,28 @@ def tag_segments(samples: DataFrame, segments: DataFrame, keys=("record_id",),
                  block: int = BLOCK) -> DataFrame:
     """Samples inside segments, with the segment's columns attached.
 
-    A range join made into an equi-join: each segment is listed under the blocks it
-    covers, and samples meet it on (record, block).
+    Segments of a record must not overlap. Each segment puts a marker at its start and at
+    the start of every further block it covers. Per (record, block), each sample then takes
+    the last marker at or before it, so the work is linear however short the segments are.
     """
     keys = list(keys)
-    listed = segments.withColumn("__blk", F.explode(F.sequence(
-        F.floor(F.col("seg_start") / F.lit(block)),
-        F.floor((F.col("seg_end") - 1) / F.lit(block)), F.lit(1))))
-    return (samples.withColumn("__blk", F.floor(F.col("i") / F.lit(block)))
-            .join(listed, keys + ["__blk"])
-            .where((F.col("i") >= F.col("seg_start")) & (F.col("i") < F.col("seg_end")))
-            .drop("__blk"))
+    own = [c for c in segments.columns if c not in keys]
+    size = F.lit(block)
+    markers = (segments.withColumn("__blk", F.explode(F.sequence(
+        F.floor(F.col("seg_start") / size), F.floor((F.col("seg_end") - 1) / size), F.lit(1))))
+        .select(*keys, "__blk", F.greatest("seg_start", F.col("__blk") * size).alias("__at"),
+                F.lit(0).alias("__order"), F.struct(*own).alias("__seg")))
+    rest = [c for c in samples.columns if c not in keys]
+    rows = samples.select(*keys, F.floor(F.col("i") / size).alias("__blk"),
+                          F.col("i").alias("__at"), F.lit(1).alias("__order"),
+                          F.struct(*rest).alias("__row"))
+    w = (Window.partitionBy(*keys, "__blk").orderBy("__at", "__order")
+         .rowsBetween(Window.unboundedPreceding, 0))
+    both = rows.unionByName(markers, allowMissingColumns=True)
+    return (both.withColumn("__in", F.last("__seg", ignorenulls=True).over(w))
+            .where(F.col("__row").isNotNull() & (F.col("__at") < F.col("__in.seg_end")))
+            .select(*keys, *[F.col("__row").getField(c).alias(c) for c in rest],
+                    *[F.col("__in").getField(c).alias(c) for c in own]))
 
 
 def fixed_windows(samples: DataFrame, window_sec: float, step_sec: float, cols: list,
