@@ -57,8 +57,8 @@ def windows(spark, d) -> DataFrame:
              "l_quantity"]
     rows = line.select((w % 97).alias("subject_id"), w.alias("window_id"), *order,
                        *[c.alias(n) for n, c in _pair(line).items()])
-    made = rows.groupBy("subject_id", "window_id").agg(
-        F.array_sort(F.collect_list(F.struct(*order, "y_true", "y_pred"))).alias("a"))
+    made = rows.repartition("subject_id", "window_id").groupBy("subject_id", "window_id").agg(
+        F.sort_array(F.collect_list(F.struct(*order, "y_true", "y_pred"))).alias("a"))
     return made.select("subject_id", "window_id", F.col("a.y_true").alias("y_true"),
                        F.col("a.y_pred").alias("y_pred"))
 

@@ -86,14 +86,23 @@ def max_shift_samples(shift_ms: float, length: int, window_seconds: float) -> in
     return min(int(round(shift_ms / 1000.0 * length / window_seconds)), max(0, length - 1))
 
 
-SHIFT_ROWS = 512
+SHIFT_CELLS = 1 << 19
 
 
-def _best_shift(t, p, shift_ms, window_seconds, shift_samples):
+def _similar_lengths(size):
+    """Row groups by length, so that padding one long window does not widen all others."""
+    order, start = np.argsort(size, kind="stable"), 0
+    while start < order.size:
+        stop = start + 1
+        while stop < order.size and (stop + 1 - start) * size[order[stop]] <= SHIFT_CELLS:
+            stop += 1
+        yield order[start:stop]
+        start = stop
+
+
+def _best_shift(t, p, size, shift_ms, window_seconds, shift_samples):
     """Smallest MAE and RMSE per row; rows shorter than the longest are padded with gaps."""
-    n = len(t)
-    size = np.array([len(a) for a in t], dtype=np.int64)
-    width = int(size.max())
+    n, width = len(t), int(size.max())
     yt, yp = np.full((n, width), np.nan), np.full((n, width), np.nan)
     for r, (a, b) in enumerate(zip(t, p)):
         yt[r, :len(a)], yp[r, :len(b)] = a, b
@@ -124,9 +133,11 @@ def min_shift_errors(windows: DataFrame, shift_ms: float, window_seconds: float,
     """
     @F.pandas_udf("struct<mae: double, rmse: double>")
     def best(t: pd.Series, p: pd.Series) -> pd.DataFrame:
-        found = [_best_shift(t[k:k + SHIFT_ROWS], p[k:k + SHIFT_ROWS], shift_ms, window_seconds,
-                             shift_samples) for k in range(0, len(t), SHIFT_ROWS)]
-        both = np.concatenate(found) if found else np.empty((0, 2))
+        size = np.array([len(a) for a in t], dtype=np.int64)
+        both = np.full((len(t), 2), np.inf)
+        for rows in _similar_lengths(size):
+            both[rows] = _best_shift(t.iloc[rows], p.iloc[rows], size[rows], shift_ms,
+                                     window_seconds, shift_samples)
         known = np.isfinite(both)
         return pd.DataFrame(both.astype(object), columns=["mae", "rmse"]).where(known, None)
 

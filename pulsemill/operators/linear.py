@@ -43,7 +43,7 @@ def fit_scaler(df: DataFrame, col: str = "embedding") -> DataFrame:
 def apply_scaler(df: DataFrame, scaler: DataFrame, col: str = "embedding",
                  out: str = "scaled") -> DataFrame:
     """Scale vectors; the scaler has one row per dimension and is read once."""
-    packed = scaler.agg(F.array_sort(F.collect_list(F.struct("pos", "mean", "scale"))).alias("k"))
+    packed = scaler.agg(F.sort_array(F.collect_list(F.struct("pos", "mean", "scale"))).alias("k"))
     rows = df.withColumn("__k", packed.scalar())
     return rows.withColumn(out, F.zip_with(
         col, "__k", lambda x, k: (x.cast("double") - k["mean"]) / k["scale"])).drop("__k")

@@ -1,5 +1,7 @@
 """Per-patient metrics, summaries over patients, bootstrap intervals, result tables."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsemill.functions import fixed
@@ -96,35 +98,47 @@ def bootstrap_ci(long: DataFrame, key: str, n_bootstrap: int = fixed.BOOTSTRAP_S
     """Per metric: 2.5th and 97.5th percentile of the mean over resampled patients.
 
     Patients are numbered 0..n-1 in key order. Replicate b takes n of them: draw j is a
-    hash of (seed, b, j) modulo n, so a lost task reproduces its draws. Drawn numbers
-    look their value up by an equi-join; the value table is broadcast only when its
-    counted size is small. One patient gives its own value, no replicates give the mean.
-    `key_level` bounds how many patients are numbered in one task.
+    hash of (seed, b, j) modulo n, so a lost task reproduces its draws. Metrics with the
+    same n share their draws. Drawn numbers look their values up by an equi-join, which is
+    broadcast only when the counted patients are few. One patient gives its own value, no
+    replicates give the mean. `key_level` bounds how many patients are numbered in one task.
     """
     long = long.where(is_finite("value"))
     level = F.lit(0) if key_level is None else key_level
     ranked = materialize(dense_index(long, ["metric"], [key], [level], "j"))
+    # One row per metric name, whatever the data.
     sizes = ranked.groupBy("metric").agg(F.count(F.lit(1)).alias("n"),
-                                         F.avg("value").alias("mean"))
-    if n_bootstrap <= 0:
-        return sizes.select("metric", F.col("mean").alias("ci_low"), F.col("mean").alias("ci_high"))
-    values = ranked.select("metric", F.col("j").alias("pick"), "value")
-    small = ranked.count() <= BROADCAST_ROWS
-    if small:
+                                         F.avg("value").alias("mean")).collect()
+    spark = long.sparkSession
+    if n_bootstrap <= 0 or not sizes:
+        return spark.createDataFrame([(r["metric"], r["mean"], r["mean"]) for r in sizes],
+                                     "metric string, ci_low double, ci_high double")
+    same_n = {}
+    for r in sizes:
+        same_n.setdefault(r["n"], []).append(r["metric"])
+    parts = [_intervals(ranked, n, sorted(names), n_bootstrap, seed)
+             for n, names in sorted(same_n.items())]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _intervals(ranked: DataFrame, n: int, metrics: list, n_bootstrap: int, seed: int) -> DataFrame:
+    """Intervals of the metrics that have exactly n patients."""
+    spark = ranked.sparkSession
+    cols = [f"v{k}" for k in range(len(metrics))]
+    values = ranked.where(F.col("metric").isin(metrics)).groupBy(F.col("j").alias("pick")).agg(
+        *[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(c)
+          for m, c in zip(metrics, cols)])
+    if n <= BROADCAST_ROWS:
         values = F.broadcast(values)
-    # Draw numbers are the same for every metric of the same replicate and position.
-    slots = ranked.groupBy("j").agg(F.collect_set("metric").alias("__in"))
-    draws = (slots.repartition(slots.sparkSession.sparkContext.defaultParallelism, "j")
-             .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))))
-             .withColumn("u", _draw(seed, F.col("b"), F.col("j")))
-             .select("b", "u", F.explode("__in").alias("metric")))
-    drawn = (draws.join(F.broadcast(sizes.select("metric", "n")), "metric")
-             .withColumn("pick", F.pmod("u", "n"))
-             .join(values, ["metric", "pick"]))
-    means = drawn.groupBy("metric", "b").agg(F.avg("value").alias("m"))
-    return means.groupBy("metric").agg(
-        F.expr("percentile(m, 0.025)").alias("ci_low"),
-        F.expr("percentile(m, 0.975)").alias("ci_high"))
+    draws = (spark.range(0, n, 1, spark.sparkContext.defaultParallelism)
+             .select(F.col("id").alias("j"),
+                     F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))).alias("b"))
+             .select("b", F.pmod(_draw(seed, F.col("b"), F.col("j")), F.lit(n)).alias("pick")))
+    means = draws.join(values, "pick").groupBy("b").agg(*[F.avg(c).alias(c) for c in cols])
+    ends = means.agg(*[F.percentile(c, [0.025, 0.975]).alias(c) for c in cols])
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.get(c, F.lit(0)).alias("ci_low"),
+                              F.get(c, F.lit(1)).alias("ci_high")) for m, c in zip(metrics, cols)])
+    return ends.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def patient_table(summary: DataFrame, pooled: DataFrame, method: str, metrics_json: str,
@@ -179,7 +193,7 @@ def aggregate_seeds(values: DataFrame, method_label: str = None) -> DataFrame:
         F.count(x).alias("n_seeds"), F.avg(x).alias("estimate_mean"),
         F.when(F.count(x) >= 2, F.stddev_samp(x)).alias("seed_sd"),
         F.min(x).alias("min"), F.max(x).alias("max"),
-        F.to_json(F.array_sort(F.collect_list(F.struct(
+        F.to_json(F.sort_array(F.collect_list(F.struct(
             "seed_label", x.alias("value"))))).alias("seed_values_json"))
     texts = F.when(F.col("digits") == 3, format_mean_sd("estimate_mean", "seed_sd", 3)).otherwise(
         format_mean_sd("estimate_mean", "seed_sd", 2))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pulsemill.functions.arrays import array_mean, bind
 from pulsemill.functions.numeric import is_finite
 from pulsemill.operators.indexing import with_halo
-from pulsemill.operators.windows import tag_segments
+from pulsemill.operators.windows import attach_to_segments, tag_segments
 from pulsemill.sources.storage import materialize
 
 PEAK_BLOCK = 32768
@@ -36,27 +36,23 @@ def _spread_out(x, peaks, distance, open_left, open_right):
     Returns (kept, unsure). A peak is unsure when a neighbour beyond an open end, or
     another unsure higher peak, could decide it.
     """
-    n = peaks.size
-    kept, unsure = np.zeros(n, bool), np.zeros(n, bool)
-    reach_left = -1
-    reach_right = x.size
+    reach_left, reach_right = -1, x.size
     if open_left:
         reach_left = int(np.argmax(x != x[0])) if np.any(x != x[0]) else x.size
     if open_right:
         reach_right = x.size - 1 - int(np.argmax(x[::-1] != x[-1])) if np.any(x != x[-1]) else -1
-    lo = np.searchsorted(peaks, peaks - distance, side="right")
-    hi = np.searchsorted(peaks, peaks + distance, side="left")
-    for j in np.lexsort((-peaks, -x[peaks])):
-        near = slice(lo[j], hi[j])
-        if kept[near].any():
-            pass
-        elif unsure[near].any() \
-                or (open_left and peaks[j] - reach_left < distance) \
-                or (open_right and reach_right - peaks[j] < distance):
-            unsure[j] = True
-        else:
-            kept[j] = True
-    return kept, unsure
+    exposed = ((open_left & (peaks - reach_left < distance))
+               | (open_right & (reach_right - peaks < distance))).tolist()
+    lo = np.searchsorted(peaks, peaks - distance, side="right").tolist()
+    hi = np.searchsorted(peaks, peaks + distance, side="left").tolist()
+    kept, unsure = 1, 2
+    state = bytearray(peaks.size)
+    for j in np.lexsort((-peaks, -x[peaks])).tolist():
+        if state.find(kept, lo[j], hi[j]) >= 0:
+            continue
+        state[j] = unsure if exposed[j] or state.find(unsure, lo[j], hi[j]) >= 0 else kept
+    verdict = np.frombuffer(state, dtype=np.uint8)
+    return verdict == kept, verdict == unsure
 
 
 def _drop(x, p, step, closed):
@@ -209,15 +205,14 @@ def segment_peaks(samples: DataFrame, segments: DataFrame, channels: dict,
     wider halo, until every peak is settled. Flat segments have no peaks.
     """
     keys, kinds = list(keys), list(channels)
+    tasks = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cols = sorted({channels[k][0] for k in kinds})
     seg_keys = keys + ["seg_start", "seg_end", "fs"]
     tagged = tag_segments(samples.select(*keys, "i", "fs", *cols),
                           segments.select(*keys, "seg_start", "seg_end"), keys)
     moments = [f(c).alias(f"{n}_{c}") for c in cols
                for n, f in (("__m", F.avg), ("__sd", F.stddev_pop))]
-    stats = tagged.groupBy(*seg_keys).agg(*moments)
-    names = [f"{n}_{c}" for c in cols for n in ("__m", "__sd")]
-    long = tag_segments(samples.select(*keys, "i", *cols), stats, keys)
+    stats = tagged.groupBy(*seg_keys).agg(*moments).drop("fs")
 
     def examine(kind):
         _, prominence, invert = channels[kind]
@@ -244,13 +239,16 @@ def segment_peaks(samples: DataFrame, segments: DataFrame, channels: dict,
                    "fs", "seg_start", "seg_end")
 
     def look(size, reach, blocks=None):
-        wide = with_halo(long, "i", size, reach, "__blk", "__core").where(
+        wide = with_halo(tagged, "i", size, reach, "__blk", "__core").where(
             F.col("__blk").between(F.floor(F.col("seg_start") / F.lit(size)),
                                    F.floor((F.col("seg_end") - 1) / F.lit(size))))
         if blocks is not None:
             wide = wide.join(blocks, keys + ["seg_start", "__blk"], "left_semi")
-        packed = wide.groupBy(*seg_keys, *names, "__blk").agg(
-            F.array_sort(F.collect_list(F.struct("i", *cols))).alias("__d"))
+        # The helper costs far more than its bytes suggest; a fixed number of partitions keeps
+        # small inputs from being merged into one task.
+        packed = wide.repartition(tasks, *keys, "seg_start", "__blk").groupBy(*seg_keys, "__blk").agg(
+            F.sort_array(F.collect_list(F.struct("i", *cols))).alias("__d"))
+        packed = attach_to_segments(packed, stats, keys, size, "shuffle_merge")
         seen = packed.select(*seg_keys, "__blk", F.explode(F.array(*[
             F.struct(F.lit(k).alias("kind"), examine(k).alias("o")) for k in kinds])).alias("__k"))
         peaks = seen.select(*seg_keys, "__blk", F.col("__k.kind").alias("kind"),

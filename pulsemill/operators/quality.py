@@ -51,9 +51,9 @@ def inspect_manifest(manifest: DataFrame, file_info: DataFrame) -> DataFrame:
         F.count_if(read & F.col("abp_col").isNull()).alias("rows_missing_abp"))
     # Recordings use a handful of rates, so the distinct set is small by nature.
     rates = (rows.where(read & is_finite("file_fs")).select(F.round("file_fs", 6).alias("f"))
-             .distinct().agg(F.array_sort(F.collect_list("f")).alias("r")))
+             .distinct().agg(F.sort_array(F.collect_list("f")).alias("r")))
     firsts = (rows.where(good).orderBy("source_row_index").limit(5)
-              .agg(F.array_sort(F.collect_list(F.struct("source_row_index", "parquet")))
+              .agg(F.sort_array(F.collect_list(F.struct("source_row_index", "parquet")))
                    .alias("e")).select(F.col("e.parquet").alias("e")))
     missing = missing_columns(manifest, fixed.SOURCE_MANIFEST_REQUIRED)
     return counts.withColumns({

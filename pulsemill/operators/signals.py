@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pulsemill.functions.arrays import all_finite, bind
 from pulsemill.functions.numeric import round_even
 from pulsemill.operators.indexing import with_halo
-from pulsemill.operators.windows import BLOCK, fixed_windows, tag_segments
+from pulsemill.operators.windows import BLOCK, attach_to_segments, fixed_windows
 
 SEG = ("record_id", "seg_start")
 
@@ -33,7 +33,7 @@ def zscore(tagged: DataFrame, col: str, out: str, flat: str = "zero", keys=SEG,
     if flat == "drop":
         stats = stats.where(F.col("__sd") > 1e-12)
     names = [k for k in keys if k != "seg_start"]
-    rows = tag_segments(tagged.drop("seg_start", "seg_end"), stats, names, block)
+    rows = attach_to_segments(tagged, stats, names, block)
     z = F.when(F.col("__sd") > 1e-12, (F.col(col) - F.col("__m")) / F.col("__sd")).otherwise(0.0)
     return rows.withColumn(out, z).drop("__m", "__sd")
 
@@ -73,7 +73,7 @@ def smooth_zero_phase(tagged: DataFrame, col: str, out: str, width: int, keys=SE
         F.max(F.when(F.col("i") == F.col("seg_start"), F.col(col))).alias("__x0"),
         F.max(F.when(F.col("i") == F.col("seg_end") - 1, F.col(col))).alias("__x1"))
     names = [k for k in keys if k != "seg_start"]
-    rows = tag_segments(rows.drop("seg_start", "seg_end"), ends, names, block)
+    rows = attach_to_segments(rows, ends, names, block)
     i, s, e, x = F.col("i"), F.col("seg_start"), F.col("seg_end"), F.col(col)
     # Mirrored rows exist only for the sums; the original columns travel with the real row.
     kept = F.struct(*[c for c in rows.columns if c not in ("__x0", "__x1")])
@@ -132,8 +132,8 @@ def resample_polyphase(tagged: DataFrame, cols: list, fs_in: float, fs_out: floa
     local = tagged.where(F.col("seg_end") - F.col("seg_start") >= 2).withColumn(
         "__k", F.col("i") - F.col("seg_start"))
     rows = with_halo(local, "__k", block, reach, "__blk", "__core")
-    packed = rows.groupBy(*keys, "seg_end", "__blk").agg(
-        F.array_sort(F.collect_list(F.struct("__k", *cols))).alias("__d"))
+    packed = rows.repartition(*keys, "__blk").groupBy(*keys, "seg_end", "__blk").agg(
+        F.sort_array(F.collect_list(F.struct("__k", *cols))).alias("__d"))
     n = F.col("seg_end") - F.col("seg_start")
     size = F.ceil(n * F.lit(up) / F.lit(down))
     first = F.ceil(F.col("__blk") * F.lit(block) * F.lit(up) / F.lit(down))

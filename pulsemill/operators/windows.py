@@ -81,6 +81,24 @@ def tag_segments(samples: DataFrame, segments: DataFrame, keys=("record_id",),
                     *[F.col("__in").getField(c).alias(c) for c in own]))
 
 
+def attach_to_segments(rows: DataFrame, facts: DataFrame, keys=("record_id",),
+                       block: int = BLOCK, hint: str = None) -> DataFrame:
+    """Add per-segment facts to rows that already know their `seg_start`.
+
+    The facts are listed once per block of the segment, so that a long segment is joined in
+    many places. `hint` is a join hint for the facts.
+    """
+    on = [*keys, "seg_start", "__blk"]
+    listed = facts.withColumn("__blk", F.explode(F.sequence(
+        F.floor(F.col("seg_start") / F.lit(block)),
+        F.floor((F.col("seg_end") - 1) / F.lit(block)), F.lit(1)))).drop("seg_end")
+    if hint:
+        listed = listed.hint(hint)
+    if "__blk" in rows.columns:
+        return rows.join(listed, on)
+    return rows.withColumn("__blk", F.floor(F.col("i") / F.lit(block))).join(listed, on).drop("__blk")
+
+
 def fixed_windows(samples: DataFrame, window_sec: float, step_sec: float, cols: list,
                   keys=("split", "subject_id", "record_id"), keep_all: bool = False) -> DataFrame:
     """Fixed windows of each record as one row with an ARRAY per channel.
@@ -103,10 +121,11 @@ def fixed_windows(samples: DataFrame, window_sec: float, step_sec: float, cols:
             .where(F.col("__hi") >= F.col("__lo"))
             .select(*keys, "fs", "i", *cols, "__L", "__S", bad.cast("int").alias("__bad"),
                     F.explode(F.sequence("__lo", "__hi", F.lit(1))).alias("window_index")))
-    made = rows.groupBy(*keys, "window_index").agg(
+    # Collecting before the shuffle would not shrink anything, so rows are placed first.
+    made = rows.repartition(*keys, "window_index").groupBy(*keys, "window_index").agg(
         F.count(F.lit(1)).alias("__n"), F.max("__L").alias("__L"), F.max("__S").alias("__S"),
         F.max("fs").alias("fs"), F.sum("__bad").alias("n_bad"),
-        F.array_sort(F.collect_list(F.struct("i", *cols))).alias("__data"))
+        F.sort_array(F.collect_list(F.struct("i", *cols))).alias("__data"))
     made = made.where(F.col("__n") == F.col("__L"))
     if not keep_all:
         made = made.where(F.col("n_bad") == 0)
