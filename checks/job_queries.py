@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from checks import views as V
 from checks.manifest_queries import err_sql, summary_sql
 from checks.metric_queries import (BEAT_ERR, DIST, PATIENT_LONG, PATIENT_SQL, FIT, SPLIT_KEYS, boot_sql,
-                                   case_labels, folded, subject_level, wave_sql)
+                                   case_labels, folded, wave_sql)
 from checks.registry import query, r, rs, tidy, with_
 from checks.signal_queries import BASE, BASE3, EXTRACT, PAIRS, TRANSIT, long, resample_sql
 from pulsemill.plans import jobs
@@ -52,8 +52,7 @@ select subject_id, metric, avg(abs(e)) as mae, sqrt(avg(e * e)) as rmse from err
        ("long_f", "select * from plong where value is not null"), (DIST[0], DIST[1].replace("plong", "long_f")), *boot_sql("long_f", 300)) + f"""
 select metric, n_patients, {", ".join(f"round({c}, 6) + 0.0 as {c}" for c in ('mean', 'iqr_low', 'median', 'iqr_high', 'ci_low', 'ci_high'))} from dist join ci using (metric)""")
 def j3(spark, d):
-    out = jobs.patient_metrics_waveform(V.windows(spark, d), 4.0, n_bootstrap=300, reference_qc={"max_range": 95.0},
-                                        subject_level=subject_level())
+    out = jobs.patient_metrics_waveform(V.windows(spark, d), 4.0, n_bootstrap=300, reference_qc={"max_range": 95.0})
     return out["summary"].select("metric", "n_patients", *[
         (F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("mean", "iqr_low", "median", "iqr_high", "ci_low", "ci_high")])
 
@@ -68,8 +67,7 @@ select metric, n_patients, {rs('mean', 'iqr_low', 'median', 'iqr_high', 'ci_low'
 def j4(spark, d):
     p = V.scalar_preds(spark, d).drop("subject_id")
     out = jobs.patient_metrics_scalar(p, case_labels(spark, d), n_bootstrap=30,
-                                      reference_qc={"min_range": 50.0, "max_range": 65.0},
-                                      subject_level=F.substring("subject_id", 1, 2))
+                                      reference_qc={"min_range": 50.0, "max_range": 65.0})
     return tidy(out["summary"].select("metric", "n_patients", "mean", "iqr_low", "median", "iqr_high", "ci_low", "ci_high"))
 
 

@@ -71,9 +71,17 @@ def beat_errors(windows: DataFrame, window_seconds: float, keys: list, true="y_t
     """
     rows = windows.withColumn("__seg", beat_segments(
         detect_peaks(true, window_seconds), F.size(true)))
-    rows = rows.where(F.size("__seg") > 0)
-    pairs = F.arrays_zip(beat_stats(true, "__seg").alias("t"), beat_stats(pred, "__seg").alias("p"))
-    beats = rows.select(*keys, F.posexplode(pairs).alias("beat", "__b")).where(
+    rows = rows.where(F.size("__seg") > 0).withColumn("beats", _paired_beats(true, pred, "__seg"))
+    return beat_errors_from(rows, keys)
+
+
+def _paired_beats(true, pred, segments) -> Column:
+    return F.arrays_zip(beat_stats(true, segments).alias("t"), beat_stats(pred, segments).alias("p"))
+
+
+def beat_errors_from(windows: DataFrame, keys: list) -> DataFrame:
+    """One row per beat and pressure from the `beats` column of `window_statistics`."""
+    beats = windows.select(*keys, F.posexplode("beats").alias("beat", "__b")).where(
         F.col("__b.t").isNotNull() & F.col("__b.p").isNotNull())
     per_metric = F.array(*[F.struct(F.lit(m).alias("metric"),
                                     (F.col(f"__b.p.{m}") - F.col(f"__b.t.{m}")).alias("error"))
@@ -124,29 +132,65 @@ def _best_shift(t, p, size, shift_ms, window_seconds, shift_samples):
     return best
 
 
-def min_shift_errors(windows: DataFrame, shift_ms: float, window_seconds: float,
-                     true="y_true", pred="y_pred", shift_samples: int = None) -> DataFrame:
-    """Smallest MAE and smallest RMSE of each window over shifts of at most +-K samples.
+def _pair_sums(t, p):
+    """Count and sums over pairs finite on both sides."""
+    x, y = np.asarray(t, dtype=np.float64), np.asarray(p, dtype=np.float64)
+    ok = np.isfinite(x) & np.isfinite(y)
+    x, y = x[ok], y[ok]
+    e = y - x
+    return (x.size, np.abs(e).sum(), (e * e).sum(), x.sum(), y.sum(), (x * x).sum(),
+            (y * y).sum(), (x * y).sum())
 
-    A shift s pairs true[i] with pred[i + s]. The two minima are taken independently.
-    Work stays inside the row: no self-join and no shuffle.
-    """
-    @F.pandas_udf("struct<mae: double, rmse: double>")
-    def best(t: pd.Series, p: pd.Series) -> pd.DataFrame:
+
+PAIR_SUMS = ["n", "abs", "sq", "x", "y", "xx", "yy", "xy"]
+
+
+def _row_statistics(windows: DataFrame, shift_ms, window_seconds, true, pred, shift_samples):
+    """The struct column with best-shift errors and pair sums of each window."""
+    fields = ["mae", "rmse", *PAIR_SUMS]
+
+    @F.pandas_udf("struct<" + ", ".join(f"{f}: double" for f in fields) + ">")
+    def measure(t: pd.Series, p: pd.Series) -> pd.DataFrame:
         size = np.array([len(a) for a in t], dtype=np.int64)
         both = np.full((len(t), 2), np.inf)
         for rows in _similar_lengths(size):
             both[rows] = _best_shift(t.iloc[rows], p.iloc[rows], size[rows], shift_ms,
                                      window_seconds, shift_samples)
-        known = np.isfinite(both)
-        return pd.DataFrame(both.astype(object), columns=["mae", "rmse"]).where(known, None)
+        sums = np.array([_pair_sums(a, b) for a, b in zip(t, p)]).reshape(len(t), len(PAIR_SUMS))
+        out = np.hstack([both, sums])
+        return pd.DataFrame(out.astype(object), columns=fields).where(np.isfinite(out), None)
 
-    return (windows.withColumn("__s", best(F.col(true).cast("array<double>"),
-                                           F.col(pred).cast("array<double>")))
+    return measure(F.col(true).cast("array<double>"), F.col(pred).cast("array<double>"))
+
+
+def min_shift_errors(windows: DataFrame, shift_ms: float, window_seconds: float,
+                     true="y_true", pred="y_pred", shift_samples: int = None) -> DataFrame:
+    """Smallest MAE and smallest RMSE of each window over shifts of at most +-K samples.
+
+    A shift s pairs true[i] with pred[i + s]. The two minima are taken independently.
+    Work stays inside the row: no self-join and no shuffle.
+    """
+    made = _row_statistics(windows, shift_ms, window_seconds, true, pred, shift_samples)
+    return (windows.withColumn("__s", made)
             .withColumns({"min_mae": F.col("__s.mae"), "min_rmse": F.col("__s.rmse")})
             .drop("__s"))
 
 
+def window_statistics(windows: DataFrame, keys: list, shift_ms: float, window_seconds: float,
+                      true="y_true", pred="y_pred", shift_samples: int = None) -> DataFrame:
+    """Everything the patient metrics need from a window, in one pass over the arrays.
+
+    Best-shift errors, sums over finite pairs, and the paired beats. The result is small:
+    a few numbers per window and per beat.
+    """
+    made = _row_statistics(windows, shift_ms, window_seconds, true, pred, shift_samples)
+    rows = windows.withColumns({"__s": made, "__seg": beat_segments(
+        detect_peaks(true, window_seconds), F.size(true))})
+    return rows.select(*keys, F.col("__s.mae").alias("min_mae"), F.col("__s.rmse").alias("min_rmse"),
+                       *[F.col(f"__s.{c}").alias(f"sum_{c}") for c in PAIR_SUMS],
+                       _paired_beats(true, pred, "__seg").alias("beats"))
+
+
 def reduce_samples(samples: DataFrame, by: list, col: str, how: str = "mean") -> DataFrame:
     """Collapse the repeated samples of each point: mean, or lower median."""
     if how == "mean":

@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsemill.functions import fixed
-from pulsemill.functions.numeric import finite_or_null, is_finite
+from pulsemill.functions.numeric import finite_or_null, guarded_corr, is_finite
 from pulsemill.functions.text import format_ci, format_mean_sd
 from pulsemill.operators.errors import (scalar_error_summary, scalar_errors_long,
                                         waveform_metrics)
@@ -39,6 +39,26 @@ def patient_waveform_metrics(points: DataFrame, shifts: DataFrame = None, by="su
         mean = shifts.where(both).groupBy(by).agg(F.avg("min_mae").alias("min_mae"),
                                                   F.avg("min_rmse").alias("min_rmse"))
         out = out.join(mean, by, "left")
+    return _patient_columns(out, by)
+
+
+def patient_metrics_from_statistics(stats: DataFrame, ranges: DataFrame, by="subject_id") -> DataFrame:
+    """The same metrics from `errors.window_statistics` (one row per window)."""
+    total = lambda c: F.sum(f"sum_{c}")
+    both = is_finite("min_mae") & is_finite("min_rmse")
+    n = total("n")
+    mean = lambda c: F.try_divide(total(c), n)
+    var_x, var_y = mean("xx") - mean("x") * mean("x"), mean("yy") - mean("y") * mean("y")
+    out = stats.groupBy(by).agg(
+        n.cast("bigint").alias("n_points"), F.count(F.lit(1)).alias("n_windows"),
+        mean("abs").alias("waveform_mae"), F.sqrt(mean("sq")).alias("waveform_rmse"),
+        guarded_corr(mean("xy") - mean("x") * mean("y"), var_x, var_y).alias("waveform_corr"),
+        F.avg(F.when(both, F.col("min_mae"))).alias("min_mae"),
+        F.avg(F.when(both, F.col("min_rmse"))).alias("min_rmse"))
+    return _patient_columns(out.join(ranges, by, "left"), by)
+
+
+def _patient_columns(out: DataFrame, by: str) -> DataFrame:
     some, span = F.col("n_points") > 0, F.col("true_p99") - F.col("true_p01")
     return out.select(
         by, F.when(some, F.col("n_windows")).otherwise(0).cast("bigint").alias("n_windows"),
@@ -94,18 +114,19 @@ def _draw(seed: int, b: Column, j: Column) -> Column:
 
 
 def bootstrap_ci(long: DataFrame, key: str, n_bootstrap: int = fixed.BOOTSTRAP_SAMPLES,
-                 seed: int = fixed.BOOTSTRAP_SEED, key_level: Column = None) -> DataFrame:
+                 seed: int = fixed.BOOTSTRAP_SEED) -> DataFrame:
     """Per metric: 2.5th and 97.5th percentile of the mean over resampled patients.
 
-    Patients are numbered 0..n-1 in key order. Replicate b takes n of them: draw j is a
+    Patients are numbered 0..n-1 in the order of their key's md5. Replicate b takes n of them: draw j is a
     hash of (seed, b, j) modulo n, so a lost task reproduces its draws. Metrics with the
     same n share their draws. Drawn numbers look their values up by an equi-join, which is
     broadcast only when the counted patients are few. One patient gives its own value, no
-    replicates give the mean. `key_level` bounds how many patients are numbered in one task.
+    replicates give the mean.
     """
     long = long.where(is_finite("value"))
-    level = F.lit(0) if key_level is None else key_level
-    ranked = materialize(dense_index(long, ["metric"], [key], [level], "j"))
+    hashed = long.withColumn("__h", F.md5(F.col(key).cast("string")))
+    ranked = materialize(dense_index(hashed, ["metric"], ["__h", key], [F.substring("__h", 1, 3)],
+                                     "j").drop("__h"))
     # One row per metric name, whatever the data.
     sizes = ranked.groupBy("metric").agg(F.count(F.lit(1)).alias("n"),
                                          F.avg("value").alias("mean")).collect()

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from pulsemill.functions import fixed
 from pulsemill.functions.arrays import pack_slots, resample_linear, unit_range
 from pulsemill.operators import alignment, errors, linear, patients, quality, signals, transit
+from pulsemill.operators.quantiles import exact_quantiles
 from pulsemill.operators.windows import assign_index, fixed_windows, window_funnel
 from pulsemill.sources.storage import materialize
 
@@ -52,7 +53,7 @@ def patient_metrics_waveform(windows: DataFrame, window_seconds: float,
                              shift_ms: float = fixed.SHIFT_MS,
                              n_bootstrap: int = fixed.BOOTSTRAP_SAMPLES,
                              seed: int = fixed.BOOTSTRAP_SEED, reference_qc: dict = None,
-                             shift_samples: int = None, subject_level=None,
+                             shift_samples: int = None,
                              method: str = "", metrics_json: str = "") -> dict:
     """Per-patient waveform metrics with summaries, intervals and the table row.
 
@@ -62,12 +63,13 @@ def patient_metrics_waveform(windows: DataFrame, window_seconds: float,
     subjects = windows.select("subject_id").distinct()
     if reference_qc is not None:
         windows = quality.waveform_qc(windows, **reference_qc).where("qc_valid")
-    points = explode_points(windows, ["subject_id", "window_id"])
-    shifts = errors.min_shift_errors(windows.select("subject_id", "window_id", "y_true", "y_pred"),
-                                     shift_ms, window_seconds, shift_samples=shift_samples)
-    wave = patients.patient_waveform_metrics(points, shifts)
-    beats = materialize(
-        errors.beat_errors(windows, window_seconds, ["subject_id", "window_id"]))
+    # One pass over the arrays; what follows works on a few numbers per window.
+    stats = materialize(errors.window_statistics(windows, ["subject_id", "window_id"], shift_ms,
+                                                 window_seconds, shift_samples=shift_samples))
+    truth = windows.select("subject_id", F.explode("y_true").alias("y_true"))
+    ranges = exact_quantiles(truth, ["subject_id"], "y_true", {"true_p01": 0.01, "true_p99": 0.99})
+    wave = patients.patient_metrics_from_statistics(stats, ranges)
+    beats = errors.beat_errors_from(stats, ["subject_id", "window_id"])
     per_metric = errors.scalar_error_summary(beats, "error", ["subject_id", "metric"])
     scalar = per_metric.groupBy("subject_id").agg(*[
         F.max(F.when(F.col("metric") == m, F.col(v))).alias(f"{m}_{v}_mmHg")
@@ -78,13 +80,13 @@ def patient_metrics_waveform(windows: DataFrame, window_seconds: float,
     pooled = errors.scalar_error_summary(beats, "error", ["metric"])
     names = ["mae_mmHg", "rmse_mmHg", "min_mae_mmHg", "min_rmse_mmHg", "nrmse", "corr"]
     names += [f"{m}_{v}_mmHg" for m in fixed.SCALAR_METRICS for v in ("mae", "rmse")]
-    return _summaries(table, names, pooled, n_bootstrap, seed, subject_level, method, metrics_json)
+    return _summaries(table, names, pooled, n_bootstrap, seed, method, metrics_json)
 
 
 def patient_metrics_scalar(preds: DataFrame, labels: DataFrame = None,
                            n_bootstrap: int = fixed.BOOTSTRAP_SAMPLES,
                            seed: int = fixed.BOOTSTRAP_SEED, reference_qc: dict = None,
-                           subject_level=None, method: str = "", metrics_json: str = "") -> dict:
+                           method: str = "", metrics_json: str = "") -> dict:
     """Per-patient metrics of scalar predictions; filtered patients vanish."""
     if labels is not None:
         preds = alignment.attach_subjects(preds, labels)
@@ -96,13 +98,13 @@ def patient_metrics_scalar(preds: DataFrame, labels: DataFrame = None,
         for m in fixed.SCALAR_METRICS for v in ("mae", "rmse")])
     names = [f"{m}_{v}_mmHg" for m in fixed.SCALAR_METRICS for v in ("mae", "rmse")]
     pooled = patients.pooled_scalar_metrics(preds)
-    return _summaries(table, names, pooled, n_bootstrap, seed, subject_level, method, metrics_json)
+    return _summaries(table, names, pooled, n_bootstrap, seed, method, metrics_json)
 
 
-def _summaries(table, names, pooled, n_bootstrap, seed, subject_level, method, metrics_json):
+def _summaries(table, names, pooled, n_bootstrap, seed, method, metrics_json):
     long = materialize(patients.to_long(table, "subject_id", names))
     summary = patients.distribution_summary(long, names, long.count())
-    ci = patients.bootstrap_ci(long, "subject_id", n_bootstrap, seed, subject_level)
+    ci = patients.bootstrap_ci(long, "subject_id", n_bootstrap, seed)
     summary = materialize(summary.join(ci, "metric", "left"))
     pooled = materialize(pooled)
     row = patients.patient_table(summary, pooled, method, metrics_json,

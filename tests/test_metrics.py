@@ -74,13 +74,14 @@ def test_beats_pair_by_position_after_drops(spark):
 def test_bootstrap_matches_plain_resampling(spark):
     rng = np.random.default_rng(4)
     values = rng.normal(100, 10, 23)
+    numbered = values[sorted(range(23), key=lambda k: hashlib.md5(str(k).encode()).hexdigest())]
     df = spark.createDataFrame([(k, "m", float(v)) for k, v in enumerate(values)]
                                + [(0, "one", 7.0)], "s int, metric string, value double")
     got = {r.metric: (r.ci_low, r.ci_high) for r in P.bootstrap_ci(df, "s", 400, 11).collect()}
     means = []
     for b in range(400):
         picks = [int(hashlib.md5(f"11|{b}|{j}".encode()).hexdigest()[:15], 16) % 23 for j in range(23)]
-        means.append(values[picks].mean())
+        means.append(numbered[picks].mean())
     np.testing.assert_allclose(got["m"], np.percentile(means, [2.5, 97.5]))
     assert got["one"] == (7.0, 7.0)
     rough = np.percentile([values[rng.integers(0, 23, 23)].mean() for _ in range(4000)], [2.5, 97.5])
