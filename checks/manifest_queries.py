@@ -341,14 +341,14 @@ def p10(spark, d):
 @query("p11_format_text", with_("scalar_preds", err_sql("scalar_preds", "subject_id, "),
        ("s", """select subject_id, metric, avg(e) as m, stddev_samp(e) as sd, case when metric = 'sbp' then null else max(e) end as hi
  from err group by subject_id, metric""")) + """
-select subject_id, metric, case when hi is null or sd is null then '' else printf('%.2f', m) || ' [' || printf('%.2f', m - sd) || ', ' || printf('%.2f', m + sd) || ']' end as ci,
+select subject_id, metric, case when hi is null or sd is null then '' else printf('%.2f', m / 3) || ' [' || printf('%.2f', (m - sd) / 3) || ', ' || printf('%.2f', (m + sd) / 3) || ']' end as ci,
  case when sd is null then '' else printf('%.3f', m / 3) || ' +/- ' || printf('%.3f', sd / 3) end as mean_sd from s""")
 def p11(spark, d):
     long = errors.scalar_errors_long(V.scalar_preds(spark, d), ["subject_id"])
     s = long.groupBy("subject_id", "metric").agg(
         F.avg("error").alias("m"), F.stddev_samp("error").alias("sd"), F.max("error").alias("mx"))
     hidden = F.when(F.col("metric") == "sbp", F.lit(float("nan"))).otherwise(F.col("m") + F.col("sd"))
-    return s.select("subject_id", "metric", T.format_ci("m", F.col("m") - F.col("sd"), hidden, 2).alias("ci"),
+    return s.select("subject_id", "metric", T.format_ci(F.col("m") / 3, (F.col("m") - F.col("sd")) / 3, hidden / 3, 2).alias("ci"),
                     T.format_mean_sd(F.col("m") / 3, F.col("sd") / 3, 3).alias("mean_sd"))
 
 
@@ -572,10 +572,12 @@ def indexed_windows(spark, d):
 
 
 @query("d4_slice_windows", with_("samples", WIN_SQL, INDEXED) + """
-select record_id, window_index, memmap_index from indexed where split = 'test' and memmap_index >= 5 and memmap_index < 25""")
+select record_id, window_index, memmap_index from indexed where split = 'test' and memmap_index >= (select count(*) from indexed where split = 'test') // 4
+ and memmap_index < (select count(*) // 4 + greatest(1, count(*) // 2) from indexed where split = 'test')""")
 def d4(spark, d):
     test = indexed_windows(spark, d).where("split = 'test'")
-    return slice_windows(test, "memmap_index", 5, 20).select("record_id", "window_index", "memmap_index")
+    n = test.count()
+    return slice_windows(test, "memmap_index", n // 4, max(1, n // 2)).select("record_id", "window_index", "memmap_index")
 
 
 @query("d5_assign_index", with_("samples", WIN_SQL, INDEXED) + """

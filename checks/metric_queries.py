@@ -140,15 +140,14 @@ select subject_id, nw as n_windows, n_points, waveform_mae as mae, waveform_rmse
 
 
 @query("a5_patient_waveform_metrics", with_("points", *PATIENT_SQL) + f"""
-select subject_id, n_windows, n_points, {r('mae * 0.1333223684', 'mae_kpa')}, {r('rmse', '"rmse_mmHg"')}, {r('corr')}, {r('min_mae * 0.1333223684', 'min_mae_kpa')},
+select subject_id, n_windows, n_points, {r('mae', '"mae_mmHg"')}, {r('rmse', '"rmse_mmHg"')}, {r('corr')}, {r('min_mae * 0.1333223684', 'min_mae_kpa')},
  {r('min_rmse', '"min_rmse_mmHg"')}, round(nrmse, 6) + 0.0 as nrmse, {r('p01', 'true_p01')}, {r('p99', 'true_p99')} from patient""")
 def a5(spark, d):
     w = E.min_shift_errors(V.windows(spark, d), 250.0, 4.0)
-    # Means of few decimal numbers end exactly on a rounding edge; other units do not.
-    kpa = lambda c: F.col(c) * 0.1333223684
+    # Means of few decimal numbers can end exactly on a rounding edge; other units do not.
     return tidy(P.patient_waveform_metrics(V.points(spark, d), w).withColumns(
-        {"nrmse": F.round("nrmse", 6), "mae_kpa": kpa("mae_mmHg"), "min_mae_kpa": kpa("min_mae_mmHg")})
-        .drop("mae_mmHg", "min_mae_mmHg"))
+        {"nrmse": F.round("nrmse", 6), "min_mae_kpa": F.col("min_mae_mmHg") * 0.1333223684})
+        .drop("min_mae_mmHg"))
 
 
 @query("a6_patient_scalar_metrics", with_("scalar_preds", err_sql("scalar_preds", "subject_id, ")) + summary_sql("err", ["subject_id", "metric"]))
