@@ -205,7 +205,12 @@ def segment_peaks(samples: DataFrame, segments: DataFrame, channels: dict,
     wider halo, until every peak is settled. Flat segments have no peaks.
     """
     keys, kinds = list(keys), list(channels)
-    tasks = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The helper costs more than its bytes suggest. Where the session has about as many
+    # shuffle partitions as cores, all of them are kept; otherwise they are merged by size.
+    spark = samples.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    few = tasks <= 4 * spark.sparkContext.defaultParallelism
+    spread = [tasks, *keys] if few else keys
     cols = sorted({channels[k][0] for k in kinds})
     seg_keys = keys + ["seg_start", "seg_end", "fs"]
     tagged = tag_segments(samples.select(*keys, "i", "fs", *cols),
@@ -244,9 +249,7 @@ def segment_peaks(samples: DataFrame, segments: DataFrame, channels: dict,
                                    F.floor((F.col("seg_end") - 1) / F.lit(size))))
         if blocks is not None:
             wide = wide.join(blocks, keys + ["seg_start", "__blk"], "left_semi")
-        # The helper costs far more than its bytes suggest; a fixed number of partitions keeps
-        # small inputs from being merged into one task.
-        packed = wide.repartition(tasks, *keys, "seg_start", "__blk").groupBy(*seg_keys, "__blk").agg(
+        packed = wide.repartition(*spread, "seg_start", "__blk").groupBy(*seg_keys, "__blk").agg(
             F.sort_array(F.collect_list(F.struct("i", *cols))).alias("__d"))
         packed = attach_to_segments(packed, stats, keys, size, "shuffle_merge")
         seen = packed.select(*seg_keys, "__blk", F.explode(F.array(*[
