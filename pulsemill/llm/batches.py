@@ -164,3 +164,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
     x = x * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
+
+
+def cogroup(packed: DataFrame, answers: DataFrame, fn, schema) -> DataFrame:
+    """Bring a bucket's rows and answers together; `fn(rows, answers)` gives an Arrow table."""
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = fn(left.to_pandas(), right.to_pandas())
+        if isinstance(out, pd.DataFrame):
+            out = pa.Table.from_pylist([], schema=arrow)
+        return out.cast(arrow)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    arrow = to_arrow_schema(schema)
+    return packed.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(both, schema)

@@ -1,9 +1,7 @@
 """Queries over the given tables, and their SQL where it can say the same."""
 
-from pyspark.sql import functions as F
-
-from pulsemill.llm import (decontamination, packing, quality_rules, templates, token_files, tokens,
-                           toxicity, url_rules)
+from pulsemill.llm import (decontamination, line_dedup, near_dup, packing, perplexity, quality_rules,
+                           templates, token_files, tokens, toxicity, url_rules)
 from pulsemill.sources.storage import scratch_path
 
 QUERIES, ORACLES = {}, {}
@@ -38,6 +36,11 @@ def op2(spark, d):
     return token_files.read_token_files(spark, root)
 
 
+@query("op3_near_dup")
+def op3(spark, d):
+    return near_dup.link(table(spark, d, "documents"))
+
+
 @query("op4_url_rules", url_rules.judge_sql())
 def op4(spark, d):
     return url_rules.judge(table(spark, d, "pages"))
@@ -54,11 +57,22 @@ def op6(spark, d):
     return quality_rules.judge(table(spark, d, "documents"))
 
 
+@query("op7_line_dedup")
+def op7(spark, d):
+    return line_dedup.drop_recurring(table(spark, d, "documents"))
+
+
 @query("op8_templates")
 def op8(spark, d):
     return templates.extract(table(spark, d, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+@query("op9_perplexity")
+def op9(spark, d):
+    return perplexity.classify(table(spark, d, "documents"), table(spark, d, "labels")).select(
+        "doc_id", "lang", "perplexity", "perplexity_limit", "kept")
+
+
 @query("op10_packing")
 def op10(spark, d):
     return packing.pack(table(spark, d, "documents"), tokens.tokenizer_path())
