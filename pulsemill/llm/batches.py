@@ -31,7 +31,7 @@ def bucket_count(rows: int, chars: int) -> int:
 
 def bucket_of(buckets: int, key: str = "doc_id", other: str = None):
     """Bucket by hash of the key; rows without a key go by the hash of `other`."""
-    k = F.xxhash64(F.col(key))
+    k = F.xxhash64(F.col(key).cast("long"))
     if other is not None:
         k = F.when(F.col(key).isNull(), F.xxhash64(F.col(other))).otherwise(k)
     return F.pmod(k, F.lit(buckets)).cast("long")
@@ -41,7 +41,7 @@ def pack_rows(batch: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as w:
         w.write_table(batch)
-    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes())
+    return zstandard.ZstdCompressor(level=5).compress(sink.getvalue().to_pybytes())
 
 
 def unpack_rows(blob: bytes) -> pa.Table:
@@ -85,6 +85,42 @@ def packed(docs: DataFrame, buckets: int) -> DataFrame:
     return with_bucket.mapInArrow(deal, PACKED)
 
 
+SIEVE_BITS = 1 << 26
+
+
+def sieve(ids: DataFrame, key: str) -> np.ndarray:
+    """A Bloom filter over the keys, of at most SIEVE_BITS bits whatever their number."""
+    bits = 1 << 10
+    while bits < min(SIEVE_BITS, 24 * ids.count()):
+        bits *= 2
+    h = F.xxhash64(F.col(key).cast("long"))
+    places = F.array(*[F.pmod(F.shiftright(h, 19 * i), F.lit(bits)) for i in range(3)])
+    at = ids.select(F.explode(places).alias("p"))
+    words = at.groupBy(F.shiftright("p", 5).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("b")).toPandas()
+    out = np.zeros(bits // 32, np.uint32)
+    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def sift(df: DataFrame, key: str, words: np.ndarray) -> DataFrame:
+    """The rows whose key may be in the sieve. It only spares work: an exact join has to follow,
+    and a sieve that is too full lets everything through."""
+    shared = df.sparkSession.sparkContext.broadcast(words)
+    bits = np.uint64(32 * len(words))
+
+    def run(batches):
+        for b in batches:
+            h = b.column("__h").to_numpy(zero_copy_only=False)
+            ok = np.ones(len(h), bool)
+            for i in range(3):
+                p = (h >> np.int64(19 * i)).view(np.uint64) % bits
+                ok &= (shared.value[p >> np.uint64(5)] >> (p % np.uint64(32)).astype(np.uint32)) & np.uint32(1) == 1
+            yield b.drop_columns(["__h"]).filter(pa.array(ok))
+
+    return df.withColumn("__h", F.xxhash64(F.col(key).cast("long"))).mapInArrow(run, df.schema)
+
+
 ASKED = StructType([StructField("shard", LongType()), StructField("bucket", LongType()),
                     StructField("keys", BinaryType()), StructField("counts", BinaryType())])
 

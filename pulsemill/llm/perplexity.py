@@ -10,8 +10,8 @@ text are free, since a few characters say little.
 
 The n-grams of all trusted documents are counted. Scoring is a sharded join: every bucket of
 documents asks for each of its distinct n-grams once, the shard that owns an n-gram answers with
-its probability and back-off weight, and the bucket then sums over its documents. Nothing but
-the four numbers per order and language leaves the executors.
+its probability and back-off weight, and the bucket then sums over its documents. No counts
+or texts pass the driver, only limits and a filter of bounded size over the labelled ids.
 
 NULL and empty texts, and languages without a trusted text, have no perplexity and are kept (NULL
 languages are one language). Languages with fewer than MIN_CALIBRATION held-back documents use
@@ -54,8 +54,10 @@ class Grams:
         starts = np.cumsum(self.sizes + order - 1) - self.sizes - (order - 1)
         n = int(self.sizes.sum())
         # the first code point of each window; windows never cross texts
-        at = np.arange(n) + np.repeat(starts - (np.cumsum(self.sizes) - self.sizes), self.sizes)
+        at = np.arange(n, dtype=np.int32)
+        at += np.repeat((starts - (np.cumsum(self.sizes) - self.sizes)).astype(np.int32), self.sizes)
         ch, alphabet = pd.factorize(data)
+        ch = ch.astype(np.int32)
         code, span, width = ch[at].astype(np.int64), len(alphabet), max(1, len(alphabet))
         for j in range(1, order):
             if span > (1 << 62) // width:
@@ -64,6 +66,8 @@ class Grams:
             code = code * width + ch[at + j]
             span *= width
         self.codes, found = pd.factorize(code)
+        self.codes = self.codes.astype(np.int32)
+        del code, ch
         first = np.empty(len(found), np.int64)
         first[self.codes[::-1]] = at[::-1]
         self.windows = data[first[:, None] + np.arange(order)] if n else np.zeros((0, order), np.uint32)
@@ -114,8 +118,10 @@ def _good(labels: DataFrame) -> DataFrame:
 
 def count_grams(docs: DataFrame, labels: DataFrame, buckets: int, order: int) -> DataFrame:
     """(lang, gram, c) over all trusted documents that are not held back."""
-    packed = batches.packed(docs.select("doc_id", "text", *[c for c in ("lang",) if c in docs.columns]), buckets)
-    good = _good(labels).where(~_held_back()).withColumn("bucket", batches.bucket_of(buckets))
+    good = _good(labels).where(~_held_back())
+    docs = docs.select("doc_id", "text", *[c for c in ("lang",) if c in docs.columns])
+    packed = batches.packed(batches.sift(docs, "doc_id", batches.sieve(good, "doc_id")), buckets)
+    good = good.withColumn("bucket", batches.bucket_of(buckets))
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
         langs, grams, counts = [], [], []
@@ -311,7 +317,9 @@ def scored(docs: DataFrame, m: DataFrame, shards: int, buckets: int, order: int,
 def find_limits(docs, labels, m, shards, order) -> dict:
     """Language to limit, from held-back trusted documents; the key "" holds the widest."""
     held = docs.select("doc_id", "text", *[c for c in ("lang",) if c in docs.columns])
-    held = held.where(_held_back()).join(_good(labels), "doc_id", "left_semi")
+    good = _good(labels).where(_held_back())
+    held = batches.sift(held.where(_held_back()), "doc_id", batches.sieve(good, "doc_id"))
+    held = held.join(good, "doc_id", "left_semi")
     buckets = batches.bucket_count(*batches.text_size(held))
     held = scored(held, m, shards, buckets, order, {}).where("perplexity is not null")
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE)) if "lang" in docs.columns else F.lit(NO_LANGUAGE)
@@ -325,5 +333,4 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFram
     """All documents, with perplexity, perplexity_limit and kept."""
     buckets = batches.bucket_count(*batches.text_size(docs))
     m, shards = model_shards(model(count_grams(docs, labels, buckets, order), order))
-    m = materialize(m)
     return scored(docs, m, shards, buckets, order, find_limits(docs, labels, m, shards, order))
