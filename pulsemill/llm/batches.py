@@ -13,8 +13,11 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
+from pulsemill.sources.storage import scratch_path
+
 BUCKET_CHARS = 6_000_000
 SHARD_KEYS = 1_500_000
 
@@ -25,8 +28,15 @@ def text_size(docs: DataFrame) -> tuple:
     return int(r[0]), int(r[1])
 
 
-def bucket_count(rows: int, chars: int) -> int:
-    return max(1, math.ceil((chars + 200 * rows) / BUCKET_CHARS))
+def bucket_count(rows: int, chars: int, each: int = BUCKET_CHARS) -> int:
+    return max(1, math.ceil((chars + 200 * rows) / each))
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a result to the shared folder, compressed, and read it back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def bucket_of(buckets: int, key: str = "doc_id", other: str = None):
@@ -210,6 +220,5 @@ def cogroup(packed: DataFrame, answers: DataFrame, fn, schema) -> DataFrame:
             out = pa.Table.from_pylist([], schema=arrow)
         return out.cast(arrow)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
     arrow = to_arrow_schema(schema)
     return packed.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(both, schema)

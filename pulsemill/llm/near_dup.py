@@ -270,11 +270,11 @@ def link(docs: DataFrame) -> DataFrame:
     rows = t1.where("sketch is not null").count()
     firsts = t1.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
     labels = None
-    entries = materialize(_bands(list_entries(t1, rows))) if rows else None
+    entries = batches.stored(_bands(list_entries(t1, rows)), "entries") if rows else None
     if entries is not None and entries.limit(1).count():
         nodes = materialize(entries.select("node").distinct())
         reps = materialize(firsts.join(nodes, "node", "left_semi"))
-        texts = materialize(candidate_texts(docs, reps))
+        texts = batches.stored(candidate_texts(docs, reps), "texts")
         heads = materialize(t1.where("sketch is not null").join(nodes, "node", "left_semi").dropDuplicates(["node"]).select(
             "node", F.col("n_shingles").alias("n"), F.expr(f"substring(sketch, 1, {8 * ESTIMATE})").alias("head")))
         links = materialize(confirm(_stars(entries), heads, texts))

@@ -29,12 +29,11 @@ from pyspark.sql.types import (BinaryType, BooleanType, DoubleType, LongType, St
                                StructType)
 
 from pulsemill.llm import batches
-from pulsemill.sources.storage import materialize
 
 ORDER, CALIBRATE, MIN_CALIBRATION = 4, 5, 10
 MIDDLE, UPPER, MARGIN, SLACK = 0.5, 0.98, 2.5, 12.0
 START, NO_LANGUAGE = "\x02", "\x00"
-MODEL_SHARD = 300_000
+MODEL_SHARD, SLICE_CHARS, BUCKET_CHARS = 300_000, 1_000_000, 10_000_000
 
 _SPACE, _DIGIT = re.compile(r"\s+"), re.compile(r"\d")
 RESULT = [("perplexity", DoubleType()), ("perplexity_limit", DoubleType()), ("kept", BooleanType())]
@@ -98,13 +97,20 @@ def _strings(windows):
 
 
 def _by_language(t: pa.Table):
+    """(language, [(row, normal text)]) in slices of a bounded number of characters; the slices
+    of a table depend only on its rows."""
     langs = t.column("lang").to_pylist() if "lang" in t.column_names else [None] * t.num_rows
-    groups = {}
-    for i, (lang, text) in enumerate(zip(langs, t.column("text").to_pylist())):
-        s = normal(text) if text else ""
+    groups, out = {}, []
+    for i, (lang, text) in enumerate(zip(langs, t.column("text"))):
+        s = normal(text.as_py() or "")
         if s:
-            groups.setdefault(NO_LANGUAGE if lang is None else str(lang), []).append((i, s))
-    return groups
+            lang = NO_LANGUAGE if lang is None else str(lang)
+            part = groups.setdefault(lang, [0, []])
+            part[0] += len(s)
+            part[1].append((i, s))
+            if part[0] >= SLICE_CHARS:
+                out.append((lang, groups.pop(lang)[1]))
+    return out + [(lang, part[1]) for lang, part in groups.items()]
 
 
 def _held_back(doc_id="doc_id"):
@@ -129,7 +135,7 @@ def count_grams(docs: DataFrame, labels: DataFrame, buckets: int, order: int) ->
             t = pa.concat_tables([batches.unpack_rows(b) for b in left.column("rows").to_pylist()])
             trusted = set(right.column("doc_id").to_pylist())
             t = t.filter(pa.array([d in trusted for d in t.column("doc_id").to_pylist()]))
-            for lang, texts in _by_language(t).items():
+            for lang, texts in _by_language(t):
                 g = Grams([s for _, s in texts], order)
                 langs += [lang] * len(g.windows)
                 grams += _strings(g.windows)
@@ -146,11 +152,11 @@ def model(counts: DataFrame, order: int = ORDER) -> DataFrame:
     """(lang, gram, logp, bow): interpolated probability of the last character of each seen gram
     after the others, and the weight that the gram leaves to shorter contexts. The empty gram
     stands for a character never seen."""
-    levels = {order: materialize(counts)}
+    levels = {order: batches.stored(counts, "grams")}
     for k in range(order - 1, 0, -1):
         longer = levels[k + 1]
-        levels[k] = materialize(longer.groupBy("lang", F.expr("substring(gram, 2)").alias("gram"))
-                                .agg(F.count(F.lit(1)).alias("c")))
+        levels[k] = batches.stored(longer.groupBy("lang", F.expr("substring(gram, 2)").alias("gram"))
+                                   .agg(F.count(F.lit(1)).alias("c")), "grams")
     size = levels[1].groupBy("lang").agg((F.count(F.lit(1)) + 1).alias("v"))
     lower = size.select("lang", F.lit("").alias("gram"), (1.0 / F.col("v")).alias("p"))
     out = None
@@ -184,14 +190,14 @@ def model(counts: DataFrame, order: int = ORDER) -> DataFrame:
             extra = bows.join(lower, ["lang", "gram"], "left_anti").select(
                 "lang", "gram", F.lit(None).cast("double").alias("logp"), F.log("bow").alias("bow"))
             done = done.unionByName(extra)
-        lower = materialize(g)
+        lower = batches.stored(g, "model")
         out = done if out is None else out.unionByName(done)
     return out.unionByName(lower.select("lang", "gram", F.log("p").alias("logp"), F.lit(0.0).alias("bow")))
 
 
 def model_shards(m: DataFrame) -> tuple:
     """The model as one packed row per shard, and the number of shards."""
-    m = materialize(m)
+    m = batches.stored(m, "model")
     shards = max(1, -(-m.count() // MODEL_SHARD))
 
     def key(batches_):
@@ -229,9 +235,9 @@ def _bucket_grams(blobs, order):
     """The bucket's documents in one table, its n-grams by language, and the keys to ask for."""
     t = pa.concat_tables([batches.unpack_rows(b) for b in blobs])
     made = []
-    for lang, texts in sorted(_by_language(t).items()):
+    for lang, texts in _by_language(t):
         made.append((lang, [i for i, _ in texts], Grams([s for _, s in texts], order)))
-    parts = [k for lang, _, g in made for k in _wanted(lang, g.windows)]
+    parts = [np.unique(np.concatenate(_wanted(lang, g.windows))) for lang, _, g in made]
     keys = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
     return t, made, keys
 
@@ -320,7 +326,7 @@ def find_limits(docs, labels, m, shards, order) -> dict:
     good = _good(labels).where(_held_back())
     held = batches.sift(held.where(_held_back()), "doc_id", batches.sieve(good, "doc_id"))
     held = held.join(good, "doc_id", "left_semi")
-    buckets = batches.bucket_count(*batches.text_size(held))
+    buckets = batches.bucket_count(*batches.text_size(held), BUCKET_CHARS)
     held = scored(held, m, shards, buckets, order, {}).where("perplexity is not null")
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE)) if "lang" in docs.columns else F.lit(NO_LANGUAGE)
     q = held.groupBy(lang.alias("l")).agg(
@@ -331,6 +337,6 @@ def find_limits(docs, labels, m, shards, order) -> dict:
 
 def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
     """All documents, with perplexity, perplexity_limit and kept."""
-    buckets = batches.bucket_count(*batches.text_size(docs))
+    buckets = batches.bucket_count(*batches.text_size(docs), BUCKET_CHARS)
     m, shards = model_shards(model(count_grams(docs, labels, buckets, order), order))
     return scored(docs, m, shards, buckets, order, find_limits(docs, labels, m, shards, order))
