@@ -63,8 +63,9 @@ def unpack_rows(blob: bytes) -> pa.Table:
 PACKED = StructType([StructField("bucket", LongType()), StructField("rows", BinaryType())])
 
 
-def packed(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, rows): all columns of the documents, packed per task and bucket."""
+def packed(docs: DataFrame, buckets: int, add=None) -> DataFrame:
+    """(bucket, rows): all columns of the documents, packed per task and bucket. `add` may give
+    columns that are worked out from the rows once, before they travel."""
     with_bucket = docs.withColumn("__bucket", bucket_of(buckets, "doc_id", "text"))
 
     def deal(batches):
@@ -82,6 +83,8 @@ def packed(docs: DataFrame, buckets: int) -> DataFrame:
         t = pa.Table.from_batches(held)
         at = t.column("__bucket").to_numpy()
         t = t.drop_columns(["__bucket"])
+        if add is not None:
+            t = add(t)
         order = np.argsort(at, kind="stable")
         at = at[order]
         starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else []

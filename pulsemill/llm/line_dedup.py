@@ -37,77 +37,109 @@ MIN_LEFT = 20
 
 _SENTENCE = re.compile(r"(?<=[.!?]) +")
 _FIELD = re.compile(r"\d|://|@")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 RESULT = ["n_dropped", "n_records"]
-
-
-def records(text: str) -> list:
-    """(start, end, is a whole line) of every record with a token."""
-    out, at = [], 0
-    for line in text.split("\n"):
-        end = at + len(line)
-        if line and not line.isspace():
-            cuts = [m.end() + at for m in _SENTENCE.finditer(line)]
-            edges = [at, *cuts, end]
-            if len(edges) == 2:
-                out.append((at, end, True))
-            else:
-                out += [(a, b, False) for a, b in zip(edges, edges[1:]) if b > a]
-        at = end + 1
-    return out
+# columns worked out once per document: start, end, tokens and template of every record; first and
+# last record and four templates of every line
+PARTS = ["__from", "__to", "__tokens", "__key", "__line_from", "__line_to", "__line_keys"]
 
 
 def _mask(token):
     return "<*>" if _FIELD.search(token) else token
 
 
-def template_keys(tokens: list, whole: bool) -> list:
-    """Hashes of the templates that a record stands for; the low two bits name the kind:
-    1 long, 2 short, 3 with a variable third."""
-    n = len(tokens)
-    if n < MIN_TOKENS:
-        return []
-    masked = [_mask(t) for t in tokens] if _FIELD.search(" ".join(tokens)) else tokens
-    # a record of variable fields alone says nothing
-    if sum(t != "<*>" for t in masked) < MIN_TOKENS // 2:
-        return []
-    leaf = f"{n} "
-    kind = 1 if n >= LONG_TOKENS else 2
-    keys = [(xxhash.xxh64_intdigest(leaf + " ".join(masked)) & ~3) | kind]
-    if whole and n >= TEMPLATE_TOKENS:
-        step = -(-(n - LEADING) // 3)
-        for k in range(3):
-            a = LEADING + k * step
-            b = min(n, a + step)
-            if b > a:
-                rest = " ".join(masked[:a]) + f" <{b - a}*> " + " ".join(masked[b:])
-                keys.append((xxhash.xxh64_intdigest(f"{leaf}{k} {rest}") & ~3) | 3)
-    return keys
-
-
-def document_keys(text: str) -> list:
-    """Per record of a text: start, end, number of tokens, template hashes."""
+def _key(tokens: list, n: int, fixed: bool) -> int:
+    """Hash of a record's template; the low two bits name the kind: 1 long, 2 short, 3 with a
+    variable third. 0 for records that are too short or all variable fields."""
+    if n < MIN_TOKENS or not fixed and sum(t != "<*>" for t in tokens) < MIN_TOKENS // 2:
+        return 0
+    return _hash(n, " ".join(tokens))
+
+
+def _hash(n, text):
+    return (xxhash.xxh64_intdigest(f"{n} {text}") & ~3) | (1 if n >= LONG_TOKENS else 2)
+
+
+def _thirds(tokens: list, n: int) -> list:
+    """Hashes of the templates of a line in which one third is a variable field."""
+    step = -(-(n - LEADING) // 3)
     out = []
-    for a, b, whole in records(text):
-        tokens = text[a:b].split()
-        out.append((a, b, len(tokens), template_keys(tokens, whole)))
+    for k in range(3):
+        a = LEADING + k * step
+        b = min(n, a + step)
+        rest = f"{n} {k} {' '.join(tokens[:a])} <{b - a}*> {' '.join(tokens[b:])}"
+        out.append((xxhash.xxh64_intdigest(rest) & ~3) | 3)
     return out
 
 
-def _whole_line_keys(text):
-    """Keys of lines that are cut into sentences, as whole lines: (start, end, tokens, keys)."""
+def parts_of(text: str) -> tuple:
+    """The values of PARTS for one text."""
+    starts, ends, sizes, keys, line_from, line_to, line_keys = [], [], [], [], [], [], []
+    even = not ("  " in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text))
     at = 0
-    for line in text.split("\n"):
-        if _SENTENCE.search(line):
+    for line in text.split("\n") if text else ():
+        if line and not line.isspace():
+            first = len(starts)
+            lo = at
             tokens = line.split()
-            yield at, at + len(line), len(tokens), template_keys(tokens, True)
+            fixed = not _FIELD.search(line)
+            if not fixed:
+                tokens = [_mask(t) for t in tokens]
+            n = len(tokens)
+            cuts = [m.end() for m in _SENTENCE.finditer(line)]
+            if not cuts or n < MIN_TOKENS:
+                starts.append(at)
+                ends.append(at + len(line))
+                sizes.append(n)
+                keys.append(_key(tokens, n, fixed))
+            else:
+                for cut in [*cuts, len(line)]:
+                    if at + cut == lo:
+                        continue
+                    s = line[lo - at:cut]
+                    if even and fixed:
+                        s = s.rstrip(" ")
+                        m = s.count(" ") + 1
+                        keys.append(_hash(m, s) if m >= MIN_TOKENS else 0)
+                    else:
+                        part = s.split() if fixed else [_mask(t) for t in s.split()]
+                        m = len(part)
+                        keys.append(_key(part, m, fixed))
+                    starts.append(lo)
+                    ends.append(at + cut)
+                    sizes.append(m)
+                    lo = at + cut
+            if n >= TEMPLATE_TOKENS or cuts and n >= MIN_TOKENS:
+                whole = _key(tokens, n, fixed)
+                if whole:
+                    line_from.append(first)
+                    line_to.append(len(starts))
+                    line_keys.append(whole if cuts else 0)
+                    line_keys += _thirds(tokens, n) if n >= TEMPLATE_TOKENS else [0, 0, 0]
         at += len(line) + 1
+    return starts, ends, sizes, keys, line_from, line_to, line_keys
+
+
+def add_parts(t: pa.Table) -> pa.Table:
+    rows = [parts_of(x.as_py() or "") for x in t.column("text")]
+    for i, name in enumerate(PARTS):
+        kind = pa.uint64() if "key" in name else pa.int32()
+        t = t.append_column(name, pa.array([r[i] for r in rows], pa.list_(kind)))
+    return t
 
 
 def _bucket_rows(blobs) -> pa.Table:
     t = pa.concat_tables([batches.unpack_rows(b) for b in blobs])
     ids, texts = t.column("doc_id").to_pylist(), t.column("text").to_pylist()
     order = sorted(range(t.num_rows), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or ""))
-    return t.take(pa.array(order, pa.int64()))
+    return t.take(pa.array(order, pa.int64())).combine_chunks()
+
+
+def _flat(t: pa.Table, name) -> tuple:
+    """All values of a list column and the row of each."""
+    c = t.column(name).combine_chunks()
+    sizes = np.diff(c.offsets.to_numpy())
+    return c.flatten().to_numpy(), np.repeat(np.arange(t.num_rows), sizes)
 
 
 def _needed(keys):
@@ -120,103 +152,81 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
     size = batches.text_size(docs)
     buckets = batches.bucket_count(*size)
     shards = max(1, -(-size[1] // 40_000_000))
-    packed = batches.packed(docs, buckets)
+    plain = docs.drop(*[c for c in PARTS if c in docs.columns])
+    packed = batches.packed(plain, buckets, add_parts)
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = [], []
-        for text in _bucket_rows(pdf["rows"]).column("text").to_pylist():
-            if text:
-                mine = {k for r in document_keys(text) for k in r[3]}
-                mine.update(k for r in _whole_line_keys(text) for k in r[3])
-                keys.append(np.fromiter(mine, np.uint64, len(mine)))
-        if not keys:
-            return batches.ask(0, np.zeros(0, np.uint64), None, shards)
-        keys, counts = np.unique(np.concatenate(keys), return_counts=True)
+        t = pa.concat_tables([batches.unpack_rows(b) for b in pdf["rows"]])
+        key, row = (np.concatenate(x) for x in zip(_flat(t, "__key"), _flat(t, "__line_keys")))
+        order = np.lexsort((row, key))
+        key, row = key[order], row[order]
+        once = np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])] if len(key) else np.zeros(0, bool)
+        keys, counts = np.unique(key[once & (key > 0)], return_counts=True)
         return batches.ask(int(pdf["bucket"].iloc[0]), keys, counts, shards)
 
     asked = packed.groupBy("bucket").applyInPandas(count, batches.ASKED)
     answers = batches.totals(asked, LONG_MIN_DOCS)
 
-    names = [f for f in docs.schema.fields if f.name not in RESULT]
+    names = [f for f in plain.schema.fields if f.name not in RESULT]
     schema = StructType(names + [StructField(n, LongType()) for n in RESULT])
-    has_chars = "n_chars" in docs.columns
 
     def rewrite(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
-            return pd.DataFrame(columns=schema.names)
+            return pd.DataFrame()
         keys, totals, first = batches.merged(right, ("totals", np.uint32), ("first", np.uint8))
-        ok = totals >= _needed(keys) if len(keys) else np.zeros(0, bool)
-        # keys that recur; in the lowest bucket the first document keeps its records
-        open_ = dict(zip(keys[ok].tolist(), first[ok].tolist()))
+        ok = totals >= _needed(keys)
+        keys, first = keys[ok], first[ok]
         t = _bucket_rows(left["rows"])
-        texts, n_dropped, n_records, stay = [], [], [], []
-        for text in t.column("text").to_pylist():
-            new, dropped, total, keep = _filtered(text, open_)
-            texts.append(new)
-            n_dropped.append(dropped)
-            n_records.append(total)
-            stay.append(keep)
-        t = t.drop_columns([n for n in RESULT if n in t.column_names])
+        (key, row), (line_key, line_row) = _flat(t, "__key"), _flat(t, "__line_keys")
+        at = batches.find(keys, np.concatenate([key, line_key]))
+        rows = np.concatenate([row, line_row])
+        # where the bucket is the lowest with a template, its first document keeps the records
+        owner = np.full(len(keys), -1)
+        hit = np.flatnonzero(at >= 0)
+        owner[at[hit][::-1]] = rows[hit][::-1]
+        owner[first == 0] = -1
+        gone = (at >= 0) & (owner[at] != rows) if len(keys) else np.zeros(len(at), bool)
+        gone, line_gone = gone[:len(key)], gone[len(key):]
+        parts = [t.column(n).combine_chunks() for n in PARTS]
+        n_records = np.diff(parts[0].offsets.to_numpy())
+        base, line_base = parts[3].offsets.to_numpy(), parts[6].offsets.to_numpy()
+        texts, n_dropped, stay = t.column("text").to_pylist(), np.zeros(t.num_rows, np.int64), np.ones(t.num_rows, bool)
+        for i in np.unique(np.concatenate([row[gone], line_row[line_gone]])):
+            mine = gone[base[i]:base[i + 1]].copy()
+            lines = line_gone[line_base[i]:line_base[i + 1]].reshape(-1, 4).any(axis=1)
+            for a, b in zip(parts[4][i].values.to_numpy()[lines], parts[5][i].values.to_numpy()[lines]):
+                mine[a:b] = True
+            texts[i], n_dropped[i], stay[i] = _without(
+                texts[i], mine, *(p[i].values.to_numpy() for p in parts[:3]))
+        t = t.drop_columns([n for n in (*RESULT, *PARTS) if n in t.column_names])
         t = t.set_column(t.column_names.index("text"), "text", pa.array(texts, t.schema.field("text").type))
-        if has_chars:
+        if "n_chars" in t.column_names:
             i = t.column_names.index("n_chars")
-            old = t.column(i).to_pylist()
-            new = [o if not d else len(x) for o, d, x in zip(old, n_dropped, texts)]
+            new = [o if not d else len(x) for o, d, x in zip(t.column(i).to_pylist(), n_dropped, texts)]
             t = t.set_column(i, "n_chars", pa.array(new, t.schema.field(i).type))
-        t = t.append_column("n_dropped", pa.array(n_dropped, pa.int64()))
-        t = t.append_column("n_records", pa.array(n_records, pa.int64()))
+        t = t.append_column("n_dropped", pa.array(n_dropped))
+        t = t.append_column("n_records", pa.array(n_records.astype(np.int64)))
         return t.filter(pa.array(stay)).select(schema.names)
 
     return batches.cogroup(packed, answers, rewrite, schema)
 
 
-def _filtered(text, open_) -> tuple:
-    """(text without recurring records, records dropped, records, whether to stay). The first
-    document to ask for a key that this bucket may keep takes it."""
-    if not text:
-        return text, 0, 0, True
-    rows = document_keys(text)
-    taken = set()
-
-    def recurring(keys):
-        hit = False
-        for k in keys:
-            f = open_.get(k)
-            if f is not None:
-                if f:
-                    taken.add(k)
-                else:
-                    hit = True
-        return hit
-
-    gone = [recurring(r[3]) for r in rows]
-    for a, b, _, keys in _whole_line_keys(text):
-        if recurring(keys):
-            for i, r in enumerate(rows):
-                if r[0] >= a and r[1] <= b:
-                    gone[i] = True
-    for k in taken:
-        open_[k] = 0
-    if not any(gone):
-        return text, 0, len(rows), True
-    # short records inside a dropped passage
-    i = 0
-    while i < len(rows):
+def _without(text, gone, starts, ends, sizes) -> tuple:
+    """(text without the records that are gone, their number, whether enough is left). Short
+    records inside a dropped passage go with it."""
+    i, n = 0, len(gone)
+    while i < n:
         j = i
-        while j < len(rows) and not gone[j] and rows[j][2] < MIN_TOKENS:
+        while j < n and not gone[j] and sizes[j] < MIN_TOKENS:
             j += 1
-        if j > i and i > 0 and gone[i - 1] and j < len(rows) and gone[j]:
-            for k in range(i, j):
-                gone[k] = True
+        if j > i and i > 0 and gone[i - 1] and j < n and gone[j]:
+            gone[i:j] = True
         i = max(j, i + 1)
-    left = sum(r[2] for r, g in zip(rows, gone) if not g)
-    every = sum(r[2] for r in rows)
-    keep = left * 100 >= every * MIN_LEFT
+    left, every = int(sizes[~gone].sum()), int(sizes.sum())
     out, last = [], 0
-    for r, g in zip(rows, gone):
-        if g:
-            out.append(text[last:r[0]])
-            last = r[1]
+    for k in np.flatnonzero(gone):
+        out.append(text[last:starts[k]])
+        last = ends[k]
     out.append(text[last:])
-    new = re.sub(r"[ ]*\n\s*", "\n", "".join(out)).strip()
-    return new, sum(gone), len(rows), keep and bool(new)
+    new = re.sub(r" *\n\s*", "\n", "".join(out)).strip()
+    return new, int(gone.sum()), left * 100 >= every * MIN_LEFT and bool(new)
