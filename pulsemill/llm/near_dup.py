@@ -10,8 +10,9 @@ exact savings:
   each. For sets that fit into the sketch t follows from the similarity; for larger ones it is
   the expected overlap less SIGMAS standard deviations;
 - a list is cut by set size, since similar sets have similar sizes;
-- members of a list are first compared with one pivot each; only members that are still in different
-  components afterwards are compared with each other.
+- members of a list are first compared with one pivot each, in several turns; only members that are
+  still in different components afterwards are compared with each other. Where a large family of
+  texts is just below the limit with each other, that is still a large share of its pairs.
 
 The similarity of candidate pairs is estimated from the union of their sketches, and pairs that
 are not far below the limit are confirmed on their full sets, from their texts.
@@ -34,7 +35,7 @@ from pulsemill.sources.storage import materialize, scratch_path
 
 WORDS, PERCENT = 5, 75
 SKETCH, ESTIMATE, SIGMAS = 128, 48, 5.0
-BUCKET_CLASSES = 5_000
+BUCKET_CLASSES, TURNS = 5_000, 2
 HASHES_KEPT = 400_000
 
 
@@ -112,7 +113,10 @@ def least_shared(n: int, sketch: int = SKETCH, percent: int = PERCENT) -> int:
     q = percent / 100
     if n <= int(q * sketch):
         return -(-n * percent // 100)
-    return max(1, int(q * sketch - SIGMAS * (sketch * q * (1 - q)) ** 0.5))
+    # the union of two linked sets has at most n / q members, of which the sketch is a part
+    union = max(n / q, sketch + 1)
+    spread = (sketch * q * (1 - q) * (union - sketch) / (union - 1)) ** 0.5
+    return max(1, int(q * sketch - SIGMAS * spread) - 1)
 
 
 def list_entries(t1: DataFrame, rows: int) -> DataFrame:
@@ -159,31 +163,40 @@ def list_entries(t1: DataFrame, rows: int) -> DataFrame:
 def _bands(entries: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Each entry in two overlapping size bands; sizes that may be linked share one."""
     b = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100)) + 1e-9).cast("long")
-    return entries.withColumn("band", F.explode(F.array(b, b - 1)))
+    return entries.withColumn("own", b).withColumn("band", F.explode(F.array(b, b - 1)))
 
 
 def _sized(a="n", b="m"):
     return (F.col(a) * 100 >= F.col(b) * PERCENT) & (F.col(b) * 100 >= F.col(a) * PERCENT)
 
 
-def _stars(entries: DataFrame) -> DataFrame:
-    """Each member of a list with the list's pivot."""
-    order = F.xxhash64("node")
-    pivots = entries.groupBy("value", "band").agg(
-        F.min(F.struct(order.alias("h"), F.col("node").alias("p"), F.col("n").alias("m"))).alias("x"),
-        F.count(F.lit(1)).alias("k")).where("k > 1").select("value", "band", "x.p", "x.m")
-    pairs = entries.join(pivots, ["value", "band"]).where(F.col("node") != F.col("p")).where(_sized())
-    return pairs.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-
-
-def _apart(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of a list whose members are not yet in one component."""
+def _mixed(entries: DataFrame, labels) -> DataFrame:
+    """The entries of lists whose members are not all in one component, with their labels."""
+    if labels is None:
+        return entries.withColumn("label", F.col("node"))
     own = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = (own.groupBy("value", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
              .where("lo <> hi").select("value", "band"))
-    own = own.join(mixed, ["value", "band"], "left_semi")
-    other = own.select("value", "band", F.col("node").alias("p"), F.col("n").alias("m"), F.col("label").alias("other"))
-    pairs = own.join(other, ["value", "band"]).where((F.col("node") < F.col("p")) & (F.col("label") != F.col("other")))
+    return own.join(mixed, ["value", "band"], "left_semi")
+
+
+def _stars(entries: DataFrame, turn: int) -> DataFrame:
+    """Each member of a list with the list's pivot of this turn, where they are still apart."""
+    order = F.xxhash64(F.col("node"), F.lit(turn))
+    pivots = entries.groupBy("value", "band").agg(F.min(F.struct(
+        order.alias("h"), F.col("node").alias("p"), F.col("n").alias("m"), F.col("label").alias("other"))).alias("x"),
+        F.count(F.lit(1)).alias("k")).where("k > 1").select("value", "band", "x.p", "x.m", "x.other")
+    pairs = entries.join(pivots, ["value", "band"]).where(F.col("label") != F.col("other")).where(_sized())
+    return pairs.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+
+
+def _apart(own: DataFrame) -> DataFrame:
+    """Pairs of a list whose members are not in one component after all turns."""
+    other = own.select("value", "band", F.col("node").alias("p"), F.col("n").alias("m"), F.col("label").alias("other"),
+                       F.col("own").alias("theirs"))
+    # members of one band meet in two bands; the upper one is theirs
+    pairs = own.join(other, ["value", "band"]).where(
+        (F.col("node") < F.col("p")) & (F.col("label") != F.col("other")) & (F.col("band") == F.least("own", "theirs")))
     return pairs.where(_sized()).select(F.col("node").alias("a"), F.col("p").alias("b")).distinct()
 
 
@@ -277,11 +290,15 @@ def link(docs: DataFrame) -> DataFrame:
         texts = batches.stored(candidate_texts(docs, reps), "texts")
         heads = materialize(t1.where("sketch is not null").join(nodes, "node", "left_semi").dropDuplicates(["node"]).select(
             "node", F.col("n_shingles").alias("n"), F.expr(f"substring(sketch, 1, {8 * ESTIMATE})").alias("head")))
-        links = materialize(confirm(_stars(entries), heads, texts))
+        links = None
+        for turn in range(TURNS):
+            entries = batches.stored(_mixed(entries, labels), "entries").select("value", "band", "own", "node", "n", "label")
+            found = materialize(confirm(_stars(entries, turn), heads, texts))
+            links = found if links is None else links.unionByName(found)
+            labels = components(links)
+            entries = entries.drop("label")
+        links = links.unionByName(materialize(confirm(_apart(_mixed(entries, labels)), heads, texts)))
         labels = components(links)
-        more = materialize(confirm(_apart(entries, labels), heads, texts))
-        if more.limit(1).count():
-            labels = components(links.unionByName(more))
     ids = firsts
     if labels is not None:
         named = firsts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
