@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from pulsemill.llm.worker import forget, kept
 from pulsemill.sources.storage import materialize
 
 WINDOW, BLOCK_WORDS = 10, 200_000
@@ -162,19 +163,19 @@ class Automaton:
 
 
 _NONE = frozenset()
-_LOADED = {}
 
 
 def _load(shared):
     """The broadcast automaton, unpickled once per worker."""
     data = shared.value
-    key = hashlib.sha256(data).digest()
-    if key not in _LOADED:
-        _LOADED.clear()
+
+    def load():
+        forget("automaton ")
         made = Automaton.__new__(Automaton)
         vars(made).update(pickle.loads(data))
-        _LOADED[key] = made
-    return _LOADED[key]
+        return made
+
+    return kept(f"automaton {hashlib.sha256(data).hexdigest()}", load)
 
 
 def automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS):

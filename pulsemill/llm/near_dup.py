@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pulsemill.llm import batches
 from pulsemill.llm.components import components
+from pulsemill.llm.worker import kept
 from pulsemill.sources.storage import materialize, scratch_path
 
 WORDS, PERCENT = 5, 75
@@ -48,7 +49,6 @@ class _Hashes(dict):
         return h
 
 
-_WORD_HASHES = _Hashes()
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,9 +58,10 @@ def shingle_sets(texts) -> list:
     A-Z are lower-cased; words are runs without ASCII white space; a shingle is 5 words, or all
     words of a shorter text.
     """
+    hashes = kept("word hashes", _Hashes)
     words = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
     sizes = [len(w) for w in words]
-    flat = np.fromiter((h for w in words for h in map(_WORD_HASHES.__getitem__, w)), np.uint64, sum(sizes))
+    flat = np.fromiter((h for w in words for h in map(hashes.__getitem__, w)), np.uint64, sum(sizes))
     n = len(flat) - WORDS + 1
     rolled = np.zeros(max(n, 0), np.uint64)
     for j in range(WORDS if n > 0 else 0):

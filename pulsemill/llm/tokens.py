@@ -10,9 +10,10 @@ import re
 
 import numpy as np
 
+from pulsemill.llm.worker import kept
+
 TOKENIZER = "byte_bpe_50k.json"
 PIECES_KEPT = 1_000_000
-_WORKER = {}
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -89,6 +90,4 @@ _CUT = re.compile(r"(?<=\S)(?= )")
 
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and tokenizer file."""
-    if path not in _WORKER:
-        _WORKER[path] = Encoder(path)
-    return _WORKER[path]
+    return kept(f"encoder {path}", lambda: Encoder(path))
