@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from pulsemill.llm.tokens import encoder
+from pulsemill.llm.tokens import encoded, encoder
 
 TIERS, END_ID = (2048, 1024, 512, 256), 1
 BLOCK_TOKENS, STEP_TOKENS = 4_000_000, 65_536
@@ -163,8 +163,8 @@ def pack(docs: DataFrame, tokenizer: str, tiers=TIERS, end_id: int = END_ID,
                                               names=[f.split()[0] for f in SCHEMA.split(", ")])
 
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                ids = enc.encode(text.as_py() or "") + end
+            for doc_id, data in encoded(enc, b):
+                ids = data + end
                 held.append((doc_id, ids))
                 tokens += len(ids) // 4
                 if tokens >= block_tokens:

@@ -24,7 +24,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from pulsemill.llm.tokens import encoder
+from pulsemill.llm.tokens import encoded, encoder
 
 INDEX_MAGIC, TABLE_MAGIC, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 FRAME_IDS, END_ID = 1 << 20, 0
@@ -135,12 +135,12 @@ def write_token_files(docs: DataFrame, root: str, tokenizer: str, end_id: int =
         out = writer = None
         tokens = 0
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
+            for doc_id, data in encoded(enc, b):
                 if writer is None:
                     where.create_dir(base, recursive=True)
                     out = where.open_output_stream(f"{base}/{name}", compression=None)
                     writer = FileWriter(out, width)
-                ids = np.concatenate([np.frombuffer(enc.encode(text.as_py() or ""), "<u4"), end])
+                ids = np.concatenate([np.frombuffer(data, "<u4"), end])
                 writer.add(doc_id, ids)
                 tokens += len(ids)
         if writer is not None:

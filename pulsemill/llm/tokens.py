@@ -33,12 +33,40 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.newline = self.plain("\n")
+        vocab = self.tokenizer.get_vocab()
+        self.blank = np.zeros(max(vocab.values()) + 1, bool)
+        # the byte-level alphabet writes the blank as this letter
+        self.blank[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
         self.after_blank, self.bare = _Pieces(self, " "), _Pieces(self, "")
 
     def plain(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
+    def prime(self, texts) -> None:
+        """Encode the words of some texts that are new, many in one call: after a blank a word of
+        letters alone begins with the only token that has a blank."""
+        known, new = self.after_blank, set()
+        for t in texts:
+            if t:
+                for p in set(t.split(" ")):
+                    if p not in known:
+                        if p[-1:] in (".", ","):
+                            p = p[:-1]
+                        if p.isalpha() and len(p) <= 60:
+                            new.add(p)
+        new = [p for p in new if p not in known]
+        if len(known) + len(new) > PIECES_KEPT:
+            known.clear()
+        for lo in range(0, len(new), 2000):
+            part = new[lo:lo + 2000]
+            ids = self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids
+            ids = np.array(ids, "<u4")
+            at = np.flatnonzero(self.blank[ids]) * 4
+            if len(at) == len(part):
+                raw, edges = ids.tobytes(), [*at.tolist(), 4 * len(ids)]
+                known.update(zip(part, [raw[a:b] for a, b in zip(edges, edges[1:])]))
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
@@ -91,3 +119,13 @@ _CUT = re.compile(r"(?<=\S)(?= )")
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and tokenizer file."""
     return kept(f"encoder {path}", lambda: Encoder(path))
+
+
+def encoded(enc: Encoder, batch):
+    """(doc_id, ids) of every row of an Arrow batch with doc_id and text."""
+    for lo in range(0, batch.num_rows, 200):
+        part = batch.slice(lo, 200)
+        texts = part.column("text").to_pylist()
+        enc.prime(texts)
+        for doc_id, text in zip(part.column("doc_id").to_pylist(), texts):
+            yield doc_id, enc.encode(text or "")
