@@ -73,7 +73,7 @@ class FileReader:
     """Random access to the documents of one file (anything with size, seek and read)."""
 
     def __init__(self, source):
-        self.source = source
+        self.source, self.zstd = source, zstandard.ZstdDecompressor()
         size = source.size()
         n, flags, magic = struct.unpack("<IBI", self._at(size - 9, 9))
         if magic != SEEKABLE or flags != 0x80:
@@ -93,13 +93,15 @@ class FileReader:
         self.source.seek(offset)
         return self.source.read(n)
 
-    def ids(self, i: int) -> np.ndarray:
-        """Ids of the i-th document as uint32."""
+    def ids(self, i: int, data: bytes = None, start: int = 0) -> np.ndarray:
+        """Ids of the i-th document as uint32, from the file or from its part `data` at `start`."""
         a, b = int(self.first[i]), int(self.first[i + 1])
-        data = self._at(int(self.offsets[a]), int(self.offsets[b] - self.offsets[a]))
-        out, at = [], 0
+        if data is None:
+            start = int(self.offsets[a])
+            data = self._at(start, int(self.offsets[b]) - start)
+        out, at = [], int(self.offsets[a]) - start
         for f in range(a, b):
-            raw = zstandard.ZstdDecompressor().decompress(
+            raw = self.zstd.decompress(
                 data[at:at + int(self.sizes[f])], max_output_size=int(self.raw[f]) + 1)
             at += int(self.sizes[f])
             if xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF != self.sums[f]:
@@ -107,6 +109,12 @@ class FileReader:
             out.append(np.frombuffer(raw, "<u2" if self.width == 2 else "<u4"))
         return np.concatenate(out).astype("<u4")
 
+    def span(self, lo: int, hi: int) -> list:
+        """Ids of the documents lo to hi - 1, with one read."""
+        start, end = (int(self.offsets[self.first[i]]) for i in (lo, hi))
+        data = self._at(start, end - start)
+        return [self.ids(i, data, start) for i in range(lo, hi)]
+
     def find(self, doc_id) -> list:
         """Ids of every document with this doc_id; only their frames are read."""
         lo, hi = (np.searchsorted(self.doc_ids[self.known], doc_id, s) for s in ("left", "right"))
@@ -172,7 +180,7 @@ def read_token_files(spark: SparkSession, root: str, with_ids: bool = False) ->
                     step = max(1, int(2_000_000 / max(1, r.lengths.mean()))) if len(r.lengths) else 1
                     for lo in range(0, len(r.lengths), step):
                         part = range(lo, min(lo + step, len(r.lengths)))
-                        ids = [r.ids(i) for i in part]
+                        ids = r.span(lo, part.stop)
                         cols = {
                             "doc_id": pa.array(r.doc_ids[lo:part.stop], pa.int64(), mask=~r.known[lo:part.stop]),
                             "start": pa.array(starts[lo:part.stop], pa.int64()),
