@@ -52,7 +52,7 @@ def inspect_record_files(paths: DataFrame) -> DataFrame:
                             first = f.read_row_group(0, columns=["fs"]).column("fs")[0].as_py()
                             row["file_fs"] = None if first is None else float(first)
                 except Exception as e:
-                    row["read_error"] = str(e)[:200] or type(e).__name__
+                    row["read_error"] = str(e) or type(e).__name__
                 rows.append(row)
             yield pd.DataFrame(rows, columns=["parquet", "file_exists", "read_error",
                                               "columns", "file_fs"])
