@@ -11,8 +11,10 @@ exact savings:
   the expected overlap less SIGMAS standard deviations;
 - a list is cut by set size, since similar sets have similar sizes;
 - members of a list are first compared with one pivot each, in several turns; only members that are
-  still in different components afterwards are compared with each other. Where a large family of
-  texts is just below the limit with each other, that is still a large share of its pairs.
+  still in different components afterwards are compared with each other, each pair in one list.
+  Short lists give pairs; long ones are cut into parts of bounded size, and every two parts meet
+  in a task that counts the overlaps of full sets and returns links alone. Where a large family
+  of texts is just below the limit with each other, that is still a large share of its pairs.
 
 The similarity of candidate pairs is estimated from the union of their sketches, and pairs that
 are not far below the limit are confirmed on their full sets, from their texts.
@@ -22,12 +24,15 @@ are kept. Rows with the same doc_id are separate texts of one document id. Repea
 one class. Extra columns are not read.
 """
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from pulsemill.llm import batches
 from pulsemill.llm.components import components
@@ -37,6 +42,7 @@ from pulsemill.sources.storage import materialize, scratch_path
 WORDS, PERCENT = 5, 75
 SKETCH, ESTIMATE, SIGMAS = 128, 48, 5.0
 BUCKET_CLASSES, TURNS = 5_000, 2
+FIRST, SHORT, PART, COLUMNS = 4, 50, 100_000, 2_048
 HASHES_KEPT = 400_000
 
 
@@ -191,14 +197,103 @@ def _stars(entries: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
 
 
+def _homes(own: DataFrame) -> DataFrame:
+    """Add the size of each list and the FIRST longest lists of each member.
+
+    Lists stand in one order, longest first. A pair is looked at in the earliest list that is
+    among the first of both, its home; a pair without one, which is rare, in every list that
+    both are in.
+    """
+    sizes = own.groupBy("value", "band").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"))
+    mine = Window.partitionBy("node", "band")
+    ranked = own.join(sizes, ["value", "band"]).withColumn(
+        "rank", F.row_number().over(mine.orderBy(F.desc("k"), "value")))
+    return ranked.withColumns({
+        f"f{i}": F.max(F.when(F.col("rank") == i + 1, F.col("value"))).over(mine) for i in range(FIRST)})
+
+
 def _apart(own: DataFrame) -> DataFrame:
-    """Pairs of a list whose members are not in one component after all turns."""
+    """Pairs of short lists, and pairs without a home, whose members are not in one component."""
     other = own.select("value", "band", F.col("node").alias("p"), F.col("n").alias("m"), F.col("label").alias("other"),
-                       F.col("own").alias("theirs"))
+                       F.col("own").alias("theirs"), F.col("rank").alias("rank_p"),
+                       *[F.col(f"f{i}").alias(f"g{i}") for i in range(FIRST)])
+
+    def meet(also=lambda i: F.lit(True)):
+        return F.coalesce(reduce(or_, [(F.col(f"f{i}") == F.col(f"g{j}")) & also(i)
+                                       for i in range(FIRST) for j in range(FIRST)]), F.lit(False))
+
+    home = ((F.col("k") <= SHORT) & (F.col("rank") <= FIRST) & (F.col("rank_p") <= FIRST)
+            & ~meet(lambda i: F.col("rank") > i + 1))
     # members of one band meet in two bands; the upper one is theirs
     pairs = own.join(other, ["value", "band"]).where(
-        (F.col("node") < F.col("p")) & (F.col("label") != F.col("other")) & (F.col("band") == F.least("own", "theirs")))
-    return pairs.where(_sized()).select(F.col("node").alias("a"), F.col("p").alias("b")).distinct()
+        (F.col("node") < F.col("p")) & (F.col("label") != F.col("other")) & (F.col("band") == F.least("own", "theirs"))
+        & _sized() & (home | ~meet()))
+    return pairs.select(F.col("node").alias("a"), F.col("p").alias("b")).distinct()
+
+
+def _common(sets: list, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets in `rows` with those in `cols`."""
+    every = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, ids, counts = np.unique(every, return_inverse=True, return_counts=True)
+    again = np.flatnonzero(counts > 1)
+    place = np.full(len(counts), -1)
+    place[again] = np.arange(len(again))
+    at = place[ids]
+    owner, at = owner[at >= 0], at[at >= 0]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    out = np.zeros((len(rows), len(cols)), np.float32)
+    for lo in range(0, len(again), COLUMNS):
+        i, j = np.searchsorted(at, [lo, lo + COLUMNS])
+        has = np.zeros((len(sets), min(COLUMNS, len(again) - lo)), np.float32)
+        has[owner[i:j], at[i:j] - lo] = 1
+        out += has[rows] @ has[cols].T
+    return out.astype(np.int64)
+
+
+def _tiled(own: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between members of long lists that are not in one component, from full sets.
+
+    A list is dealt into parts of about PART shingles, and every two parts meet in a task of their
+    own, so a task holds two parts however long the list is; only confirmed links leave it.
+    """
+    parts = F.ceil(F.col("total") / PART).cast("long")
+    long = own.where((F.col("k") > SHORT) & (F.col("rank") <= FIRST)).withColumn(
+        "part", F.pmod(F.xxhash64("node", "value"), parts))
+    dealt = long.join(texts, "node").select(
+        "value", "band", "node", "label", "own", "rank", "part", "packed", *[f"f{i}" for i in range(FIRST)],
+        F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("with"))
+    dealt = dealt.withColumns({"lo": F.least("part", "with"), "hi": F.greatest("part", "with")}).drop("with")
+
+    def meet(t: pa.Table) -> pa.Table:
+        part, lo, hi = (t.column(c).to_numpy() for c in ("part", "lo", "hi"))
+        node, label, band_of = (t.column(c).to_numpy() for c in ("node", "label", "own"))
+        band = t.column("band")[0].as_py()
+        rows, cols = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+        firsts = zip(t.column("rank").to_pylist(), *(t.column(f"f{i}").to_pylist() for i in range(FIRST)))
+        before = [np.array(f[:rank - 1], np.int64) for rank, *f in firsts]
+        ok = label[rows][:, None] != label[cols][None, :]
+        ok &= np.minimum(band_of[rows][:, None], band_of[cols][None, :]) == band
+        if lo[0] == hi[0]:
+            ok &= node[rows][:, None] < node[cols][None, :]
+        if ok.any():
+            ok &= _common(before, rows, cols) == 0
+        a, b = rows[:0], cols[:0]
+        if ok.any():
+            sets = []
+            packed = t.column("packed")
+            for i in range(0, len(packed), 100):
+                sets += shingle_sets([_unzip(x.as_py()) for x in packed[i:i + 100]])
+            sizes = np.array([len(s) for s in sets], np.int64)
+            both = _common(sets, rows, cols)
+            union = sizes[rows][:, None] + sizes[cols][None, :] - both
+            x, y = np.nonzero(ok & (100 * both >= PERCENT * union))
+            a, b = rows[x], cols[y]
+        return pa.table({"a": pa.array(np.minimum(node[a], node[b]), pa.int64()),
+                         "b": pa.array(np.maximum(node[a], node[b]), pa.int64())})
+
+    return dealt.groupBy("value", "band", "lo", "hi").applyInArrow(meet, "a long, b long").distinct()
 
 
 def _alike(a: bytes, b: bytes, n: int, m: int) -> bool:
@@ -298,7 +393,9 @@ def link(docs: DataFrame) -> DataFrame:
             links = found if links is None else links.unionByName(found)
             labels = components(links)
             entries = entries.drop("label")
-        links = links.unionByName(materialize(confirm(_apart(_mixed(entries, labels)), heads, texts)))
+        own = batches.stored(_homes(_mixed(entries, labels)), "entries")
+        links = links.unionByName(materialize(_tiled(own, texts)))
+        links = links.unionByName(materialize(confirm(_apart(own), heads, texts)))
         labels = components(links)
     ids = firsts
     if labels is not None:
