@@ -49,10 +49,10 @@ select subject_id, metric, avg(abs(e)) as mae, sqrt(avg(e * e)) as rmse from err
 
 
 @query("j3_patient_metrics_waveform", with_(("all_points", V.SQL["points"]), QC_POINTS, *PATIENT_SQL, *BEAT_ERR, WAVE_SCALAR, WAVE_LONG,
-       ("long_f", "select * from plong where value is not null"), (DIST[0], DIST[1].replace("plong", "long_f")), *boot_sql("long_f", 300)) + f"""
+       ("long_f", "select * from plong where value is not null"), (DIST[0], DIST[1].replace("plong", "long_f")), *boot_sql("long_f", 2000)) + f"""
 select metric, n_patients, {", ".join(f"round({c}, 6) + 0.0 as {c}" for c in ('mean', 'iqr_low', 'median', 'iqr_high', 'ci_low', 'ci_high'))} from dist join ci using (metric)""")
 def j3(spark, d):
-    out = jobs.patient_metrics_waveform(V.windows(spark, d), 4.0, n_bootstrap=300, reference_qc={"max_range": 95.0})
+    out = jobs.patient_metrics_waveform(V.windows(spark, d), 4.0, reference_qc={"max_range": 95.0})
     return out["summary"].select("metric", "n_patients", *[
         (F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("mean", "iqr_low", "median", "iqr_high", "ci_low", "ci_high")])
 
@@ -62,11 +62,11 @@ select case_key, max(subject_id) as subject_id from (select l_orderkey as case_k
        ("scalar_preds", """
 select coalesce(cast(l.subject_id as varchar), cast(p.case_key as varchar)) as subject_id, p.* exclude (subject_id) from sp0 p left join labels_v l on l.case_key = p.case_key
 where sbp_true - dbp_true between 50 and 65 and dbp_true >= 20 and sbp_true <= 250"""),
-       err_sql("scalar_preds", "subject_id, "), *PATIENT_LONG, DIST, *boot_sql("plong", 30)) + f"""
+       err_sql("scalar_preds", "subject_id, "), *PATIENT_LONG, DIST, *boot_sql("plong", 2000)) + f"""
 select metric, n_patients, {rs('mean', 'iqr_low', 'median', 'iqr_high', 'ci_low', 'ci_high')} from dist join ci using (metric)""")
 def j4(spark, d):
     p = V.scalar_preds(spark, d).drop("subject_id")
-    out = jobs.patient_metrics_scalar(p, case_labels(spark, d), n_bootstrap=30,
+    out = jobs.patient_metrics_scalar(p, case_labels(spark, d),
                                       reference_qc={"min_range": 50.0, "max_range": 65.0})
     return tidy(out["summary"].select("metric", "n_patients", "mean", "iqr_low", "median", "iqr_high", "ci_low", "ci_high"))
 

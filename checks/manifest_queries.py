@@ -523,11 +523,13 @@ def q8(spark, d):
 
 @query("q9_window_funnel", with_("samples", WIN_SQL, ("per", """
 select split, record_id, count(*) as c, count(case when n_bad = 0 and window_index % 5 <> 0 then 1 end) as k, count(case when n_bad > 0 then 1 end) as b,
- count(case when n_bad = 0 and window_index % 5 = 0 then 1 end) as v from win group by split, record_id""")) + """
-select split, count(*) as records, cast(sum(c) as bigint) as candidate_windows, cast(sum(k) as bigint) as kept_windows,
- cast(sum(b) as bigint) as dropped_nonfinite_windows, cast(sum(v) as bigint) as dropped_low_variance_windows from per group by split""")
+ count(case when n_bad = 0 and window_index % 5 = 0 then 1 end) as v from win group by split, record_id"""),
+       ("listed", "select distinct split, record_id from samples")) + """
+select split, count(*) as records, cast(coalesce(sum(c), 0) as bigint) as candidate_windows, cast(coalesce(sum(k), 0) as bigint) as kept_windows,
+ cast(coalesce(sum(b), 0) as bigint) as dropped_nonfinite_windows, cast(coalesce(sum(v), 0) as bigint) as dropped_low_variance_windows
+from listed left join per using (split, record_id) group by split""")
 def q9(spark, d):
-    return window_funnel(sample_windows(spark, d, True), F.col("window_index") % 5 == 0)
+    return window_funnel(sample_windows(spark, d, True), F.col("window_index") % 5 == 0, V.samples(spark, d))
 
 
 # ---------------------------------------------------------------- splits

@@ -60,15 +60,15 @@ def g2(spark, d):
 
 
 @query("g3_join_tau_segments", with_("points", ("w", "select window_id, count(*) as n from points group by window_id"), ("s", """
-select window_id, k, 3 * k as dia_start, 3 * k + 4 as dia_end from (select window_id, n, unnest([1, 2, 3]) as k from w where window_id % 2 = 0 and n >= 14)""")) + """
+select window_id, k, 3 * k as dia_start, 3 * k + 4 as dia_end from (select window_id, n, unnest(range(1, (n - 4) // 3 + 1)) as k from w where n >= 7)""")) + """
 select s.window_id, cast(dia_start as int) as dia_start, cast(dia_end as int) as dia_end from s join points p on p.window_id = s.window_id and p.i >= dia_start and p.i < dia_end
 group by s.window_id, dia_start, dia_end having count(y_true) = count(*)""")
 def g3(spark, d):
     w = V.windows(spark, d).select(
         "window_id", F.col("window_id").cast("string").alias("window_key"),
         F.transform("y_true", lambda v: v.isNotNull()).alias("mask"))
-    s = w.where((F.col("window_id") % 2 == 0) & (F.size("mask") >= 14)).select(
-        "window_key", F.size("mask").alias("target_T"), F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)])).alias("k"))
+    s = w.where(F.size("mask") >= 7).select(
+        "window_key", F.size("mask").alias("target_T"), F.explode(F.expr("sequence(1, (size(mask) - 4) div 3)")).alias("k"))
     s = s.select("window_key", "target_T", (F.col("k") * 3).alias("dia_start"), (F.col("k") * 3 + 4).alias("dia_end"))
     return G.join_tau_segments(w, s).select("window_id", "dia_start", "dia_end")
 
@@ -194,7 +194,7 @@ TABLE_NUMBERS = ", ".join(f"max(case when metric = '{m}_mae_mmHg' then round({c}
                           for m in ("sbp", "dbp", "map") for c, n in (("mean", "mean"), ("ci_low", "low"), ("ci_high", "high")))
 
 
-@query("a9_patient_table", with_("scalar_preds", err_sql("scalar_preds", "subject_id, "), *PATIENT_LONG, DIST, *boot_sql("plong", 200),
+@query("a9_patient_table", with_("scalar_preds", err_sql("scalar_preds", "subject_id, "), *PATIENT_LONG, DIST, *boot_sql("plong", 2000),
        ("both_t", "select * from dist join ci using (metric)"), ("one", f"select {TABLE_NUMBERS}, max(n_patients) as n_patients from both_t"),
        ("pool", f"select {r('avg(e)', 'bias')}, {r('stddev_pop(e)', 'sd')} from err where metric = 'dbp'")) + """
 select 'demo' as method, one.*, pool.bias as dbp_me, pool.sd as dbp_sd, cast(null as double) as mae, '' as mae_text,
@@ -202,7 +202,7 @@ select 'demo' as method, one.*, pool.bias as dbp_me, pool.sd as dbp_sd, cast(nul
 def a9(spark, d):
     long = patient_long(spark, d)
     summary = P.distribution_summary(long).join(
-        P.bootstrap_ci(long, "subject_id", 200, 2025), "metric")
+        P.bootstrap_ci(long, "subject_id", 2000, 2025), "metric")
     row = P.patient_table(summary, P.pooled_scalar_metrics(V.scalar_preds(spark, d)), "demo", "m.json")
     c = lambda n: F.col(f"`{n}`")
     cols = [c(f"{m.upper()} err{s}").alias(f"{m}_{n}") for m in fixed.SCALAR_METRICS

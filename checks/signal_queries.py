@@ -196,11 +196,11 @@ def e10(spark, d):
 
 
 @query("e11_pad_multiple", with_(*BASE) + f"""
-select split, record_id, window_index, cast(j as int) as pos, {r('ppg', 'x')} from wp where j < 14 union all
-select distinct split, record_id, window_index, cast(unnest([14, 15]) as int), 0.0 from wp""")
+select split, record_id, window_index, cast(j as int) as pos, {r('ppg', 'x')} from wp union all
+select distinct split, record_id, window_index, cast(unnest([16, 17, 18, 19]) as int), 0.0 from wp""")
 def e11(spark, d):
     w = sample_windows(spark, d)
-    return long(w.withColumn("x", A.pad_multiple(F.slice("ppg", 1, 14), 4)), "x")
+    return long(w.withColumn("x", A.pad_multiple("ppg", 5)), "x")
 
 
 @query("e12_block_pyramid", with_(*BASE) + " union all ".join(f"""

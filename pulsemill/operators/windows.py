@@ -139,17 +139,21 @@ def fixed_windows(samples: DataFrame, window_sec: float, step_sec: float, cols:
         *[F.col("__data").getField(c).alias(c) for c in cols])
 
 
-def window_funnel(candidates: DataFrame, low_variance=None) -> DataFrame:
+def window_funnel(candidates: DataFrame, low_variance=None, records: DataFrame = None) -> DataFrame:
     """Per split: records, candidates, kept, dropped by reason.
 
     `candidates` come from `fixed_windows(..., keep_all=True)`; `low_variance` is an
-    optional condition that drops finite windows.
+    optional condition that drops finite windows. `records` (split, record_id; samples will
+    do) is the list of all records, so that those too short for a window count as well.
     """
     flat = F.lit(False) if low_variance is None else low_variance
     finite = F.col("n_bad") == 0
     per_record = candidates.groupBy("split", "record_id").agg(
         F.count(F.lit(1)).alias("c"), F.count_if(finite & ~flat).alias("k"),
         F.count_if(~finite).alias("b"), F.count_if(finite & flat).alias("v"))
+    if records is not None:
+        listed = records.select("split", "record_id").distinct()
+        per_record = listed.join(per_record, ["split", "record_id"], "left").fillna(0, ["c", "k", "b", "v"])
     return per_record.groupBy("split").agg(
         F.count(F.lit(1)).alias("records"), F.sum("c").alias("candidate_windows"),
         F.sum("k").alias("kept_windows"), F.sum("b").alias("dropped_nonfinite_windows"),

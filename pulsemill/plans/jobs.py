@@ -118,8 +118,11 @@ def prepare_windows(samples: DataFrame, window_sec: float, step_sec: float, targ
     """Windows ready for a model: cut, resample, normalise, number; plus the funnel.
 
     `normalize`: "none", "minmax" (constants from train and val, applied to all) or "slots"
-    (unit-range pulse and ecg with scaled pressure in a four-slot vector).
+    (unit-range pulse and ecg with scaled pressure in a four-slot vector). A `keep` beyond the
+    target length and a split without a window to keep are errors.
     """
+    if keep is not None and keep > target_length:
+        raise ValueError(f"keep={keep} is more than target_length={target_length}")
     cols = list(cols)
     candidates = fixed_windows(samples, window_sec, step_sec, cols, keep_all=True)
     finite = F.col("n_bad") == 0
@@ -132,7 +135,10 @@ def prepare_windows(samples: DataFrame, window_sec: float, step_sec: float, targ
         flat = F.col("ppg").isNull() | F.col("ecg").isNull()
     # Windows are built by a wide shuffle and used three times: counted, fitted, written.
     made = materialize(made)
-    funnel = window_funnel(made, flat)
+    funnel = materialize(window_funnel(made, flat, samples))
+    bare = [r["split"] for r in funnel.where("kept_windows = 0").select("split").collect()]
+    if bare:
+        raise ValueError(f"no window to keep in split {sorted(map(str, bare))}")
     kept = made.where(finite if flat is None else finite & ~flat)
     constants = None
     if normalize == "minmax":

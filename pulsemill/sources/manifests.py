@@ -57,7 +57,9 @@ def inspect_record_files(paths: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["parquet", "file_exists", "read_error",
                                               "columns", "file_fs"])
 
-    seen = paths.select("parquet").mapInPandas(
+    # A small manifest lies in one partition; the files are spread over as many as a shuffle has.
+    spread = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seen = paths.select("parquet").repartition(spread).mapInPandas(
         look, "parquet string, file_exists boolean, read_error string, "
               "columns array<string>, file_fs double")
     return resolve_signals(seen).withColumns({

@@ -1,6 +1,7 @@
 """Predictions, metrics documents and result tables."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 from pulsemill.functions import fixed
 from pulsemill.functions.numeric import finite_or_null, is_finite, parse_finite
@@ -66,10 +67,23 @@ def read_seed_runs(spark: SparkSession, labelled_paths: dict) -> DataFrame:
     return out
 
 
+def _cleaned(c: Column, t: DataType) -> Column:
+    """The value with its fields sorted by name and NULL for numbers that are not finite."""
+    if isinstance(t, (DoubleType, FloatType)):
+        return finite_or_null(c)
+    if isinstance(t, StructType):
+        return F.when(c.isNotNull(), F.struct(*[
+            _cleaned(c.getField(f.name), f.dataType).alias(f.name) for f in sorted(t, key=lambda f: f.name)]))
+    if isinstance(t, ArrayType):
+        return F.transform(c, lambda x: _cleaned(x, t.elementType))
+    if isinstance(t, MapType):
+        return F.transform_values(c, lambda k, v: _cleaned(v, t.valueType))
+    return c
+
+
 def write_metrics_json(df: DataFrame, path: str) -> None:
-    """One JSON document per row: keys sorted, non-finite numbers written as null."""
-    cols = [finite_or_null(c).alias(c) if t in ("double", "float") else F.col(c)
-            for c, t in sorted(df.dtypes)]
+    """One JSON document per row: keys sorted, non-finite numbers written as null, at every depth."""
+    cols = [_cleaned(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in sorted(df.schema, key=lambda f: f.name)]
     (df.select(*cols).write.mode("errorifexists").option("ignoreNullFields", "false").json(path))
 
 
