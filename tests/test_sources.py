@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsemill.functions import features, text as T
-from pulsemill.operators import transit as X
+from pulsemill.operators import transit as X, windows
 from pulsemill.plans import jobs
 from pulsemill.sources import manifests, records, results
+from pulsemill.sources.storage import scratch_path
 
 
 def test_labels(spark):
@@ -118,3 +119,29 @@ def test_one_foot_counts_as_none(spark):
     f = spark.createDataFrame([(1, 0, 50, 100.0, 30), (2, 0, 50, 100.0, 5), (2, 0, 50, 100.0, 30)], "record_id int, seg_start bigint, seg_end bigint, fs double, foot bigint")
     got = {r.record_id: r.drop_reason for r in X.label_r_peaks(r, f).collect()}
     assert got == {1: "no_ppg_foot", 2: "no_next_ppg_foot"}
+
+
+def test_nested_documents_are_cleaned(spark):
+    path = scratch_path(spark, "nested")
+    df = spark.sql("select named_struct('z', double('NaN'), 'a', 1.5D, 'l', array(double('Infinity'), 2D)) as m, 1 as b, "
+                   "cast(null as struct<x: double>) as n")
+    results.write_metrics_json(df, path)
+    assert [r.value for r in spark.read.text(path).collect()] == ['{"b":1,"m":{"a":1.5,"l":[null,2.0],"z":null},"n":null}']
+
+
+def test_funnel_counts_records_without_a_window(spark):
+    rows = [("train", "s", "long", i, 4.0, float(i)) for i in range(8)] + [("train", "s", "brief", 0, 4.0, 1.0)]
+    samples = spark.createDataFrame(rows, "split string, subject_id string, record_id string, i long, fs double, ppg double")
+    made = windows.fixed_windows(samples, 1.0, 1.0, ["ppg"], keep_all=True)
+    r = windows.window_funnel(made, records=samples).collect()
+    assert [(x.records, x.candidate_windows, x.kept_windows) for x in r] == [(2, 2, 2)]
+
+
+def test_preparation_refuses_empty_splits_and_long_keeps(spark):
+    rows = [("train", "s", "a", i, 4.0, float(i), 1.0) for i in range(8)] + [("test", "s", "b", 0, 4.0, 1.0, 1.0)]
+    samples = spark.createDataFrame(
+        rows, "split string, subject_id string, record_id string, i long, fs double, ppg double, abp double")
+    with pytest.raises(ValueError, match="test"):
+        jobs.prepare_windows(samples, 1.0, 1.0, 4)
+    with pytest.raises(ValueError, match="keep"):
+        jobs.prepare_windows(samples, 1.0, 1.0, 4, keep=5)
