@@ -152,6 +152,32 @@ def test_near_dup(docs, empty):
     assert near_dup.link(empty).count() == 0
 
 
+def test_near_dup_of_long_lists(spark, monkeypatch):
+    """A family of texts around the limit, in tiles and in pairs, next to all pairs."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for i in range(90):
+        words = [f"w{k}" for k in range(120)]
+        for at in rng.choice(120, rng.integers(2, 5), replace=False):
+            words[at] = f"x{rng.integers(0, 40)}"
+        texts.append(" ".join(words))
+    sets = [{tuple(t.split()[k:k + 5]) for k in range(116)} for t in texts]
+    least = list(range(90))
+    for _ in range(90):
+        for a in range(90):
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    least[a] = least[b] = min(least[a], least[b])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for short, part in ((1, 1000), (1000, 1000)):
+        monkeypatch.setattr(near_dup, "SHORT", short)
+        monkeypatch.setattr(near_dup, "PART", part)
+        monkeypatch.setattr(near_dup, "TURNS", 1)
+        got = {r.doc_id: r.component_id for r in near_dup.link(docs).collect()}
+        assert got == dict(enumerate(least))
+    assert 1 < len(set(least)) < 90
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 100)], "a long, b long")
     got = {r.node: r.label for r in components.components(links).collect()}
