@@ -13,7 +13,7 @@ import numpy as np
 from pulsemill.llm.worker import kept
 
 TOKENIZER = "byte_bpe_50k.json"
-PIECES_KEPT = 1_000_000
+PIECES_KEPT = 500_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:

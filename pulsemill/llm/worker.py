@@ -8,9 +8,14 @@ import sys
 
 
 def kept(name, make):
-    """The value kept under a name in this process, made on first use."""
+    """The value kept under a name in this process, made on first use.
+
+    A process works for one operator after another: names with another first word are dropped.
+    """
     state = vars(sys).setdefault("_pulsemill_kept", {})
     if name not in state:
+        for other in [n for n in state if n.split()[0] != name.split()[0]]:
+            del state[other]
         state[name] = make()
     return state[name]
 
