@@ -9,7 +9,7 @@ from pulsemill.operators import alignment, errors, patients, quality as Q, split
 from pulsemill.operators.windows import (assign_index, finite_segments, fixed_windows,
                                          slice_windows, window_funnel)
 from pulsemill.sources import manifests, records, results
-from pulsemill.sources.storage import scratch_path
+from pulsemill.sources.storage import materialize, scratch_path
 
 # ---------------------------------------------------------------- shared pieces
 
@@ -98,6 +98,27 @@ def s2(spark, d):
     return records.standardize_records(V.samples(spark, d), V.record_manifest(spark, d))
 
 
+# Three spellings of the columns; record ids repeat between subjects.
+@query("s2_read_records", with_("samples", "record_manifest") + """
+select s.i, s.ecg as "II", s.ppg as "PLETH", s.abp as "ABP", m.fs, cast(m.subject_id as varchar) as subject_id, m.hadm_id,
+ 'r' || (s.record_id % 50) as record_id, m.split, m.source from samples s join record_manifest m using (record_id)""")
+def s2_files(spark, d):
+    root, rows = scratch_path(spark, "record-files"), V.samples(spark, d).withColumn("rec", F.col("record_id"))
+    for k, names in enumerate((("II", "PLETH", "ABP"), ("ii", "PPG", "ART"), ("II", "Pleth", "Art"))):
+        (rows.where(F.col("rec") % 3 == k).repartition("rec").sortWithinPartitions("rec", "i")
+         .select("rec", *[F.col(c).alias(n) for c, n in zip(("ecg", "ppg", "abp"), names)], F.lit("x").alias("note"))
+         .write.partitionBy("rec").parquet(f"{root}/{k}"))
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+             .option("pathGlobFilter", "*.parquet").load(root).select(F.col("path").alias("parquet")))
+    seen = manifests.inspect_record_files(files).where("qualified").select(
+        "parquet", "ecg_col", "ppg_col", "abp_col",
+        F.regexp_extract("parquet", "rec=([0-9]+)", 1).cast("bigint").alias("rec"))
+    listed = V.record_manifest(spark, d).drop("parquet").withColumnRenamed("record_id", "rec").join(seen, "rec")
+    listed = listed.withColumns({"record_id": F.concat(F.lit("r"), (F.col("rec") % 50).cast("string")),
+                                 "subject_id": F.col("subject_id").cast("string")})
+    return records.read_records(spark, materialize(listed)).drop("parquet", "timestamp")
+
+
 @query("s3_inspect_record_files")
 def s3(spark, d):
     path = scratch_path(spark, "records")
@@ -199,15 +220,25 @@ def s6(spark, d):
 
 @query("s7_export_method_view", with_("samples", "record_manifest") + """
 select cast(row_number() over (order by source_row_index) - 1 as bigint) as export_index,
- 'unicardio' as baseline_key, split, source, record_id, hadm_id, fs, num_rows,
- '["PLETH","II"]' as input_columns, 'ABP' as target_column, parquet as source_parquet
-from record_manifest join (select record_id, count(*) as num_rows from samples group by record_id) using (record_id)""")
+ 'unicardio' as baseline_key, split, source, m.subject_id, m.record_id, hadm_id, fs, num_rows,
+ '["PLETH","II"]' as input_columns, 'ABP' as target_column, parquet as source_parquet, 'split=' || split as exported_parquet,
+ 'records' as source_manifest, source_row_index
+from record_manifest m join (select record_id, count(*) as num_rows from samples group by record_id) using (record_id)""")
 def s7(spark, d):
+    return exported(spark, d).withColumn("exported_parquet", F.element_at(F.split("exported_parquet", "/"), -1))
+
+
+def exported(spark, d):
     m = V.record_manifest(spark, d)
     rows = records.standardize_records(V.samples(spark, d), m)
-    out = records.export_method_view(rows, m, "unicardio", scratch_path(spark, "export"))
-    return out.select("export_index", "baseline_key", "split", "source", "record_id", "hadm_id",
-                      "fs", "num_rows", "input_columns", "target_column", "source_parquet")
+    return records.export_method_view(rows, m, "unicardio", scratch_path(spark, "export"))
+
+
+@query("s7_read_export", with_("samples", "record_manifest") + """
+select s.i, s.ecg as "II", s.ppg as "PLETH", s.abp as "ABP", s.fs, s.subject_id, m.hadm_id, s.record_id, m.split, m.source
+from samples s join record_manifest m using (record_id) where m.split <> 'val'""")
+def s7_read(spark, d):
+    return records.read_export(spark, exported(spark, d).where("split <> 'val'"))
 
 
 @query("s8_append_table", with_("scalar_preds", err_sql("scalar_preds"), ("s", summary_sql("err", ["metric"]))) + """

@@ -176,11 +176,20 @@ def a7(spark, d):
     return tidy(P.distribution_summary(patient_long(spark, d)))
 
 
+def fifth_sql(x):
+    m = P.DRAW_PRIME
+    return f"(({x} * {x} % {m}) * ({x} * {x} % {m}) % {m}) * {x} % {m}"
+
+
 def boot_sql(src, b, seed=2025):
     return [("ranked", f"select metric, value, row_number() over (partition by metric order by md5(cast(subject_id as varchar))) - 1 as j, count(*) over (partition by metric) as n from {src}"),
+            ("reps", f"select b, {fifth_sql('u')} as u from (select b, (b * 48271 + {seed % P.DRAW_PRIME}) % {P.DRAW_PRIME} as u from (select unnest(range({b})) as b))"),
             ("draws", f"""
-select metric, b, cast('0x' || substr(md5('{seed}|' || b || '|' || j), 1, 15) as bigint) % n as pick from (select metric, j, n, unnest(range({b})) as b from ranked)"""),
-            ("means", "select d.metric, d.b, avg(r.value) as m from draws d join ranked r on r.metric = d.metric and r.j = d.pick group by d.metric, d.b"),
+select n, b, (x * {P.DRAW_PRIME} + {fifth_sql('y')}) % n as pick from (
+ select *, (x + u * 40692 + j // {P.DRAW_PRIME}) % {P.DRAW_PRIME} as y from (
+  select n, b, j, u, {fifth_sql('x')} as x from (
+   select n, b, j, u, (u + j % {P.DRAW_PRIME} * 69621) % {P.DRAW_PRIME} as x from (select distinct n, j from ranked), reps)))"""),
+            ("means", "select r.metric, d.b, avg(r.value) as m from draws d join ranked r on r.n = d.n and r.j = d.pick group by r.metric, d.b"),
             ("ci", "select metric, quantile_cont(m, 0.025) as ci_low, quantile_cont(m, 0.975) as ci_high from means group by metric")]
 
 

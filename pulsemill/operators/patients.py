@@ -1,8 +1,9 @@
 """Per-patient metrics, summaries over patients, bootstrap intervals, result tables."""
 
 from functools import reduce
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pulsemill.functions import fixed
 from pulsemill.functions.numeric import finite_or_null, guarded_corr, is_finite
@@ -14,6 +15,7 @@ from pulsemill.operators.quantiles import exact_quantiles
 from pulsemill.sources.storage import materialize
 
 BROADCAST_ROWS = 500_000
+DRAW_PRIME = 2_147_483_647
 
 
 def patient_waveform_metrics(points: DataFrame, shifts: DataFrame = None, by="subject_id",
@@ -36,8 +38,8 @@ def patient_waveform_metrics(points: DataFrame, shifts: DataFrame = None, by="su
                                "min_rmse": F.lit(None).cast("double")})
     else:
         both = is_finite("min_mae") & is_finite("min_rmse")
-        mean = shifts.where(both).groupBy(by).agg(F.avg("min_mae").alias("min_mae"),
-                                                  F.avg("min_rmse").alias("min_rmse"))
+        mean = shifts.groupBy(by).agg(F.avg(F.when(both, F.col("min_mae"))).alias("min_mae"),
+                                      F.avg(F.when(both, F.col("min_rmse"))).alias("min_rmse"))
         out = out.join(mean, by, "left")
     return _patient_columns(out, by)
 
@@ -107,10 +109,30 @@ def distribution_summary(long: DataFrame, metrics: list = None, max_rows: int =
         "n_patients", F.coalesce("n_patients", F.lit(0).cast("bigint")))
 
 
-def _draw(seed: int, b: Column, j: Column) -> Column:
-    """Uniform integer in [0, 2^60) that depends only on (seed, replicate, position)."""
-    text = F.concat_ws("|", F.lit(str(seed)), b.cast("string"), j.cast("string"))
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+def _fifth(c: str) -> Column:
+    """Fifth power modulo DRAW_PRIME: it maps residues one to one, and no product reaches 2^63."""
+    square = F.col(c) * F.col(c) % DRAW_PRIME
+    return square * square % DRAW_PRIME * F.col(c) % DRAW_PRIME
+
+
+def _draws(places: DataFrame, n_bootstrap: int, seed: int) -> DataFrame:
+    """(n, b, pick): for every place j of n and every replicate b a whole number below n.
+
+    It depends only on (seed, b, j): three rounds of fifth powers modulo a prime, two of which
+    give the digits of a number below 2^62.
+    """
+    p = F.lit(DRAW_PRIME)
+    steps = places.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))))
+    steps = steps.withColumn("u", (F.col("b").cast("bigint") * 48271 + seed % DRAW_PRIME) % p)
+    steps = steps.withColumn("u", _fifth("u"))
+    steps = steps.withColumn("x", (F.col("u") + F.col("j") % p * 69621) % p)
+    steps = steps.withColumn("x", _fifth("x"))
+    steps = steps.withColumn("y", (F.col("x") + F.col("u") * 40692 + F.expr(f"j div {DRAW_PRIME}")) % p)
+    made = steps.withColumn("y", _fifth("y")).select(
+        "n", "b", ((F.col("x") * p + F.col("y")) % F.col("n")).alias("pick"))
+    # As many partitions as before: this only ends the generated loop here. Together with the join
+    # after it, it would be too long for the JVM to compile, and many times slower.
+    return made.coalesce(places.sparkSession.sparkContext.defaultParallelism)
 
 
 def bootstrap_ci(long: DataFrame, key: str, n_bootstrap: int = fixed.BOOTSTRAP_SAMPLES,
@@ -118,10 +140,10 @@ def bootstrap_ci(long: DataFrame, key: str, n_bootstrap: int = fixed.BOOTSTRAP_S
     """Per metric: 2.5th and 97.5th percentile of the mean over resampled patients.
 
     Patients are numbered 0..n-1 in the order of their key's md5. Replicate b takes n of them: draw j is a
-    hash of (seed, b, j) modulo n, so a lost task reproduces its draws. Metrics with the
-    same n share their draws. Drawn numbers look their values up by an equi-join, which is
-    broadcast only when the counted patients are few. One patient gives its own value, no
-    replicates give the mean.
+    function of (seed, b, j) modulo n, so a lost task reproduces its draws. Metrics with the
+    same n share their draws. Drawn numbers look their values up by an equi-join on (n, number),
+    which is broadcast only when the counted patients are few. One patient gives its own value,
+    no replicates give the mean.
     """
     long = long.where(is_finite("value"))
     hashed = long.withColumn("__h", F.md5(F.col(key).cast("string")))
@@ -134,34 +156,33 @@ def bootstrap_ci(long: DataFrame, key: str, n_bootstrap: int = fixed.BOOTSTRAP_S
     if n_bootstrap <= 0 or not sizes:
         return spark.createDataFrame([(r["metric"], r["mean"], r["mean"]) for r in sizes],
                                      "metric string, ci_low double, ci_high double")
-    same_n = {}
-    for r in sizes:
-        same_n.setdefault(r["n"], []).append(r["metric"])
-    parts = [_intervals(ranked, n, sorted(names), n_bootstrap, seed)
-             for n, names in sorted(same_n.items())]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _intervals(ranked: DataFrame, n: int, metrics: list, n_bootstrap: int, seed: int) -> DataFrame:
-    """Intervals of the metrics that have exactly n patients."""
-    spark = ranked.sparkSession
-    cols = [f"v{k}" for k in range(len(metrics))]
-    values = ranked.where(F.col("metric").isin(metrics)).groupBy(F.col("j").alias("pick")).agg(
-        *[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(c)
-          for m, c in zip(metrics, cols)])
-    if n <= BROADCAST_ROWS:
+    n_of = {r["metric"]: r["n"] for r in sizes}
+    cols = {m: f"v{k}" for k, m in enumerate(sorted(n_of))}
+    n_col = F.create_map(*[F.lit(x) for m, n in n_of.items() for x in (m, n)])[F.col("metric")]
+    values = ranked.groupBy(n_col.alias("n"), F.col("j").alias("pick")).agg(
+        *[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(c) for m, c in cols.items()])
+    counts = sorted(set(n_of.values()))
+    if sum(counts) <= BROADCAST_ROWS:
         values = F.broadcast(values)
-    draws = (spark.range(0, n, 1, spark.sparkContext.defaultParallelism)
-             .select(F.col("id").alias("j"),
-                     F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))).alias("b"))
-             .select("b", F.pmod(_draw(seed, F.col("b"), F.col("j")), F.lit(n)).alias("pick")))
-    means = draws.join(values, "pick").groupBy("b").agg(*[F.avg(c).alias(c) for c in cols])
-    ends = means.agg(*[F.percentile(c, [0.025, 0.975]).alias(c) for c in cols])
+    means = _draws(_places(spark, counts), n_bootstrap, seed).join(values, ["n", "pick"]).groupBy(
+        "n", "b").agg(*[F.avg(c).alias(c) for c in cols.values()])
+    # A metric has means in the replicates of its own n and NULL in the others.
+    ends = means.agg(*[F.percentile(c, [0.025, 0.975]).alias(c) for c in cols.values()])
     rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.get(c, F.lit(0)).alias("ci_low"),
-                              F.get(c, F.lit(1)).alias("ci_high")) for m, c in zip(metrics, cols)])
+                              F.get(c, F.lit(1)).alias("ci_high")) for m, c in cols.items()])
     return ends.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def _places(spark: SparkSession, counts: list) -> DataFrame:
+    """(n, j) for every distinct number of patients n and every j below it, from one range."""
+    stops, last = list(accumulate(counts)), len(counts) - 1
+    which = lambda column: reduce(lambda rest, k: F.when(F.col("id") < stops[k], column(k)).otherwise(rest),
+                                  reversed(range(last)), column(last))
+    return (spark.range(0, stops[-1], 1, spark.sparkContext.defaultParallelism)
+            .select(which(lambda k: F.lit(counts[k]).cast("bigint")).alias("n"),
+                    which(lambda k: F.col("id") - (stops[k] - counts[k])).alias("j")))
+
+
 def patient_table(summary: DataFrame, pooled: DataFrame, method: str, metrics_json: str,
                   n_patients: DataFrame = None) -> DataFrame:
     """One wide row per run.

@@ -1,53 +1,107 @@
 """Signal records: canonical columns, exports, window storage."""
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pulsemill.functions import fixed
-from pulsemill.functions.text import safe_token
 from pulsemill.operators.indexing import dense_index
 from pulsemill.sources.manifests import method_columns
 
 
+META_FILLS = ["fs", "subject_id", "hadm_id"]
+
+
+def read_records(spark: SparkSession, manifest: DataFrame) -> DataFrame:
+    """Samples of every record file of a unified manifest, standardised, with `i` and `parquet`.
+
+    Each file gives its own `ecg_col`, `ppg_col` and `abp_col` and the optional timestamp, fs,
+    subject_id and hadm_id; no other column is read. `i` is the row's place in its file. Files of
+    the same column names are read together; their paths pass through the driver, as those of any
+    scan do. The path is the identity of a record, so record ids may repeat between subjects.
+    """
+    signals = ["ecg_col", "ppg_col", "abp_col"]
+    listed = manifest.where(F.col("parquet").isNotNull()).groupBy(*signals).agg(
+        F.collect_set("parquet").alias("paths")).orderBy(*signals).collect()
+    parts = []
+    for r in listed:
+        raw = spark.read.option("mergeSchema", True).parquet(*r["paths"])
+        found = {c.lower(): c for c in raw.columns}
+        meta = {c: "double" if c == "fs" else "string" for c in META_FILLS}
+        parts.append(raw.select(
+            _bare_path("_metadata.file_path").alias("parquet"), F.col("_metadata.row_index").alias("i"),
+            *[F.col(f"`{r[c]}`").cast("double").alias(n) for c, n in zip(signals, ("ecg", "ppg", "abp"))],
+            *[F.col(f"`{found['timestamp']}`").cast("string").alias("timestamp") if "timestamp" in found
+              else F.lit(None).cast("string").alias("timestamp")],
+            *[(F.col(f"`{found[c]}`") if c in found else F.lit(None)).cast(t).alias(c)
+              for c, t in meta.items()]))
+    if not parts:
+        raise ValueError("the manifest lists no record file")
+    return standardize_records(reduce(DataFrame.unionByName, parts),
+                               manifest.withColumn("parquet", _bare_path("parquet")))
+
+
+def _bare_path(c: str) -> Column:
+    """A path without its scheme and host; a manifest may leave them out."""
+    return F.regexp_replace(F.col(c), "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+
+
+def record_key(samples: DataFrame, manifest: DataFrame) -> list:
+    """What identifies a record on both sides: the file's path, else subject and record."""
+    both = [c for c in ("parquet", "subject_id", "record_id") if c in samples.columns and c in manifest.columns]
+    return ["parquet"] if "parquet" in both else both
+
+
 def standardize_records(samples: DataFrame, manifest: DataFrame, ecg="ecg", ppg="ppg",
                         abp="abp") -> DataFrame:
     """Canonical II / PLETH / ABP with meta columns filled from the manifest.
 
     A meta column that is absent or entirely NULL within a record takes the manifest
-    value; split and source always come from the manifest. Whether a column is entirely
-    NULL is one aggregated row per record, joined on with the manifest.
+    value; split and source always come from the manifest. Records are told apart by
+    `record_key`; samples without a subject are matched by their record alone. Whether a column
+    is entirely NULL is one aggregated row per record, joined on with the manifest.
     """
-    fills = ["fs", "subject_id", "hadm_id"]
-    have = [c for c in fills if c in samples.columns]
-    known = samples.groupBy("record_id").agg(
-        *[F.count(c).alias(f"__n_{c}") for c in have], F.count(F.lit(1)).alias("__rows"))
+    key = record_key(samples, manifest)
+    have = [c for c in META_FILLS if c in samples.columns]
+    known = samples.groupBy(*[F.col(c).alias(f"__k_{c}") for c in key]).agg(
+        *[F.count(c).alias(f"__n_{c}") for c in have])
     meta = manifest.select(
-        "record_id", F.col("split").alias("__split"), F.col("source").alias("__source"),
+        F.col("record_id").alias("__record_id"), F.col("split").alias("__split"),
+        F.col("source").alias("__source"), *[F.col(c).alias(f"__j_{c}") for c in key],
         *[(F.col(c) if c in manifest.columns else F.lit(None).cast("string")).alias(f"__m_{c}")
-          for c in fills])
-    rows = samples.drop("split", "source").join(meta.join(known, "record_id"), "record_id")
+          for c in META_FILLS])
+    same = [F.col(f"__j_{c}") == F.col(f"__k_{c}") if c != "subject_id"
+            else F.col("__k_subject_id").isNull() | (F.col("__j_subject_id") == F.col("__k_subject_id"))
+            for c in key]
+    per_record = known.join(meta, reduce(Column.__and__, same)).drop(*[f"__j_{c}" for c in key])
+    rows = samples.drop("split", "source").join(per_record, reduce(
+        Column.__and__, [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in key]))
 
     def filled(c):
         if c not in have:
             return F.col(f"__m_{c}").alias(c)
         return F.when(F.col(f"__n_{c}") == 0, F.col(f"__m_{c}")).otherwise(F.col(c)).alias(c)
 
-    time = ["timestamp"] if "timestamp" in samples.columns else []
+    also = [c for c in ("timestamp", "parquet") if c in samples.columns]
     return rows.select("i", F.col(ecg).alias("II"), F.col(ppg).alias("PLETH"),
-                       F.col(abp).alias("ABP"), *time, *[filled(c) for c in fills], "record_id",
+                       F.col(abp).alias("ABP"), *also, *[filled(c) for c in META_FILLS],
+                       F.col("__record_id").alias("record_id"),
                        F.col("__split").alias("split"), F.col("__source").alias("source"))
 
 
 def export_method_view(samples: DataFrame, manifest: DataFrame, method: str, path: str) -> DataFrame:
     """Write a method's view of every record, split by split; return the export manifest.
 
-    `samples` are standardised records with `i`. The manifest has one row per record.
+    `samples` are standardised records with `i`. The manifest has one row per record, told apart
+    by split, subject and record. `exported_parquet` is the folder that holds the record's rows;
+    `read_export` gives them back.
     """
     view = method_columns(samples, method, also=["i"])
     (view.write.mode("errorifexists").partitionBy("split").parquet(path))
     inputs, target, _, _ = fixed.METHOD_POLICIES[method]
-    counts = (samples.sparkSession.read.parquet(path).groupBy("split", "record_id")
-              .agg(F.count(F.lit(1)).alias("num_rows")))
-    rows = counts.join(manifest.drop("split"), "record_id")
+    key = ["split", *[c for c in ("subject_id", "record_id") if c in view.columns and c in manifest.columns]]
+    counts = view.groupBy(*key).agg(F.count(F.lit(1)).alias("num_rows"))
+    rows = counts.join(manifest, key)
     listed = F.to_json(F.array(*[F.lit(c) for c in inputs]))
     rows = dense_index(rows, [], ["source_row_index"],
                        [F.floor(F.col("source_row_index") / F.lit(65536))], "export_index")
@@ -55,11 +109,23 @@ def export_method_view(samples: DataFrame, manifest: DataFrame, method: str, pat
     return rows.withColumns({
         "baseline_key": F.lit(method), "hadm_id": hadm, "input_columns": listed,
         "target_column": F.lit(target), "source_parquet": F.col("parquet"),
-        "exported_parquet": F.concat(F.lit(path.rstrip("/") + "/split="), "split",
-                                     F.lit("#"), safe_token("record_id")),
+        "exported_parquet": F.concat(F.lit(path.rstrip("/") + "/split="), "split"),
     }).select(*fixed.EXPORT_MANIFEST_COLUMNS)
 
 
+def read_export(spark: SparkSession, manifest: DataFrame) -> DataFrame:
+    """The samples of the records that an export manifest lists, with their split.
+
+    Only the folders it names are read (one per split), with the columns of the method's view.
+    """
+    folders = [r[0] for r in manifest.select("exported_parquet").distinct().collect()]
+    if not folders:
+        raise ValueError("the export manifest lists no record")
+    rows = spark.read.option("basePath", folders[0].rsplit("/split=", 1)[0]).parquet(*folders)
+    key = [c for c in ("split", "subject_id", "record_id") if c in rows.columns]
+    return rows.join(manifest.select(*key).distinct(), key, "left_semi")
+
+
 def write_windows(windows: DataFrame, path: str) -> None:
     """Windows or embeddings with their arrays, one folder per split."""
     windows.write.mode("errorifexists").partitionBy("split").parquet(path)

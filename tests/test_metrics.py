@@ -78,10 +78,17 @@ def test_bootstrap_matches_plain_resampling(spark):
     df = spark.createDataFrame([(k, "m", float(v)) for k, v in enumerate(values)]
                                + [(0, "one", 7.0)], "s int, metric string, value double")
     got = {r.metric: (r.ci_low, r.ci_high) for r in P.bootstrap_ci(df, "s", 400, 11).collect()}
-    means = []
+    means, every = [], []
+    m = P.DRAW_PRIME
     for b in range(400):
-        picks = [int(hashlib.md5(f"11|{b}|{j}".encode()).hexdigest()[:15], 16) % 23 for j in range(23)]
+        u = pow((b * 48271 + 11) % m, 5, m)
+        x = [pow((u + j * 69621) % m, 5, m) for j in range(23)]
+        picks = [(v * m + pow((v + u * 40692) % m, 5, m)) % 23 for v in x]
         means.append(numbered[picks].mean())
+        every += picks
+    # Picks are even, and means spread as those of independent picks do.
+    assert np.abs(np.bincount(every, minlength=23) - 400).max() < 100
+    assert np.std(means) == pytest.approx(values.std() / np.sqrt(23), rel=0.12)
     np.testing.assert_allclose(got["m"], np.percentile(means, [2.5, 97.5]))
     assert got["one"] == (7.0, 7.0)
     rough = np.percentile([values[rng.integers(0, 23, 23)].mean() for _ in range(4000)], [2.5, 97.5])
