@@ -128,11 +128,10 @@ def _draws(places: DataFrame, n_bootstrap: int, seed: int) -> DataFrame:
     steps = steps.withColumn("x", (F.col("u") + F.col("j") % p * 69621) % p)
     steps = steps.withColumn("x", _fifth("x"))
     steps = steps.withColumn("y", (F.col("x") + F.col("u") * 40692 + F.expr(f"j div {DRAW_PRIME}")) % p)
-    made = steps.withColumn("y", _fifth("y")).select(
-        "n", "b", ((F.col("x") * p + F.col("y")) % F.col("n")).alias("pick"))
-    # As many partitions as before: this only ends the generated loop here. Together with the join
-    # after it, it would be too long for the JVM to compile, and many times slower.
-    return made.coalesce(places.sparkSession.sparkContext.defaultParallelism)
+    # A remainder may be NULL by its type. Never NULL, the key of the join gets no filter on it,
+    # which would be pushed below all steps with every power written out.
+    pick = F.coalesce((F.col("x") * p + F.col("y")) % F.col("n"), F.lit(0).cast("bigint"))
+    return steps.withColumn("y", _fifth("y")).select("n", "b", pick.alias("pick"))
 
 
 def bootstrap_ci(long: DataFrame, key: str, n_bootstrap: int = fixed.BOOTSTRAP_SAMPLES,
