@@ -7,8 +7,8 @@ exact savings:
 
 - a value that one class alone has opens no list, and the values of a sketch are taken rarest
   first: two sketches that share at least t values share one among the first (size - t + 1) of
-  each. For sets that fit into the sketch t follows from the similarity; for larger ones it is
-  the expected overlap less SIGMAS standard deviations;
+  each. For sets whose union fits into the sketch t follows from the similarity; for larger ones it
+  is the expected overlap less SIGMAS standard deviations, and the lesser of both where either may be;
 - a list is cut by set size, since similar sets have similar sizes;
 - members of a list are first compared with one pivot each, in several turns; only members that are
   still in different components afterwards are compared with each other, each pair in one list.
@@ -118,12 +118,15 @@ def sketches(docs: DataFrame) -> DataFrame:
 def least_shared(n: int, sketch: int = SKETCH, percent: int = PERCENT) -> int:
     """Sketch values that a class of n shingles shares with any class it is linked with."""
     q = percent / 100
+    # a union that fits into the sketch leaves the intersection, which this may be all of
+    whole = -(-n * percent // 100)
     if n <= int(q * sketch):
-        return -(-n * percent // 100)
+        return whole
     # the union of two linked sets has at most n / q members, of which the sketch is a part
     union = max(n / q, sketch + 1)
     spread = (sketch * q * (1 - q) * (union - sketch) / (union - 1)) ** 0.5
-    return max(1, int(q * sketch - SIGMAS * spread) - 1)
+    part = max(1, int(q * sketch - SIGMAS * spread) - 1)
+    return min(whole, part) if n <= sketch else part
 
 
 def list_entries(t1: DataFrame, rows: int) -> DataFrame:

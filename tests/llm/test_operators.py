@@ -178,6 +178,29 @@ def test_near_dup_of_long_lists(spark, monkeypatch):
     assert 1 < len(set(least)) < 90
 
 
+def test_near_dup_around_the_sketch_size(spark):
+    """Pairs of equal size and truncations of every size from 90 to 135, next to all pairs."""
+    texts, want = [], {}
+
+    def add(a, b):
+        x, y = ({tuple(w[k:k + 5]) for k in range(len(w) - 4)} for w in (a, b))
+        linked = 100 * len(x & y) >= 75 * len(x | y)
+        i = len(texts)
+        texts.extend([(i, " ".join(a)), (i + 1, " ".join(b))])
+        want[i], want[i + 1] = i, i if linked else i + 1
+
+    for n in range(90, 136):
+        for j, other in enumerate((n * 3 // 4, -(-n * 3 // 4), -(-n * 4 // 5))):
+            words = [f"w{n}x{j}x{k}" for k in range(n + 4)]
+            add(words, words[:other + 4])
+        for j, common in enumerate((n * 6 // 7, -(-n * 6 // 7), -(-n * 22 // 25))):
+            words = [f"v{n}x{j}x{k}" for k in range(n + 4)]
+            add(words, words[:common + 4] + [f"u{n}x{j}x{k}" for k in range(n - common)])
+    got = near_dup.link(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert 150 < sum(i != c for i, c in want.items()) < len(texts) // 2
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 100)], "a long, b long")
     got = {r.node: r.label for r in components.components(links).collect()}
