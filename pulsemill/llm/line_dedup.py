@@ -6,8 +6,13 @@ that leaf a record stands for the template made of its constant tokens, and, if
 of enough tokens, also for the three templates in which one third of the tokens after the leading
 ones is a variable field. A template that many documents have is recurring.
 
-A record of a recurring template is dropped everywhere but in one document: the lowest in the
-order (bucket, doc_id, text) among those that have the template, where buckets are by hash. Short
+A passage is a run of consecutive records, short ones included, of at least LONG_TOKENS tokens; the
+shortest run from every record on, and the shortest up to every record, are counted by their exact
+words. A passage that two documents have is recurring, so what repeats at length is found as a
+whole, while single short records need more documents.
+
+A record of a recurring template or passage is dropped everywhere but in one document: the lowest in
+the order (bucket, doc_id, text) among those that have the template, where buckets are by hash. Short
 records between two dropped ones go with them. A document whose text loses nothing is
 passed on as it is; one that keeps fewer than MIN_LEFT percent of its words is removed.
 
@@ -38,10 +43,16 @@ MIN_LEFT = 20
 _SENTENCE = re.compile(r"(?<=[.!?]) +")
 _FIELD = re.compile(r"\d|://|@")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
+# of the rolling hash over the records of a passage
+MULTIPLIER = 0x9E3779B97F4A7C17
+INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 RESULT = ["n_dropped", "n_records"]
 # columns worked out once per document: start, end, tokens and template of every record; first and
-# last record and four templates of every line
+# last record and four templates of every line;
 PARTS = ["__from", "__to", "__tokens", "__key", "__line_from", "__line_to", "__line_keys"]
+# first and last record and hash of every passage
+RUNS = ["__run_from", "__run_to", "__run_key"]
+KEYS = ["__key", "__line_keys", "__run_key"]
 
 
 def _mask(token):
@@ -73,7 +84,8 @@ def _thirds(tokens: list, n: int) -> list:
 
 
 def parts_of(text: str) -> tuple:
-    """The values of PARTS for one text."""
+    """The values of PARTS for one text, and the hash of the words of every record."""
+    words = []
     starts, ends, sizes, keys, line_from, line_to, line_keys = [], [], [], [], [], [], []
     even = not ("  " in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text))
     at = 0
@@ -81,7 +93,7 @@ def parts_of(text: str) -> tuple:
         if line and not line.isspace():
             first = len(starts)
             lo = at
-            tokens = line.split()
+            raw = tokens = line.split()
             fixed = not _FIELD.search(line)
             if not fixed:
                 tokens = [_mask(t) for t in tokens]
@@ -92,6 +104,7 @@ def parts_of(text: str) -> tuple:
                 ends.append(at + len(line))
                 sizes.append(n)
                 keys.append(_key(tokens, n, fixed))
+                words.append(xxhash.xxh64_intdigest(" ".join(raw)))
             else:
                 for cut in [*cuts, len(line)]:
                     if at + cut == lo:
@@ -101,8 +114,12 @@ def parts_of(text: str) -> tuple:
                         s = s.rstrip(" ")
                         m = s.count(" ") + 1
                         keys.append(_hash(m, s) if m >= MIN_TOKENS else 0)
+                        words.append(xxhash.xxh64_intdigest(s))
                     else:
-                        part = s.split() if fixed else [_mask(t) for t in s.split()]
+                        part = s.split()
+                        words.append(xxhash.xxh64_intdigest(" ".join(part)))
+                        if not fixed:
+                            part = [_mask(t) for t in part]
                         m = len(part)
                         keys.append(_key(part, m, fixed))
                     starts.append(lo)
@@ -117,7 +134,30 @@ def parts_of(text: str) -> tuple:
                     line_keys.append(whole if cuts else 0)
                     line_keys += _thirds(tokens, n) if n >= TEMPLATE_TOKENS else [0, 0, 0]
         at += len(line) + 1
-    return starts, ends, sizes, keys, line_from, line_to, line_keys
+    return starts, ends, sizes, keys, line_from, line_to, line_keys, words
+
+
+def _powers(x: int, n: int) -> np.ndarray:
+    return np.cumprod(np.r_[np.uint64(1), np.full(n, x, np.uint64)])
+
+
+def passages(sizes: np.ndarray, keys: np.ndarray, words: np.ndarray, doc: np.ndarray) -> tuple:
+    """First and last record, hash and document of the shortest runs of LONG_TOKENS tokens from
+    and up to every record. All arrays are over the records of many documents, in their order. A
+    record that is long enough by itself and has a template is not a passage."""
+    n = len(sizes)
+    at, before = np.arange(n), np.r_[0, np.cumsum(sizes)]
+    last = np.searchsorted(before, before[:-1] + LONG_TOKENS)
+    first = np.searchsorted(before, before[1:] - LONG_TOKENS, "right") - 1
+    a, b = np.r_[at, first], np.r_[last, at + 1]
+    ok = (a >= 0) & (b <= n)
+    a, b = a[ok], b[ok]
+    ok = (doc[a] == doc[b - 1]) & ((b - a > 1) | (keys[a] == 0))
+    a, b = np.divmod(np.unique(a[ok] * np.int64(n + 1) + b[ok]), n + 1)
+    sums = np.r_[np.uint64(0), np.cumsum(words * _powers(MULTIPLIER, n)[:n])]
+    key = (sums[b] - sums[a]) * _powers(INVERSE, n)[a]
+    key = batches.mix(key + (b - a).astype(np.uint64)) & ~np.uint64(3) | np.uint64(1)
+    return a, b, key, doc[a]
 
 
 def add_parts(t: pa.Table) -> pa.Table:
@@ -125,6 +165,13 @@ def add_parts(t: pa.Table) -> pa.Table:
     for i, name in enumerate(PARTS):
         kind = pa.uint64() if "key" in name else pa.int32()
         t = t.append_column(name, pa.array([r[i] for r in rows], pa.list_(kind)))
+    (sizes, doc), (keys, _) = _flat(t, "__tokens"), _flat(t, "__key")
+    words = np.fromiter((w for r in rows for w in r[7]), np.uint64, len(sizes))
+    a, b, key, owner = passages(sizes, keys, words, doc)
+    base = np.searchsorted(doc, owner)
+    ends = pa.array(np.searchsorted(owner, np.arange(t.num_rows + 1)).astype(np.int32))
+    for name, values in zip(RUNS, ((a - base).astype(np.int32), (b - base).astype(np.int32), key)):
+        t = t.append_column(name, pa.ListArray.from_arrays(ends, pa.array(values)))
     return t
 
 
@@ -151,13 +198,13 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
     """The documents that stay, with n_dropped and n_records added."""
     size = batches.text_size(docs)
     buckets = batches.bucket_count(*size)
-    shards = max(1, -(-size[1] // 40_000_000))
-    plain = docs.drop(*[c for c in PARTS if c in docs.columns])
+    shards = max(1, -(-size[1] // 20_000_000))
+    plain = docs.drop(*[c for c in (*PARTS, *RUNS) if c in docs.columns])
     packed = batches.packed(plain, buckets, add_parts)
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         t = pa.concat_tables([batches.unpack_rows(b) for b in pdf["rows"]])
-        key, row = (np.concatenate(x) for x in zip(_flat(t, "__key"), _flat(t, "__line_keys")))
+        key, row = (np.concatenate(x) for x in zip(*(_flat(t, c) for c in KEYS)))
         order = np.lexsort((row, key))
         key, row = key[order], row[order]
         once = np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])] if len(key) else np.zeros(0, bool)
@@ -177,28 +224,32 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
         ok = totals >= _needed(keys)
         keys, first = keys[ok], first[ok]
         t = _bucket_rows(left["rows"])
-        (key, row), (line_key, line_row) = _flat(t, "__key"), _flat(t, "__line_keys")
-        at = batches.find(keys, np.concatenate([key, line_key]))
-        rows = np.concatenate([row, line_row])
+        key, row = zip(*(_flat(t, c) for c in KEYS))
+        at = batches.find(keys, np.concatenate(key))
+        rows = np.concatenate(row)
         # where the bucket is the lowest with a template, its first document keeps the records
         owner = np.full(len(keys), -1)
         hit = np.flatnonzero(at >= 0)
         owner[at[hit][::-1]] = rows[hit][::-1]
         owner[first == 0] = -1
         gone = (at >= 0) & (owner[at] != rows) if len(keys) else np.zeros(len(at), bool)
-        gone, line_gone = gone[:len(key)], gone[len(key):]
-        parts = [t.column(n).combine_chunks() for n in PARTS]
+        hit_rows = np.unique(rows[gone])
+        gone, line_gone, run_gone = np.split(gone, np.cumsum([len(k) for k in key])[:-1])
+        parts = [t.column(n).combine_chunks() for n in (*PARTS, *RUNS)]
         n_records = np.diff(parts[0].offsets.to_numpy())
-        base, line_base = parts[3].offsets.to_numpy(), parts[6].offsets.to_numpy()
+        base, line_base, run_base = (parts[i].offsets.to_numpy() for i in (3, 6, 9))
         texts, n_dropped, stay = t.column("text").to_pylist(), np.zeros(t.num_rows, np.int64), np.ones(t.num_rows, bool)
-        for i in np.unique(np.concatenate([row[gone], line_row[line_gone]])):
+        for i in hit_rows:
             mine = gone[base[i]:base[i + 1]].copy()
             lines = line_gone[line_base[i]:line_base[i + 1]].reshape(-1, 4).any(axis=1)
             for a, b in zip(parts[4][i].values.to_numpy()[lines], parts[5][i].values.to_numpy()[lines]):
                 mine[a:b] = True
+            runs = run_gone[run_base[i]:run_base[i + 1]]
+            for a, b in zip(parts[7][i].values.to_numpy()[runs], parts[8][i].values.to_numpy()[runs]):
+                mine[a:b] = True
             texts[i], n_dropped[i], stay[i] = _without(
                 texts[i], mine, *(p[i].values.to_numpy() for p in parts[:3]))
-        t = t.drop_columns([n for n in (*RESULT, *PARTS) if n in t.column_names])
+        t = t.drop_columns([n for n in (*RESULT, *PARTS, *RUNS) if n in t.column_names])
         t = t.set_column(t.column_names.index("text"), "text", pa.array(texts, t.schema.field("text").type))
         if "n_chars" in t.column_names:
             i = t.column_names.index("n_chars")

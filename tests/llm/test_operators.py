@@ -225,6 +225,26 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.drop_recurring(empty).count() == 0
 
 
+def own_words(name, n):
+    return " ".join(f"{name}{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(n))
+
+
+def test_line_dedup_of_passages(spark):
+    """Passages of records that are each too short or too rare, in two documents."""
+    sentences = " ".join(own_words(f"sentence{chr(97 + i)}", 15) + "." for i in range(5))
+    short = "\n".join(own_words(f"short{chr(97 + i)}", 5) for i in range(12))
+    few = own_words("few", 12) + "."
+    rows = [(i, "\n".join([own_words(f"head{chr(97 + i)}", 30), part, few, own_words(f"tail{chr(97 + i)}", 30)]), "en", "s", 0, "x", "y")
+            for i, part in enumerate([sentences, sentences, short, short])]
+    rows = [(i, t if i % 2 else t.replace(few, own_words(f"other{i}", 12)), *x) for i, t, *x in rows]
+    out = {r.doc_id: r.text for r in line_dedup.drop_recurring(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(out) == 4
+    assert sum(sentences in t for t in out.values()) == 1 and sum("sentence" in t for t in out.values()) == 1
+    assert sum(short in t for t in out.values()) == 1 and sum("short" in t for t in out.values()) == 1
+    assert sum(few in t for t in out.values()) == 2
+    assert all(f"{x}{chr(97 + i)}" in t for i, t in out.items() for x in ("head", "tail"))
+
+
 def test_kneser_ney_sums_to_one(spark):
     counts = {"aab": 3, "aba": 2, "bab": 1, "abb": 1, "bba": 4}
     rows = [("en", g, c) for g, c in counts.items()]
