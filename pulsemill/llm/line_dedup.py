@@ -13,8 +13,12 @@ whole, while single short records need more documents.
 
 A record of a recurring template or passage is dropped everywhere but in one document: the lowest in
 the order (bucket, doc_id, text) among those that have the template, where buckets are by hash. Short
-records between two dropped ones go with them. A document whose text loses nothing is
-passed on as it is; one that keeps fewer than MIN_LEFT percent of its words is removed.
+records between two dropped ones go with them. What a document keeps for others goes neither by a
+template with a variable third nor between dropped records, and such a document stays. So every record
+that goes by its own template, its line's or a passage is in some document that stays: where its owner
+loses it to a passage or template of another owner, that owner is lower in the order. A document whose
+text loses nothing is passed on as it is; another one that keeps fewer than MIN_LEFT percent of its
+words is removed.
 
 Counts are over all documents: every bucket of documents sends each of its templates once, with the
 number of its documents, to the template's shard, so that a template of a third of all rows is
@@ -228,27 +232,30 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
         at = batches.find(keys, np.concatenate(key))
         rows = np.concatenate(row)
         # where the bucket is the lowest with a template, its first document keeps the records
-        owner = np.full(len(keys), -1)
-        hit = np.flatnonzero(at >= 0)
-        owner[at[hit][::-1]] = rows[hit][::-1]
+        owner = np.full(len(keys), t.num_rows)
+        np.minimum.at(owner, at[at >= 0], rows[at >= 0])
         owner[first == 0] = -1
         gone = (at >= 0) & (owner[at] != rows) if len(keys) else np.zeros(len(at), bool)
         hit_rows = np.unique(rows[gone])
-        gone, line_gone, run_gone = np.split(gone, np.cumsum([len(k) for k in key])[:-1])
+        cuts = np.cumsum([len(k) for k in key])[:-1]
+        kinds = list(zip(np.split(gone, cuts), np.split((at >= 0) & ~gone, cuts)))
         parts = [t.column(n).combine_chunks() for n in (*PARTS, *RUNS)]
         n_records = np.diff(parts[0].offsets.to_numpy())
         base, line_base, run_base = (parts[i].offsets.to_numpy() for i in (3, 6, 9))
         texts, n_dropped, stay = t.column("text").to_pylist(), np.zeros(t.num_rows, np.int64), np.ones(t.num_rows, bool)
         for i in hit_rows:
-            mine = gone[base[i]:base[i + 1]].copy()
-            lines = line_gone[line_base[i]:line_base[i + 1]].reshape(-1, 4).any(axis=1)
-            for a, b in zip(parts[4][i].values.to_numpy()[lines], parts[5][i].values.to_numpy()[lines]):
-                mine[a:b] = True
-            runs = run_gone[run_base[i]:run_base[i + 1]]
-            for a, b in zip(parts[7][i].values.to_numpy()[runs], parts[8][i].values.to_numpy()[runs]):
-                mine[a:b] = True
+            lo, hi = base[i], base[i + 1]
+            mine, kept = (x[lo:hi].copy() for x in kinds[0])
+            lines, line_kept = (x[line_base[i]:line_base[i + 1]].reshape(-1, 4) for x in kinds[1])
+            runs, run_kept = (x[run_base[i]:run_base[i + 1]] for x in kinds[2])
+            of_line, of_run = ([p[i].values.to_numpy() for p in parts[k:k + 2]] for k in (4, 7))
+            loose = np.zeros(hi - lo, bool)
+            for marks, (x, y), where in ((mine, of_line, lines[:, 0]), (mine, of_run, runs), (loose, of_line, lines[:, 1:].any(axis=1)),
+                                         (kept, of_line, line_kept.any(axis=1)), (kept, of_run, run_kept)):
+                for a, b in zip(x[where], y[where]):
+                    marks[a:b] = True
             texts[i], n_dropped[i], stay[i] = _without(
-                texts[i], mine, *(p[i].values.to_numpy() for p in parts[:3]))
+                texts[i], mine | loose & ~kept, kept, *(p[i].values.to_numpy() for p in parts[:3]))
         t = t.drop_columns([n for n in (*RESULT, *PARTS, *RUNS) if n in t.column_names])
         t = t.set_column(t.column_names.index("text"), "text", pa.array(texts, t.schema.field("text").type))
         if "n_chars" in t.column_names:
@@ -262,13 +269,13 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
     return batches.cogroup(packed, answers, rewrite, schema)
 
 
-def _without(text, gone, starts, ends, sizes) -> tuple:
-    """(text without the records that are gone, their number, whether enough is left). Short
-    records inside a dropped passage go with it."""
+def _without(text, gone, kept, starts, ends, sizes) -> tuple:
+    """(text without the records that are gone, their number, whether enough or anything kept for
+    others is left). Short records inside a dropped passage go with it."""
     i, n = 0, len(gone)
     while i < n:
         j = i
-        while j < n and not gone[j] and sizes[j] < MIN_TOKENS:
+        while j < n and not gone[j] and not kept[j] and sizes[j] < MIN_TOKENS:
             j += 1
         if j > i and i > 0 and gone[i - 1] and j < n and gone[j]:
             gone[i:j] = True
@@ -280,4 +287,4 @@ def _without(text, gone, starts, ends, sizes) -> tuple:
         last = ends[k]
     out.append(text[last:])
     new = re.sub(r" *\n\s*", "\n", "".join(out)).strip()
-    return new, int(gone.sum()), left * 100 >= every * MIN_LEFT and bool(new)
+    return new, int(gone.sum()), (left * 100 >= every * MIN_LEFT or bool((kept & ~gone).any())) and bool(new)

@@ -245,6 +245,30 @@ def test_line_dedup_of_passages(spark):
     assert all(f"{x}{chr(97 + i)}" in t for i, t in out.items() for x in ("head", "tail"))
 
 
+def test_line_dedup_keeps_what_it_drops_elsewhere(spark):
+    """Documents that lose most of their text own a passage, or a sentence of a line, that others lose."""
+    def run(rows):
+        rows = [(i, t, "en", "s", 0, "x", "y") for i, t in rows]
+        return [r.text for r in line_dedup.drop_recurring(spark.createDataFrame(rows, SCHEMA)).collect()]
+
+    # every order of the documents is tried, since buckets are by hash
+    big = "\n".join(own_words(f"big{chr(97 + i)}", 45) for i in range(6))
+    passage = own_words("passage", 45)
+    for b in range(4):
+        ids = [b, *(i for i in range(4) if i != b)]
+        out = run(zip(ids, [f"{big}\n{passage}", big, f"{own_words('ea', 30)}\n{passage}", f"{own_words('fa', 30)}\n{passage}"]))
+        assert sum(passage in t for t in out) == 1 and sum(own_words("biga", 45) in t for t in out) == 1
+
+    # a line that goes by a template with a variable third; the sentence in that third goes elsewhere
+    start, end = own_words("start", 12) + ".", own_words("end", 12)
+    owned = own_words("owned", 9) + "."
+    for b in range(7):
+        ids = [b, *(i for i in range(7) if i != b)]
+        lines = [f"{start} {s} {end}" for s in [owned, *(own_words(f"third{chr(97 + k)}", 9) + "." for k in range(4))]]
+        out = run(zip(ids, [f"{own_words(f'doc{chr(97 + k)}', 60)}\n{x}" for k, x in enumerate([*lines, f"{owned} Yes.", f"{owned} No."])]))
+        assert sum(owned in t for t in out) == 1
+
+
 def test_kneser_ney_sums_to_one(spark):
     counts = {"aab": 3, "aba": 2, "bab": 1, "abb": 1, "bba": 4}
     rows = [("en", g, c) for g, c in counts.items()]
