@@ -116,9 +116,9 @@ def sieve(ids: DataFrame, key: str) -> np.ndarray:
     return out
 
 
-def sift(df: DataFrame, key: str, words: np.ndarray) -> DataFrame:
-    """The rows whose key may be in the sieve. It only spares work: an exact join has to follow,
-    and a sieve that is too full lets everything through."""
+def sift(df: DataFrame, key: str, words: np.ndarray, inside: bool = True) -> DataFrame:
+    """The rows whose key may be in the sieve, or the others. It only spares work: an exact join has
+    to follow, and a sieve that is too full lets everything through."""
     shared = df.sparkSession.sparkContext.broadcast(words)
     bits = np.uint64(32 * len(words))
 
@@ -129,7 +129,7 @@ def sift(df: DataFrame, key: str, words: np.ndarray) -> DataFrame:
             for i in range(3):
                 p = (h >> np.int64(19 * i)).view(np.uint64) % bits
                 ok &= (shared.value[p >> np.uint64(5)] >> (p % np.uint64(32)).astype(np.uint32)) & np.uint32(1) == 1
-            yield b.drop_columns(["__h"]).filter(pa.array(ok))
+            yield b.drop_columns(["__h"]).filter(pa.array(ok == inside))
 
     return df.withColumn("__h", F.xxhash64(F.col(key).cast("long"))).mapInArrow(run, df.schema)
 

@@ -11,7 +11,9 @@ are known not to be content. Texts of the root class belong to the template.
 
 Inside the main element, everything is kept in page order except such non-content elements.
 Pages without that element (another layout, an unknown host, a single page) use their whole body by
-the same rules. NULL and empty html give an empty text; NULL urls count as one host. Repeated
+the same rules, less the texts of the root class. Equal pages of a host count as one, and a host of fewer than
+ROOT_PAGES different pages has no root class: there, what all pages have may be the article.
+NULL and empty html give an empty text; NULL urls count as one host. Repeated
 rows are extracted each; extra columns are not read. A table without pages gives no rows.
 """
 
@@ -24,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from pulsemill.llm import batches
 from pulsemill.llm.url_rules import host_and_path
 from pulsemill.sources.storage import materialize
 
@@ -132,8 +135,8 @@ STATS = "host string, token string, pages long, once long, f1 long, f2 long, mas
 
 
 def token_stats(pages: DataFrame) -> DataFrame:
-    """Per host and token: pages that have it, pages that have it once, vector sums, text."""
-    def run(batches):
+    """Per host and token: different pages that have it, those that have it once, vector sums, text."""
+    def run(stream):
         held = {}
 
         def flush():
@@ -144,11 +147,10 @@ def token_stats(pages: DataFrame) -> DataFrame:
                 [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
                  *[pa.array(vals[:, i]) for i in range(5)]], names=[c.split()[0] for c in STATS.split(", ")])
 
-        for b in batches:
-            for host, page_id, page in zip(*(b.column(c).to_pylist() for c in ("host", "page_id", "html"))):
+        for b in stream:
+            for host, who, page in zip(*(b.column(c).to_pylist() for c in ("host", "page", "html"))):
                 counts, mass = page_tokens(page or "")
                 counts[""] = 1
-                who = f"{page_id}"
                 for t, n in counts.items():
                     h = xxhash.xxh64_intdigest(f"{who}:{n}")
                     e = held.get((host, t))
@@ -164,11 +166,21 @@ def token_stats(pages: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    rows = pages.select("page_id", "html", _host().alias("host")).mapInArrow(run, STATS)
+    rows = _different(pages).mapInArrow(run, STATS)
     sums = [F.sum(c).alias(c) for c in ("pages", "once", "f1", "f2", "mass")]
     return rows.groupBy("host", "token").agg(*sums)
 
 
+def _different(pages: DataFrame) -> DataFrame:
+    """page (hash of host and html), host and html of the different pages of every host. Only pages that
+    may be repeated are moved."""
+    own = pages.select("html", _host().alias("host")).withColumn("page", F.xxhash64("host", "html"))
+    again = materialize(own.groupBy("page").count().where("count > 1").select("page"))
+    words = batches.sieve(again, "page")
+    return batches.sift(own, "page", words, False).unionByName(
+        batches.sift(own, "page", words).dropDuplicates(["page"]))
+
+
 def _host():
     return F.coalesce(host_and_path(F.col("url"))[0], F.lit(""))
 
@@ -187,7 +199,6 @@ def deduce(pages: DataFrame) -> DataFrame:
         root = (pdf["f1"] == pdf["r1"]) & (pdf["f2"] == pdf["r2"])
         texts = pdf["token"].str.startswith("#")
         n = int(pdf["n"].iloc[0])
-        constants = sorted(pdf["token"][root & texts]) if n >= ROOT_PAGES else []
         # elements that are there once on the pages that have them can be slots
         slots = pdf[~texts & (pdf["token"] != "") & (pdf["once"] == pdf["pages"])]
         top = slots["mass"].max() if len(slots) else 0
@@ -196,6 +207,9 @@ def deduce(pages: DataFrame) -> DataFrame:
             deep = slots[slots["mass"] >= MAIN_SHARE * top].assign(
                 depth=lambda d: d["token"].str.count(">"))
             main = deep.sort_values(["depth", "mass", "token"], ascending=[False, False, True])["token"].iloc[0]
+        # what the main element has belongs to the article, even where all pages have it
+        constants = sorted(t for t in pdf["token"][root & texts] if not (main and _within(t[1:t.rindex("#")], main))) \
+            if n >= ROOT_PAGES else []
         classes = pdf[~texts].groupby(["f1", "f2", "pages"]).ngroups
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "main": [main],
                              "constants": [constants], "n_classes": [classes]})
@@ -203,6 +217,10 @@ def deduce(pages: DataFrame) -> DataFrame:
     return common.groupBy("host").applyInPandas(choose, TEMPLATE)
 
 
+def _within(path, main):
+    return path == main or path.startswith(main + ">")
+
+
 def main_text(page: str, main: str, constants) -> str:
     w = Walk(page)
     # a main element inside a non-content one does not occur: its mass would be zero
@@ -214,7 +232,7 @@ def main_text(page: str, main: str, constants) -> str:
             if t:
                 out.append(t)
             block = []
-        elif not never and (not inside or path == main or path.startswith(main + ">")):
+        elif not never and (not inside or _within(path, main)):
             if constants and not text.isspace() and text_key(path, plain(text)) in constants:
                 continue
             block.append(text)
@@ -226,8 +244,8 @@ def extract(pages: DataFrame) -> DataFrame:
     templates = materialize(deduce(pages)).select("host", "main", "constants")
     kind = pages.schema["page_id"].dataType.simpleString()
 
-    def run(batches):
-        for b in batches:
+    def run(stream):
+        for b in stream:
             texts = [main_text(p or "", m or "", set(c or ())) for p, m, c in zip(
                 *(b.column(c).to_pylist() for c in ("html", "main", "constants")))]
             yield pa.RecordBatch.from_arrays(

@@ -334,3 +334,16 @@ def test_templates(spark):
     assert out[0] == f"Head {v}\nFirst & {v}\nSecond bold {v}"
     assert out[90] == "" and out[91] == "" and out[92] == "just text <\nmore"
     assert templates.extract(p).count() == len(rows) and templates.extract(p.limit(0)).count() == 0
+
+
+def test_templates_of_repeated_pages(spark):
+    """Rows that are one page, and a paragraph of the article that all pages share."""
+    page = "<html><body><div id=content><h1>{0}</h1><p>{1}</p><p>Shared paragraph</p></div><div>Made by us</div></body></html>"
+    one = page.format("Title", own_words("only", 20))
+    rows = [(i, None if i % 2 else "http://same/", one) for i in range(14)]
+    rows += [(20 + i, f"http://h/{i}", page.format(f"Title {i}", own_words(f"text{chr(97 + i)}", 20))) for i in range(7)]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in templates.extract(p).collect()}
+    assert len(out) == len(rows)
+    assert all(f"Title\n{own_words('only', 20)}\nShared paragraph" in out[i] for i in range(14))
+    assert all(out[20 + i] == f"Title {i}\n{own_words(f'text{chr(97 + i)}', 20)}\nShared paragraph" for i in range(7))
