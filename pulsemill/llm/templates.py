@@ -6,13 +6,14 @@ function of page and count, which add up in any order, so a host of any size is
 partial sums. Tokens with equal vectors form an equivalence class. The class of tokens that
 every page has once is the root of the template, classes of elements below it nest by their
 paths. What lies between the tokens of the template are slots; the main slot is the innermost
-element, once on its pages, that holds most of the text outside links and outside elements that
-are known not to be content. Texts of the root class belong to the template.
+element, once on its pages and no leaf block, that holds most of the text outside links and outside elements
+that are known not to be content, or its highest ancestor, up to an article, main or body element, that adds
+such text which is not common to the host's pages. Texts of the root class belong to the template.
 
 Inside the main element, everything is kept in page order except such non-content elements.
 Pages without that element (another layout, an unknown host, a single page) use their whole body by
 the same rules, less the texts of the root class. Equal pages of a host count as one, and a host of fewer than
-ROOT_PAGES different pages has no root class: there, what all pages have may be the article.
+ROOT_PAGES different pages has no root class and no main element.
 NULL and empty html give an empty text; NULL urls count as one host. Repeated
 rows are extracted each; extra columns are not read. A table without pages gives no rows.
 """
@@ -40,6 +41,8 @@ BLOCKS = set("address article aside blockquote body br caption center dd details
 STACKED = BLOCKS - {"br", "hr"} | {"button", "select", "iframe", "svg", "object", "map"}
 RAW = "script|style|noscript|template|textarea|xmp"
 NEVER = set("nav aside footer form header head title button select iframe svg object map dialog menu".split())
+LEAVES = set("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote caption figcaption legend option summary".split())
+TOPS = {"article", "main", "body", "html"}
 NAMES = set("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie "
             "cookies consent disqus footer header masthead menu nav navbar navigation newsletter notice "
             "notices pager pagination popup promo related share sharing sidebar social sponsor sponsored "
@@ -113,7 +116,8 @@ def text_key(path: str, text: str) -> str:
 
 
 def page_tokens(page: str):
-    """(token -> count, element path -> words outside links and non-content)."""
+    """(token -> count, token -> words outside links and non-content, element path -> such words of its
+    parent). An element has the words of all that is in it."""
     w = Walk(page)
     counts, mass = {}, {}
     for p in w.opened:
@@ -125,13 +129,14 @@ def page_tokens(page: str):
         counts[k] = counts.get(k, 0) + 1
         if not link and not never:
             n = len(text.split())
+            mass[k] = mass.get(k, 0) + n
             while path:
                 mass[path] = mass.get(path, 0) + n
                 path = path[:path.rindex(">")]
-    return counts, mass
+    return counts, mass, {p: mass.get(p[:p.rindex(">")], 0) for p in counts if not p.startswith("#")}
 
 
-STATS = "host string, token string, pages long, once long, f1 long, f2 long, mass long"
+STATS = "host string, token string, pages long, once long, f1 long, f2 long, mass long, around long"
 
 
 def token_stats(pages: DataFrame) -> DataFrame:
@@ -141,33 +146,34 @@ def token_stats(pages: DataFrame) -> DataFrame:
 
         def flush():
             keys = list(held)
-            vals = np.array(list(held.values()), np.int64).reshape(-1, 5)
+            vals = np.array(list(held.values()), np.int64).reshape(-1, 6)
             held.clear()
             return pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
-                 *[pa.array(vals[:, i]) for i in range(5)]], names=[c.split()[0] for c in STATS.split(", ")])
+                 *[pa.array(vals[:, i]) for i in range(6)]], names=[c.split()[0] for c in STATS.split(", ")])
 
         for b in stream:
             for host, who, page in zip(*(b.column(c).to_pylist() for c in ("host", "page", "html"))):
-                counts, mass = page_tokens(page or "")
+                counts, mass, around = page_tokens(page or "")
                 counts[""] = 1
                 for t, n in counts.items():
                     h = xxhash.xxh64_intdigest(f"{who}:{n}")
                     e = held.get((host, t))
                     if e is None:
-                        e = held[host, t] = [0, 0, 0, 0, 0]
+                        e = held[host, t] = [0, 0, 0, 0, 0, 0]
                     e[0] += 1
                     e[1] += n == 1
                     e[2] += h & 0x7FFFFFFF
                     e[3] += h >> 33
                     e[4] += mass.get(t, 0)
+                    e[5] += around.get(t, 0)
                 if len(held) >= TOKENS_HELD:
                     yield flush()
         if held:
             yield flush()
 
     rows = _different(pages).mapInArrow(run, STATS)
-    sums = [F.sum(c).alias(c) for c in ("pages", "once", "f1", "f2", "mass")]
+    sums = [F.sum(c).alias(c) for c in ("pages", "once", "f1", "f2", "mass", "around")]
     return rows.groupBy("host", "token").agg(*sums)
 
 
@@ -188,6 +194,36 @@ def _host():
 TEMPLATE = "host string, main string, constants array<string>, n_classes long"
 
 
+def _name(path):
+    return path[path.rfind(">") + 1:].split(".")[0]
+
+
+def _deepest(elements: pd.DataFrame) -> str:
+    """The innermost element with most of the text. Elements that are there once on the pages that have
+    them can be slots, other than those of one paragraph or heading."""
+    slots = elements[(elements["once"] == elements["pages"]) & ~elements["token"].map(_name).isin(LEAVES)]
+    top = slots["mass"].max() if len(slots) else 0
+    if not top:
+        return ""
+    deep = slots[slots["mass"] >= MAIN_SHARE * top].assign(depth=lambda d: d["token"].str.count(">"))
+    return deep.sort_values(["depth", "mass", "token"], ascending=[False, False, True])["token"].iloc[0]
+
+
+def _widened(main: str, elements: pd.DataFrame, texts: pd.DataFrame) -> str:
+    """The highest ancestor that adds text besides that of many pages, or the element itself."""
+    known = {t: (m, a, o == p) for t, m, a, o, p in zip(*(elements[c] for c in ("token", "mass", "around", "once", "pages")))}
+    shared = [(t[1:t.rindex("#")], m) for t, m in zip(texts["token"], texts["mass"])]
+    at, more = main, False
+    while at and _name(at) not in TOPS:
+        up = at[:at.rindex(">")]
+        mass, around, _ = known[at]
+        more |= around - mass > sum(m for p, m in shared if _within(p, up) and not _within(p, at))
+        if up in known and known[up][2] and more:
+            main, more = up, False
+        at = up
+    return main
+
+
 def deduce(pages: DataFrame) -> DataFrame:
     """One template per host: the main element, the constant texts, the number of classes."""
     stats = materialize(token_stats(pages).where("pages > 1 or token not like '#%'"))
@@ -199,16 +235,12 @@ def deduce(pages: DataFrame) -> DataFrame:
         root = (pdf["f1"] == pdf["r1"]) & (pdf["f2"] == pdf["r2"])
         texts = pdf["token"].str.startswith("#")
         n = int(pdf["n"].iloc[0])
-        # elements that are there once on the pages that have them can be slots
-        slots = pdf[~texts & (pdf["token"] != "") & (pdf["once"] == pdf["pages"])]
-        top = slots["mass"].max() if len(slots) else 0
-        main = ""
-        if top:
-            deep = slots[slots["mass"] >= MAIN_SHARE * top].assign(
-                depth=lambda d: d["token"].str.count(">"))
-            main = deep.sort_values(["depth", "mass", "token"], ascending=[False, False, True])["token"].iloc[0]
+        deep = _deepest(pdf[~texts & (pdf["token"] != "")]) if n >= ROOT_PAGES else ""
+        main = _widened(deep, pdf[~texts], pdf[texts])
+        # a whole body is not all article
+        article = deep if _name(main) in ("body", "html") else main
         # what the main element has belongs to the article, even where all pages have it
-        constants = sorted(t for t in pdf["token"][root & texts] if not (main and _within(t[1:t.rindex("#")], main))) \
+        constants = sorted(t for t in pdf["token"][root & texts] if not (article and _within(t[1:t.rindex("#")], article))) \
             if n >= ROOT_PAGES else []
         classes = pdf[~texts].groupby(["f1", "f2", "pages"]).ngroups
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "main": [main],

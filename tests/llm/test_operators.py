@@ -347,3 +347,26 @@ def test_templates_of_repeated_pages(spark):
     assert len(out) == len(rows)
     assert all(f"Title\n{own_words('only', 20)}\nShared paragraph" in out[i] for i in range(14))
     assert all(out[20 + i] == f"Title {i}\n{own_words(f'text{chr(97 + i)}', 20)}\nShared paragraph" for i in range(7))
+
+
+def test_templates_keep_what_is_beside_the_main_text(spark):
+    def body(i, parts):
+        return f"<html><body><div class=box>Same on all pages</div>{parts}<footer>foot</footer></body></html>"
+
+    rows, want = [], {}
+
+    def add(host, i, html, *text):
+        want[len(rows)] = "\n".join(text)
+        rows.append((len(rows), f"http://{host}/{i}", body(i, html)))
+
+    for i in range(6):
+        name = chr(97 + i)
+        head, intro, long = f"Head {name}", own_words(f"intro{name}", 6), own_words(f"long{name}", 40)
+        add("parts", i, f"<article><h1>{head}</h1><div class=intro>{intro}</div><div class=body><p>{long}</p></div></article>", head, intro, long)
+        add("wrap", i, f"<div id=page><h1>{head}</h1><div class=wrap><div class=body><p>{long}</p><p>{intro}</p></div></div></div>", head, long, intro)
+        add("plain", i, f"<div id=page><div class=body><p>{long}</p><p>{intro}</p></div><div class=box>Boilerplate</div></div>", long, intro)
+        add("single", i, f"<article><h1>{head}</h1><p>{long}</p><ul><li>{intro}</li></ul></article>", head, long, intro)
+    add("one", 0, "<article><h1>Head</h1><p>" + own_words("one", 30) + "</p><ul><li>item</li></ul></article>",
+        "Same on all pages", "Head", own_words("one", 30), "item")
+    p = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in templates.extract(p).collect()} == want
