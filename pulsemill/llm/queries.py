@@ -1,6 +1,6 @@
 """Queries over the given tables, and their SQL where it can say the same."""
 
-from pulsemill.llm import (decontamination, line_dedup, near_dup, packing, perplexity, quality_rules,
+from pulsemill.llm import (conversations, decontamination, line_dedup, near_dup, packing, perplexity, quality_rules,
                            templates, token_files, tokens, toxicity, url_rules)
 from pulsemill.sources.storage import scratch_path
 
@@ -76,3 +76,8 @@ def op9(spark, d):
 @query("op10_packing")
 def op10(spark, d):
     return packing.pack(table(spark, d, "documents"), tokens.tokenizer_path())
+
+
+@query("op11_conversations")
+def op11(spark, d):
+    return conversations.digest(conversations.damaged(table(spark, d, "conversations")))
