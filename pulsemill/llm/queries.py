@@ -1,6 +1,6 @@
 """Queries over the given tables, and their SQL where it can say the same."""
 
-from pulsemill.llm import (conversations, decontamination, line_dedup, near_dup, packing, perplexity, quality_rules,
+from pulsemill.llm import (conversations, decontamination, line_dedup, near_dup, packing, perplexity, pivots, quality_rules,
                            templates, token_files, tokens, toxicity, url_rules)
 from pulsemill.sources.storage import scratch_path
 
@@ -81,3 +81,8 @@ def op10(spark, d):
 @query("op11_conversations")
 def op11(spark, d):
     return conversations.digest(conversations.damaged(table(spark, d, "conversations")))
+
+
+@query("op12_pivots", pivots.link_sql())
+def op12(spark, d):
+    return pivots.link(table(spark, d, "embeddings"))
