@@ -1,7 +1,7 @@
 """Queries over the given tables, and their SQL where it can say the same."""
 
 from pulsemill.llm import (conversations, decontamination, line_dedup, near_dup, packing, perplexity, pivots, quality_rules,
-                           templates, token_files, tokens, toxicity, url_rules)
+                           spelling, templates, token_files, tokens, toxicity, url_rules)
 from pulsemill.sources.storage import scratch_path
 
 QUERIES, ORACLES = {}, {}
@@ -86,3 +86,9 @@ def op11(spark, d):
 @query("op12_pivots", pivots.link_sql())
 def op12(spark, d):
     return pivots.link(table(spark, d, "embeddings"))
+
+
+@query("op13_spelling")
+def op13(spark, d):
+    return spelling.group(table(spark, d, "documents"), faults=199).select(
+        "word", "form", "root", "n", "n_near", "form_n")
