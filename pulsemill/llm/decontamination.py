@@ -6,14 +6,15 @@ automaton holds all word sequences of the items. The words of a document are str
 it; at each word it gives the length of the longest match that ends there, so a window ends
 wherever that length reaches WINDOW (or a whole short item is a suffix of the match).
 
-The benchmark is a query set: it is cut into blocks of at most BLOCK_WORDS words, each block's
-automaton is built in one task and broadcast, which bounds what is sent, and all documents pass
-each block. Documents are never shuffled for one block; for several, hit positions are merged
-per row.
+The benchmark is a query set: its items are cut into segments of at most SEGMENT_WORDS words, which share
+WINDOW - 1 words with the next so that every window is whole in one, and the segments are dealt into blocks of about
+BLOCK_WORDS words. Each block's automaton is built in one task and broadcast, which bounds what is sent, and all
+documents pass each block, several blocks in one scan. Documents are never shuffled for one scan; for several, hit
+positions are merged per row.
 
 NULL and empty texts have no words and are clean. An item that occurs twice counts as two
 items. NULL item ids are left out of the id list. Extra columns are not read, except by
-`clean`, which keeps them.
+`clean`, which keeps them whatever their names.
 """
 
 import hashlib
@@ -24,12 +25,13 @@ import re
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 from pulsemill.llm.worker import forget, kept
 from pulsemill.sources.storage import materialize
 
-WINDOW, BLOCK_WORDS = 10, 200_000
+WINDOW, BLOCK_WORDS, SEGMENT_WORDS, BLOCKS_A_SCAN = 10, 200_000, 50_000, 4
 MAX_SPAN, MAX_COVERAGE = 0, 0.5
 
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128
@@ -166,34 +168,58 @@ _NONE = frozenset()
 
 
 def _load(shared):
-    """The broadcast automaton, unpickled once per worker."""
+    """The broadcast automata, unpickled once per worker."""
     data = shared.value
 
     def load():
         forget("automaton ")
-        made = Automaton.__new__(Automaton)
-        vars(made).update(pickle.loads(data))
-        return made
+        out = []
+        for d in data:
+            made = Automaton.__new__(Automaton)
+            vars(made).update(pickle.loads(d))
+            out.append(made)
+        return out
 
-    return kept(f"automaton {hashlib.sha256(data).hexdigest()}", load)
+    return kept("automaton " + " ".join(hashlib.sha256(d).hexdigest() for d in data), load)
+
+
+_SEGMENT = StructType([StructField("item", StringType()), StructField("item_id", StringType()),
+                       StructField("words", StringType()), StructField("n", LongType())])
+
+
+def segments(benchmark: DataFrame, window: int = WINDOW, segment_words: int = SEGMENT_WORDS) -> DataFrame:
+    """(item, item_id, words, n): the items' words in pieces of bounded length. `item` tells rows apart."""
+    step = max(1, segment_words - window + 1)
+    rows = benchmark.select(F.concat(F.lit("i"), F.monotonically_increasing_id().cast("string")).alias("item"),
+                            F.col("item_id").cast("string").alias("item_id"), "text")
+
+    def cut(batches):
+        for b in batches:
+            out = []
+            for item, key, text in zip(*[b.column(c).to_pylist() for c in range(3)]):
+                ws = words(text)
+                for s in range(0, max(1, len(ws) - window + 1) if ws else 0, step):
+                    part = ws[s:s + segment_words]
+                    out.append((item, key, b" ".join(part).decode("utf-8", "replace"), len(part)))
+            yield pa.RecordBatch.from_pylist([dict(zip(_SEGMENT.names, r)) for r in out],
+                                             schema=to_arrow_schema(_SEGMENT))
+
+    return rows.mapInArrow(cut, _SEGMENT)
 
 
 def automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS):
     """Pickled automata of the benchmark's blocks, one after another."""
-    size = F.greatest(F.lit(1), F.size(F.split(F.coalesce("text", F.lit("")), r"[\x00-\x2F]+")))
-    b = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text", size.alias("n"))
+    b = materialize(segments(benchmark, window, min(SEGMENT_WORDS, max(window, block_words))))
     total = b.agg(F.sum("n")).first()[0]
     if not total:
         return
     blocks = max(1, -(-int(total) // block_words))
-    dealt = b.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    dealt = b.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(blocks)))
 
     def build(pdf):
-        items = [((None if i is None else str(i)), words(t)) for i, t in zip(pdf["item_id"], pdf["text"])]
-        items = [((n, k), ws) for n, (k, ws) in enumerate(items) if ws]
-        block = int(pdf["block"].iloc[0])
-        made = Automaton([(f"{block}:{n}", ws) for (n, _), ws in items], window)
-        made.names = {f"{block}:{n}": k for (n, k), _ in items}
+        rows = [(i, k, w.encode().split()) for i, k, w in zip(pdf["item"], pdf["item_id"], pdf["words"])]
+        made = Automaton([(i, ws) for i, _, ws in rows], window)
+        made.names = {i: None if k is None else str(k) for i, k, _ in rows}
         return pd.DataFrame({"automaton": [pickle.dumps(vars(made))]})
 
     made = dealt.groupBy("block").applyInPandas(build, "automaton binary")
@@ -201,55 +227,100 @@ def automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOC
         yield bytes(r["automaton"])
 
 
-def _scanned(docs: DataFrame, data: bytes, columns) -> DataFrame:
+FOUND = [StructField("n_words", LongType()), StructField("spans", ArrayType(LongType())),
+         StructField("items", ArrayType(StructType([StructField("item", StringType()),
+                                                    StructField("name", StringType())])))]
+
+
+def _merge(pairs):
+    """Spans [start, end) as a flat list in order, overlapping and touching ones put together."""
+    out = []
+    for a, b in sorted(pairs):
+        if out and out[-1] >= a:
+            out[-1] = max(out[-1], b)
+        else:
+            out += [a, b]
+    return out
+
+
+def _scan(autos, ws):
+    """(merged spans, {item: name}) of a list of words."""
+    if len(autos) == 1:
+        s, keys = autos[0].scan(ws)
+        return [x for pair in s for x in pair], {k: autos[0].names[k] for k in keys}
+    pairs, names = [], {}
+    for auto in autos:
+        s, keys = auto.scan(ws)
+        pairs += s
+        names.update((k, auto.names[k]) for k in keys)
+    return _merge(pairs), names
+
+
+def _scanned(docs: DataFrame, data: list, columns) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(data)
     kept = docs.select(*columns, F.col("text").alias("__text"))
+    found = to_arrow_schema(StructType(FOUND))
 
     def run(batches):
-        auto = _load(shared)
+        autos = _load(shared)
         for b in batches:
-            n_words, spans, keys, names = [], [], [], []
+            out = []
             for t in b.column("__text"):
                 ws = words(t.as_py())
-                s, k = auto.scan(ws)
-                n_words.append(len(ws))
-                spans.append([x for pair in s for x in pair])
-                k = sorted(k)
-                keys.append(k)
-                names.append([auto.names[x] for x in k])
+                spans, names = _scan(autos, ws)
+                out.append((len(ws), spans, [{"item": k, "name": names[k]} for k in sorted(names)]))
             yield pa.RecordBatch.from_arrays(
-                [*[b.column(c) for c in columns], pa.array(n_words, pa.int64()),
-                 pa.array(spans, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.string())),
-                 pa.array(names, pa.list_(pa.string()))],
-                names=[*columns, "n_words", "spans", "keys", "names"])
-
-    schema = StructType([docs.schema[c] for c in columns] + [
-        StructField("n_words", LongType()), StructField("spans", ArrayType(LongType())),
-        StructField("keys", ArrayType(StringType())), StructField("names", ArrayType(StringType()))])
-    return kept.mapInArrow(run, schema)
+                [*[b.column(c) for c in columns],
+                 *[pa.array([r[k] for r in out], f.type) for k, f in enumerate(found)]],
+                names=[*columns, *found.names])
+
+    return kept.mapInArrow(run, StructType([kept.schema[c] for c in columns] + FOUND))
+
+
+def _scans(benchmark, window, block_words):
+    """Lists of automata, each for one scan of the documents; one of an empty automaton at least."""
+    blocks, any_yet = automata(benchmark, window, block_words), False
+    while True:
+        some = list(itertools.islice(blocks, BLOCKS_A_SCAN))
+        if some:
+            yield some
+        elif not any_yet:
+            yield [pickle.dumps(vars(_empty(window)))]
+            return
+        else:
+            return
+        any_yet = True
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
          block_words: int = BLOCK_WORDS, columns=("doc_id",)) -> DataFrame:
-    """The given columns, n_words, spans (starts and ends of hit words, merged) and names (item
-    ids) of every document."""
-    columns = list(columns)
-    blocks = automata(benchmark, window, block_words)
-    first = next(blocks, None) or pickle.dumps(vars(_empty(window)))
-    second = next(blocks, None)
+    """The given columns, n_words, spans (starts and ends of hit words, merged) and items (item and
+    its id as `name`) of every document."""
+    return _found(docs, _scans(benchmark, window, block_words), list(columns))
+
+
+def _found(docs, scans, columns):
+    scans = iter(scans)
+    first, second = next(scans), next(scans, None)
     if second is None:
-        return _scanned(docs, first, columns).drop("keys")
-    # several blocks: rows are numbered once, and what the blocks find is put together
+        return _scanned(docs, first, columns)
+    # several scans: rows are numbered once, and what the scans find is put together
     rows = materialize(docs.select(*columns, "text").withColumn("__row", F.monotonically_increasing_id()))
     found = None
-    for data in itertools.chain([first, second], blocks):
+    for data in itertools.chain([first, second], scans):
         part = materialize(_scanned(rows, data, ["__row"]))
         found = part if found is None else found.unionByName(part)
-    merge = F.udf(_merge, "array<long>")
+    pairs = """array_sort(flatten(transform(collect_list(spans), s -> transform(
+        case when size(s) = 0 then array() else sequence(0, size(s) - 2, 2) end,
+        k -> struct(s[k] as a, s[k + 1] as b)))))"""
     put = found.groupBy("__row").agg(
-        F.max("n_words").alias("n_words"), merge(F.collect_list("spans")).alias("spans"),
-        F.flatten(F.collect_list("names")).alias("names"))
-    return rows.join(put, "__row").select(*columns, "n_words", "spans", "names")
+        F.max("n_words").alias("n_words"), F.expr(pairs).alias("__pairs"),
+        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    merged = F.expr("""aggregate(__pairs, cast(array() as array<bigint>), (out, p) ->
+        case when size(out) > 0 and element_at(out, -1) >= p.a
+             then concat(slice(out, 1, size(out) - 1), array(greatest(element_at(out, -1), p.b)))
+             else concat(out, array(p.a, p.b)) end)""")
+    return rows.join(put.withColumn("spans", merged), "__row").select(*columns, "n_words", "spans", "items")
 
 
 def _empty(window):
@@ -258,17 +329,6 @@ def _empty(window):
     return a
 
 
-def _merge(lists):
-    pairs = sorted((s[i], s[i + 1]) for s in lists for i in range(0, len(s), 2))
-    out = []
-    for a, b in pairs:
-        if out and out[-1] >= a:
-            out[-1] = max(out[-1], b)
-        else:
-            out += [a, b]
-    return out
-
-
 def n_hit(spans="spans"):
     return F.expr(f"cast(coalesce(aggregate(transform({spans}, (x, i) -> case when i % 2 = 1 then x else -x end),"
                   " 0L, (a, x) -> a + x), 0L) as bigint)")
@@ -276,9 +336,9 @@ def n_hit(spans="spans"):
 
 def digest(found: DataFrame) -> DataFrame:
     """The columns of the query: counts, and a digest of the item ids found."""
-    names = F.array_sort(F.filter(F.col("names"), lambda x: x.isNotNull()))
+    names = F.array_sort(F.filter(F.col("items.name"), lambda x: x.isNotNull()))
     return found.select(
-        "doc_id", "n_words", n_hit().alias("n_hit"), F.size("names").cast("long").alias("n_items"),
+        "doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"))
 
@@ -288,37 +348,94 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_span:
     """Documents without their hit spans of more than `max_span` words.
 
     Documents with more than `max_coverage` of their words hit, and those left without a word,
-    are removed. All columns are kept; n_chars, where present, is set anew for changed texts.
+    are removed. What stands on both sides of a cut may make a window, so cut texts are looked at again until
+    nothing is hit. All columns are kept; n_chars, where present, is set anew for changed texts.
     """
     cols = docs.columns
-    found = find(docs, benchmark, window, block_words, columns=cols)
+    # The columns travel as one struct, so that no name of theirs meets one of ours.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), "text")
+    scans = list(_scans(benchmark, window, block_words))
+    if len(scans) == 1:
+        done = _cleaned(rows, scans[0], max_span, max_coverage)
+    else:
+        done = _cleaned_in_rounds(rows, scans, max_span, max_coverage)
+
+    def column(c):
+        value = F.col("row").getField(c)
+        if c == "text":
+            return F.when(F.col("changed"), F.col("text")).otherwise(value).alias(c)
+        if c == "n_chars":
+            new = F.length("text").cast(docs.schema[c].dataType)
+            return F.when(F.col("changed"), new).otherwise(value).alias(c)
+        return value.alias(c)
+
+    return done.select(*[column(c) for c in cols])
+
+
+def _cleaned(rows, autos, max_span, max_coverage):
+    """(row, text, changed) of the documents that stay, in one scan."""
+    shared = rows.sparkSession.sparkContext.broadcast(autos)
+
+    def run(batches):
+        autos = _load(shared)
+        for b in batches:
+            at, texts, changed = [], [], []
+            for k, t in enumerate(b.column("text")):
+                t = t.as_py()
+                ws = words(t)
+                spans, _ = _scan(autos, ws)
+                hit = sum(spans[1::2]) - sum(spans[::2])
+                if hit > len(ws) * max_coverage:
+                    continue
+                cut, new = _without(t, spans, max_span), False
+                while cut is not None:  # each round takes words out, so this ends
+                    t, new = cut, True
+                    cut = _without(t, _scan(autos, words(t))[0], max_span)
+                if new and not words(t):
+                    continue
+                at.append(k)
+                texts.append(t)
+                changed.append(new)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("row").take(pa.array(at, pa.int64())), pa.array(texts, pa.string()),
+                 pa.array(changed, pa.bool_())], names=["row", "text", "changed"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("changed", BooleanType())]))
+
+
+def _cleaned_in_rounds(rows, scans, max_span, max_coverage):
+    """The same where several scans are needed: the texts cut in one round are scanned in the next."""
     cut = F.pandas_udf(_cut, "string")
-    hit = n_hit()
-    kept = found.where((F.size("spans") == 0) | (hit <= F.col("n_words") * max_coverage))
-    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(
-        cut("text", "spans", F.lit(max_span)))
-    kept = kept.withColumn("text", text)
-    kept = kept.where((F.size("spans") == 0) | F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
-    if "n_chars" in cols:
-        kept = kept.withColumn("n_chars", F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(
-            F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return kept.select(*cols)
+    found = materialize(_found(rows, scans, ["row", "text"]).where(n_hit() <= F.col("n_words") * max_coverage))
+    out, changed = None, False
+    while True:
+        new = cut("text", "spans", F.lit(max_span))
+        still = found.select("row", new.alias("text")).where(F.col("text").isNotNull())
+        same = found.where(new.isNull()).select("row", "text", "n_words", F.lit(changed).alias("changed"))
+        same = same.where(~F.col("changed") | (F.col("n_words") > 0)).drop("n_words")
+        out = same if out is None else out.unionByName(same)
+        still = materialize(still)
+        if not still.limit(1).count():
+            return out
+        found, changed = materialize(_found(still, scans, ["row", "text"])), True
+
+
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def _without(text, spans, longest):
+    """The text without its spans of more than `longest` words; None where there are none."""
+    spans = [(a, b) for a, b in zip(spans[::2], spans[1::2]) if b - a > longest]
+    if not spans:
+        return None
+    at = [m.span() for m in _WORD.finditer(text)]
+    parts, last = [], 0
+    for a, b in spans:
+        parts.append(text[last:at[a][0]])
+        last = at[b - 1][1]
+    return "".join([*parts, text[last:]])
 
 
 def _cut(text: pd.Series, spans: pd.Series, longest: pd.Series) -> pd.Series:
-    pattern = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-    out = []
-    for t, s, limit in zip(text, spans, longest):
-        if t is None or not len(s):
-            out.append(t)
-            continue
-        at = [m.span() for m in pattern.finditer(t)]
-        parts, last = [], 0
-        for a, b in zip(s[::2], s[1::2]):
-            if b - a <= limit:
-                continue
-            parts.append(t[last:at[a][0]])
-            last = at[b - 1][1]
-        parts.append(t[last:])
-        out.append("".join(parts))
-    return pd.Series(out, dtype=object)
+    return pd.Series([None if t is None else _without(t, s, limit) for t, s, limit in zip(text, spans, longest)],
+                     dtype=object)

@@ -27,37 +27,29 @@ THRESHOLDS = [
 ]
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SPACE = r"[\x20\x09-\x0D]"
-_POSITION_BITS = 26
 
 
 def measures(text: Column, df: DataFrame) -> DataFrame:
     """Add the count columns of every rule; each step is a plain projection."""
     t = F.coalesce(text, F.lit(""))
     df = df.withColumn("__t", t).withColumn(
-        "__trim", F.expr(r"trim(BOTH ' \t\n\u000B\f\r' FROM __t)"))
+        "__trim", F.regexp_replace("__t", f"^{SPACE}+|{SPACE}+\\z", ""))
     df = df.withColumn("__w", F.when(F.col("__trim") == "", F.array().cast("array<string>"))
                        .otherwise(F.split("__trim", SPACE + "+")))
     df = df.withColumn("__lines", F.filter(F.split("__t", "\n"),
                                            lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     n = F.size("__w").cast("long")
-    w = F.col("__w")
-    # the hash of a 3-word window above its position, so that sorting brings equal windows
-    # together
-    df = df.withColumn("n_words", n).withColumn("__keys", F.when(F.size("__w") < 3, F.array().cast("array<bigint>")).otherwise(
-        F.expr(f"""transform(sequence(0, size(__w) - 3), i ->
-            shiftleft(xxhash64(__w[i], __w[i + 1], __w[i + 2]), {_POSITION_BITS}) + i)""")))
-    df = df.withColumn("__s", F.sort_array("__keys"))
-    mask = (1 << _POSITION_BITS) - 1
-    same = (f"(shiftright(__s[j], {_POSITION_BITS}) = shiftright(__s[j {{d}} 1], {_POSITION_BITS})"
-            f" and " + " and ".join(
-                f"__w[cast(__s[j] & {mask} as int) + {k}] = __w[cast(__s[j {{d}} 1] & {mask} as int) + {k}]"
-                for k in range(3)) + ")")
+    # 3-word windows in the order of their hash, then their words, so that equal ones stand together
+    # whatever else has the same hash.
+    df = df.withColumn("n_words", n).withColumn("__s", F.expr("""sort_array(transform(
+        case when size(__w) < 3 then array() else sequence(0, size(__w) - 3) end, i -> struct(
+            xxhash64(__w[i], __w[i + 1], __w[i + 2]) as h, __w[i] as a, __w[i + 1] as b, __w[i + 2] as c, i as i)))"""))
+    same = " and ".join(f"__s[j].{f} = __s[j {{d}} 1].{f}" for f in "habc")
     df = df.withColumn("__hit", F.expr(f"""case when size(__s) < 2 then array() else
-        filter(sequence(0, size(__s) - 1), j -> (j > 0 and {same.format(d='-')})
-               or (j < size(__s) - 1 and {same.format(d='+')})) end"""))
-    df = df.withColumn("n_repeat_words", F.expr(f"""cast(size(array_distinct(flatten(transform(
-        __hit, j -> array(cast(__s[j] & {mask} as int), cast(__s[j] & {mask} as int) + 1,
-                          cast(__s[j] & {mask} as int) + 2))))) as bigint)"""))
+        transform(filter(sequence(0, size(__s) - 1), j -> (j > 0 and {same.format(d='-')})
+                         or (j < size(__s) - 1 and {same.format(d='+')})), j -> __s[j].i) end"""))
+    df = df.withColumn("n_repeat_words", F.expr("""cast(size(array_distinct(flatten(transform(
+        __hit, i -> array(i, i + 1, i + 2))))) as bigint)"""))
 
     def gone(pattern):
         return (F.length("__t") - F.length(F.regexp_replace("__t", pattern, ""))).cast("long")

@@ -130,6 +130,38 @@ def test_decontamination(spark, docs, empty):
     assert not any(r.n_hit for r in decontamination.digest(decontamination.find(docs, bench.limit(0))).collect())
 
 
+@pytest.mark.parametrize("block_words", [200_000, 12])
+def test_clean_leaves_nothing_and_keeps_columns(spark, block_words):
+    bench = spark.createDataFrame([("a", BASE), ("b", "a1 a2 a3 a4 a5 a6 a7 a8 a9 a10 a11"), ("c", "x1:x2=x3@x4"),
+                                   (None, " ".join(f"long{k}" for k in range(60)))], "item_id string, text string")
+    filler = " ".join(f"f{k}" for k in range(90))
+    # Cutting the first span brings the halves of another window together.
+    nested = "a1 a2 a3 a4 a5 " + BASE + " a6 a7 a8 a9 a10 a11 " + filler
+    texts = [nested, filler, BASE, f"{filler} x1 x2, x3 x4", None, "", f"{filler} " + " ".join(f"long{k}" for k in range(5, 40)), nested]
+    names = ["names", "spans", "n_words", "keys", "__text", "items", "row", "changed", "n_chars"]
+    df = spark.createDataFrame([(k, t, *[f"{c}{k}" for c in names[:-1]], len(t or "")) for k, t in enumerate(texts)],
+                               "doc_id long, text string, " + ", ".join(f"{c} string" for c in names[:-1]) + ", n_chars long")
+    left = decontamination.clean(df, bench, block_words=block_words)
+    assert left.columns == df.columns
+    got = {r.doc_id: r for r in left.collect()}
+    assert got.keys() == {0, 1, 3, 4, 5, 6, 7}
+    assert all(got[k].names == f"names{k}" and got[k].row == f"row{k}" and got[k].n_chars == len(got[k].text or "") for k in got)
+    assert got[0].text.split() == filler.split() == got[7].text.split() and got[1].text == filler
+    assert decontamination.digest(decontamination.find(left, bench)).where("n_hit > 0").count() == 0
+
+
+def test_long_items_are_cut_into_segments(spark):
+    ws = [f"s{k}" for k in range(100)]
+    bench = spark.createDataFrame([("a", " ".join(ws)), ("a", ":".join(ws))], "item_id string, text string")
+    got = decontamination.segments(bench, 10, 25).collect()
+    assert all(r.n <= 25 for r in got) and len({r.item for r in got}) == 2
+    seen = {tuple(r.words.split()[k:k + 10]) for r in got for k in range(r.n - 9)}
+    assert seen == {tuple(ws[k:k + 10]) for k in range(91)}
+    docs = spark.createDataFrame([(1, " ".join(ws[20:60]))], "doc_id long, text string")
+    r = decontamination.digest(decontamination.find(docs, bench, block_words=30)).first()
+    assert (r.n_hit, r.n_items) == (40, 2)
+
+
 def test_toxicity(spark, docs, empty):
     rows = [(i, f"word{i % 7} plain text here. " + ("you idiot there." if i % 5 == 0 else "fine day.")) for i in range(300)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
@@ -310,6 +342,31 @@ def test_quality_rules(docs, empty):
     assert "Python" not in quality_rules.judge(docs)._jdf.queryExecution().toString()
 
 
+def plain_rules(t):
+    t = t or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    grams = [tuple(w[i:i + 3]) for i in range(len(w) - 2)]
+    n = {}
+    for g in grams:
+        n[g] = n.get(g, 0) + 1
+    rep = {i + k for i, g in enumerate(grams) if n[g] > 1 for k in range(3)}
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(rep),
+            len(w) < 50 or 100 * len(rep) > 50 * len(w))
+
+
+def test_quality_rules_next_to_plain_counts(spark):
+    """Letters and white space at both ends, and repeats in long texts."""
+    rng = np.random.default_rng(0)
+    texts = ["f", "ff off f", "\x0cabc def\x0c", "\x0b\t f x f\r\n", "a\x0cb\x0bc", "\u00a0f\u2003", "\x1cf\x1c", "f\nf\n\nf",
+             None, "", " ", " ".join(rng.choice(list("abcdef"), 3000)), " ".join(rng.choice([f"w{k}" for k in range(400)], 20_000)),
+             " ".join(f"w{k}" for k in range(70_000)) + " w5 w6 w7", "".join(rng.choice(list("f \t\n\x0b\x0cg#"), 5000))]
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, n_words string")
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)
+           for r in quality_rules.judge(df).collect()}
+    assert got == {k: plain_rules(t) for k, t in enumerate(texts)}
+
+
 def test_url_rules(spark):
     urls = ["http://a.EXAMPLE.net/en/x", "https://example.net/de/", "x://shop.example.com/de/1?q", "http://b.org/fr/", "http://b.org/FR/",
             None, "", "no scheme", "http://casino-win.example.com/en/", "http://net", "http://notnet/", "http://x.net/#f", "http://x.net?y/"]
