@@ -337,7 +337,8 @@ def _short(rows: DataFrame, digests: bool) -> DataFrame:
         if reader is not None:
             yield from closed()
 
-    return (rows.repartition("key").sortWithinPartitions("key", *ORDER)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (rows.repartition(tasks, "key").sortWithinPartitions("key", *ORDER)
             .mapInArrow(lambda b: _batched(solve(b), arrow), schema))
 
 

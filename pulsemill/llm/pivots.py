@@ -162,7 +162,9 @@ def compare(filed: DataFrame, limit: float = LIMIT, part: int = PART, exact: str
                 if out is not None:
                     yield out
 
-    return dealt.repartition("tile").sortWithinPartitions("tile", "node").mapInArrow(run, FOUND)
+    # A number keeps small but costly partitions apart.
+    tasks = int(filed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(tasks, "tile").sortWithinPartitions("tile", "node").mapInArrow(run, FOUND)
 
 
 def compared(rows: pa.Table, limit: float, exact: str):

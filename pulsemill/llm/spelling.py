@@ -178,7 +178,9 @@ def neighbours(words: DataFrame, block: int = BLOCK) -> DataFrame:
     def emit(out):
         return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), arrow)], schema=arrow)
 
-    found = dealt.repartition("tile").sortWithinPartitions("tile", "word").mapInArrow(run, FOUND)
+    # A number keeps small but costly partitions apart.
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = dealt.repartition(tasks, "tile").sortWithinPartitions("tile", "word").mapInArrow(run, FOUND)
     first = F.min(F.struct((-F.col("n")).alias("less"), "best"))
     return (found.groupBy("word").agg(F.sum("near").alias("n_near"), first.alias("f"))
             .select("word", "n_near", F.col("f.best").alias("best"), (-F.col("f.less")).alias("best_n")))

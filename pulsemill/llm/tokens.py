@@ -13,7 +13,7 @@ import numpy as np
 from pulsemill.llm.worker import kept
 
 TOKENIZER = "byte_bpe_50k.json"
-PIECES_KEPT = 500_000
+PIECES_KEPT, LONGEST_KEPT = 600_000, 60
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -24,82 +24,147 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class Encoder:
     """Ids of whole texts as little-endian uint32 bytes, equal to encoding the text at once.
 
-    The strings of special tokens are ordinary text here.
-    """
+    Texts that hold the string of an added token are encoded at once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.model._resize_cache(0)  # pieces are kept here
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.newline = self.plain("\n")
         vocab = self.tokenizer.get_vocab()
         self.blank = np.zeros(max(vocab.values()) + 1, bool)
         # the byte-level alphabet writes the blank as this letter
         self.blank[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
-        self.after_blank, self.bare = _Pieces(self, " "), _Pieces(self, "")
+        # Ids of pieces behind a blank, and of pieces by themselves; of each the younger and the older half.
+        self.after, self.after_old, self.bare, self.bare_old = {}, {}, {}, {}
 
     def plain(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
-    def prime(self, texts) -> None:
-        """Encode the words of some texts that are new, many in one call: after a blank a word of
-        letters alone begins with the only token that has a blank."""
-        known, new = self.after_blank, set()
-        for t in texts:
-            if t:
-                for p in set(t.split(" ")):
-                    if p not in known:
-                        if p[-1:] in (".", ","):
-                            p = p[:-1]
-                        if p.isalpha() and len(p) <= 60:
-                            new.add(p)
-        new = [p for p in new if p not in known]
-        if len(known) + len(new) > PIECES_KEPT:
-            known.clear()
-        for lo in range(0, len(new), 2000):
-            part = new[lo:lo + 2000]
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts) -> list:
+        """Ids of some texts. Each is cut once, and pieces that are new are encoded together."""
+        cut = [self._cut(t) for t in texts]
+        wanted = set()
+        for parts in cut:
+            if parts.__class__ is list:
+                wanted.update(parts)
+        passing = self._learn(wanted)
+        ids = self.after.__getitem__
+        out = []
+        for t, parts in zip(texts, cut):
+            if parts.__class__ is list:
+                head = parts[0]
+                first = self._bare(head) if head else b""
+                out.append(first + b"".join(map(ids, parts[1:])))
+            else:
+                out.append(self.plain(t) if t else b"")
+        for p in passing:
+            del self.after[p]
+        return out
+
+    def _cut(self, text):
+        """The piece before the first cut and the pieces after a blank, without that; None for an
+        empty text or one to be encoded at once."""
+        if not text or any(a in text for a in self.added):
+            return None
+        if not _blank_after_space(text):
+            return text.split(" ")
+        parts = _CUT.split(text)
+        head = [] if parts[0][0] == " " and len(parts[0]) > 1 else [parts.pop(0)]
+        return [*(head or [""]), *[p[1:] for p in parts]]
+
+    def _learn(self, wanted) -> list:
+        """Make sure of the ids of all pieces behind a blank; those that are not to be kept."""
+        wanted.discard("")
+        after, old = self.after, self.after_old
+        new = wanted.difference(after)
+        if new and old:
+            again = [p for p in new if p in old]
+            after.update((p, old[p]) for p in again)
+            new.difference_update(again)
+        if not new:
+            return self._blank_piece(after)
+        words, others, made, passing = [], [], [], []
+        for p in new:
+            if p.isalpha() and len(p) <= LONGEST_KEPT:
+                words.append(p)
+            elif p[-1] in ".," and p[:-1].isalpha() and len(p) <= LONGEST_KEPT:
+                made.append(p)
+            else:
+                others.append(p)
+        words += [b for b in {p[:-1] for p in made} if b not in after and b not in new]
+        self._learn_words(words)
+        for p in made:
+            after[p] = after[p[:-1]] + self._bare(p[-1])
+        single = []
+        for p in others:
+            if "\n" in p:
+                parts = p.split("\n")
+                if all(x and not x[0].isspace() and not x[-1].isspace() for x in parts):
+                    passing.append(p)
+                    continue
+            single.append(p)
+            if len(p) > LONGEST_KEPT:
+                passing.append(p)
+        for lo in range(0, len(single), 1000):
+            part = single[lo:lo + 1000]
+            for p, e in zip(part, self.tokenizer.encode_batch_fast([" " + p for p in part], add_special_tokens=False)):
+                after[p] = np.array(e.ids, "<u4").tobytes()
+        for p in passing:
+            if p not in after:
+                first, *rest = p.split("\n")
+                if first not in after:
+                    after[first] = self.plain(" " + first)
+                    if len(first) > LONGEST_KEPT:
+                        passing.append(first)
+                after[p] = after[first] + b"".join(self.newline + self._bare(x) for x in rest)
+        if len(after) - len(passing) > PIECES_KEPT // 2:
+            # What these texts need stays; the rest is the older half until it is asked for again.
+            self.after_old = after
+            self.after = {p: after[p] for p in wanted}
+            for p in passing:
+                self.after_old.pop(p, None)
+            passing = [p for p in passing if p in self.after]
+        return passing + self._blank_piece(self.after)
+
+    def _blank_piece(self, after):
+        """A blank by itself, where a text ends with one."""
+        if "" not in after:
+            after[""] = self.plain(" ")
+        return []
+
+    def _learn_words(self, words):
+        """Words of letters alone, many in one call: each begins with the only token that has a blank."""
+        for lo in range(0, len(words), 300):
+            part = words[lo:lo + 300]
             ids = self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids
             ids = np.array(ids, "<u4")
             at = np.flatnonzero(self.blank[ids]) * 4
             if len(at) == len(part):
                 raw, edges = ids.tobytes(), [*at.tolist(), 4 * len(ids)]
-                known.update(zip(part, [raw[a:b] for a, b in zip(edges, edges[1:])]))
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _blank_after_space(text):
-            return b"".join(self.plain(p) for p in _cut_at_blanks(text))
-        parts = text.split(" ")
-        head = self.bare[parts[0]] if parts[0] else b""
-        return head + b"".join(map(self.after_blank.__getitem__, parts[1:]))
-
-
-class _Pieces(dict):
-    """Piece (without its leading blank) to ids; pieces between two blanks are never empty."""
-
-    def __init__(self, encoder, lead):
-        self.encoder, self.lead = encoder, lead
-
-    def __missing__(self, piece):
-        if "\n" in piece:
-            parts = piece.split("\n")
-            if all(p and not p[0].isspace() and not p[-1].isspace() for p in parts):
-                line = self.encoder.bare
-                return self[parts[0]] + b"".join(self.encoder.newline + line[p]
-                                                 for p in parts[1:])
-        if len(piece) > 1 and piece[-1] in ".," and piece[-2].isalpha():
-            return self[piece[:-1]] + self.encoder.bare[piece[-1]]
-        return self._new(piece)
-
-    def _new(self, piece):
-        ids = self.encoder.plain(self.lead + piece)
-        if len(piece) <= 60:
-            if len(self) >= PIECES_KEPT:
-                self.clear()
-            self[piece] = ids
+                self.after.update(zip(part, [raw[a:b] for a, b in zip(edges, edges[1:])]))
+            else:
+                self.after.update((p, self.plain(" " + p)) for p in part)
+
+    def _bare(self, piece):
+        ids = self.bare.get(piece)
+        if ids is None:
+            ids = self.bare_old.get(piece)
+            if ids is None:
+                if len(piece) > 1 and piece[-1] in ".," and piece[-2].isalpha():
+                    ids = self._bare(piece[:-1]) + self._bare(piece[-1])
+                else:
+                    ids = self.plain(piece)
+            if len(piece) <= LONGEST_KEPT:
+                if len(self.bare) >= PIECES_KEPT // 8:
+                    self.bare_old, self.bare = self.bare, {}
+                self.bare[piece] = ids
         return ids
 
 
@@ -108,10 +173,6 @@ def _blank_after_space(text: str) -> bool:
     return text[0] == " " or text[-1] == " " or "  " in text or _SPACE_BLANK.search(text) is not None
 
 
-def _cut_at_blanks(text: str) -> list:
-    return _CUT.split(text)
-
-
 _SPACE_BLANK = re.compile(r"[^\S ] ")
 _CUT = re.compile(r"(?<=\S)(?= )")
 
@@ -125,7 +186,4 @@ def encoded(enc: Encoder, batch):
     """(doc_id, ids) of every row of an Arrow batch with doc_id and text."""
     for lo in range(0, batch.num_rows, 200):
         part = batch.slice(lo, 200)
-        texts = part.column("text").to_pylist()
-        enc.prime(texts)
-        for doc_id, text in zip(part.column("doc_id").to_pylist(), texts):
-            yield doc_id, enc.encode(text or "")
+        yield from zip(part.column("doc_id").to_pylist(), enc.encode_all(part.column("text").to_pylist()))
