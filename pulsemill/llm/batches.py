@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
+from pulsemill.llm.worker import release
 from pulsemill.sources.storage import scratch_path
 
 BUCKET_CHARS = 6_000_000
@@ -47,11 +48,11 @@ def bucket_of(buckets: int, key: str = "doc_id", other: str = None):
     return F.pmod(k, F.lit(buckets)).cast("long")
 
 
-def pack_rows(batch: pa.Table) -> bytes:
+def pack_rows(batch: pa.Table, level: int = 5) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as w:
         w.write_table(batch)
-    return zstandard.ZstdCompressor(level=5).compress(sink.getvalue().to_pybytes())
+    return zstandard.ZstdCompressor(level=level).compress(sink.getvalue().to_pybytes())
 
 
 def unpack_rows(blob: bytes) -> pa.Table:
@@ -63,12 +64,13 @@ def unpack_rows(blob: bytes) -> pa.Table:
 PACKED = StructType([StructField("bucket", LongType()), StructField("rows", BinaryType())])
 
 
-def packed(docs: DataFrame, buckets: int, add=None) -> DataFrame:
+def packed(docs: DataFrame, buckets: int, add=None, level: int = 5) -> DataFrame:
     """(bucket, rows): all columns of the documents, packed per task and bucket. `add` may give
-    columns that are worked out from the rows once, before they travel."""
+    columns that are worked out from the rows once, before they travel; `level` is that of compression."""
     with_bucket = docs.withColumn("__bucket", bucket_of(buckets, "doc_id", "text"))
 
     def deal(batches):
+        release()
         held, size = [], 0
         for b in batches:
             held.append(b)
@@ -92,7 +94,7 @@ def packed(docs: DataFrame, buckets: int, add=None) -> DataFrame:
         for s, e in zip(starts, ends):
             part = t.take(pa.array(order[s:e]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([int(at[s])], pa.int64()), pa.array([pack_rows(part)], pa.binary())],
+                [pa.array([int(at[s])], pa.int64()), pa.array([pack_rows(part, level)], pa.binary())],
                 names=["bucket", "rows"])
 
     return with_bucket.mapInArrow(deal, PACKED)

@@ -44,11 +44,13 @@ MIN_TOKENS, TEMPLATE_TOKENS, LEADING = 8, 12, 2
 MIN_DOCS, LONG_TOKENS, LONG_MIN_DOCS, TEMPLATE_MIN_DOCS = 3, 40, 2, 5
 MIN_LEFT = 20
 
-_SENTENCE = re.compile(r"(?<=[.!?]) +")
-_FIELD = re.compile(r"\d|://|@")
+_SENTENCE = re.compile(r"[.!?] +")
+_FIELD, _MAYBE_FIELD = re.compile(r"\d|://|@"), re.compile(r"[\d@:]")
+_digest = xxhash.xxh64_intdigest
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 # of the rolling hash over the records of a passage
 MULTIPLIER = 0x9E3779B97F4A7C17
+MASK = (1 << 64) - 4
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 RESULT = ["n_dropped", "n_records"]
 # columns worked out once per document: start, end, tokens and template of every record; first and
@@ -68,11 +70,12 @@ def _key(tokens: list, n: int, fixed: bool) -> int:
     variable third. 0 for records that are too short or all variable fields."""
     if n < MIN_TOKENS or not fixed and sum(t != "<*>" for t in tokens) < MIN_TOKENS // 2:
         return 0
-    return _hash(n, " ".join(tokens))
+    return _hash(n, _digest(" ".join(tokens)))
 
 
-def _hash(n, text):
-    return (xxhash.xxh64_intdigest(f"{n} {text}") & ~3) | (1 if n >= LONG_TOKENS else 2)
+def _hash(n, words):
+    """From the hash of the words."""
+    return ((words + n) * MULTIPLIER & MASK) | (1 if n >= LONG_TOKENS else 2)
 
 
 def _thirds(tokens: list, n: int) -> list:
@@ -83,7 +86,7 @@ def _thirds(tokens: list, n: int) -> list:
         a = LEADING + k * step
         b = min(n, a + step)
         rest = f"{n} {k} {' '.join(tokens[:a])} <{b - a}*> {' '.join(tokens[b:])}"
-        out.append((xxhash.xxh64_intdigest(rest) & ~3) | 3)
+        out.append((_digest(rest) & ~3) | 3)
     return out
 
 
@@ -98,7 +101,7 @@ def parts_of(text: str) -> tuple:
             first = len(starts)
             lo = at
             raw = tokens = line.split()
-            fixed = not _FIELD.search(line)
+            fixed = not (_MAYBE_FIELD.search(line) and _FIELD.search(line))
             if not fixed:
                 tokens = [_mask(t) for t in tokens]
             n = len(tokens)
@@ -108,7 +111,7 @@ def parts_of(text: str) -> tuple:
                 ends.append(at + len(line))
                 sizes.append(n)
                 keys.append(_key(tokens, n, fixed))
-                words.append(xxhash.xxh64_intdigest(" ".join(raw)))
+                words.append(_digest(" ".join(raw)))
             else:
                 for cut in [*cuts, len(line)]:
                     if at + cut == lo:
@@ -117,11 +120,12 @@ def parts_of(text: str) -> tuple:
                     if even and fixed:
                         s = s.rstrip(" ")
                         m = s.count(" ") + 1
-                        keys.append(_hash(m, s) if m >= MIN_TOKENS else 0)
-                        words.append(xxhash.xxh64_intdigest(s))
+                        h = _digest(s)
+                        keys.append(_hash(m, h) if m >= MIN_TOKENS else 0)
+                        words.append(h)
                     else:
                         part = s.split()
-                        words.append(xxhash.xxh64_intdigest(" ".join(part)))
+                        words.append(_digest(" ".join(part)))
                         if not fixed:
                             part = [_mask(t) for t in part]
                         m = len(part)
@@ -204,7 +208,7 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
     buckets = batches.bucket_count(*size)
     shards = max(1, -(-size[1] // 20_000_000))
     plain = docs.drop(*[c for c in (*PARTS, *RUNS) if c in docs.columns])
-    packed = batches.packed(plain, buckets, add_parts)
+    packed = batches.packed(plain, buckets, add_parts, level=1)
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         t = pa.concat_tables([batches.unpack_rows(b) for b in pdf["rows"]])

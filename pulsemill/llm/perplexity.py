@@ -24,11 +24,13 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import (BinaryType, BooleanType, DoubleType, LongType, StructField,
                                StructType)
 
 from pulsemill.llm import batches
+from pulsemill.llm.worker import release
 
 ORDER, CALIBRATE, MIN_CALIBRATION = 4, 5, 10
 MIDDLE, UPPER, MARGIN, SLACK = 0.5, 0.98, 2.5, 12.0
@@ -40,7 +42,7 @@ RESULT = [("perplexity", DoubleType()), ("perplexity_limit", DoubleType()), ("ke
 
 
 def normal(text: str) -> str:
-    return _DIGIT.sub("0", _SPACE.sub(" ", text)).strip()
+    return _DIGIT.sub("0", _SPACE.sub(" ", text)).replace("\0", "\1").strip()
 
 
 class Grams:
@@ -92,8 +94,8 @@ def gram_keys(lang: str, windows: np.ndarray) -> np.ndarray:
 
 def _strings(windows):
     if not len(windows):
-        return []
-    return np.ascontiguousarray(windows).view(f"<U{windows.shape[1]}").ravel().tolist()
+        return pa.array([], pa.string())
+    return pa.array(np.ascontiguousarray(windows).view(f"<U{windows.shape[1]}").ravel(), pa.string())
 
 
 def _by_language(t: pa.Table):
@@ -129,19 +131,21 @@ def count_grams(docs: DataFrame, labels: DataFrame, buckets: int, order: int) ->
     packed = batches.packed(batches.sift(docs, "doc_id", batches.sieve(good, "doc_id")), buckets)
     good = good.withColumn("bucket", batches.bucket_of(buckets))
 
+    kind = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("c", pa.int64())])
+
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
-        langs, grams, counts = [], [], []
+        release()
+        out = [kind.empty_table()]
         if left.num_rows and right.num_rows:
-            t = pa.concat_tables([batches.unpack_rows(b) for b in left.column("rows").to_pylist()])
-            trusted = set(right.column("doc_id").to_pylist())
-            t = t.filter(pa.array([d in trusted for d in t.column("doc_id").to_pylist()]))
+            trusted = right.column("doc_id").unique()
+            t = pa.concat_tables([u.filter(pc.is_in(u.column("doc_id").cast(pa.int64()), trusted))
+                                  for u in map(batches.unpack_rows, left.column("rows").to_pylist())])
             for lang, texts in _by_language(t):
                 g = Grams([s for _, s in texts], order)
-                langs += [lang] * len(g.windows)
-                grams += _strings(g.windows)
-                counts += g.counts().tolist()
-        return pa.table({"lang": pa.array(langs, pa.string()), "gram": pa.array(grams, pa.string()),
-                         "c": pa.array(counts, pa.int64())})
+                out.append(pa.Table.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(g.windows)),
+                                                 _strings(g.windows), pa.array(g.counts().astype(np.int64))], schema=kind))
+                del g
+        return pa.concat_tables(out)
 
     made = packed.groupBy("bucket").cogroup(good.groupBy("bucket")).applyInArrow(
         count, "lang string, gram string, c long")
@@ -245,6 +249,7 @@ def _bucket_grams(blobs, order):
 def answers(packed: DataFrame, m: DataFrame, shards: int, order: int) -> DataFrame:
     """For each bucket and shard, the values of the keys asked for, in the order of the keys."""
     def want(pdf: pd.DataFrame) -> pd.DataFrame:
+        release()
         keys = _bucket_grams(pdf["rows"], order)[2]
         return batches.ask(int(pdf["bucket"].iloc[0]), keys, None, shards)
 

@@ -191,7 +191,8 @@ def read_token_files(spark: SparkSession, root: str, with_ids: bool = False) ->
                         yield pa.RecordBatch.from_pydict(cols)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return files.repartition("file").mapInArrow(read, schema)
+    # A number of tasks that small rows do not reduce: each of them reads a file.
+    return files.repartition(max(1, files.count())).mapInArrow(read, schema)
 
 
 def read_documents(spark: SparkSession, root: str, doc_ids: list) -> pd.DataFrame:

@@ -25,3 +25,8 @@ def forget(prefix):
     state = vars(sys).setdefault("_pulsemill_kept", {})
     for name in [n for n in state if n.startswith(prefix)]:
         del state[name]
+
+
+def release():
+    """Drop everything that is kept, for functions that need the memory themselves."""
+    vars(sys).pop("_pulsemill_kept", None)
