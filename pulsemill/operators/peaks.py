@@ -1,7 +1,7 @@
 """Peaks and beats.
 
-`find_peaks` is the one small numeric helper; Spark cuts the data into bounded arrays
-(whole windows, or blocks of a long segment with a halo) and calls it per array.
+`peak_rules` holds the small numeric helpers; Spark cuts the data into bounded arrays (whole
+windows, or blocks of a long segment) and calls them per array.
 """
 
 import numpy as np
@@ -10,97 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsemill.functions.arrays import array_mean, bind
 from pulsemill.functions.numeric import is_finite
-from pulsemill.operators.indexing import with_halo
-from pulsemill.operators.windows import attach_to_segments, tag_segments
-from pulsemill.sources.storage import materialize
-
-PEAK_BLOCK = 32768
-PEAK_HALO = 2048
-HALO_GROWTH = 8
-
-
-def _local_maxima(x):
-    """Middle (rounded down) of every flat top that is higher than both neighbours."""
-    starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-    level = x[starts]
-    stops = np.r_[starts[1:], x.size]
-    top = np.zeros(starts.size, dtype=bool)
-    if starts.size > 2:
-        top[1:-1] = (level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])
-    return (starts[top] + stops[top] - 1) // 2
-
-
-def _spread_out(x, peaks, distance, open_left, open_right):
-    """Keep peaks from the highest down (ties: the later one first), at least `distance` apart.
-
-    Returns (kept, unsure). A peak is unsure when a neighbour beyond an open end, or
-    another unsure higher peak, could decide it.
-    """
-    reach_left, reach_right = -1, x.size
-    if open_left:
-        reach_left = int(np.argmax(x != x[0])) if np.any(x != x[0]) else x.size
-    if open_right:
-        reach_right = x.size - 1 - int(np.argmax(x[::-1] != x[-1])) if np.any(x != x[-1]) else -1
-    exposed = ((open_left & (peaks - reach_left < distance))
-               | (open_right & (reach_right - peaks < distance))).tolist()
-    lo = np.searchsorted(peaks, peaks - distance, side="right").tolist()
-    hi = np.searchsorted(peaks, peaks + distance, side="left").tolist()
-    kept, unsure = 1, 2
-    state = bytearray(peaks.size)
-    for j in np.lexsort((-peaks, -x[peaks])).tolist():
-        if state.find(kept, lo[j], hi[j]) >= 0:
-            continue
-        state[j] = unsure if exposed[j] or state.find(unsure, lo[j], hi[j]) >= 0 else kept
-    verdict = np.frombuffer(state, dtype=np.uint8)
-    return verdict == kept, verdict == unsure
-
-
-def _drop(x, p, step, closed):
-    """Depth of the valley next to a peak before a higher sample; (depth, is_exact)."""
-    side = x[p + 1:] if step > 0 else x[:p][::-1]
-    higher = np.flatnonzero(side > x[p])
-    if higher.size:
-        side = side[:higher[0]]
-    low = min(side.min(), x[p]) if side.size else x[p]
-    return x[p] - low, bool(higher.size) or closed
-
-
-def find_peaks(x, distance, prominence, open_left=False, open_right=False):
-    """Positions of peaks and whether each is settled.
-
-    Local maxima, thinned to a minimum distance by height, then kept when they rise at
-    least `prominence` above the higher of their two valleys. `open_left`/`open_right`
-    say that the array is part of a longer signal on that side.
-    """
-    peaks = _local_maxima(x)
-    kept, unsure = _spread_out(x, peaks, distance, open_left, open_right)
-    found, sure = [], []
-    for p, maybe in zip(peaks[kept | unsure], unsure[kept | unsure]):
-        left, left_exact = _drop(x, p, -1, not open_left)
-        right, right_exact = _drop(x, p, 1, not open_right)
-        if (left < prominence and left_exact) or (right < prominence and right_exact):
-            continue
-        found.append(int(p))
-        sure.append(bool(not maybe and left >= prominence and right >= prominence))
-    return found, sure
-
-
-def _cut_tops(x, open_left, open_right, step):
-    """Positions, at least one per `step`, inside flat tops that reach an open end.
-
-    Such a top may have its middle, and so a peak, anywhere along it.
-    """
-    change = np.flatnonzero(x[1:] != x[:-1])
-    spans = []
-    if not change.size:
-        spans = [(0, x.size - 1)] if open_left and open_right else []
-    else:
-        first, last = change[0], change[-1] + 1
-        if open_left and x[first + 1] < x[0]:
-            spans.append((0, first))
-        if open_right and x[last - 1] < x[-1]:
-            spans.append((last, x.size - 1))
-    return sorted({int(p) for a, b in spans for p in [*range(a, b + 1, step), b]})
+from pulsemill.operators import blocks
+from pulsemill.operators.peak_rules import find_peaks
 
 
 def detect_peaks(values, window_seconds: float, min_distance_sec: float = 0.30,
@@ -195,85 +106,14 @@ def pulse_triplets(windows: DataFrame, values: str, peaks: str, keys: list) -> D
 
 
 def segment_peaks(samples: DataFrame, segments: DataFrame, channels: dict,
-                  min_distance_sec: float, keys=("record_id",), block: int = PEAK_BLOCK,
-                  halo: int = PEAK_HALO) -> DataFrame:
+                  min_distance_sec: float, keys=("record_id",), block: int = blocks.BLOCK) -> DataFrame:
     """Peaks of z-scored signals in segments of any length; one row per (kind, peak).
 
-    `channels`: kind -> (column, prominence, invert). All channels share one pass. A segment
-    is examined per block with a halo on both sides. The helper reports which peaks could
-    still change with a wider view; only those are looked at again, in wider blocks with a
-    wider halo, until every peak is settled. Flat segments have no peaks.
+    `channels`: kind -> (column, prominence, invert). All channels share one pass over the
+    samples, which are packed into blocks; see `blocks` for what crosses them. Flat segments
+    have no peaks.
     """
-    keys, kinds = list(keys), list(channels)
-    # The helper costs more than its bytes suggest. Where the session has about as many
-    # shuffle partitions as cores, all of them are kept; otherwise they are merged by size.
-    spark = samples.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    few = tasks <= 4 * spark.sparkContext.defaultParallelism
-    spread = [tasks, *keys] if few else keys
-    cols = sorted({channels[k][0] for k in kinds})
-    seg_keys = keys + ["seg_start", "seg_end", "fs"]
-    tagged = tag_segments(samples.select(*keys, "i", "fs", *cols),
-                          segments.select(*keys, "seg_start", "seg_end"), keys)
-    moments = [f(c).alias(f"{n}_{c}") for c in cols
-               for n, f in (("__m", F.avg), ("__sd", F.stddev_pop))]
-    stats = tagged.groupBy(*seg_keys).agg(*moments).drop("fs")
-
-    def examine(kind):
-        _, prominence, invert = channels[kind]
-        sign = -1.0 if invert else 1.0
-
-        @F.pandas_udf("array<struct<p: bigint, sure: boolean>>")
-        def run(first: pd.Series, x: pd.Series, mean: pd.Series, sd: pd.Series, fs: pd.Series,
-                start: pd.Series, end: pd.Series) -> pd.Series:
-            out = []
-            for f, a, m, s, rate, lo, hi in zip(first, x, mean, sd, fs, start, end):
-                found, sure = [], []
-                if s > 1e-12:
-                    z = sign * ((np.asarray(a, dtype=np.float64) - m) / s)
-                    apart = max(1, int(round(min_distance_sec * rate)))
-                    ends = (f > lo, f + z.size < hi)
-                    found, sure = find_peaks(z, apart, prominence, *ends)
-                    cut = _cut_tops(z, *ends, block)
-                    found, sure = found + cut, sure + [False] * len(cut)
-                out.append([{"p": int(f + p), "sure": ok} for p, ok in zip(found, sure)])
-            return pd.Series(out, dtype=object)
-
-        c = channels[kind][0]
-        return run(F.get("__d.i", F.lit(0)), F.col("__d").getField(c), f"__m_{c}", f"__sd_{c}",
-                   "fs", "seg_start", "seg_end")
-
-    def look(size, reach, blocks=None):
-        wide = with_halo(tagged, "i", size, reach, "__blk", "__core").where(
-            F.col("__blk").between(F.floor(F.col("seg_start") / F.lit(size)),
-                                   F.floor((F.col("seg_end") - 1) / F.lit(size))))
-        if blocks is not None:
-            wide = wide.join(blocks, keys + ["seg_start", "__blk"], "left_semi")
-        packed = wide.repartition(*spread, "seg_start", "__blk").groupBy(*seg_keys, "__blk").agg(
-            F.sort_array(F.collect_list(F.struct("i", *cols))).alias("__d"))
-        packed = attach_to_segments(packed, stats, keys, size, "shuffle_merge")
-        seen = packed.select(*seg_keys, "__blk", F.explode(F.array(*[
-            F.struct(F.lit(k).alias("kind"), examine(k).alias("o")) for k in kinds])).alias("__k"))
-        peaks = seen.select(*seg_keys, "__blk", F.col("__k.kind").alias("kind"),
-                            F.explode("__k.o").alias("__o"))
-        mine = F.floor(F.col("__o.p") / F.lit(size)) == F.col("__blk")
-        return peaks.where(mine).select(
-            *seg_keys, "kind", F.col("__o.p").alias("peak"), F.col("__o.sure").alias("__sure"),
-            F.floor(F.col("__o.p") / F.lit(block)).alias("__home"))
-
-    # Verdicts are taken per home block: a block with an open question is left to the next
-    # round as a whole, all other blocks are final.
-    place = keys + ["seg_start", "kind", "__home"]
-    seen, size, reach = materialize(look(block, halo)), block, halo
-    unsettled = seen.where(~F.col("__sure")).select(*place).distinct()
-    found = seen.join(unsettled, place, "left_anti")
-    while not unsettled.isEmpty():
-        reach *= HALO_GROWTH
-        size = block * max(1, -(-reach // block))
-        blocks = unsettled.select(*keys, "seg_start", F.floor(
-            F.col("__home") * F.lit(block) / F.lit(size)).alias("__blk")).distinct()
-        seen = materialize(look(size, reach, blocks).join(unsettled, place, "left_semi")
-                           .select(*seen.columns))
-        unsettled = seen.where(~F.col("__sure")).select(*place).distinct()
-        found = found.unionByName(seen.join(unsettled, place, "left_anti"))
-    return found.select(*seg_keys, "kind", "peak")
+    cols = sorted({channels[k][0] for k in channels})
+    packed = blocks.pack_blocks(samples, cols, keys, block)
+    pieces = blocks.pieces_of(packed, segments, cols, keys, block)
+    return blocks.block_peaks(packed, pieces, channels, min_distance_sec, keys, block)

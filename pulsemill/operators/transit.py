@@ -5,9 +5,10 @@ from pyspark.sql import DataFrame, functions as F
 from pulsemill.functions import fixed
 from pulsemill.functions.numeric import is_finite, round_even
 from pulsemill.operators.indexing import dense_index, with_next
+from pulsemill.operators import blocks
 from pulsemill.operators.peaks import segment_peaks
-from pulsemill.operators.windows import BLOCK, finite_segments, tag_segments
-from pulsemill.sources.storage import materialize
+from pulsemill.operators.windows import BLOCK
+from pulsemill.sources.storage import materialize, stored
 
 
 def _of_kind(peaks: DataFrame, kind: str, name: str) -> DataFrame:
@@ -60,16 +61,17 @@ def label_r_peaks(r_peaks: DataFrame, feet: DataFrame, min_ptt_sec=fixed.MIN_PTT
         .when(F.col("next_foot").isNull(), "no_next_ppg_foot"))
 
 
-def pair_ptt(labelled: DataFrame, samples: DataFrame, abp="abp", keys=("record_id",)) -> DataFrame:
-    """Beats: pressure over [foot, next foot) as max, min, mean, and the transit time."""
+def pair_ptt(labelled: DataFrame, packed: DataFrame, abp="abp", keys=("record_id",),
+             block: int = blocks.BLOCK) -> DataFrame:
+    """Beats: pressure over [foot, next foot) as max, min, mean, and the transit time.
+
+    `packed` holds the pressure in blocks (`blocks.pack_blocks`)."""
     keys = list(keys)
     beats = labelled.where(F.col("drop_reason").isNull())
-    spans = beats.select(*keys, F.col("foot").alias("seg_start"),
-                         F.col("next_foot").alias("seg_end")).distinct()
-    values = (tag_segments(samples.select(*keys, "i", F.col(abp).alias("__p")), spans, keys)
-              .groupBy(*keys, F.col("seg_start").alias("foot"))
-              .agg(F.max("__p").alias("sbp_true"), F.min("__p").alias("dbp_true"),
-                   F.avg("__p").alias("map_true")))
+    spans = beats.select(*keys, F.col("foot").alias("start"), F.col("next_foot").alias("stop")).distinct()
+    values = blocks.span_values(packed, spans, abp, keys, block).select(
+        *keys, F.col("start").alias("foot"), F.col("highest").alias("sbp_true"),
+        F.col("lowest").alias("dbp_true"), F.col("mean").alias("map_true"))
     return (beats.join(values, keys + ["foot"])
             .withColumn("ptt_sec", (F.col("foot") - F.col("r")) / F.col("fs"))
             .drop("drop_reason"))
@@ -79,19 +81,22 @@ def extract_beats(samples: DataFrame, min_segment_sec=fixed.MIN_FINITE_SEGMENT_S
                   min_ptt_sec=fixed.MIN_PTT_SEC, max_ptt_sec=fixed.MAX_PTT_SEC,
                   min_distance_sec=fixed.MIN_PEAK_DISTANCE_SEC,
                   ecg_prominence=fixed.ECG_PROMINENCE, ppg_prominence=fixed.PPG_PROMINENCE,
-                  keys=("record_id",)):
-    """(beats, labelled R peaks, feet, segments) of every record."""
-    keys = list(keys)
+                  keys=("record_id",), block: int = blocks.BLOCK):
+    """(beats, labelled R peaks, feet, segments) of every record.
+
+    Samples are shuffled once, to be packed; all steps read the packed blocks."""
+    keys, cols = list(keys), ["ecg", "ppg", "abp"]
     if not 0 < min_ptt_sec < max_ptt_sec:
         raise ValueError("need 0 < min_ptt_sec < max_ptt_sec")
     need = round_even(F.col("fs") * min_segment_sec)
-    segments = materialize(finite_segments(samples, ["ecg", "ppg", "abp"], need, keys))
-    found = segment_peaks(samples, segments, {"r": ("ecg", ecg_prominence, False),
-                                              "foot": ("ppg", ppg_prominence, True)},
-                          min_distance_sec, keys)
+    packed = stored(blocks.pack_blocks(samples, cols, keys, block), "packed")
+    pieces = materialize(blocks.finite_pieces(packed, cols, keys, need, block))
+    found = materialize(blocks.block_peaks(packed, pieces, {"r": ("ecg", ecg_prominence, False),
+                                                            "foot": ("ppg", ppg_prominence, True)},
+                                           min_distance_sec, keys, block))
     r, feet = _of_kind(found, "r", "r"), _of_kind(found, "foot", "foot")
     labelled = label_r_peaks(r, feet, min_ptt_sec, max_ptt_sec, keys)
-    return pair_ptt(labelled, samples, "abp", keys), labelled, feet, segments
+    return pair_ptt(labelled, packed, "abp", keys, block), labelled, feet, blocks.segments_of(pieces, keys)
 
 
 def number_beats(beats: DataFrame, keys=("record_id",)) -> DataFrame:
