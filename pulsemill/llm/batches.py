@@ -80,6 +80,8 @@ def packed(docs: DataFrame, buckets: int, add=None, level: int = 5) -> DataFrame
                 held, size = [], 0
         if held:
             yield from emit(held)
+            held = None
+        release()
 
     def emit(held):
         t = pa.Table.from_batches(held)

@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from pulsemill.llm import batches
+from pulsemill.llm.worker import released
 
 MIN_TOKENS, TEMPLATE_TOKENS, LEADING = 8, 12, 2
 # documents that make a template recurring, by its number of tokens
@@ -210,6 +211,7 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
     plain = docs.drop(*[c for c in (*PARTS, *RUNS) if c in docs.columns])
     packed = batches.packed(plain, buckets, add_parts, level=1)
 
+    @released
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         t = pa.concat_tables([batches.unpack_rows(b) for b in pdf["rows"]])
         key, row = (np.concatenate(x) for x in zip(*(_flat(t, c) for c in KEYS)))
@@ -225,6 +227,7 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
     names = [f for f in plain.schema.fields if f.name not in RESULT]
     schema = StructType(names + [StructField(n, LongType()) for n in RESULT])
 
+    @released
     def rewrite(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame()

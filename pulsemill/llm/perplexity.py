@@ -30,7 +30,7 @@ from pyspark.sql.types import (BinaryType, BooleanType, DoubleType, LongType, St
                                StructType)
 
 from pulsemill.llm import batches
-from pulsemill.llm.worker import release
+from pulsemill.llm.worker import released
 
 ORDER, CALIBRATE, MIN_CALIBRATION = 4, 5, 10
 MIDDLE, UPPER, MARGIN, SLACK = 0.5, 0.98, 2.5, 12.0
@@ -133,8 +133,8 @@ def count_grams(docs: DataFrame, labels: DataFrame, buckets: int, order: int) ->
 
     kind = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("c", pa.int64())])
 
+    @released
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
-        release()
         out = [kind.empty_table()]
         if left.num_rows and right.num_rows:
             trusted = right.column("doc_id").unique()
@@ -248,13 +248,14 @@ def _bucket_grams(blobs, order):
 
 def answers(packed: DataFrame, m: DataFrame, shards: int, order: int) -> DataFrame:
     """For each bucket and shard, the values of the keys asked for, in the order of the keys."""
+    @released
     def want(pdf: pd.DataFrame) -> pd.DataFrame:
-        release()
         keys = _bucket_grams(pdf["rows"], order)[2]
         return batches.ask(int(pdf["bucket"].iloc[0]), keys, None, shards)
 
     asked = packed.groupBy("bucket").applyInPandas(want, batches.ASKED)
 
+    @released
     def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         keys = right["key"].to_numpy(np.int64).view(np.uint64)
         by = np.argsort(keys)
@@ -286,6 +287,7 @@ def scored(docs: DataFrame, m: DataFrame, shards: int, buckets: int, order: int,
     schema = StructType([f for f in docs.schema.fields if f.name not in names]
                         + [StructField(n, t) for n, t in RESULT])
 
+    @released
     def score(left: pd.DataFrame, right: pd.DataFrame):
         if not len(left):
             return pd.DataFrame()

@@ -13,7 +13,7 @@ import numpy as np
 from pulsemill.llm.worker import kept
 
 TOKENIZER = "byte_bpe_50k.json"
-PIECES_KEPT, LONGEST_KEPT = 600_000, 60
+PIECES_KEPT, LONGEST_KEPT, TEXTS_AT_ONCE = 800_000, 60, 500
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -184,6 +184,6 @@ def encoder(path: str) -> Encoder:
 
 def encoded(enc: Encoder, batch):
     """(doc_id, ids) of every row of an Arrow batch with doc_id and text."""
-    for lo in range(0, batch.num_rows, 200):
-        part = batch.slice(lo, 200)
+    for lo in range(0, batch.num_rows, TEXTS_AT_ONCE):
+        part = batch.slice(lo, TEXTS_AT_ONCE)
         yield from zip(part.column("doc_id").to_pylist(), enc.encode_all(part.column("text").to_pylist()))

@@ -4,8 +4,11 @@ Functions travel to the workers by value, with copies of the globals they use, s
 globals do not live from one task to the next there. What is kept here does.
 """
 
+import ctypes
 import sys
 
+import pyarrow as pa
+
 
 def kept(name, make):
     """The value kept under a name in this process, made on first use.
@@ -28,5 +31,23 @@ def forget(prefix):
 
 
 def release():
-    """Drop everything that is kept, for functions that need the memory themselves."""
+    """Drop everything that is kept and give free memory back, for functions that need much themselves."""
     vars(sys).pop("_pulsemill_kept", None)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def released(fn):
+    """The function, with free memory given back before and after it."""
+    def run(*args):
+        release()
+        out = fn(*args)
+        release()
+        return out
+
+    # Spark looks at the number of arguments.
+    if fn.__code__.co_argcount == 1:
+        return lambda rows: run(rows)
+    return lambda left, right: run(left, right)
