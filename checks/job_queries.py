@@ -86,13 +86,13 @@ def j5(spark, d):
 UNIT = lambda c: f"-1.0 + 2.0 * ({c} - min({c}) over v) / nullif(max({c}) over v - min({c}) over v, 0)"
 
 
-@query("j5_prepare_slots", with_(*BASE3, ("rs", resample_sql("wp", 16, 20, 20, ["ppg", "abp", "ecg"])), ("u", f"""
+@query("j5_prepare_slots", with_(("samples", V.few_gaps_sql()), *BASE3[1:], ("rs", resample_sql("wp", 16, 20, 20, ["ppg", "abp", "ecg"])), ("u", f"""
 select *, {UNIT('ppg')} as up, {UNIT('ecg')} as ue from rs window v as (partition by split, record_id, window_index)"""), ("f", """
 select split, record_id, window_index, pos as p, up as x from u union all select split, record_id, window_index, pos + 20, (abp - 100) / 50 from u
  union all select split, record_id, window_index, pos + 40, ue from u union all select split, record_id, window_index, pos + 60, 0.0 from u""")) + f"""
 select split, record_id, window_index, cast(p as int) as pos, {r('x', 'full_signal')} from f""")
 def j5b(spark, d):
-    out = jobs.prepare_windows(V.samples(spark, d), 4.0, 2.0, 20, None, "slots", cols=("ppg", "abp", "ecg"))
+    out = jobs.prepare_windows(V.samples(spark, d, V.FEW_GAPS), 4.0, 2.0, 20, None, "slots", cols=("ppg", "abp", "ecg"))
     return long(out["windows"], "full_signal")
 
 

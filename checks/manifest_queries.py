@@ -552,15 +552,17 @@ def q8(spark, d):
     return alignment.reconcile(p, w.where(F.col("window_id") % 7 != 0))
 
 
-@query("q9_window_funnel", with_("samples", WIN_SQL, ("per", """
-select split, record_id, count(*) as c, count(case when n_bad = 0 and window_index % 5 <> 0 then 1 end) as k, count(case when n_bad > 0 then 1 end) as b,
- count(case when n_bad = 0 and window_index % 5 = 0 then 1 end) as v from win group by split, record_id"""),
-       ("listed", "select distinct split, record_id from samples")) + """
+@query("q9_window_funnel", with_(("own_ids", V.SQL["samples"]), ("samples", V.SHARED_IDS_SQL), WIN_SQL, ("per", """
+select split, subject_id, record_id, count(*) as c, count(case when n_bad = 0 and window_index % 5 <> 0 then 1 end) as k, count(case when n_bad > 0 then 1 end) as b,
+ count(case when n_bad = 0 and window_index % 5 = 0 then 1 end) as v from win group by split, subject_id, record_id"""),
+       ("listed", "select distinct split, subject_id, record_id from samples")) + """
 select split, count(*) as records, cast(coalesce(sum(c), 0) as bigint) as candidate_windows, cast(coalesce(sum(k), 0) as bigint) as kept_windows,
  cast(coalesce(sum(b), 0) as bigint) as dropped_nonfinite_windows, cast(coalesce(sum(v), 0) as bigint) as dropped_low_variance_windows
-from listed left join per using (split, record_id) group by split""")
+from listed left join per using (split, subject_id, record_id) group by split""")
 def q9(spark, d):
-    return window_funnel(sample_windows(spark, d, True), F.col("window_index") % 5 == 0, V.samples(spark, d))
+    s = V.shared_ids(V.samples(spark, d))
+    made = fixed_windows(s, 4.0, 2.0, ["ppg", "abp"], keep_all=True)
+    return window_funnel(made, F.col("window_index") % 5 == 0, s)
 
 
 # ---------------------------------------------------------------- splits
@@ -594,29 +596,30 @@ def d3(spark, d):
 
 
 INDEXED = ("indexed", """
-select split, record_id, window_index, cast(row_number() over (partition by split order by record_id, window_index) - 1 as bigint) as memmap_index
+select split, subject_id, record_id, window_index, cast(row_number() over (partition by split order by subject_id, record_id, window_index) - 1 as bigint) as memmap_index
 from win where n_bad = 0""")
+SHARED = [("own_ids", V.SQL["samples"]), ("samples", V.SHARED_IDS_SQL)]
 
 
 def indexed_windows(spark, d):
-    return assign_index(sample_windows(spark, d), ["record_id", "window_index"],
-                        [F.floor(F.col("record_id") / 1024), "record_id",
-                         F.floor(F.col("window_index") / 65536)])
+    made = fixed_windows(V.shared_ids(V.samples(spark, d)), 4.0, 2.0, ["ppg", "abp"])
+    return assign_index(made, ["subject_id", "record_id", "window_index"])
 
 
-@query("d4_slice_windows", with_("samples", WIN_SQL, INDEXED) + """
-select record_id, window_index, memmap_index from indexed where split = 'test' and memmap_index >= (select count(*) from indexed where split = 'test') // 4
+@query("d4_slice_windows", with_(*SHARED, WIN_SQL, INDEXED) + """
+select subject_id, record_id, window_index, memmap_index from indexed where split = 'test' and memmap_index >= (select count(*) from indexed where split = 'test') // 4
  and memmap_index < (select count(*) // 4 + greatest(1, count(*) // 2) from indexed where split = 'test')""")
 def d4(spark, d):
     test = indexed_windows(spark, d).where("split = 'test'")
     n = test.count()
-    return slice_windows(test, "memmap_index", n // 4, max(1, n // 2)).select("record_id", "window_index", "memmap_index")
+    return slice_windows(test, "memmap_index", n // 4, max(1, n // 2)).select(
+        "subject_id", "record_id", "window_index", "memmap_index")
 
 
-@query("d5_assign_index", with_("samples", WIN_SQL, INDEXED) + """
-select split, record_id, window_index, memmap_index, split || '_' || lpad(cast(memmap_index as varchar), 8, '0') as window_id from indexed""")
+@query("d5_assign_index", with_(*SHARED, WIN_SQL, INDEXED) + """
+select split, subject_id, record_id, window_index, memmap_index, split || '_' || lpad(cast(memmap_index as varchar), 8, '0') as window_id from indexed""")
 def d5(spark, d):
-    return indexed_windows(spark, d).select("split", "record_id", "window_index", "memmap_index", "window_id")
+    return indexed_windows(spark, d).select("split", "subject_id", "record_id", "window_index", "memmap_index", "window_id")
 
 
 @query("s11_write_windows", with_("samples", WIN_SQL) + f"""

@@ -9,7 +9,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def samples(spark, d) -> DataFrame:
+def samples(spark, d, gaps=(23, 29, 31)) -> DataFrame:
     """One record per user at 4 Hz with gaps in every channel."""
     e = table(spark, d, "events").select("event_id", "ts", "user_id", "value")
     e = dense_index(e, ["user_id"], ["ts", "event_id"], [F.to_date("ts")], "i")
@@ -18,9 +18,28 @@ def samples(spark, d) -> DataFrame:
         u.alias("subject_id"), u.alias("record_id"),
         F.when(u % 10 < 6, "train").when(u % 10 < 8, "val").otherwise("test").alias("split"),
         "i", F.lit(4.0).alias("fs"),
-        F.when(ev % 23 != 0, ((ev * 31) % 101).cast("double")).alias("ecg"),
-        F.when(ev % 29 != 0, F.col("value") * 0.5 + (ev % 7).cast("double")).alias("ppg"),
-        F.when(ev % 31 != 0, F.col("value") + 40.0).alias("abp"))
+        F.when(ev % gaps[0] != 0, ((ev * 31) % 101).cast("double")).alias("ecg"),
+        F.when(ev % gaps[1] != 0, F.col("value") * 0.5 + (ev % 7).cast("double")).alias("ppg"),
+        F.when(ev % gaps[2] != 0, F.col("value") + 40.0).alias("abp"))
+
+
+# So few gaps that every split has whole windows of three channels at every scale.
+FEW_GAPS = (97, 113, 127)
+
+
+def few_gaps_sql() -> str:
+    out = SQL["samples"]
+    for a, b in zip((23, 29, 31), FEW_GAPS):
+        out = out.replace(f"event_id % {a} = 0", f"event_id % {b} = 0")
+    return out
+
+
+def shared_ids(samples: DataFrame) -> DataFrame:
+    """Two subjects use each record id."""
+    return samples.withColumns({"subject_id": F.col("subject_id") % 2, "record_id": F.expr("record_id div 2")})
+
+
+SHARED_IDS_SQL = "select * replace (subject_id % 2 as subject_id, record_id // 2 as record_id) from own_ids"
 
 
 def record_manifest(spark, d) -> DataFrame:

@@ -7,6 +7,8 @@ and only one summary row per block meets in a window over the key.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pulsemill.sources.storage import stored
+
 
 def _named(exprs) -> dict:
     return {f"__lvl{n}": (F.col(e) if isinstance(e, str) else e) for n, e in enumerate(exprs)}
@@ -77,3 +79,22 @@ def with_halo(df: DataFrame, pos: str, size: int, halo: int, block: str, core: s
     home = F.floor(p / F.lit(size))
     return (df.withColumn(block, F.explode(F.sequence(first, last, F.lit(1))))
             .withColumn(core, F.col(block) == home))
+
+
+def range_index(df: DataFrame, by: list, order: list, name: str) -> DataFrame:
+    """0-based position of each row inside `by`, following `order`, for any data.
+
+    Rows are sorted by ranges whose borders Spark takes from a sample, and written once; a range
+    says how many rows of each group it holds, and the numbers of the ranges before are added
+    up. `by` must not be NULL; `order` should leave no ties.
+    """
+    sorted_rows = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    # A range's number is in the high bits, and a row's number inside it in the low ones.
+    rows = stored(sorted_rows.withColumn("__at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("__at", 33)
+    counts = rows.groupBy(*by, part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*by, "__part", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    return (rows.withColumn("__part", part).join(starts, [*by, "__part"])
+            .withColumn(name, (F.col("__off") + F.col("__at") - F.col("__first")).cast("bigint"))
+            .select(*df.columns, name))

@@ -1,120 +1,105 @@
-"""Exact quantiles of groups of any size."""
+"""Exact quantiles of groups of any size.
+
+Every wanted rank lies in a bin [low, high] of its group's values, at first the whole range. A bin
+of more than `bin_rows` rows is narrowed: a mergeable sketch of its values, added up before the shuffle, gives
+borders around the rank, and one count says how many rows lie below and inside them. The sketch's
+error only decides how wide the new bin is; counts are exact, so the rank stays inside. That is
+repeated until the bins are small or hold few different values. Only values inside the last
+bins are shuffled, equal ones counted together, and each bin is put in order by itself.
+"""
+
+import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pulsemill.functions.numeric import is_finite
-from pulsemill.sources.storage import estimated_bytes
+from pulsemill.sources.storage import materialize
 
-SALTS = 32
-ONE_TASK_LIMIT = 1_000_000
-SMALL_BYTES = 64 * 1024 * 1024
+BIN_ROWS = 200_000
+# Borders are taken from a grid of ranks whose step is well above the sketch's error.
+GRID, ACCURACY = 256, 2048
+BROADCAST_BINS = 100_000
 
 
-def _bin(v, lo, hi, bins: int):
-    """Equal-width bin of v in [lo, hi]; never decreases with v."""
-    raw = F.floor((v - lo) / (hi - lo) * F.lit(float(bins)))
-    return F.when(hi > lo, F.least(raw, F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
+def _ranks(probs, n):
+    """Ranks below and above each quantile of n values."""
+    below = {k: F.floor(F.lit(float(p)) * (n - 1)).cast("bigint") for k, p in probs.items()}
+    return below, {k: F.least(below[k] + 1, n - 1).cast("bigint") for k in probs}
 
 
-def exact_quantiles(df: DataFrame, by: list, value: str, probs: dict, bins: int = 1024,
-                    one_task_limit: int = ONE_TASK_LIMIT, small_bytes: int = SMALL_BYTES,
-                    max_rows: int = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: list, value: str, probs: dict, bin_rows: int = BIN_ROWS,
+                    grid: int = GRID, accuracy: int = ACCURACY) -> DataFrame:
     """One row per group with the linear-interpolated quantiles named in `probs`.
 
-    The result is exact on every path; size only decides how it is computed. An input of
-    at most `small_bytes` by the optimizer's estimate, or of at most `one_task_limit` rows
-    by the caller's count `max_rows`, uses the built-in aggregate directly.
-
-    Otherwise equal values are counted together first. Groups with at most `one_task_limit` distinct
-    values use the built-in aggregate, which holds them in one task. Larger groups go
-    through `_wide_quantiles`; without any, that branch is empty and skipped at run time.
     Missing and non-finite values are left out; a group without values gives no row.
     """
     if not by:
-        whole = exact_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, probs, bins,
-                                one_task_limit, small_bytes, max_rows)
+        whole = exact_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, probs, bin_rows, grid, accuracy)
         return whole.drop("__all")
     by, names = list(by), list(probs)
-    wanted = [float(probs[n]) for n in names]
-    unpack = [F.get("__q", F.lit(k)).alias(n) for k, n in enumerate(names)]
-    if (max_rows is not None and max_rows <= one_task_limit) or estimated_bytes(df) <= small_bytes:
-        x = F.col(value).cast("double")
-        return (df.where(is_finite(value)).groupBy(*by).agg(F.percentile(x, wanted).alias("__q"))
-                .select(*by, *unpack))
-    base = (df.where(is_finite(value))
-            .groupBy(*by, F.col(value).cast("double").alias("__v"))
-            .agg(F.count(F.lit(1)).alias("__c")))
-    stats = base.groupBy(*by).agg(F.sum("__c").alias("__total"), F.min("__v").alias("__lo"),
-                                  F.max("__v").alias("__hi"), F.count(F.lit(1)).alias("__distinct"))
-    wide = stats.where(F.col("__distinct") > one_task_limit)
-    small = (base.join(wide.select(*by), by, "left_anti").groupBy(*by)
-             .agg(F.percentile("__v", wanted, F.col("__c")).alias("__q"))
-             .select(*by, *unpack))
-    return small.unionByName(_wide_quantiles(base, wide, by, probs, bins))
-
-
-def _wide_quantiles(base: DataFrame, stats: DataFrame, by: list, probs: dict,
-                    bins: int) -> DataFrame:
-    """Quantiles of the groups in `stats` without ever sorting a whole group.
-
-    Two rounds of equal-width bins narrow each wanted rank down to one bin of a bin; only
-    what is left there is sorted.
-    """
-    base = base.withColumn("__salt", F.pmod(F.xxhash64("__v"), F.lit(SALTS)).cast("int"))
-    below = {k: F.floor(F.lit(p) * (F.col("__total") - 1)).cast("bigint")
-             for k, p in probs.items()}
-    above = {k: F.least(below[k] + 1, F.col("__total") - 1) for k in probs}
-    wanted = F.array_distinct(F.array(*below.values(), *above.values()))
-    targets = stats.select(*by, "__total", F.explode(wanted).alias("__rank"))
-
-    # Round one: bins over the range of the group. The range is copied to every salt so
-    # that a large group is not joined in one place.
-    ranges = stats.select(*by, "__lo", "__hi",
-                          F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
-    rows = base.join(ranges, by + ["__salt"]).select(
-        *by, "__v", "__c", _bin(F.col("__v"), F.col("__lo"), F.col("__hi"), bins).alias("__b1"))
-    first = _narrow(rows, by, "__b1", targets.withColumn("__left", F.col("__rank")))
-
-    # Round two: bins over the range of each chosen bin.
-    chosen = first.select(*by, "__b1", "__lo", "__hi").distinct()
-    rows = rows.join(chosen, by + ["__b1"]).select(
-        *by, "__b1", "__v", "__c",
-        _bin(F.col("__v"), F.col("__lo"), F.col("__hi"), bins).alias("__b2"))
-    second = _narrow(rows, by + ["__b1"], "__b2", first.drop("__lo", "__hi"))
-
-    # Last: sort what is left of the chosen bins.
-    chosen = second.select(*by, "__b1", "__b2").distinct()
-    keys = by + ["__b1", "__b2"]
-    order = Window.partitionBy(*keys).orderBy("__v")
-    sorted_rows = rows.join(chosen, keys).select(
-        *keys, "__v", F.col("__c"),
-        (F.sum("__c").over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("__cum"))
-    picked = (second.join(sorted_rows, keys)
-              .where((F.col("__cum") > F.col("__left"))
-                     & (F.col("__cum") - F.col("__c") <= F.col("__left")))
-              .select(*by, "__total", "__rank", "__v"))
-
-    def at(rank):
-        return F.max(F.when(F.col("__rank") == rank, F.col("__v")))
-
-    sides = [at(below[k]).alias(f"__a{n}") for n, k in enumerate(probs)]
-    sides += [at(above[k]).alias(f"__z{n}") for n, k in enumerate(probs)]
-    wide = picked.groupBy(*by, "__total").agg(*sides)
-    out = []
-    for n, (k, p) in enumerate(probs.items()):
-        t = F.lit(p) * (F.col("__total") - 1) - below[k]
-        out.append((F.col(f"__a{n}") + (F.col(f"__z{n}") - F.col(f"__a{n}")) * t).alias(k))
-    return wide.select(*by, *out)
-
-
-def _narrow(rows, by, bin_col, targets):
-    """Find the bin that holds each target rank and the rank left inside it."""
-    before = Window.partitionBy(*by).orderBy(bin_col).rowsBetween(Window.unboundedPreceding, -1)
-    hist = rows.groupBy(*by, bin_col).agg(
-        F.sum("__c").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-    hist = hist.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    hit = hist.join(targets, by).where(
-        (F.col("__left") >= F.col("__before"))
-        & (F.col("__left") < F.col("__before") + F.col("__n")))
-    return hit.select(*by, bin_col, "__lo", "__hi", "__total", "__rank",
-                      (F.col("__left") - F.col("__before")).alias("__left"))
+    rows = df.where(is_finite(value)).select(*by, F.col(value).cast("double").alias("__v"))
+    sizes = materialize(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")))
+    n = F.col("__n")
+    below, above = _ranks(probs, n)
+    whole = F.struct(F.lit(0).alias("k"), F.array_distinct(F.array(*below.values(), *above.values())).alias("ranks"))
+    own = [F.struct(F.lit(i + 1).alias("k"), F.array_distinct(F.array(below[p], above[p])).alias("ranks"))
+           for i, p in enumerate(names)]
+    bins = sizes.withColumn("__bin", F.explode(F.when(n > bin_rows, F.array(*own)).otherwise(F.array(whole)))).select(
+        *by, F.col("__bin.k").alias("__k"), F.col("__bin.ranks").alias("__ranks"), F.lit(-math.inf).alias("__lo"),
+        F.lit(math.inf).alias("__hi"), F.lit(0).cast("bigint").alias("__below"), n.alias("__inside"))
+    most = sizes.agg(F.max("__n")).first()[0] or 0
+    while most > bin_rows:
+        wide = (F.col("__inside") > bin_rows) & (F.col("__lo") < F.col("__hi"))
+        narrowed = materialize(_narrow(rows, bins.where(wide), by, grid, accuracy))
+        bins = materialize(bins.where(~wide).unionByName(narrowed))
+        now = narrowed.where(F.col("__lo") < F.col("__hi")).agg(F.max("__inside")).first()[0] or 0
+        if now > 0.75 * most:  # what is left are a few values with many rows each
+            break
+        most = now
+    return _picked(rows, bins, sizes, by, probs)
+
+
+def _beside(rows, bins, by):
+    """Rows with the bins of their group. Bins are broadcast only when they are counted to be few."""
+    few = bins.limit(BROADCAST_BINS + 1).count() <= BROADCAST_BINS
+    return rows.join(F.broadcast(bins) if few else bins, by)
+
+
+def _narrow(rows, bins, by, grid, accuracy):
+    """The bins with borders closer around their ranks. One scan for the sketches, one for the counts."""
+    keys, v = [*by, "__k"], F.col("__v")
+    # A source of a few values would give borders beyond the rows inside; all are taken from these rows.
+    inside = _beside(rows, bins.select(*keys, "__lo", "__hi"), by).where((v >= F.col("__lo")) & (v <= F.col("__hi")))
+    at = inside.groupBy(*keys).agg(
+        F.percentile_approx("__v", [k / grid for k in range(grid + 1)], accuracy).alias("__at"))
+    at = materialize(bins.join(at, keys))
+    size, step = F.col("__inside"), F.lit(float(grid))
+    first = F.floor((F.array_min("__ranks") - F.col("__below")) / size * step).cast("int") - 2
+    last = F.ceil((F.array_max("__ranks") - F.col("__below") + 1) / size * step).cast("int") + 2
+    new = at.withColumns({
+        "__lo": F.when(first < 0, F.col("__lo")).otherwise(F.get("__at", F.greatest(first, F.lit(0)))),
+        "__hi": F.when(last > grid, F.col("__hi")).otherwise(F.get("__at", F.least(last, F.lit(grid))))}).drop("__at")
+    near = _beside(rows, new.select(*keys, "__lo", "__hi"), by)
+    counts = near.groupBy(*keys).agg(F.count_if(v < F.col("__lo")).alias("__b"),
+                                     F.count_if((v >= F.col("__lo")) & (v <= F.col("__hi"))).alias("__i"))
+    return new.drop("__below", "__inside").join(counts, keys).withColumnsRenamed({"__b": "__below", "__i": "__inside"})
+
+
+def _picked(rows, bins, sizes, by, probs):
+    keys, v = [*by, "__k"], F.col("__v")
+    inside = _beside(rows, bins.select(*keys, "__lo", "__hi"), by).where((v >= F.col("__lo")) & (v <= F.col("__hi")))
+    counted = inside.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    order = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    summed = counted.withColumn("__cum", F.sum("__c").over(order)).join(bins.select(*keys, "__below", "__ranks"), keys)
+    upto = F.col("__below") + F.col("__cum")
+    hit = F.filter("__ranks", lambda r: (r < upto) & (r >= upto - F.col("__c")))
+    found = summed.select(*by, "__v", F.explode(hit).alias("__r")).join(sizes, by)
+    below, above = _ranks(probs, F.col("__n"))
+    lost = F.raise_error(F.lit("a rank lies outside its bin")).cast("double")
+    at = lambda rank: F.coalesce(F.max(F.when(F.col("__r") == rank, v)), lost)
+    sides = found.groupBy(*by, "__n").agg(*[at(below[p]).alias(f"__a{k}") for k, p in enumerate(probs)],
+                                          *[at(above[p]).alias(f"__z{k}") for k, p in enumerate(probs)])
+    below, _ = _ranks(probs, F.col("__n"))
+    between = lambda k, p: F.col(f"__a{k}") + (F.col(f"__z{k}") - F.col(f"__a{k}")) * (
+        F.lit(float(probs[p])) * (F.col("__n") - 1) - below[p])
+    return sides.select(*by, *[between(k, p).alias(p) for k, p in enumerate(probs)])

@@ -6,11 +6,13 @@ A recording is a long table with one row per sample: key columns, `i` (position)
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from pulsemill.functions.arrays import bind
 from pulsemill.functions.numeric import index_to_sec, is_finite, round_even
 from pulsemill.functions.text import window_id
-from pulsemill.operators.indexing import dense_index
+from pulsemill.operators.indexing import range_index
 
 BLOCK = 65536
+WINDOW_BLOCK = 8192
 
 
 def finite_segments(samples: DataFrame, cols: list, min_length, keys=("record_id",),
@@ -104,8 +106,9 @@ def fixed_windows(samples: DataFrame, window_sec: float, step_sec: float, cols:
     """Fixed windows of each record as one row with an ARRAY per channel.
 
     Starts are 0, S, 2S, ... with S = round(fs * step) and length L = round(fs * window).
-    A sample is sent to the windows that hold it, so one shuffle on (record, window)
-    builds them and a long record spreads over many tasks. Incomplete windows are
+    Samples are shuffled once, into blocks of consecutive starts; only those at the head of a
+    block are also sent to the block before, whose last windows reach into it. Windows are cut from the
+    blocks' arrays, and a long record spreads over many tasks. Incomplete windows are
     dropped. Windows with a missing or non-finite sample in `cols` are dropped unless
     `keep_all` is set; `n_bad` counts such samples.
     """
@@ -114,57 +117,80 @@ def fixed_windows(samples: DataFrame, window_sec: float, step_sec: float, cols:
     bad = F.lit(False)
     for c in cols:
         bad = bad | ~is_finite(c)
-    rows = (samples.withColumns({"__L": length, "__S": step})
-            .withColumn("__lo", F.greatest(F.lit(0), F.ceil((F.col("i") - F.col("__L") + 1)
-                                                            / F.col("__S"))).cast("bigint"))
-            .withColumn("__hi", F.floor(F.col("i") / F.col("__S")).cast("bigint"))
-            .where(F.col("__hi") >= F.col("__lo"))
-            .select(*keys, "fs", "i", *cols, "__L", "__S", bad.cast("int").alias("__bad"),
-                    F.explode(F.sequence("__lo", "__hi", F.lit(1))).alias("window_index")))
+    L, S, i = F.col("__L"), F.col("__S"), F.col("i")
+    per = F.greatest(F.ceil(L / S), F.ceil(F.lit(WINDOW_BLOCK) / S), F.lit(1)).cast("bigint")
+    blk = F.floor(i / (F.col("__m") * S))
+    reached = (i - blk * F.col("__m") * S < L - S) & (blk > 0)
+    rows = (samples.where(F.col("fs").isNotNull()).withColumns({"__L": length, "__S": step}).withColumn("__m", per)
+            .select(*keys, "fs", "i", *cols, "__L", "__S", "__m", bad.alias("__bad"),
+                    F.explode(F.when(reached, F.array(blk, blk - 1)).otherwise(F.array(blk))).alias("__blk")))
     # Collecting before the shuffle would not shrink anything, so rows are placed first.
-    made = rows.repartition(*keys, "window_index").groupBy(*keys, "window_index").agg(
-        F.count(F.lit(1)).alias("__n"), F.max("__L").alias("__L"), F.max("__S").alias("__S"),
-        F.max("fs").alias("fs"), F.sum("__bad").alias("n_bad"),
-        F.sort_array(F.collect_list(F.struct("i", *cols))).alias("__data"))
-    made = made.where(F.col("__n") == F.col("__L"))
+    made = rows.repartition(*keys, "__blk").groupBy(*keys, "__blk").agg(
+        F.max("__L").alias("__L"), F.max("__S").alias("__S"), F.max("__m").alias("__m"), F.max("fs").alias("fs"),
+        F.sort_array(F.collect_list(F.struct("i", "__bad", *cols))).alias("__d"))
+
+    def cut(d):
+        first, n = F.get(d, F.lit(0))["i"], F.size(d)
+        whole = F.get(d, n - 1)["i"] - first + 1 == n
+
+        def at(k):
+            start = k * S
+            place = F.when(whole, start - first).otherwise(F.array_position(d["i"], start) - 1)
+            return F.struct(k.alias("k"), place.cast("int").alias("at"))
+
+        def fits(w):
+            last = F.get(d, (w["at"] + L - 1).cast("int"))["i"]
+            return (w["at"] >= 0) & (last == w["k"] * S + L - 1)
+
+        def window(w):
+            part = F.slice(d, w["at"] + 1, L.cast("int"))
+            return bind(part, lambda x: F.struct(
+                w["k"].alias("window_index"),
+                F.size(F.filter(x["__bad"], lambda v: v)).cast("bigint").alias("n_bad"), *[x[c].alias(c) for c in cols]))
+
+        numbers = F.sequence(F.col("__blk") * F.col("__m"), (F.col("__blk") + 1) * F.col("__m") - 1)
+        return F.transform(F.filter(F.transform(numbers, at), fits), window)
+
+    made = made.select(*keys, "fs", "__L", "__S", F.explode(bind(F.col("__d"), cut)).alias("__w")).select(
+        *keys, "fs", "__L", "__S", "__w.*")
     if not keep_all:
         made = made.where(F.col("n_bad") == 0)
-    start = F.col("window_index") * F.col("__S")
+    start = F.col("window_index") * S
     return made.select(
         *keys, "window_index", "fs", "n_bad",
         F.lit(float(window_sec)).alias("window_sec"), F.lit(float(step_sec)).alias("step_sec"),
-        start.alias("source_start_index"), (start + F.col("__L")).alias("source_end_index"),
+        start.alias("source_start_index"), (start + L).alias("source_end_index"),
         index_to_sec(start, "fs").alias("source_start_sec"),
-        index_to_sec(start + F.col("__L"), "fs").alias("source_end_sec"),
-        *[F.col("__data").getField(c).alias(c) for c in cols])
+        index_to_sec(start + L, "fs").alias("source_end_sec"), *cols)
 
 
-def window_funnel(candidates: DataFrame, low_variance=None, records: DataFrame = None) -> DataFrame:
+def window_funnel(candidates: DataFrame, low_variance=None, records: DataFrame = None,
+                  keys=("split", "subject_id", "record_id")) -> DataFrame:
     """Per split: records, candidates, kept, dropped by reason.
 
     `candidates` come from `fixed_windows(..., keep_all=True)`; `low_variance` is an
-    optional condition that drops finite windows. `records` (split, record_id; samples will
-    do) is the list of all records, so that those too short for a window count as well.
+    optional condition that drops finite windows. `records` (`keys`; samples will
+    do) is the list of all records, so that those too short for a window count as well. A
+    record is told by all `keys`: two subjects may use the same record id.
     """
+    keys = list(keys)
     flat = F.lit(False) if low_variance is None else low_variance
     finite = F.col("n_bad") == 0
-    per_record = candidates.groupBy("split", "record_id").agg(
+    per_record = candidates.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("c"), F.count_if(finite & ~flat).alias("k"),
         F.count_if(~finite).alias("b"), F.count_if(finite & flat).alias("v"))
     if records is not None:
-        listed = records.select("split", "record_id").distinct()
-        per_record = listed.join(per_record, ["split", "record_id"], "left").fillna(0, ["c", "k", "b", "v"])
+        listed = records.select(*keys).distinct()
+        per_record = listed.join(per_record, keys, "left").fillna(0, ["c", "k", "b", "v"])
     return per_record.groupBy("split").agg(
         F.count(F.lit(1)).alias("records"), F.sum("c").alias("candidate_windows"),
         F.sum("k").alias("kept_windows"), F.sum("b").alias("dropped_nonfinite_windows"),
         F.sum("v").alias("dropped_low_variance_windows"))
 
 
-def assign_index(windows: DataFrame, order: list, levels: list,
-                 name: str = "memmap_index") -> DataFrame:
+def assign_index(windows: DataFrame, order: list, name: str = "memmap_index") -> DataFrame:
     """Dense 0-based index per split plus the printable window id."""
-    return (dense_index(windows, ["split"], order, levels, name)
-            .withColumn("window_id", window_id("split", name)))
+    return range_index(windows, ["split"], order, name).withColumn("window_id", window_id("split", name))
 
 
 def slice_windows(windows: DataFrame, index: str, start: int = 0, limit: int = None) -> DataFrame:

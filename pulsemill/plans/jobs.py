@@ -7,7 +7,7 @@ from pulsemill.functions.arrays import pack_slots, resample_linear, unit_range
 from pulsemill.operators import alignment, errors, linear, patients, quality, signals, transit
 from pulsemill.operators.quantiles import exact_quantiles
 from pulsemill.operators.windows import assign_index, fixed_windows, window_funnel
-from pulsemill.sources.storage import materialize
+from pulsemill.sources.storage import materialize, stored
 
 
 def transit_benchmark(samples: DataFrame, fit_splits=("train",), transform="inverse_ptt",
@@ -103,7 +103,7 @@ def patient_metrics_scalar(preds: DataFrame, labels: DataFrame = None,
 
 def _summaries(table, names, pooled, n_bootstrap, seed, method, metrics_json):
     long = materialize(patients.to_long(table, "subject_id", names))
-    summary = patients.distribution_summary(long, names, long.count())
+    summary = patients.distribution_summary(long, names)
     ci = patients.bootstrap_ci(long, "subject_id", n_bootstrap, seed)
     summary = materialize(summary.join(ci, "metric", "left"))
     pooled = materialize(pooled)
@@ -113,8 +113,7 @@ def _summaries(table, names, pooled, n_bootstrap, seed, method, metrics_json):
 
 
 def prepare_windows(samples: DataFrame, window_sec: float, step_sec: float, target_length: int,
-                    keep: int = None, normalize: str = "none", order_levels: list = None,
-                    cols=("ppg", "abp")) -> dict:
+                    keep: int = None, normalize: str = "none", cols=("ppg", "abp")) -> dict:
     """Windows ready for a model: cut, resample, normalise, number; plus the funnel.
 
     `normalize`: "none", "minmax" (constants from train and val, applied to all) or "slots"
@@ -133,8 +132,8 @@ def prepare_windows(samples: DataFrame, window_sec: float, step_sec: float, targ
         made = made.withColumns({"ppg": F.when(finite, unit_range("ppg")),
                                  "ecg": F.when(finite, unit_range("ecg"))})
         flat = F.col("ppg").isNull() | F.col("ecg").isNull()
-    # Windows are built by a wide shuffle and used three times: counted, fitted, written.
-    made = materialize(made)
+    # Windows are built by a shuffle and used three times: counted, fitted, written.
+    made = stored(made, "windows")
     funnel = materialize(window_funnel(made, flat, samples))
     bare = [r["split"] for r in funnel.where("kept_windows = 0").select("split").collect()]
     if bare:
@@ -147,8 +146,7 @@ def prepare_windows(samples: DataFrame, window_sec: float, step_sec: float, targ
     elif normalize == "slots":
         scaled = F.transform("abp", lambda v: (v - fixed.SLOT_BP_CENTER) / fixed.SLOT_BP_SCALE)
         kept = kept.withColumn("full_signal", pack_slots("ppg", scaled, "ecg"))
-    levels = order_levels or ["record_id", F.floor(F.col("window_index") / F.lit(65536))]
-    indexed = assign_index(kept, ["record_id", "window_index"], levels)
+    indexed = assign_index(kept, ["subject_id", "record_id", "window_index"])
     return {"windows": indexed, "funnel": funnel, "constants": constants}
 
 

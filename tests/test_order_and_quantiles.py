@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from pulsemill.operators.indexing import dense_index, with_halo, with_next
-from pulsemill.operators.quantiles import exact_quantiles
+from pulsemill.operators.quantiles import _narrow, exact_quantiles
 
 
 def skewed(spark, n=3000, seed=1):
@@ -45,15 +45,7 @@ def test_with_halo_covers_neighbours(spark):
     assert sorted(r.p for r in got if r.core) == list(range(20))
 
 
-@pytest.mark.parametrize("limit", [0, 50, 10 ** 6])
-@pytest.mark.parametrize("bins", [3, 1024])
-def test_quantiles_on_every_path(spark, limit, bins):
-    df = skewed(spark, 2000)
-    extra = spark.createDataFrame([(9, 0, 1e12), (9, 1, -5.0), (9, 2, 0.0), (10, 0, 4.0),
-                                   (11, 0, None), (0, -1, float("nan"))], "k int, pos bigint, v double")
-    df = df.unionByName(extra)
-    probs = {"a": 0.0, "b": 0.01, "c": 0.25, "d": 0.5, "e": 0.99, "f": 1.0}
-    got = exact_quantiles(df, ["k"], "v", probs, bins, limit, small_bytes=0)
+def check_quantiles(df, got, probs):
     rows = {r.k: [r[p] for p in probs] for r in got.collect()}
     data = {}
     for r in df.collect():
@@ -65,7 +57,31 @@ def test_quantiles_on_every_path(spark, limit, bins):
                                    rtol=1e-12, atol=1e-12)
 
 
+@pytest.mark.parametrize("bin_rows,grid", [(20, 16), (10 ** 6, 256)])
+def test_quantiles_with_and_without_narrowing(spark, bin_rows, grid):
+    df = skewed(spark, 2000)
+    extra = spark.createDataFrame([(9, 0, 1e12), (9, 1, -5.0), (9, 2, 0.0), (10, 0, 4.0),
+                                   (11, 0, None), (0, -1, float("nan"))]
+                                  + [(12, k, 1e12 if k < 3 else 1e8 if k < 6 else k % 700 / 7.0) for k in range(1500)]
+                                  + [(13, k, 1.0 if k % 3 else float(k % 5)) for k in range(900)], "k int, pos bigint, v double")
+    df = df.unionByName(extra)
+    probs = {"a": 0.0, "b": 0.01, "c": 0.25, "d": 0.5, "e": 0.99, "f": 1.0}
+    check_quantiles(df, exact_quantiles(df, ["k"], "v", probs, bin_rows, grid, 8 * grid), probs)
+
+
+def test_outliers_do_not_widen_the_last_bin(spark):
+    """Bins of equal width would hold nearly all rows; these follow the ranks."""
+    n = 20_000
+    df = spark.createDataFrame([(0, 1e12 if k == 0 else -1e8 if k == 1 else (k * 7919 % n) / n) for k in range(n)], "k int, v double")
+    rows = df.select("k", F.col("v").alias("__v"))
+    bins = spark.createDataFrame([(0, 1, [n // 4], float("-inf"), float("inf"), 0, n)],
+                                 "k int, __k int, __ranks array<bigint>, __lo double, __hi double, __below bigint, __inside bigint")
+    r = _narrow(rows, bins, ["k"], 256, 2048).first()
+    assert r["__inside"] < n * 8 / 256 and r["__below"] <= n // 4 < r["__below"] + r["__inside"]
+
+
 def test_quantiles_of_everything(spark):
     df = skewed(spark, 300)
-    got = exact_quantiles(df, [], "v", {"m": 0.5}, one_task_limit=0, small_bytes=0).first().m
+    got = exact_quantiles(df, [], "v", {"m": 0.5}, bin_rows=10, grid=16).first().m
     assert got == pytest.approx(np.median([r.v for r in df.collect()]))
+    assert exact_quantiles(df.limit(0), ["k"], "v", {"m": 0.5}).count() == 0

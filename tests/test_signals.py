@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsemill.functions import arrays as A
-from pulsemill.operators import signals as S
+from pulsemill.operators import signals as S, windows
+from pulsemill.operators.indexing import range_index
 from pulsemill.operators.windows import (assign_index, finite_segments, fixed_windows,
                                          slice_windows, tag_segments)
 
@@ -146,8 +147,7 @@ def test_flat_segments(spark):
 
 
 def test_slice_bounds(spark):
-    df = assign_index(spark.range(10).selectExpr("'test' as split", "id"), ["id"],
-                      [F.floor(F.col("id") / 4)])
+    df = assign_index(spark.range(10).selectExpr("'test' as split", "id"), ["id"])
     assert sorted(r.id for r in slice_windows(df, "memmap_index", 7).collect()) == [7, 8, 9]
     for start, limit in ((10, None), (8, 5), (-1, 2), (0, 0)):
         with pytest.raises(ValueError):
@@ -158,3 +158,34 @@ def test_minmax_needs_a_span(spark):
     df = spark.createDataFrame([("train", [1.0, 1.0])], "split string, x array<double>")
     with pytest.raises(Exception, match="span"):
         S.apply_minmax(df, S.fit_minmax(df, ["x"]), ["x"]).collect()
+
+
+def test_windows_from_blocks(spark, monkeypatch):
+    """Overlapping, touching and spaced windows over several blocks, with samples that are not there."""
+    rng = np.random.default_rng(4)
+    here = np.flatnonzero(rng.random(400) > 0.02)
+    x = rng.normal(size=400)
+    x[rng.random(400) < 0.02] = np.nan
+    rows = [(rec, int(i), 10.0, float(x[i])) for rec, at in ((1, here), (2, np.arange(400))) for i in at]
+    df = spark.createDataFrame(rows, "record_id int, i bigint, fs double, x double")
+    monkeypatch.setattr(windows, "WINDOW_BLOCK", 32)
+    for win, step in ((1.0, 0.3), (2.0, 2.0), (0.5, 1.5), (9.0, 4.0)):
+        size, hop = round(win * 10), round(step * 10)
+        got = {(r.record_id, r.window_index): (r.n_bad, r.x) for r in
+               windows.fixed_windows(df, win, step, ["x"], ["record_id"], keep_all=True).collect()}
+        want = {(rec, k) for rec, at in ((1, here), (2, np.arange(400))) for k in range(400)
+                if np.isin(np.arange(k * hop, k * hop + size), at).all()}
+        assert set(got) == want
+        for (rec, k), (n_bad, values) in got.items():
+            part = x[k * hop:k * hop + size]
+            np.testing.assert_array_equal(np.array(values, float), part)
+            assert n_bad == np.isnan(part).sum()
+
+
+def test_range_index_is_row_number(spark):
+    df = spark.range(1000).selectExpr("case when id % 3 = 0 then 'b' else 'a' end as g", "id * 7919 % 1009 as v", "id")
+    got = range_index(df, ["g"], ["v", "id"], "n").collect()
+    for g in "ab":
+        rows = sorted((r.v, r.id, r.n) for r in got if r.g == g)
+        assert [r[2] for r in rows] == list(range(len(rows)))
+    assert len(got) == 1000

@@ -137,6 +137,15 @@ def test_funnel_counts_records_without_a_window(spark):
     assert [(x.records, x.candidate_windows, x.kept_windows) for x in r] == [(2, 2, 2)]
 
 
+def test_funnel_tells_records_of_two_subjects_apart(spark):
+    rows = [("train", s, 7, i, 4.0, float(i)) for s in (1, 2) for i in range(8)]
+    samples = spark.createDataFrame(rows, "split string, subject_id int, record_id int, i long, fs double, ppg double")
+    made = windows.fixed_windows(samples, 1.0, 1.0, ["ppg"], keep_all=True)
+    assert windows.window_funnel(made, records=samples).first().records == 2
+    ordered = windows.assign_index(made, ["subject_id", "record_id", "window_index"]).orderBy("memmap_index").collect()
+    assert [(r.subject_id, r.window_index, r.memmap_index) for r in ordered] == [(1, 0, 0), (1, 1, 1), (2, 0, 2), (2, 1, 3)]
+
+
 def test_preparation_refuses_empty_splits_and_long_keeps(spark):
     rows = [("train", "s", "a", i, 4.0, float(i), 1.0) for i in range(8)] + [("test", "s", "b", 0, 4.0, 1.0, 1.0)]
     samples = spark.createDataFrame(
