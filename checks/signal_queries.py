@@ -6,7 +6,7 @@ from checks import views as V
 from checks.manifest_queries import WIN_SQL, sample_windows, segments_sql
 from checks.registry import query, r, rs, tidy, with_
 from pulsemill.functions import arrays as A
-from pulsemill.operators import peaks as P, signals as S, transit as X
+from pulsemill.operators import filters as X_filters, peaks as P, signals as S, transit as X
 from pulsemill.operators.windows import apply_mask, finite_segments, fixed_windows, tag_segments
 from pulsemill.functions.numeric import round_even
 from pulsemill.sources import results
@@ -91,32 +91,42 @@ def e3(spark, d):
     return long(w, "ppg", "abp")
 
 
-TAPS = ("taps", "select unnest(range({n})) as t, unnest({taps}) as h")
+def rate_ctes(rates, fs_out):
+    """Tables of the taps and of the reduced rates, both by source rate."""
+    taps, pairs = [], []
+    for fs in rates:
+        up, down = S.rational_rates(fs, fs_out)
+        h = S.polyphase_taps(up, down)
+        taps.append(f"select cast({fs} as double) as fs, unnest(range({len(h)})) as t, unnest({h!r}) as h")
+        pairs.append(f"select cast({fs} as double) as fs, {up} as up, {down} as down, {len(h) // 2} as half")
+    return [("taps", " union all ".join(taps)), ("rates", " union all ".join(pairs))]
 
 
-def taps_sql(fs_in, fs_out):
-    taps = S.polyphase_taps(*S.rational_rates(fs_in, fs_out))
-    return ("taps", f"select unnest(range({len(taps)})) as t, unnest({taps!r}) as h"), len(taps) // 2
-
-
-TAP_CTE, HALF = taps_sql(4.0, 5.0)
+RATES, FS_OUT = (4.0, 8.0), 5.0
+RATE_CTES = rate_ctes(RATES, FS_OUT)
 
 
 def polyphase_sql(cols, src="tag"):
     sums = ", ".join(f"sum(s.{c} * taps.h) as {c}" for c in cols)
     return f"""
-select s.record_id, s.seg_start, m.m, {sums} from {src} s
-join (select record_id, seg_start, seg_end, unnest(range(cast(ceil((seg_end - seg_start) * 5 / 4.0) as bigint))) as m from segs where seg_end - seg_start >= 2) m
+select s.record_id, s.seg_start, s.fs, m.m, {sums} from {src} s join rates r on r.fs = s.fs
+join (select distinct t.record_id, t.seg_start, unnest(range(cast(ceil((t.seg_end - t.seg_start) * r.up / cast(r.down as double)) as bigint))) as m
+ from (select distinct record_id, seg_start, seg_end, fs from {src}) t join rates r on r.fs = t.fs where t.seg_end - t.seg_start >= 2) m
  on m.record_id = s.record_id and m.seg_start = s.seg_start
-join taps on taps.t = {HALF} + m.m * 4 - (s.i - s.seg_start) * 5 group by s.record_id, s.seg_start, m.m"""
+join taps on taps.fs = s.fs and taps.t = r.half + m.m * r.down - (s.i - s.seg_start) * r.up group by s.record_id, s.seg_start, s.fs, m.m"""
+
 
+def rated(spark, d, cols, gaps=(23, 29, 31)):
+    s = V.two_rates(V.samples(spark, d, gaps))
+    return tag_segments(s, segs(s, cols))
 
-@query("e4_resample_polyphase", with_("samples", segments_sql(FINITE3, 8), TAG, TAP_CTE,
+
+@query("e4_resample_polyphase", with_(("one_rate", V.SQL["samples"]), ("samples", V.TWO_RATES_SQL), segments_sql(FINITE3, 8), TAG, *RATE_CTES,
        ("o", polyphase_sql(["ppg", "abp"]))) + f"""
 select record_id, seg_start, cast(m as bigint) as m, {rs('ppg', 'abp')} from o""")
 def e4(spark, d):
-    t = tagged(spark, d).withColumn("ppg", F.col("ppg").cast("double"))
-    return tidy(S.resample_polyphase(t, ["ppg", "abp"], 4.0, 5.0, block=16).drop("seg_end"))
+    t = rated(spark, d, ("ecg", "ppg", "abp")).withColumn("ppg", F.col("ppg").cast("double"))
+    return tidy(S.resample_polyphase(t, ["ppg", "abp"], None, FS_OUT, block=16).drop("seg_end"))
 
 
 ZSQL = ("z", """
@@ -233,19 +243,46 @@ def e13(spark, d):
 
 
 LABELLED = ("lab", """
-select record_id, seg_start, cast(floor(k * 5) as bigint) as a, max(abp) as sbp, min(abp) as dbp, avg(abp) as mean_p, sum(z * (m - k * 5)) as moment, count(*) as n
-from (select o.*, unnest(range(greatest(0, cast(ceil((m - 9) / 5.0) as bigint)), cast(floor(m / 5.0) as bigint) + 1)) as k from o) group by record_id, seg_start, k having count(*) = 10""")
-
-
-@query("e14_labelled_segments", with_("samples", segments_sql("ppg is not null and abp is not null", 8), ("tag0", TAG[1]),
+select record_id, seg_start, fs, cast(floor(k * 5) as bigint) as a, max(abp) as sbp, min(abp) as dbp, avg(abp) as mean_p, sum(z * (m - k * 5)) as moment, count(*) as n
+from (select o.*, unnest(range(greatest(0, cast(ceil((m - 9) / 5.0) as bigint)), cast(floor(m / 5.0) as bigint) + 1)) as k from o) group by record_id, seg_start, fs, k having count(*) = 10""")
+VIEW_BAND = (0.2, 1.5)
+
+
+def band_pass_ctes(src, name):
+    """The recurrence sample by sample over mirrored lists, one section after the other, there and back."""
+    sections = {fs: (X_filters.band_pass_sections(fs, *VIEW_BAND), X_filters.steady_state(X_filters.band_pass_sections(fs, *VIEW_BAND)))
+                for fs in RATES}
+    n = X_filters.reach_of(sections[RATES[0]][0])
+    out = [(name + "_l", f"""
+select record_id, seg_start, seg_end, fs, list(z order by i) as x, list(abp order by i) as p from {src} group by record_id, seg_start, seg_end, fs having count(*) > {n}"""),
+           (name + "_e", f"""
+select *, list_concat([2 * x[1] - v for v in list_reverse(x[2:{n + 1}])], x, [2 * x[len(x)] - v for v in list_reverse(x[len(x) - {n}:len(x) - 1])]) as y from {name}_l""")]
+    last = name + "_e"
+    for turn in ("f", "b"):
+        out.append((f"{name}_{turn}", f"select *, y[1] as c0 from {last}" if turn == "f" else
+                    f"select * exclude (c0) replace (list_reverse(y) as y), y[len(y)] as c0 from {last}"))
+        last = f"{name}_{turn}"
+        for k in range(4):
+            values = [f"select cast({fs} as double) as fs, {', '.join(f'cast({float(v)!r} as double) as {c}' for c, v in zip(('b0', 'b1', 'b2', 'a1', 'a2', 's1', 's2'), [*sos[k], *rest[2 * k:2 * k + 2]]))}"
+                      for fs, (sos, rest) in sections.items()]
+            out += [(f"{name}_{turn}c{k}", " union all ".join(values)), (f"{name}_{turn}{k}", f"""
+select t.* replace (list_reduce(y, lambda acc, v: list_concat([b1 * v - a1 * (b0 * v + acc[1]) + acc[2], b2 * v - a2 * (b0 * v + acc[1])], acc[3:], [b0 * v + acc[1]]),
+ [s1 * c0, s2 * c0]::DOUBLE[])[3:] as y) from {last} t join {name}_{turn}c{k} c on c.fs = t.fs""")]
+            last = f"{name}_{turn}{k}"
+    out.append((name, f"""
+select record_id, seg_start, seg_end, fs, seg_start + unnest(range(len(p))) as i, unnest(list_reverse(y)[{n + 1}:len(y) - {n}]) as z, unnest(p) as abp from {last}"""))
+    return out
+
+
+@query("e14_labelled_segments", with_(("one_rate", V.few_gaps_sql()), ("samples", V.TWO_RATES_SQL), segments_sql("ppg is not null and abp is not null", 8), ("tag0", TAG[1]),
        ("tag", "select * from (select *, stddev_pop(ppg) over (partition by record_id, seg_start) as sd from tag0) where sd > 1e-12"),
-       (ZSQL[0], ZSQL[1].format(c="ppg")), TAP_CTE, ("o", polyphase_sql(["z", "abp"], "z")), LABELLED) + f"""
+       (ZSQL[0], ZSQL[1].format(c="ppg")), *band_pass_ctes("z", "zb"), *RATE_CTES, ("o", polyphase_sql(["z", "abp"], "zb")), LABELLED) + f"""
 select record_id, seg_start, a as target_start_index, a + 10 as target_end_index,
- {r('(seg_start + round_even(a * 4 / 5.0, 0)) / 4.0', 'target_start_sec')}, {r('(seg_start + round_even((a + 10) * 4 / 5.0, 0)) / 4.0', 'target_end_sec')},
+ {r('(seg_start + round_even(a * fs / 5.0, 0)) / fs', 'target_start_sec')}, {r('(seg_start + round_even((a + 10) * fs / 5.0, 0)) / fs', 'target_end_sec')},
  {rs('sbp', 'dbp')}, {r('mean_p', 'map_mean')}, {r('moment')} from lab""")
 def e14(spark, d):
-    t = tagged(spark, d, ("ppg", "abp"))
-    out = S.labelled_segments(t, "ppg", "abp", 4.0, 5.0, 10, 5, block=16)
+    t = rated(spark, d, ("ppg", "abp"), V.FEW_GAPS)
+    out = S.labelled_segments(t, "ppg", "abp", None, FS_OUT, 10, 5, block=16, band=VIEW_BAND)
     moment = A.array_sum(F.transform("ppg", lambda x, i: x * i))
     return tidy(out.select("record_id", "seg_start", "target_start_index", "target_end_index",
                            "target_start_sec", "target_end_sec", "sbp", "dbp",

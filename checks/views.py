@@ -34,6 +34,14 @@ def few_gaps_sql() -> str:
     return out
 
 
+def two_rates(samples: DataFrame) -> DataFrame:
+    """Every third record has twice the rate."""
+    return samples.withColumn("fs", F.when(F.col("record_id") % 3 == 0, F.lit(8.0)).otherwise(F.col("fs")))
+
+
+TWO_RATES_SQL = "select * replace (case when record_id % 3 = 0 then cast(8.0 as double) else fs end as fs) from one_rate"
+
+
 def shared_ids(samples: DataFrame) -> DataFrame:
     """Two subjects use each record id."""
     return samples.withColumns({"subject_id": F.col("subject_id") % 2, "record_id": F.expr("record_id div 2")})

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from pulsemill.functions.arrays import all_finite, bind
 from pulsemill.functions.numeric import round_even
+from pulsemill.operators import filters
 from pulsemill.operators.indexing import with_halo
 from pulsemill.operators.windows import BLOCK, attach_to_segments, fixed_windows
 
@@ -113,31 +114,58 @@ def polyphase_taps(up: int, down: int) -> list:
     return [float(t) for t in taps / taps.sum() * up]
 
 
+MOST_RATES = 10_000
+
+
+def _rates(rows: DataFrame, fs: str) -> list:
+    """The different sampling rates of a table: one per kind of recorder, whatever the data's size."""
+    found = [r[0] for r in rows.select(fs).distinct().limit(MOST_RATES + 1).collect() if r[0] is not None]
+    if len(found) > MOST_RATES:
+        raise ValueError(f"more than {MOST_RATES} different sampling rates")
+    return sorted(map(float, found))
+
+
+def _tap_tables(spark, rates: list, fs_out: float) -> DataFrame:
+    """(fs, up, down, half, taps), one row per rate; rates of one reduced pair share their taps."""
+    made, rows = {}, []
+    for fs in rates:
+        up, down = rational_rates(fs, fs_out)
+        if (up, down) not in made:
+            made[up, down] = [1.0] if up == down else polyphase_taps(up, down)
+        rows.append((fs, up, down, len(made[up, down]) // 2, made[up, down]))
+    return spark.createDataFrame(rows, "__fs double, __up bigint, __down bigint, __half bigint, __taps array<double>")
+
+
 def resample_polyphase(tagged: DataFrame, cols: list, fs_in: float, fs_out: float,
                        keys=SEG, block: int = BLOCK) -> DataFrame:
     """Rational-rate resampling of each segment; output position `m` from 0.
 
-    out[m] = sum over k of x[k] * taps[half + m * down - k * up], for
-    m < ceil(n * up / down). The input is held as one array per (segment, block) with a
-    halo, and every output sample is produced by the block that owns it.
+    `fs_in` is the rate of all rows, or None for that of each segment's own `fs`. out[m] = sum over k of
+    x[k] * taps[half + m * down - k * up], for m < ceil(n * up / down), with the taps of the segment's
+    rate. The input is held as one array per (segment, block) with a halo, and every output
+    sample is produced by the block that owns it.
     """
+    return _resampled(tagged, cols, fs_in, fs_out, keys, block).drop("__fs")
+
+
+def _resampled(tagged, cols, fs_in, fs_out, keys, block):
     keys = list(keys)
-    up, down = rational_rates(fs_in, fs_out)
-    if up == down:
-        return tagged.select(*keys, "seg_end",
-                             (F.col("i") - F.col("seg_start")).alias("m"), *cols)
-    taps = polyphase_taps(up, down)
-    half = len(taps) // 2
-    reach = half // up + 1
+    rate = F.col("fs").cast("double") if fs_in is None else F.lit(float(fs_in))
+    tagged = tagged.withColumn("__fs", rate)
+    rates = _rates(tagged, "__fs") if fs_in is None else [float(fs_in)]
+    tables = _tap_tables(tagged.sparkSession, rates, fs_out)
+    reach = max([h // u + 1 for u, h in tables.select("__up", "__half").collect()], default=0)
     local = tagged.where(F.col("seg_end") - F.col("seg_start") >= 2).withColumn(
         "__k", F.col("i") - F.col("seg_start"))
     rows = with_halo(local, "__k", block, reach, "__blk", "__core")
-    packed = rows.repartition(*keys, "__blk").groupBy(*keys, "seg_end", "__blk").agg(
+    packed = rows.repartition(*keys, "__blk").groupBy(*keys, "seg_end", "__fs", "__blk").agg(
         F.sort_array(F.collect_list(F.struct("__k", *cols))).alias("__d"))
+    packed = packed.join(F.broadcast(tables), "__fs")  # at most MOST_RATES rows
+    up, down, half = F.col("__up"), F.col("__down"), F.col("__half")
     n = F.col("seg_end") - F.col("seg_start")
-    size = F.ceil(n * F.lit(up) / F.lit(down))
-    first = F.ceil(F.col("__blk") * F.lit(block) * F.lit(up) / F.lit(down))
-    stop = F.least(size, F.ceil((F.col("__blk") + 1) * F.lit(block) * F.lit(up) / F.lit(down)))
+    size = F.ceil(n * up / down)
+    first = F.ceil(F.col("__blk") * F.lit(block) * up / down)
+    stop = F.least(size, F.ceil((F.col("__blk") + 1) * F.lit(block) * up / down))
     packed = packed.withColumns({
         "__m0": F.greatest(first, F.lit(0)).cast("bigint"), "__m1": stop.cast("bigint")})
     packed = packed.where(F.col("__m1") > F.col("__m0"))
@@ -147,48 +175,63 @@ def resample_polyphase(tagged: DataFrame, cols: list, fs_in: float, fs_out: floa
         last = k0 + F.size(x) - F.lit(1)
 
         def at(m):
-            lo = F.greatest(F.ceil((m * down - half) / F.lit(up)), k0)
-            hi = F.least(F.floor((m * down + half) / F.lit(up)), last)
+            lo = F.greatest(F.ceil((m * down - half) / up), k0)
+            hi = F.least(F.floor((m * down + half) / up), last)
             near = F.when(hi >= lo, F.sequence(lo, hi, F.lit(1))).otherwise(
                 F.array().cast("array<bigint>"))
             return F.aggregate(near, F.lit(0.0), lambda s, k: s + F.get(x, (k - k0).cast("int"))
-                               * F.get(F.lit(taps), (m * down - k * up + half).cast("int")))
+                               * F.get(F.col("__taps"), (m * down - k * up + half).cast("int")))
         return F.transform(grid, at)
 
     def column(c):
         first_k = F.get(F.col("__d").getField("__k"), F.lit(0))
         return bind(F.col("__d").getField(c), lambda x: bind(first_k, lambda k0: filtered(x, k0)))
 
-    zipped = packed.select(*keys, "seg_end", F.arrays_zip(
+    zipped = packed.select(*keys, "seg_end", "__fs", F.arrays_zip(
         grid.alias("m"), *[column(c).alias(c) for c in cols]).alias("__z"))
-    return zipped.select(*keys, "seg_end", F.explode("__z").alias("__o")).select(
-        *keys, "seg_end", F.col("__o.m").alias("m"), *[F.col(f"__o.{c}").alias(c) for c in cols])
+    return zipped.select(*keys, "seg_end", "__fs", F.explode("__z").alias("__o")).select(
+        *keys, "seg_end", "__fs", F.col("__o.m").alias("m"), *[F.col(f"__o.{c}").alias(c) for c in cols])
 
 
 def labelled_segments(tagged: DataFrame, ppg: str, abp: str, fs_in: float, fs_out: float,
                       length: int, step: int, keys=SEG, block: int = BLOCK,
-                      smooth_ms: float = 50.0) -> DataFrame:
+                      smooth_ms: float = 50.0, band=filters.BAND, smooth_from: float = 75.0) -> DataFrame:
     """Fixed segments on the target grid with pressure labels.
 
-    Per source segment: z-score the pulse, smooth it when fs >= 75, resample pulse and
+    `fs_in` is the rate of all rows, or None for that of each record's own `fs`. Per source segment:
+    z-score the pulse, band-pass it (`band`; None: not), smooth it when fs >= `smooth_from`, resample pulse and
     pressure, then cut `length` samples every `step`. Labels are max, min and mean of
-    the pressure; positions are mapped back to the source.
+    the pressure; positions are mapped back to the source. Segments too short for a filter's mirrored
+    ends, or of a rate too low for the band, give nothing.
     """
     keys = list(keys)
-    z = zscore(tagged, ppg, "__z", flat="drop", keys=keys, block=block)
-    if fs_in >= 75:
-        z = smooth_zero_phase(z, "__z", "__zs", smoothing_width(fs_in, smooth_ms), keys, block)
-        z = z.drop("__z").withColumnRenamed("__zs", "__z")
-    z = z.withColumn("__p", F.col(abp).cast("double"))
-    target = resample_polyphase(z, ["__z", "__p"], fs_in, fs_out, keys, block)
+    z = zscore(tagged, ppg, "__z", flat="drop", keys=keys, block=block).withColumn("__p", F.col(abp).cast("double"))
+    if fs_in is not None:
+        z = z.withColumn("fs", F.lit(float(fs_in)))
+    if band is not None:
+        z = filters.band_pass(z, "__z", "__zb", keys, band, others=["__p"]).withColumnRenamed("__zb", "__z")
+    z = z.select(*keys, "seg_end", "i", "fs", "__z", "__p")
+    rates = [float(fs_in)] if fs_in is not None else _rates(tagged, "fs")
+    widths = {}
+    for fs in rates:
+        if fs >= smooth_from:
+            widths.setdefault(smoothing_width(fs, smooth_ms), []).append(fs)
+    if widths:
+        plain = z.where(F.col("fs") < smooth_from)
+        for width, own in widths.items():
+            smooth = smooth_zero_phase(z.where(F.col("fs").isin(own)), "__z", "__zs", width, keys, block)
+            plain = plain.unionByName(smooth.drop("__z").withColumnRenamed("__zs", "__z"))
+        z = plain
+    target = _resampled(z, ["__z", "__p"], None, fs_out, keys, block)
     ready = target.withColumnsRenamed({"m": "i"}).withColumn("fs", F.lit(1.0))
-    cut = fixed_windows(ready, float(length), float(step), ["__z", "__p"], keys + ["seg_end"])
-    back = lambda c: F.col("seg_start") + round_even(F.col(c) * F.lit(fs_in) / F.lit(fs_out))
+    cut = fixed_windows(ready, float(length), float(step), ["__z", "__p"], keys + ["seg_end", "__fs"])
+    source = F.col("__fs")
+    back = lambda c: F.col("seg_start") + round_even(F.col(c) * source / F.lit(fs_out))
     return cut.select(
         *keys, "seg_end", F.col("source_start_index").alias("target_start_index"),
         F.col("source_end_index").alias("target_end_index"),
-        (back("source_start_index") / F.lit(fs_in)).alias("target_start_sec"),
-        (back("source_end_index") / F.lit(fs_in)).alias("target_end_sec"),
+        (back("source_start_index") / source).alias("target_start_sec"),
+        (back("source_end_index") / source).alias("target_end_sec"),
         F.col("__z").alias("ppg"), F.col("__p").alias("abp"),
         F.array_max("__p").alias("sbp"), F.array_min("__p").alias("dbp"),
         (F.aggregate("__p", F.lit(0.0), lambda s, x: s + x) / F.size("__p")).alias("map"),
