@@ -8,7 +8,9 @@ from checks.metric_queries import (BEAT_ERR, DIST, PATIENT_LONG, PATIENT_SQL, FI
                                    case_labels, folded, wave_sql)
 from checks.registry import query, r, rs, tidy, with_
 from checks.signal_queries import BASE, BASE3, EXTRACT, PAIRS, TRANSIT, long, resample_sql
-from pulsemill.plans import jobs
+from pulsemill.operators.patients import aggregate_seeds
+from pulsemill.plans import documents, jobs
+from pulsemill.sources import results
 from pulsemill.sources.storage import scratch_path
 from pulsemill.streaming import running
 
@@ -71,6 +73,32 @@ def j4(spark, d):
     return tidy(out["summary"].select("metric", "n_patients", "mean", "iqr_low", "median", "iqr_high", "ci_low", "ci_high"))
 
 
+QC_BOUNDS = {"min_range": 50.0, "max_range": 65.0}
+
+
+@query("j4_metrics_document", with_(("sp0", V.SQL["scalar_preds"]), ("scalar_preds", """
+select cast(subject_id as varchar) as subject_id, * exclude (subject_id) from sp0 where sbp_true - dbp_true between 50 and 65 and dbp_true >= 20 and sbp_true <= 250"""),
+       err_sql("scalar_preds", "subject_id, "), *PATIENT_LONG, DIST, ("pool", "select metric, avg(e) as bias, stddev_pop(e) as std from err group by metric")) + f"""
+select 'demo' as method, (select count(distinct subject_id) from scalar_preds) as n_patients, (select count(*) from scalar_preds) as n_scalar_predictions,
+ (select count(*) from sp0) as n_scalar_predictions_original, (select count(*) from sp0) - (select count(*) from scalar_preds) as n_scalar_excluded,
+ {r("(select mean from dist where metric = 'sbp_mae_mmHg')", 'sbp_mae')}, {r("(select median from dist where metric = 'map_rmse_mmHg')", 'map_rmse_median')},
+ {r("(select bias from pool where metric = 'dbp')", 'dbp_bias')}, {r("(select std from pool where metric = 'map')", 'map_std')}, cast(3 as bigint) as seed_values""")
+def j4_document(spark, d):
+    result = jobs.patient_metrics_scalar(V.scalar_preds(spark, d), reference_qc=QC_BOUNDS, n_bootstrap=20)
+    path = scratch_path(spark, "run")
+    documents.write_metrics_document(result, path, "demo")
+    fields = {"n_patients": "n_patients", "n_scalar_predictions": "n_scalar_predictions",
+              "n_scalar_predictions_original": "n_scalar_predictions_original", "n_scalar_excluded": "reference_qc.n_scalar_excluded",
+              "sbp_mae": "patient_summary.scalar.sbp_mae_mmHg.mean", "map_rmse_median": "patient_summary.scalar.map_rmse_mmHg.median",
+              "dbp_bias": "pooled_scalar.dbp.bias", "map_std": "pooled_scalar.map.std"}
+    read = results.read_metrics_json(spark, f"{path}/document", fields).where("n_patients is not null")
+    # The seeds' aggregation reads the same document.
+    seeds = aggregate_seeds(results.read_seed_runs(spark, {"a": f"{path}/document"})).where(
+        "metric in ('SBP err', 'DBP ME', 'MAP error SD') and n_seeds = 1").agg(F.count(F.lit(1)))
+    counts = [F.col(c).cast("bigint").alias(c) for c in list(fields)[:4]]
+    return tidy(read.select(F.lit("demo").alias("method"), *counts, *list(fields)[4:], seeds.scalar().alias("seed_values")))
+
+
 @query("j5_prepare_minmax", with_(*BASE, ("rs", resample_sql("wp", 16, 20, 16, ["ppg", "abp"])), ("k", """
 select min(ppg) as p0, max(ppg) as p1, min(abp) as a0, max(abp) as a1 from rs where split in ('train', 'val')"""), ("idx", """
 select split, record_id, window_index, row_number() over (partition by split order by record_id, window_index) - 1 as memmap_index from win where n_bad = 0""")) + f"""

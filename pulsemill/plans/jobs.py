@@ -25,7 +25,9 @@ def transit_benchmark(samples: DataFrame, fit_splits=("train",), transform="inve
     preds = transit.predict_ptt(beats.where(F.col("split") == "test"), model, transform)
     summary = errors.scalar_error_summary(errors.scalar_errors_long(preds), "error", ["metric"])
     return {"predictions": preds, "model": model, "summary": summary, "labelled": labelled,
-            "feet": feet, "segments": segments, "beats": beats}
+            "feet": feet, "segments": segments, "beats": beats,
+            "invalid_transit_times": beats.groupBy("split").agg(F.count_if(
+                transit.ptt_feature("ptt_sec", transform).isNull()).alias("n_invalid"))}
 
 
 def evaluate_waveforms(windows: DataFrame, window_seconds: float, scale: float = 1.0,
@@ -55,14 +57,16 @@ def patient_metrics_waveform(windows: DataFrame, window_seconds: float,
                              seed: int = fixed.BOOTSTRAP_SEED, reference_qc: dict = None,
                              shift_samples: int = None,
                              method: str = "", metrics_json: str = "") -> dict:
-    """Per-patient waveform metrics with summaries, intervals and the table row.
+    """Per-patient waveform metrics with summaries, intervals, the table row, run totals and the report of
+    the check; `documents.write_metrics_document` makes one nested document of them.
 
     `windows`: subject_id, window_id, y_true, y_pred. `reference_qc` holds thresholds and
     switches the check of the truth on (an empty dict means the defaults).
     """
-    subjects = windows.select("subject_id").distinct()
+    subjects, every, report = windows.select("subject_id").distinct(), windows, None
     if reference_qc is not None:
-        windows = quality.waveform_qc(windows, **reference_qc).where("qc_valid")
+        flagged = quality.waveform_qc(windows, **reference_qc)
+        report, windows = quality.waveform_qc_report(flagged), flagged.where("qc_valid")
     # One pass over the arrays; what follows works on a few numbers per window.
     stats = materialize(errors.window_statistics(windows, ["subject_id", "window_id"], shift_ms,
                                                  window_seconds, shift_samples=shift_samples))
@@ -80,25 +84,42 @@ def patient_metrics_waveform(windows: DataFrame, window_seconds: float,
     pooled = errors.scalar_error_summary(beats, "error", ["metric"])
     names = ["mae_mmHg", "rmse_mmHg", "min_mae_mmHg", "min_rmse_mmHg", "nrmse", "corr"]
     names += [f"{m}_{v}_mmHg" for m in fixed.SCALAR_METRICS for v in ("mae", "rmse")]
-    return _summaries(table, names, pooled, n_bootstrap, seed, method, metrics_json)
+    reach = F.rint(F.lit(shift_ms / 1000.0) * F.max(F.size("y_true")) / F.lit(float(window_seconds)))
+    totals = table.agg(F.count(F.lit(1)).alias("n_patients"), F.coalesce(F.sum("n_windows"), F.lit(0)).alias("n_windows"),
+                       F.coalesce(F.sum("n_points"), F.lit(0)).alias("n_points"))
+    whole = every.agg(F.count(F.lit(1)).alias("n_windows_original"),
+                      (reach if shift_samples is None else F.lit(shift_samples)).cast("bigint").alias("max_shift_samples"))
+    return {**_summaries(table, names, pooled, n_bootstrap, seed, method, metrics_json), "reference_qc": report,
+            "totals": _beside(totals, whole)}
+
+
+def _beside(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Two one-row results as one row."""
+    return one.withColumn("__o", other.select(F.struct("*")).scalar()).select(*one.columns, "__o.*")
 
 
 def patient_metrics_scalar(preds: DataFrame, labels: DataFrame = None,
                            n_bootstrap: int = fixed.BOOTSTRAP_SAMPLES,
                            seed: int = fixed.BOOTSTRAP_SEED, reference_qc: dict = None,
                            method: str = "", metrics_json: str = "") -> dict:
-    """Per-patient metrics of scalar predictions; filtered patients vanish."""
+    """The same of scalar predictions; filtered patients vanish."""
     if labels is not None:
         preds = alignment.attach_subjects(preds, labels)
+    every, report = preds, None
     if reference_qc is not None:
-        preds = quality.scalar_qc(preds, **reference_qc).where("qc_valid")
+        flagged = quality.scalar_qc(preds, **reference_qc)
+        report, preds = quality.scalar_qc_report(flagged), flagged.where("qc_valid")
     per_metric = materialize(patients.patient_scalar_metrics(preds))
     table = per_metric.groupBy("subject_id").agg(*[
         F.max(F.when(F.col("metric") == m, F.col(v))).alias(f"{m}_{v}_mmHg")
         for m in fixed.SCALAR_METRICS for v in ("mae", "rmse")])
     names = [f"{m}_{v}_mmHg" for m in fixed.SCALAR_METRICS for v in ("mae", "rmse")]
     pooled = patients.pooled_scalar_metrics(preds)
-    return _summaries(table, names, pooled, n_bootstrap, seed, method, metrics_json)
+    number = lambda rows, name: rows.agg(F.count(F.lit(1)).alias(name))
+    totals = _beside(_beside(number(table, "n_patients"), number(preds, "n_scalar_predictions")),
+                     number(every, "n_scalar_predictions_original"))
+    return {**_summaries(table, names, pooled, n_bootstrap, seed, method, metrics_json), "reference_qc": report,
+            "totals": totals}
 
 
 def _summaries(table, names, pooled, n_bootstrap, seed, method, metrics_json):

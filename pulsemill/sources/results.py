@@ -1,5 +1,7 @@
 """Predictions, metrics documents and result tables."""
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
@@ -48,23 +50,24 @@ def read_metrics_json(spark: SparkSession, paths, fields: dict) -> DataFrame:
 
 
 def read_seed_runs(spark: SparkSession, labelled_paths: dict) -> DataFrame:
-    """Long rows (seed_label, method, metric, metric_path, digits, value) of metrics documents."""
-    parts = []
-    for label, path in labelled_paths.items():
-        docs = spark.read.text(path, wholetext=True)
-        cells = F.array(*[F.struct(
-            F.lit(m).alias("metric"), F.lit(p).alias("metric_path"), F.lit(d).alias("digits"),
-            parse_finite(F.get_json_object("value", "$." + p)).alias("value"))
-            for m, p, d in fixed.SEED_METRICS])
-        method = F.coalesce(F.get_json_object("value", "$.method_label"),
-                            F.get_json_object("value", "$.method"), F.lit(""))
-        parts.append(docs.select(F.lit(label).alias("seed_label"), method.alias("method"),
-                                 F.explode(cells).alias("__c"))
-                     .select("seed_label", "method", "__c.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Long rows (seed_label, method, metric, metric_path, digits, value) of metrics documents.
+
+    `labelled_paths`: label -> file or folder. All are read in one scan; a file has the label of the path
+    it lies under."""
+    docs = spark.read.option("recursiveFileLookup", True).text(list(labelled_paths.values()), wholetext=True)
+    place = F.regexp_replace(F.col("_metadata.file_path"), "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    label = F.lit(None).cast("string")
+    bare = {name: re.sub("^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path).rstrip("/") for name, path in labelled_paths.items()}
+    for name, path in sorted(bare.items(), key=lambda x: len(x[1])):
+        label = F.when((place == path) | place.startswith(path + "/"), F.lit(name)).otherwise(label)
+    cells = F.array(*[F.struct(
+        F.lit(m).alias("metric"), F.lit(p).alias("metric_path"), F.lit(d).alias("digits"),
+        parse_finite(F.get_json_object("value", "$." + p)).alias("value"))
+        for m, p, d in fixed.SEED_METRICS])
+    method = F.coalesce(F.get_json_object("value", "$.method_label"),
+                        F.get_json_object("value", "$.method"), F.lit(""))
+    return docs.select(label.alias("seed_label"), method.alias("method"), F.explode(cells).alias("__c")).select(
+        "seed_label", "method", "__c.*")
 
 
 def _cleaned(c: Column, t: DataType) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pulsemill.functions import features, text as T
 from pulsemill.operators import transit as X, windows
-from pulsemill.plans import jobs
+from pulsemill.plans import documents, jobs
 from pulsemill.sources import manifests, records, results
 from pulsemill.sources.storage import scratch_path
 
@@ -154,3 +154,22 @@ def test_preparation_refuses_empty_splits_and_long_keeps(spark):
         jobs.prepare_windows(samples, 1.0, 1.0, 4)
     with pytest.raises(ValueError, match="keep"):
         jobs.prepare_windows(samples, 1.0, 1.0, 4, keep=5)
+
+
+def test_metrics_document_of_a_waveform_run(spark):
+    """Run totals, the check's report, and what the seeds' aggregation reads."""
+    rng = np.random.default_rng(0)
+    rows = [(f"s{k % 3}", k, [float(80 + 30 * np.sin(i / 3.0) + rng.normal()) for i in range(40)],
+             [float(80 + 30 * np.sin(i / 3.0)) for i in range(40)]) for k in range(9)] + [("s9", 9, [80.0] * 40, [80.0] * 40)]
+    df = spark.createDataFrame(rows, "subject_id string, window_id long, y_true array<double>, y_pred array<double>")
+    result = jobs.patient_metrics_waveform(df, 4.0, n_bootstrap=20, reference_qc={})
+    path = scratch_path(spark, "document")
+    documents.write_metrics_document(result, path, "demo", protocol={"shift_ms": 250.0})
+    d = spark.read.json(f"{path}/document").first()
+    assert (d.method, d.n_patients, d.n_windows, d.n_windows_original, d.n_points) == ("demo", 4, 9, 10, 360)
+    assert d.max_shift_samples == round(0.25 * 40 / 4.0)
+    assert (d.reference_qc.enabled, d.reference_qc.n_windows_valid, d.reference_qc.below_min_std) == (True, 9, 1)
+    assert d.patient_summary.waveform.mae_mmHg.n_patients == 3 and d.pooled_scalar.sbp.n_beats > 0
+    assert spark.read.json(f"{path}/patients").count() == 4
+    seeds = {r.metric: r.value for r in results.read_seed_runs(spark, {"a": f"{path}/document"}).collect()}
+    assert seeds["MAE"] == d.patient_summary.waveform.mae_mmHg.mean and seeds["SBP ME"] == d.pooled_scalar.sbp.bias
