@@ -149,10 +149,18 @@ def x1(spark, d):
     return tidy(spark.read.parquet(path))
 
 
-@query("x2_event_windows_qc")
+# Windows that end before the last time seen less the delay have been given out.
+@query("x2_event_windows_qc", f"""
+with e as (select event_type, value, ts, (select max(ts) from events) - interval 10 minutes as seen from events),
+w as (select *, unnest([time_bucket(interval 3 hours, ts, timestamp '1970-01-01'), time_bucket(interval 3 hours, ts, timestamp '1970-01-01') - interval 3 hours]) as window_start from e),
+g as (select event_type, window_start, window_start + interval 6 hours as window_end, count(*) as n, count(value) as n_finite, min(value) as lo, max(value) as hi, avg(value) as mean
+ from w where window_start + interval 6 hours <= seen group by event_type, window_start)
+select event_type, cast(epoch(window_start) as bigint) as window_start, cast(epoch(window_end) as bigint) as window_end, n, n_finite, {rs('lo', 'hi', 'mean')},
+ coalesce(n = n_finite and lo >= 0 and hi <= 250, false) as valid from g""")
 def x2(spark, d):
     rows = stream(spark, d, "events").withColumn("time", F.col("ts").cast("timestamp"))
     path, mark = scratch_path(spark, "event-windows"), scratch_path(spark, "event-windows-state")
     out = running.event_windows_qc(rows, "time", "value", ["event_type"], "6 hours", "3 hours", "10 minutes", 0.0, 250.0)
     running.drain(out, path, mark)
-    return tidy(spark.read.parquet(path))
+    seconds = {c: F.unix_timestamp(c) for c in ("window_start", "window_end")}
+    return tidy(spark.read.parquet(path).withColumns(seconds))

@@ -119,7 +119,11 @@ def s2_files(spark, d):
     return records.read_records(spark, materialize(listed)).drop("parquet", "timestamp")
 
 
-@query("s3_inspect_record_files")
+# Every file of a split looks alike, so files are told apart by their split.
+@query("s3_inspect_record_files", with_("samples") + """
+select distinct split, true as file_exists, 'fs,II,Pleth,ART' as columns, 'II' as ecg_col, 'Pleth' as ppg_col, 'ART' as abp_col, fs as file_fs,
+ false as has_timestamp, true as qualified from samples
+union all select distinct split, false, '', '', '', '', null, false, false from samples""")
 def s3(spark, d):
     path = scratch_path(spark, "records")
     (V.samples(spark, d).select("fs", F.col("ecg").alias("II"), F.col("ppg").alias("Pleth"),
@@ -129,8 +133,10 @@ def s3(spark, d):
              .option("pathGlobFilter", "*.parquet").load(path).select(F.col("path").alias("parquet")))
     absent = files.select(F.concat("parquet", F.lit(".gone")).alias("parquet"))
     seen = manifests.inspect_record_files(files.unionByName(absent))
-    return seen.select("file_exists", F.array_join("columns", ",").alias("columns"), "ecg_col",
-                       "ppg_col", "abp_col", "file_fs", "has_timestamp", "qualified")
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c if isinstance(c, str) else "columns")
+    return seen.select(F.regexp_extract("parquet", "split=([a-z]+)", 1).alias("split"), "file_exists",
+                       text(F.array_join("columns", ",")), *[text(c) for c in ("ecg_col", "ppg_col", "abp_col")],
+                       "file_fs", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("has_timestamp", "qualified")]).distinct()
 
 
 PRED_COLS = ["sbp_true", "dbp_true", "map_true", "sbp_pred", "dbp_pred", "map_pred"]
@@ -225,7 +231,7 @@ select cast(row_number() over (order by source_row_index) - 1 as bigint) as expo
  'records' as source_manifest, source_row_index
 from record_manifest m join (select record_id, count(*) as num_rows from samples group by record_id) using (record_id)""")
 def s7(spark, d):
-    return exported(spark, d).withColumn("exported_parquet", F.element_at(F.split("exported_parquet", "/"), -1))
+    return exported(spark, d).withColumn("exported_parquet", F.element_at(F.split("exported_parquet", "/"), -2))
 
 
 def exported(spark, d):
@@ -241,6 +247,17 @@ def s7_read(spark, d):
     return records.read_export(spark, exported(spark, d).where("split <> 'val'"))
 
 
+@query("s7_read_record", with_("samples", "record_manifest") + """
+select s.i, s.ecg as "II", s.ppg as "PLETH", s.abp as "ABP", s.fs, s.subject_id, m.hadm_id, s.record_id, m.split, m.source
+from samples s join record_manifest m using (record_id) where s.record_id in (select min(record_id) from samples)""")
+def s7_record(spark, d):
+    m = V.record_manifest(spark, d)
+    path = scratch_path(spark, "export")
+    records.export_method_view(records.standardize_records(V.samples(spark, d), m), m, "unicardio", path)
+    one = m.orderBy("record_id").first()
+    return records.read_record(spark, path, one["split"], one["subject_id"], one["record_id"])
+
+
 @query("s8_append_table", with_("scalar_preds", err_sql("scalar_preds"), ("s", summary_sql("err", ["metric"]))) + """
 select metric, n_beats, mae, bias, bhs_grade from s""")
 def s8(spark, d):

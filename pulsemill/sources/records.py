@@ -21,16 +21,19 @@ def read_records(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     scan do. The path is the identity of a record, so record ids may repeat between subjects.
     """
     signals = ["ecg_col", "ppg_col", "abp_col"]
-    listed = manifest.where(F.col("parquet").isNotNull()).groupBy(*signals).agg(
-        F.collect_set("parquet").alias("paths")).orderBy(*signals).collect()
+    # Paths come one by one; the list that a scan needs is the only place where they meet.
+    listed = {}
+    named = manifest.where(F.col("parquet").isNotNull()).select(*signals, "parquet").distinct()
+    for r in named.toLocalIterator():
+        listed.setdefault(tuple(r[c] for c in signals), []).append(r["parquet"])
     parts = []
-    for r in listed:
-        raw = spark.read.option("mergeSchema", True).parquet(*r["paths"])
+    for names in sorted(listed):
+        raw = spark.read.option("mergeSchema", True).parquet(*sorted(listed[names]))
         found = {c.lower(): c for c in raw.columns}
         meta = {c: "double" if c == "fs" else "string" for c in META_FILLS}
         parts.append(raw.select(
             _bare_path("_metadata.file_path").alias("parquet"), F.col("_metadata.row_index").alias("i"),
-            *[F.col(f"`{r[c]}`").cast("double").alias(n) for c, n in zip(signals, ("ecg", "ppg", "abp"))],
+            *[F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(names, ("ecg", "ppg", "abp"))],
             *[F.col(f"`{found['timestamp']}`").cast("string").alias("timestamp") if "timestamp" in found
               else F.lit(None).cast("string").alias("timestamp")],
             *[(F.col(f"`{found[c]}`") if c in found else F.lit(None)).cast(t).alias(c)
@@ -89,43 +92,79 @@ def standardize_records(samples: DataFrame, manifest: DataFrame, ecg="ecg", ppg=
                        F.col("__split").alias("split"), F.col("__source").alias("source"))
 
 
-def export_method_view(samples: DataFrame, manifest: DataFrame, method: str, path: str) -> DataFrame:
-    """Write a method's view of every record, split by split; return the export manifest.
+EXPORT_BUCKETS = 32
 
-    `samples` are standardised records with `i`. The manifest has one row per record, told apart
-    by split, subject and record. `exported_parquet` is the folder that holds the record's rows;
-    `read_export` gives them back.
+
+def record_bucket(subject_id, record_id, buckets: int = EXPORT_BUCKETS) -> Column:
+    """The bucket of a record in an export."""
+    text = [F.coalesce(c.cast("string"), F.lit("")) for c in (subject_id, record_id)]
+    return F.pmod(F.xxhash64(*text), F.lit(buckets)).cast("int")
+
+
+def _record_columns(rows: DataFrame):
+    return [F.col(c) if c in rows.columns else F.lit(None) for c in ("subject_id", "record_id")]
+
+
+def export_method_view(samples: DataFrame, manifest: DataFrame, method: str, path: str,
+                       buckets: int = EXPORT_BUCKETS) -> DataFrame:
+    """Write a method's view of every record; return the export manifest.
+
+    `samples` are standardised records with `i`. Rows lie in folders by split and record bucket, and inside
+    in the order of subject, record and `i`, so that one record is found by its folder and the
+    statistics of its row groups. A long record goes over many files. The manifest has one row per record,
+    told apart by split, subject and record. `exported_parquet` is the folder that holds the record's rows;
+    `read_export` and `read_record` give them back.
     """
     view = method_columns(samples, method, also=["i"])
-    (view.write.mode("errorifexists").partitionBy("split").parquet(path))
+    placed = view.withColumn("record_bucket", record_bucket(*_record_columns(view), buckets))
+    order = ["split", "record_bucket", *[c for c in ("subject_id", "record_id") if c in view.columns], "i"]
+    (placed.repartitionByRange(*order).sortWithinPartitions(*order)
+     .write.mode("errorifexists").partitionBy("split", "record_bucket").parquet(path))
     inputs, target, _, _ = fixed.METHOD_POLICIES[method]
     key = ["split", *[c for c in ("subject_id", "record_id") if c in view.columns and c in manifest.columns]]
-    counts = view.groupBy(*key).agg(F.count(F.lit(1)).alias("num_rows"))
+    counts = placed.groupBy(*key, "record_bucket").agg(F.count(F.lit(1)).alias("num_rows"))
     rows = counts.join(manifest, key)
     listed = F.to_json(F.array(*[F.lit(c) for c in inputs]))
     rows = dense_index(rows, [], ["source_row_index"],
                        [F.floor(F.col("source_row_index") / F.lit(65536))], "export_index")
     hadm = F.col("hadm_id") if "hadm_id" in rows.columns else F.lit(None).cast("string")
+    folder = F.concat(F.lit(path.rstrip("/") + "/split="), "split", F.lit("/record_bucket="),
+                      F.col("record_bucket").cast("string"))
     return rows.withColumns({
         "baseline_key": F.lit(method), "hadm_id": hadm, "input_columns": listed,
-        "target_column": F.lit(target), "source_parquet": F.col("parquet"),
-        "exported_parquet": F.concat(F.lit(path.rstrip("/") + "/split="), "split"),
+        "target_column": F.lit(target), "source_parquet": F.col("parquet"), "exported_parquet": folder,
     }).select(*fixed.EXPORT_MANIFEST_COLUMNS)
 
 
+def _read_folders(spark: SparkSession, folders: list) -> DataFrame:
+    return spark.read.option("basePath", folders[0].rsplit("/split=", 1)[0]).parquet(*folders).drop("record_bucket")
+
+
 def read_export(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """The samples of the records that an export manifest lists, with their split.
 
-    Only the folders it names are read (one per split), with the columns of the method's view.
+    Only the folders it names are read (at most splits times buckets), with the columns of the method's view.
     """
-    folders = [r[0] for r in manifest.select("exported_parquet").distinct().collect()]
+    folders = sorted(r[0] for r in manifest.select("exported_parquet").distinct().collect())
     if not folders:
         raise ValueError("the export manifest lists no record")
-    rows = spark.read.option("basePath", folders[0].rsplit("/split=", 1)[0]).parquet(*folders)
+    rows = _read_folders(spark, folders)
     key = [c for c in ("split", "subject_id", "record_id") if c in rows.columns]
     return rows.join(manifest.select(*key).distinct(), key, "left_semi")
 
 
+def read_record(spark: SparkSession, path: str, split: str, subject_id, record_id,
+                buckets: int = EXPORT_BUCKETS) -> DataFrame:
+    """One record of an export: its bucket alone is scanned, and of that the row groups that may hold it."""
+    rows = spark.read.parquet(path)
+    same = (F.col("split") == split) & (F.col("record_bucket") == record_bucket(
+        F.lit(subject_id), F.lit(record_id), buckets))
+    for c, v in (("subject_id", subject_id), ("record_id", record_id)):
+        if c in rows.columns:
+            same = same & F.col(c).eqNullSafe(F.lit(v).cast(rows.schema[c].dataType))
+    return rows.where(same).drop("record_bucket")
+
+
 def write_windows(windows: DataFrame, path: str) -> None:
     """Windows or embeddings with their arrays, one folder per split."""
     windows.write.mode("errorifexists").partitionBy("split").parquet(path)

@@ -173,3 +173,24 @@ def test_metrics_document_of_a_waveform_run(spark):
     assert spark.read.json(f"{path}/patients").count() == 4
     seeds = {r.metric: r.value for r in results.read_seed_runs(spark, {"a": f"{path}/document"}).collect()}
     assert seeds["MAE"] == d.patient_summary.waveform.mae_mmHg.mean and seeds["SBP ME"] == d.pooled_scalar.sbp.bias
+
+
+def test_one_record_of_an_export_scans_its_bucket(spark):
+    rows = [("train" if r % 2 else "test", f"s{r % 3}", r, 4.0, i, float(i), float(i), float(i), "h", "src")
+            for r in range(40) for i in range(30)]
+    samples = spark.createDataFrame(rows, "split string, subject_id string, record_id long, fs double, i long, "
+                                          "II double, PLETH double, ABP double, hadm_id string, source string")
+    manifest = samples.select("split", "subject_id", "record_id", "fs", "hadm_id", "source").distinct().withColumns({
+        "parquet": F.lit("p"), "source_manifest": F.lit("m"), "source_row_index": F.col("record_id")})
+    path = scratch_path(spark, "export")
+    listed = records.export_method_view(samples, manifest, "unicardio", path)
+    one = records.read_record(spark, path, "train", "s1", 7)
+    assert sorted(r.i for r in one.collect()) == list(range(30)) and {r.record_id for r in one.collect()} == {7}
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    scan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert "record_bucket" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert len(one.inputFiles()) >= 1 and "pmod(xxhash64" not in scan
+    assert all(f"record_bucket={b}/" in f"{r.exported_parquet}/" for r in listed.collect()
+               for b in [r.exported_parquet.rsplit("=", 1)[1]])
+    back = records.read_export(spark, listed.where("record_id in (3, 7, 8)"))
+    assert back.count() == 90 and "record_bucket" not in back.columns
