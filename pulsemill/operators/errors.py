@@ -48,6 +48,7 @@ def scalar_error_summary(errors: DataFrame, col: str = "error", by=()) -> DataFr
     return out.withColumns({
         "loa_low": F.col("bias") - 1.96 * F.col("std"),
         "loa_high": F.col("bias") + 1.96 * F.col("std"),
+        "aami_mean_error": F.col("bias"), "aami_std_error": F.col("std"),
         "aami_compliant": (F.abs("bias") <= 5.0) & (F.col("std") <= 8.0),
         "bhs_grade": bhs_grade(F.col("bhs_within_5"), F.col("bhs_within_10"),
                                F.col("bhs_within_15")),

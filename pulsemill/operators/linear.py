@@ -8,11 +8,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from pulsemill.functions import fixed
+from pulsemill.sources.storage import materialize
 
 
 def pool_embeddings(segments: DataFrame, case: str = "case_key", col: str = "embedding",
@@ -49,12 +51,16 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, col: str = "embedding",
         col, "__k", lambda x, k: (x.cast("double") - k["mean"]) / k["scale"])).drop("__k")
 
 
-def moment_sums(df: DataFrame, targets: list, col: str = "embedding", fold: str = None,
-                center: np.ndarray = None) -> DataFrame:
-    """Sums of products of (1, x, y) per fold as rows (fold, a, b, total).
+FAN = 64
 
-    Position 0 is the constant, then the vector, then the targets. Every task adds up its
-    own rows first, so only matrices of fixed size are shuffled.
+
+def moment_matrices(df: DataFrame, targets: list, col: str = "embedding", fold: str = None,
+                    center: np.ndarray = None) -> DataFrame:
+    """Sums of products of (1, x, y) per fold, one row (fold, m) with the upper triangle as one array.
+
+    Position 0 is the constant, then the vector, then the targets. Every task adds up its own rows
+    to one array per fold; the arrays are then added in a tree, FAN at a time, so no task holds more than FAN of
+    them and what is shuffled is one row per task and fold.
     """
     names = list(targets)
     shift = None if center is None else np.asarray(center, dtype=np.float64)
@@ -70,22 +76,43 @@ def moment_sums(df: DataFrame, targets: list, col: str = "embedding", fold: str
             for f in np.unique(pdf["fold"]):
                 part = z[(pdf["fold"] == f).to_numpy()]
                 sums[f] = sums.get(f, 0.0) + part.T @ part
+        task = TaskContext.get().partitionId()
         for f, m in sums.items():
-            a, b = np.indices(m.shape)
-            yield pd.DataFrame({"fold": int(f), "a": a.ravel(), "b": b.ravel(),
-                                "total": m.ravel()})
+            yield pd.DataFrame({"fold": [int(f)], "part": [task], "m": [m[np.triu_indices(len(m))]]})
+
+    def added(pdf):
+        return pd.DataFrame({"fold": pdf["fold"][:1], "part": pdf["part"][:1], "m": [np.sum(list(pdf["m"]), axis=0)]})
 
+    kind = "fold int, part long, m array<double>"
     rows = df.select(F.col(col).cast("array<double>").alias("x"),
                      (F.col(fold) if fold else F.lit(0)).cast("int").alias("fold"),
                      *[F.col(t).cast("double").alias(t) for t in names])
-    return (rows.mapInPandas(partial, "fold int, a int, b int, total double")
-            .groupBy("fold", "a", "b").agg(F.sum("total").alias("total")))
+    parts, most = rows.mapInPandas(partial, kind), None
+    while most is None or most > 0:
+        parts = materialize(parts.withColumn("part", F.floor(F.col("part") / F.lit(FAN)))
+                            .groupBy("fold", "part").applyInPandas(added, kind))
+        most = parts.agg(F.max("part")).first()[0] or 0
+    return parts.select("fold", "m")
 
 
 def gram_matrix(df: DataFrame, col: str = "embedding") -> DataFrame:
     """X'X as rows (a, b, total), positions from 0."""
-    return moment_sums(df, [], col).where("a > 0 and b > 0").select(
-        (F.col("a") - 1).alias("a"), (F.col("b") - 1).alias("b"), "total")
+    def square(batches):
+        for pdf in batches:
+            for m in pdf["m"]:
+                whole = _whole(m)[1:, 1:]
+                a, b = np.indices(whole.shape)
+                yield pd.DataFrame({"a": a.ravel(), "b": b.ravel(), "total": whole.ravel()})
+
+    return moment_matrices(df, [], col).mapInPandas(square, "a int, b int, total double")
+
+
+def _whole(packed) -> np.ndarray:
+    """The symmetric matrix of an upper triangle."""
+    size = int((np.sqrt(8 * len(packed) + 1) - 1) / 2)
+    m = np.zeros((size, size))
+    m[np.triu_indices(size)] = packed
+    return m + np.triu(m, 1).T
 
 
 @dataclass
@@ -98,15 +125,9 @@ class Ridge:
     alpha: float
 
 
-def _collect_folds(sums: DataFrame, dim: int, n_targets: int) -> dict:
-    """Moment matrices on the driver: folds x (dim + targets + 1)^2 numbers, whatever the data."""
-    size = dim + n_targets + 1
-    folds = {}
-    for fold, part in sums.toPandas().groupby("fold"):
-        m = np.zeros((size, size))
-        m[part["a"], part["b"]] = part["total"]
-        folds[int(fold)] = m
-    return folds
+def _collect_folds(matrices: DataFrame) -> dict:
+    """Moment matrices on the driver: folds x (dim + targets + 1)^2 / 2 numbers, whatever the data."""
+    return {int(r["fold"]): _whole(r["m"]) for r in matrices.collect()}
 
 
 def _solve(m: np.ndarray, dim: int, target: int, alpha: float):
@@ -143,7 +164,7 @@ def fit_ridge_cv(df: DataFrame, targets: list, fold: str, dim: int, col: str = "
         raise ValueError("penalties must be positive")
     # Centring on the overall mean keeps the sums of products well conditioned.
     center = np.array([r["mean"] for r in fit_scaler(df, col).orderBy("pos").collect()])
-    folds = _collect_folds(moment_sums(df, targets, col, fold, center), dim, len(targets))
+    folds = _collect_folds(moment_matrices(df, targets, col, fold, center))
     if len(folds) < 2:
         raise ValueError("need at least two folds")
     whole = sum(folds.values())
@@ -167,7 +188,7 @@ def fit_ridge(df: DataFrame, target: str, alpha: float, dim: int,
     if alpha <= 0:
         raise ValueError("alpha must be positive")
     center = np.array([r["mean"] for r in fit_scaler(df, col).orderBy("pos").collect()])
-    m = _collect_folds(moment_sums(df, [target], col, None, center), dim, 1)[0]
+    m = _collect_folds(moment_matrices(df, [target], col, None, center))[0]
     mean, scale, coef, intercept = _solve(m, dim, 0, alpha)
     return Ridge(mean + center, scale, coef, intercept, alpha)
 
@@ -181,6 +202,20 @@ def predict_ridge(df: DataFrame, model: Ridge, out: str, col: str = "embedding")
     return df.withColumn(out, product)
 
 
+def normal_equations(df: DataFrame, model: Ridge, target: str, col: str = "embedding") -> DataFrame:
+    """(pos, mean, scale, intercept, residual): what is left of the ridge's normal equations, zero for the
+    solution: the sum over rows of scaled input times error, less the penalty times the weight."""
+    k = F.array(*[F.struct(F.lit(float(m)).alias("mean"), F.lit(float(s)).alias("scale"), F.lit(float(c)).alias("coef"))
+                  for m, s, c in zip(model.mean, model.scale, model.coef)])
+    rows = predict_ridge(df, model, "__p", col).withColumn("__e", F.col(target).cast("double") - F.col("__p"))
+    cells = rows.select("__e", F.posexplode(F.zip_with(F.col(col), k, lambda x, y: F.struct(
+        ((x.cast("double") - y["mean"]) / y["scale"]).alias("z"), y.alias("k")))).alias("pos", "c"))
+    return cells.groupBy("pos").agg(
+        F.first("c.k.mean").alias("mean"), F.first("c.k.scale").alias("scale"),
+        F.lit(float(model.intercept)).alias("intercept"),
+        (F.sum(F.col("c.z") * F.col("__e")) - F.lit(float(model.alpha)) * F.first("c.k.coef")).alias("residual"))
+
+
 def predict_windows(windows: DataFrame, fn, schema: str, keep: list) -> DataFrame:
     """Run a user's batch prediction over windows.
 
