@@ -109,7 +109,7 @@ def patient_metrics_scalar(preds: DataFrame, labels: DataFrame = None,
     if reference_qc is not None:
         flagged = quality.scalar_qc(preds, **reference_qc)
         report, preds = quality.scalar_qc_report(flagged), flagged.where("qc_valid")
-    per_metric = materialize(patients.patient_scalar_metrics(preds))
+    per_metric = stored(patients.patient_scalar_metrics(preds).select("subject_id", "metric", "mae", "rmse"), "patients")
     table = per_metric.groupBy("subject_id").agg(*[
         F.max(F.when(F.col("metric") == m, F.col(v))).alias(f"{m}_{v}_mmHg")
         for m in fixed.SCALAR_METRICS for v in ("mae", "rmse")])
@@ -123,7 +123,7 @@ def patient_metrics_scalar(preds: DataFrame, labels: DataFrame = None,
 
 
 def _summaries(table, names, pooled, n_bootstrap, seed, method, metrics_json):
-    long = materialize(patients.to_long(table, "subject_id", names))
+    long = stored(patients.to_long(table, "subject_id", names), "values")
     summary = patients.distribution_summary(long, names)
     ci = patients.bootstrap_ci(long, "subject_id", n_bootstrap, seed)
     summary = materialize(summary.join(ci, "metric", "left"))

@@ -232,3 +232,24 @@ def test_prediction_counts_must_agree(spark):
     preds = spark.createDataFrame([(0, 1.0)], "memmap_index int, p double")
     with pytest.raises(ValueError):
         G.attach_metadata(preds, meta)
+
+
+def test_bootstrap_counts_draws_in_tiles_and_spans(spark):
+    # Three metrics, two numbers of patients; tiles and spans smaller than either.
+    rng = np.random.default_rng(8)
+    rows = [(k, m, float(rng.normal(50, 9))) for m, n in (("a", 41), ("b", 41), ("c", 30)) for k in range(n)]
+    df = spark.createDataFrame(rows, "s int, metric string, value double")
+    whole = {r.metric: (r.ci_low, r.ci_high) for r in P.bootstrap_ci(df, "s", 150, 3).collect()}
+    cut = {r.metric: (r.ci_low, r.ci_high) for r in P.bootstrap_ci(df, "s", 150, 3, tile=7, span=14).collect()}
+    assert set(cut) == {"a", "b", "c"}
+    m = P.DRAW_PRIME
+    for name, ends in cut.items():
+        own = {k: v for k, metric, v in rows if metric == name}
+        numbered = np.array([own[k] for k in sorted(own, key=lambda k: hashlib.md5(str(k).encode()).hexdigest())])
+        means = []
+        for b in range(150):
+            u = pow((b * 48271 + 3) % m, 5, m)
+            x = [pow((u + j * 69621) % m, 5, m) for j in range(len(own))]
+            means.append(numbered[[(v * m + pow((v + u * 40692) % m, 5, m)) % len(own) for v in x]].mean())
+        np.testing.assert_allclose(ends, np.percentile(means, [2.5, 97.5]))
+        np.testing.assert_allclose(ends, whole[name])
