@@ -4,7 +4,8 @@ A recursive filter is a linear recurrence: what it does to a block is an affine
 carries from sample to sample. So every block is run from a state of zero, which gives the map's
 constant part; the maps of a segment's blocks are composed in order, one small row per block, which gives
 the state each block starts with; and every block is run once more with that state. The backward
-pass is the same from the other end. Inside a block the same is done with shorter parts side by side.
+pass is the same from the other end. Inside a block the same is done with shorter parts, those of
+many blocks side by side. A segment of one block needs no maps.
 """
 
 import functools
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pulsemill.sources.storage import materialize, stored
 
-BLOCK, PART = 32768, 64
+BLOCK, PART, SAMPLES_AT_ONCE = 32768, 64, 1_000_000
 BAND, ORDER, STOP_DB = (0.5, 12.0), 4, 20.0
 
 
@@ -89,25 +90,60 @@ def carried(sections, n: int) -> np.ndarray:
     return np.linalg.matrix_power(one, n)
 
 
+def run_blocks(sections, xs, states):
+    """[(y, state after it)] of the recurrence over several blocks, all parts of all blocks side by side."""
+    n, size = np.array([len(x) for x in xs]), 2 * len(sections)
+    state = np.array(states, float).reshape(len(xs), size).T.copy()
+    parts, ys = n // PART, [np.empty(k) for k in n]
+    if parts.any():
+        cols = np.concatenate([x[:p * PART] for x, p in zip(xs, parts)]).reshape(-1, PART).T
+        zero, ends = _steps(sections, np.ascontiguousarray(cols), np.zeros((size, cols.shape[1])))
+        over, starts, first = carried(sections, PART), np.empty_like(ends), np.cumsum(parts) - parts
+        order = np.argsort(-parts, kind="stable")
+        for p in range(parts.max()):
+            live = order[:np.count_nonzero(parts > p)]
+            at = first[live] + p
+            starts[:, at] = state[:, live]
+            state[:, live] = over @ state[:, live] + ends[:, at]
+        free, _ = _steps(sections, np.zeros((PART, size)), np.eye(size))
+        whole = (zero + free @ starts).T.ravel()
+        for y, k, p in zip(ys, first * PART, parts):
+            y[:p * PART] = whole[k:k + p * PART]
+    rest = n - parts * PART
+    if rest.any():
+        # Longest first, so that the blocks that still run at a step are the first columns.
+        order = np.argsort(-rest, kind="stable")
+        cols, s = np.zeros((rest.max(), len(xs))), state[:, order]
+        for c, k in enumerate(order):
+            cols[:rest[k], c] = xs[k][parts[k] * PART:]
+        for step in range(len(cols)):
+            live = np.count_nonzero(rest > step)
+            cols[step:step + 1, :live], s[:, :live] = _steps(sections, cols[step:step + 1, :live], s[:, :live])
+        for c, k in enumerate(order):
+            ys[k][parts[k] * PART:] = cols[:rest[k], c]
+        state[:, order] = s
+    return [(y, state[:, k]) for k, y in enumerate(ys)]
+
+
 def run_block(sections, x, state):
     """(y, state after it) of the recurrence over one block, its parts side by side."""
-    n, size = len(x), 2 * len(sections)
-    parts = max(1, n // PART)
-    head = parts * PART if n >= PART else 0
-    y = np.empty(n)
-    if head:
-        cols = np.ascontiguousarray(x[:head].reshape(parts, PART).T)
-        zero, ends = _steps(sections, cols, np.zeros((size, parts)))
-        over, starts = carried(sections, PART), np.empty((size, parts))
-        for k in range(parts):
-            starts[:, k] = state
-            state = over @ state + ends[:, k]
-        free, _ = _steps(sections, np.zeros((PART, size)), np.eye(size))
-        y[:head] = (zero + free @ starts).T.ravel()
-    if head < n:
-        rest, state = _steps(sections, x[head:, None], np.asarray(state)[:, None])
-        y[head:], state = rest[:, 0], state[:, 0]
-    return y, state
+    return run_blocks(sections, [x], [state])[0]
+
+
+def _at_once(rates, xs):
+    """Row numbers of one rate each, of at most SAMPLES_AT_ONCE samples where one block is not longer."""
+    groups = {}
+    for k, rate in enumerate(rates):
+        groups.setdefault(float(rate), []).append(k)
+    for rate, rows in groups.items():
+        held, size = [], 0
+        for k in rows:
+            if held and size + len(xs[k]) > SAMPLES_AT_ONCE:
+                yield rate, held
+                held, size = [], 0
+            held.append(k)
+            size += len(xs[k])
+        yield rate, held
 
 
 def reach_of(sections) -> int:
@@ -176,48 +212,55 @@ def band_pass(tagged: DataFrame, col: str, out: str, keys, band=BAND, block: int
     packed = _packed(fit, list(dict.fromkeys([col, *others])), keys, block)
     packed = stored(packed.withColumn("__seg", F.to_json(F.struct(*keys))), "filter")
 
+    def entered(x, blk, last, backward):
+        """The block's values in the order of the pass, with mirrored ends."""
+        x = np.asarray(x, float)
+        return x[::-1] if backward else _mirrored(x, blk == 0, last, mirror)
+
     def summing(backward):
         @F.pandas_udf("struct<n: bigint, zero: array<double>, begin: array<double>>")
         def run(x: pd.Series, fs: pd.Series, blk: pd.Series, last: pd.Series) -> pd.DataFrame:
-            rows = []
-            for a, rate, b, z in zip(x, fs, blk, last):
-                sections = band_pass_sections(float(rate), low, high)
-                a = np.asarray(a, float)
-                if backward:
-                    a = a[::-1]
-                else:
-                    a = _mirrored(a, b == 0, z, mirror)
-                _, end = run_block(sections, a, np.zeros(2 * len(sections)))
-                rows.append((len(a), end.tolist(), (steady_state(sections) * a[0]).tolist()))
+            xs, rows = [entered(a, b, z, backward) for a, b, z in zip(x, blk, last)], [None] * len(x)
+            for rate, own in _at_once(fs, xs):
+                sections = band_pass_sections(rate, low, high)
+                rest, zero = steady_state(sections), np.zeros(2 * len(sections))
+                for k, (_, end) in zip(own, run_blocks(sections, [xs[k] for k in own], [zero] * len(own))):
+                    rows[k] = (len(xs[k]), end.tolist(), (rest * xs[k][0]).tolist())
             return pd.DataFrame(rows, columns=["n", "zero", "begin"])
         return run
 
     def running(backward):
         @F.pandas_udf("array<double>")
         def run(x: pd.Series, fs: pd.Series, blk: pd.Series, last: pd.Series, state: pd.Series) -> pd.Series:
-            res = []
-            for a, rate, b, z, s in zip(x, fs, blk, last, state):
-                sections = band_pass_sections(float(rate), low, high)
-                a = np.asarray(a, float)
-                if backward:
-                    y, _ = run_block(sections, a[::-1], np.asarray(s, float))
-                    y = y[::-1]
-                    y = y[mirror if b == 0 else 0:len(y) - mirror if z else len(y)]
-                else:
-                    y, _ = run_block(sections, _mirrored(a, b == 0, z, mirror), np.asarray(s, float))
-                res.append(y)
+            xs, res = [entered(a, b, z, backward) for a, b, z in zip(x, blk, last)], [None] * len(x)
+            blk, last, state = blk.tolist(), last.tolist(), state.tolist()
+            for rate, own in _at_once(fs, xs):
+                sections = band_pass_sections(rate, low, high)
+                rest = steady_state(sections)
+                begin = [rest * xs[k][0] if state[k] is None else state[k] for k in own]
+                for k, (y, _) in zip(own, run_blocks(sections, [xs[k] for k in own], begin)):
+                    if backward:
+                        y = y[::-1]
+                        y = y[mirror if blk[k] == 0 else 0:len(y) - mirror if last[k] else len(y)]
+                    res[k] = y
             return pd.Series(res, dtype=object)
         return run
 
     def passed(rows, source, backward):
         args = [source, "fs", "__blk", "__last"]
+        # A segment of one block begins in the steady state of its first value; nothing else is asked.
+        whole = (F.col("__blk") == 0) & F.col("__last")
+        none = F.lit(None).cast("array<double>")
+        alone = rows.where(whole).withColumn("__y", running(backward)(*args, none))
+        rows = rows.where(~whole)
         sums = rows.select("__seg", "__blk", "fs", summing(backward)(*args).alias("__s")).select(
             "__seg", "__blk", "fs", "__s.*")
         # The pass begins in the steady state of the signal's first value, at the block it begins with.
         first = F.min_by if not backward else F.max_by
         begin = sums.groupBy("__seg").agg(first("begin", "__blk").alias("begin"))
         states = _states(sums.drop("begin").join(begin, "__seg"), backward, low, high)
-        return rows.join(states, ["__seg", "__blk"]).withColumn("__y", running(backward)(*args, "state")).drop("state")
+        joined = rows.join(states, ["__seg", "__blk"]).withColumn("__y", running(backward)(*args, "state")).drop("state")
+        return alone.unionByName(joined)
 
     forward = materialize(passed(packed, col, False))
     done = passed(forward, "__y", True)

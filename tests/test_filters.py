@@ -85,3 +85,19 @@ def test_band_pass_over_blocks(spark, block):
         y, x = want[rec]
         assert len(part) == len(x) and (part["p"].to_numpy() == -x).all()
         np.testing.assert_allclose(part["y"].to_numpy(), y, atol=1e-9 * max(1.0, np.abs(x).max()))
+
+
+def test_many_short_blocks_take_the_steps_of_one(monkeypatch):
+    rng = np.random.default_rng(5)
+    s = X.band_pass_sections(4.0, 0.2, 1.5)
+    xs = [rng.normal(size=n) for n in [*rng.integers(28, 150, 60), 1, X.PART, 2 * X.PART, 1000]]
+    states = rng.normal(size=(len(xs), 8))
+    steps, taken = X._steps, []
+    monkeypatch.setattr(X, "_steps", lambda sections, x, state: taken.append(len(x)) or steps(sections, x, state))
+    got = X.run_blocks(s, xs, states)
+    # Python's steps do not grow with the number of blocks.
+    assert sum(taken) <= 4 * X.PART
+    for x, state, (y, end) in zip(xs, states, got):
+        expected, after = plain(s, x, state)
+        np.testing.assert_allclose(y, expected, atol=1e-9)
+        np.testing.assert_allclose(end, after, atol=1e-9)
