@@ -98,18 +98,54 @@ def s2(spark, d):
     return records.standardize_records(V.samples(spark, d), V.record_manifest(spark, d))
 
 
+SPELLINGS = (("II", "PLETH", "ABP"), ("ii", "PPG", "ART"), ("II", "Pleth", "Art"))
+
+
+def write_record_files(rows, root):
+    """One Parquet file per record, written by the tasks as the records pass; gives the files' paths.
+
+    Spark's writer takes long to open a file, and there are as many as records."""
+    def write(batches):
+        import uuid
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyarrow import fs as pafs
+        store, base = pafs.FileSystem.from_uri(root if ":" in root else f"file://{root}")
+        now, out = None, None
+        for b in batches:
+            recs = b.column("rec").to_numpy()
+            starts = [0, *[int(k) + 1 for k in (recs[1:] != recs[:-1]).nonzero()[0]]] if len(recs) else []
+            paths = []
+            for s, e in zip(starts, [*starts[1:], len(recs)]):
+                rec = int(recs[s])
+                part = b.slice(s, e - s)
+                names = [*SPELLINGS[rec % 3], "note"]
+                part = pa.table([*[part.column(c) for c in ("ecg", "ppg", "abp")], pa.array(["x"] * (e - s))], names=names)
+                if rec != now:
+                    if out is not None:
+                        out.close()
+                    # Another attempt of a task leaves files that nobody lists.
+                    name = f"{rec % 3}/rec={rec}/{uuid.uuid4().hex}.parquet"
+                    store.create_dir(f"{base}/{rec % 3}/rec={rec}", recursive=True)
+                    now, out = rec, pq.ParquetWriter(f"{base}/{name}", part.schema, filesystem=store)
+                    paths.append(f"{root}/{name}")
+                out.write_table(part)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], names=["parquet"])
+        if out is not None:
+            out.close()
+
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.select("rec", "i", "ecg", "ppg", "abp").repartition(spread, "rec").sortWithinPartitions("rec", "i")
+    return materialize(placed.mapInArrow(write, "parquet string"))
+
+
 # Three spellings of the columns; record ids repeat between subjects.
 @query("s2_read_records", with_("samples", "record_manifest") + """
 select s.i, s.ecg as "II", s.ppg as "PLETH", s.abp as "ABP", m.fs, cast(m.subject_id as varchar) as subject_id, m.hadm_id,
  'r' || (s.record_id % 50) as record_id, m.split, m.source from samples s join record_manifest m using (record_id)""")
 def s2_files(spark, d):
-    root, rows = scratch_path(spark, "record-files"), V.samples(spark, d).withColumn("rec", F.col("record_id"))
-    for k, names in enumerate((("II", "PLETH", "ABP"), ("ii", "PPG", "ART"), ("II", "Pleth", "Art"))):
-        (rows.where(F.col("rec") % 3 == k).repartition("rec").sortWithinPartitions("rec", "i")
-         .select("rec", *[F.col(c).alias(n) for c, n in zip(("ecg", "ppg", "abp"), names)], F.lit("x").alias("note"))
-         .write.partitionBy("rec").parquet(f"{root}/{k}"))
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-             .option("pathGlobFilter", "*.parquet").load(root).select(F.col("path").alias("parquet")))
+    rows = V.samples(spark, d).withColumn("rec", F.col("record_id")).where("rec % 3 >= 0")
+    files = write_record_files(rows, scratch_path(spark, "record-files"))
     seen = manifests.inspect_record_files(files).where("qualified").select(
         "parquet", "ecg_col", "ppg_col", "abp_col",
         F.regexp_extract("parquet", "rec=([0-9]+)", 1).cast("bigint").alias("rec"))

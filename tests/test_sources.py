@@ -220,3 +220,20 @@ def test_stream_windows_equal_batch_windows(spark):
     late.write.mode("append").parquet(source)
     running.drain(made, out, mark)
     assert read() == want
+
+
+def test_record_files_are_written_by_the_tasks(spark):
+    from checks import manifest_queries as M
+    # A record of several Arrow batches, a short one, and one of another spelling.
+    sizes = {3: 25_000, 6: 1, 7: 40}
+    rows = spark.createDataFrame([(r, i, float(i), None, 2.0) for r, n in sizes.items() for i in range(n)],
+                                 "rec bigint, i bigint, ecg double, ppg double, abp double").repartition(3)
+    files = M.write_record_files(rows, scratch_path(spark, "record-files"))
+    paths = [r.parquet for r in files.collect()]
+    assert len(paths) == 3 and sorted(int(p.split("rec=")[1].split("/")[0]) for p in paths) == [3, 6, 7]
+    for p in paths:
+        rec = int(p.split("rec=")[1].split("/")[0])
+        got = spark.read.parquet(p)
+        assert got.columns == [*M.SPELLINGS[rec % 3], "note"]
+        assert [r[0] for r in got.select("_metadata.row_index", got.columns[0]).orderBy("row_index").select(got.columns[0]).collect()] \
+            == [float(i) for i in range(sizes[rec])]
