@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
-from pulsemill.llm.worker import forget, kept
+from pulsemill.llm.worker import kept, release, released
 from pulsemill.sources.storage import materialize
 
 WINDOW, BLOCK_WORDS, SEGMENT_WORDS, BLOCKS_A_SCAN = 10, 200_000, 50_000, 4
@@ -172,7 +172,7 @@ def _load(shared):
     data = shared.value
 
     def load():
-        forget("automaton ")
+        release()
         out = []
         for d in data:
             made = Automaton.__new__(Automaton)
@@ -194,6 +194,7 @@ def segments(benchmark: DataFrame, window: int = WINDOW, segment_words: int = SE
                             F.col("item_id").cast("string").alias("item_id"), "text")
 
     def cut(batches):
+        release()
         for b in batches:
             out = []
             for item, key, text in zip(*[b.column(c).to_pylist() for c in range(3)]):
@@ -222,7 +223,7 @@ def automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOC
         made.names = {i: None if k is None else str(k) for i, k, _ in rows}
         return pd.DataFrame({"automaton": [pickle.dumps(vars(made))]})
 
-    made = dealt.groupBy("block").applyInPandas(build, "automaton binary")
+    made = dealt.groupBy("block").applyInPandas(released(build), "automaton binary")
     for r in made.toLocalIterator():
         yield bytes(r["automaton"])
 

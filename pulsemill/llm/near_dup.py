@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from pulsemill.llm import batches
 from pulsemill.llm.components import components
-from pulsemill.llm.worker import kept
+from pulsemill.llm.worker import kept, released
 from pulsemill.sources.storage import materialize, scratch_path
 
 WORDS, PERCENT = 5, 75
@@ -144,7 +144,7 @@ def list_entries(t1: DataFrame, rows: int) -> DataFrame:
         keys, counts = np.unique(every, return_counts=True)
         return batches.ask(int(pdf["bucket"].iloc[0]), keys, counts, shards)
 
-    answers = batches.totals(own.groupBy("bucket").applyInPandas(count, batches.ASKED), 2)
+    answers = batches.totals(own.groupBy("bucket").applyInPandas(released(count), batches.ASKED), 2)
 
     def prefix(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         values, nodes, sizes = [], [], []
@@ -167,7 +167,7 @@ def list_entries(t1: DataFrame, rows: int) -> DataFrame:
                              "node": np.concatenate(nodes), "n": np.concatenate(sizes)})
 
     return own.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInPandas(
-        prefix, "value long, node long, n long")
+        released(prefix), "value long, node long, n long")
 
 
 def _bands(entries: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -23,16 +23,9 @@ def kept(name, make):
     return state[name]
 
 
-def forget(prefix):
-    """Drop what is kept under names that begin with a prefix."""
-    state = vars(sys).setdefault("_pulsemill_kept", {})
-    for name in [n for n in state if n.startswith(prefix)]:
-        del state[name]
-
-
 def release():
     """Drop everything that is kept and give free memory back, for functions that need much themselves."""
-    vars(sys).pop("_pulsemill_kept", None)
+    vars(sys).get("_pulsemill_kept", {}).clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
