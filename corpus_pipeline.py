@@ -33,7 +33,7 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents, packed into sequences."""
-    return packing.pack(docs, tokens.tokenizer_path())
+    return packing.pack(docs, tokens.tokenizer_path(), keep_encoder=False)
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates),

@@ -21,6 +21,7 @@ from pulsemill.sources.storage import scratch_path
 
 BUCKET_CHARS = 6_000_000
 SHARD_KEYS = 1_500_000
+ROWS_AT_ONCE = 500
 
 
 def text_size(docs: DataFrame) -> tuple:
@@ -64,15 +65,23 @@ def unpack_rows(blob: bytes) -> pa.Table:
 PACKED = StructType([StructField("bucket", LongType()), StructField("rows", BinaryType())])
 
 
-def packed(docs: DataFrame, buckets: int, add=None, level: int = 5) -> DataFrame:
+def packed(docs: DataFrame, buckets: int, add=None, level: int = 5, only: np.ndarray = None) -> DataFrame:
     """(bucket, rows): all columns of the documents, packed per task and bucket. `add` may give
-    columns that are worked out from the rows once, before they travel; `level` is that of compression."""
+    columns that are worked out from the rows once, some rows at a time, before they travel; `level` is
+    that of compression; `only` is a sieve that the doc_id may be in (see `sift`, which would take a second
+    worker for each task)."""
     with_bucket = docs.withColumn("__bucket", bucket_of(buckets, "doc_id", "text"))
+    shared = None
+    if only is not None:
+        with_bucket = with_bucket.withColumn("__h", _sieved("doc_id"))
+        shared = docs.sparkSession.sparkContext.broadcast(only)
 
     def deal(batches):
         release()
         held, size = [], 0
         for b in batches:
+            if shared is not None:
+                b = _let_through(b, shared.value, True)
             held.append(b)
             size += b.nbytes
             if size >= 32_000_000:
@@ -88,7 +97,8 @@ def packed(docs: DataFrame, buckets: int, add=None, level: int = 5) -> DataFrame
         at = t.column("__bucket").to_numpy()
         t = t.drop_columns(["__bucket"])
         if add is not None:
-            t = add(t)
+            t = pa.concat_tables([add(t.slice(lo, ROWS_AT_ONCE)) for lo in range(0, t.num_rows, ROWS_AT_ONCE) or [0]])
+            t = t.combine_chunks()
         order = np.argsort(at, kind="stable")
         at = at[order]
         starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else []
@@ -124,18 +134,26 @@ def sift(df: DataFrame, key: str, words: np.ndarray, inside: bool = True) -> Dat
     """The rows whose key may be in the sieve, or the others. It only spares work: an exact join has
     to follow, and a sieve that is too full lets everything through."""
     shared = df.sparkSession.sparkContext.broadcast(words)
-    bits = np.uint64(32 * len(words))
 
     def run(batches):
         for b in batches:
-            h = b.column("__h").to_numpy(zero_copy_only=False)
-            ok = np.ones(len(h), bool)
-            for i in range(3):
-                p = (h >> np.int64(19 * i)).view(np.uint64) % bits
-                ok &= (shared.value[p >> np.uint64(5)] >> (p % np.uint64(32)).astype(np.uint32)) & np.uint32(1) == 1
-            yield b.drop_columns(["__h"]).filter(pa.array(ok == inside))
-
-    return df.withColumn("__h", F.xxhash64(F.col(key).cast("long"))).mapInArrow(run, df.schema)
+            yield _let_through(b, shared.value, inside)
+
+    return df.withColumn("__h", _sieved(key)).mapInArrow(run, df.schema)
+
+
+def _sieved(key: str):
+    return F.xxhash64(F.col(key).cast("long"))
+
+
+def _let_through(b: pa.RecordBatch, words: np.ndarray, inside: bool) -> pa.RecordBatch:
+    bits = np.uint64(32 * len(words))
+    h = b.column("__h").to_numpy(zero_copy_only=False)
+    ok = np.ones(len(h), bool)
+    for i in range(3):
+        p = (h >> np.int64(19 * i)).view(np.uint64) % bits
+        ok &= (words[p >> np.uint64(5)] >> (p % np.uint64(32)).astype(np.uint32)) & np.uint32(1) == 1
+    return b.drop_columns(["__h"]).filter(pa.array(ok == inside))
 
 
 ASKED = StructType([StructField("shard", LongType()), StructField("bucket", LongType()),

@@ -36,14 +36,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from pulsemill.llm import batches
 from pulsemill.llm.components import components
-from pulsemill.llm.worker import kept, released
+from pulsemill.llm.worker import kept, released, released_stream
 from pulsemill.sources.storage import materialize, scratch_path
 
 WORDS, PERCENT = 5, 75
 SKETCH, ESTIMATE, SIGMAS = 128, 48, 5.0
 BUCKET_CLASSES, TURNS = 5_000, 2
 FIRST, SHORT, PART, COLUMNS = 4, 50, 100_000, 2_048
-HASHES_KEPT = 400_000
+HASHES_KEPT, TEXTS_AT_ONCE = 50_000, 100
 
 
 class _Hashes(dict):
@@ -88,6 +88,11 @@ def shingle_sets(texts) -> list:
     return out
 
 
+def _slices(batch):
+    for lo in range(0, batch.num_rows, TEXTS_AT_ONCE):
+        yield batch.slice(lo, TEXTS_AT_ONCE)
+
+
 def _node(values: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(values.tobytes())).view(np.int64))
 
@@ -95,10 +100,10 @@ def _node(values: np.ndarray) -> int:
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, node (hash of the set), and the sketch in the first row of each node
     in a task's batch."""
+    @released_stream
     def run(stream):
         for b in stream:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
+            for part in _slices(b):
                 sets = shingle_sets(part.column("text").to_pylist())
                 nodes = [_node(s) if len(s) else None for s in sets]
                 seen, kept = set(), []
@@ -269,6 +274,7 @@ def _tiled(own: DataFrame, texts: DataFrame) -> DataFrame:
         F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("with"))
     dealt = dealt.withColumns({"lo": F.least("part", "with"), "hi": F.greatest("part", "with")}).drop("with")
 
+    @released
     def meet(t: pa.Table) -> pa.Table:
         part, lo, hi = (t.column(c).to_numpy() for c in ("part", "lo", "hi"))
         node, label, band_of = (t.column(c).to_numpy() for c in ("node", "label", "own"))
@@ -317,6 +323,7 @@ def confirm(pairs: DataFrame, heads: DataFrame, texts: DataFrame) -> DataFrame:
 
     near = pairs.join(side("a", heads, "head"), "a").join(side("b", heads, "head"), "b")
 
+    @released_stream
     def estimate(stream):
         for t in stream:
             ok = [_alike(*x) for x in zip(*(t.column(c).to_pylist() for c in ("head_a", "head_b", "n_a", "n_b")))]
@@ -325,6 +332,7 @@ def confirm(pairs: DataFrame, heads: DataFrame, texts: DataFrame) -> DataFrame:
     near = near.mapInArrow(estimate, "a long, b long")
     full = near.join(side("a", texts, "packed"), "a").join(side("b", texts, "packed"), "b")
 
+    @released_stream
     def verify(stream):
         held = {}
 
@@ -338,10 +346,11 @@ def confirm(pairs: DataFrame, heads: DataFrame, texts: DataFrame) -> DataFrame:
 
         for t in stream:
             ok = []
-            for a, b, x, y in zip(*(t.column(c).to_pylist() for c in ("a", "b", "packed_a", "packed_b"))):
-                u, v = get(a, x), get(b, y)
-                both = len(np.intersect1d(u, v, True))
-                ok.append(100 * both >= PERCENT * (len(u) + len(v) - both))
+            for part in _slices(t):
+                for a, b, x, y in zip(*(part.column(c).to_pylist() for c in ("a", "b", "packed_a", "packed_b"))):
+                    u, v = get(a, x), get(b, y)
+                    both = len(np.intersect1d(u, v, True))
+                    ok.append(100 * both >= PERCENT * (len(u) + len(v) - both))
             yield t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return full.mapInArrow(verify, "a long, b long")
@@ -354,19 +363,24 @@ def _unzip(data: bytes) -> str:
 
 def candidate_texts(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(node, packed): the compressed text of every class that has a list entry."""
+    @released_stream
     def squeeze(stream):
         z = zstandard.ZstdCompressor(level=1)
         for b in stream:
-            packed = [z.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()]
+            packed = [z.compress((t or "").encode("utf-8", "surrogatepass"))
+                      for part in _slices(b) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
 
     small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(squeeze, "doc_id long, packed binary")
 
+    @released_stream
     def same(stream):
         # a doc_id may stand for several texts
         for b in stream:
-            sets = shingle_sets([_unzip(x) for x in b.column("packed").to_pylist()])
-            ok = [len(s) > 0 and _node(s) == n for s, n in zip(sets, b.column("node").to_pylist())]
+            ok = []
+            for part in _slices(b):
+                sets = shingle_sets([_unzip(x) for x in part.column("packed").to_pylist()])
+                ok += [len(s) > 0 and _node(s) == n for s, n in zip(sets, part.column("node").to_pylist())]
             yield b.select(["node", "packed"]).filter(pa.array(ok, pa.bool_()))
 
     found = small.join(reps.select(F.col("rep").alias("doc_id"), "node"), "doc_id").select("node", "packed")

@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from pulsemill.llm.tokens import encoded, encoder
+from pulsemill.llm.worker import released_stream
 
 TIERS, END_ID = (2048, 1024, 512, 256), 1
 BLOCK_TOKENS, STEP_TOKENS = 4_000_000, 65_536
@@ -134,8 +135,9 @@ def step_groups(sequences, step_tokens=STEP_TOKENS) -> list:
 
 
 def pack(docs: DataFrame, tokenizer: str, tiers=TIERS, end_id: int = END_ID,
-         block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """One row per piece. sequence_id and step_group are unique over the table."""
+         block_tokens: int = BLOCK_TOKENS, keep_encoder: bool = True) -> DataFrame:
+    """One row per piece. sequence_id and step_group are unique over the table. Without `keep_encoder`
+    workers that wait between tasks hold no encoder; its pieces are then learned once a task."""
 
     def run(batches):
         enc = encoder(tokenizer)
@@ -173,4 +175,5 @@ def pack(docs: DataFrame, tokenizer: str, tiers=TIERS, end_id: int = END_ID,
         if held:
             yield flush()
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(
+        run if keep_encoder else released_stream(run), SCHEMA)

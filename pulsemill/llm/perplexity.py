@@ -128,7 +128,7 @@ def count_grams(docs: DataFrame, labels: DataFrame, buckets: int, order: int) ->
     """(lang, gram, c) over all trusted documents that are not held back."""
     good = _good(labels).where(~_held_back())
     docs = docs.select("doc_id", "text", *[c for c in ("lang",) if c in docs.columns])
-    packed = batches.packed(batches.sift(docs, "doc_id", batches.sieve(good, "doc_id")), buckets)
+    packed = batches.packed(docs, buckets, only=batches.sieve(good, "doc_id"))
     good = good.withColumn("bucket", batches.bucket_of(buckets))
 
     kind = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("c", pa.int64())])
@@ -332,7 +332,8 @@ def find_limits(docs, labels, m, shards, order) -> dict:
     held = docs.select("doc_id", "text", *[c for c in ("lang",) if c in docs.columns])
     good = _good(labels).where(_held_back())
     held = batches.sift(held.where(_held_back()), "doc_id", batches.sieve(good, "doc_id"))
-    held = held.join(good, "doc_id", "left_semi")
+    # by a shuffle, so that no task has the sieve and the packing in two workers
+    held = held.join(good.hint("merge"), "doc_id", "left_semi")
     buckets = batches.bucket_count(*batches.text_size(held), BUCKET_CHARS)
     held = scored(held, m, shards, buckets, order, {}).where("perplexity is not null")
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE)) if "lang" in docs.columns else F.lit(NO_LANGUAGE)

@@ -44,3 +44,16 @@ def released(fn):
     if fn.__code__.co_argcount == 1:
         return lambda rows: run(rows)
     return lambda left, right: run(left, right)
+
+
+def released_stream(fn):
+    """The same for a function over a stream of batches: workers that wait hold nothing of their last task.
+
+    A process takes one task after another and more processes wait than work, so what each keeps counts that often.
+    """
+    def run(stream):
+        release()
+        yield from fn(stream)
+        release()
+
+    return run
