@@ -41,6 +41,41 @@ def test_pieces_give_the_ids_of_the_whole(text):
     assert e.encode(text) == e.plain(text)
 
 
+def test_pieces_of_random_texts_give_the_ids_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(3)
+    letters = [*"  \n\t\r\x0b\x1c\x85\xa0azAst'\"ml.,-$$19éÀ×÷ªʰЯ҂αא०\u1680\u2003\u2028\u3000”’—あ漢😀²", "\u0301", "\x00"]
+    e = tokens.Encoder(tokens.tokenizer_path())
+    monkeypatch.setattr(tokens, "PIECES_KEPT", 500)
+    for _ in range(30):
+        some = rng.choice(letters, 6)
+        texts = ["".join(rng.choice(some if i % 2 else letters, rng.integers(0, 30))) for i in range(100)]
+        assert e.encode_all(texts) == [e.plain(t) for t in texts]
+        assert len(e.pieces) <= 500
+
+
+def test_words_are_not_searched_for_one_by_one():
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.n = tokenizer, 0
+
+        def encode(self, text, **k):
+            self.n += 1
+            return self.tokenizer.encode(text, **k)
+
+        def encode_batch_fast(self, texts, **k):
+            self.n += len(texts)
+            return self.tokenizer.encode_batch_fast(texts, **k)
+
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abdeghinorstwé"), 9)) for _ in range(2000)]
+    text = "".join(w + e for w, e in zip(words, ["$$$ ", ".\n", ",### ", " 12 ", "!) "] * 400))
+    e = tokens.Encoder(tokens.tokenizer_path())
+    want = e.plain(text)
+    e.tokenizer = Counted(e.tokenizer)
+    assert e.encode_all([text]) == [want]
+    assert e.tokenizer.n < 100
+
+
 def test_token_files(spark, docs, empty):
     root = scratch_path(spark, "t")
     token_files.write_token_files(docs, root, tokens.tokenizer_path())
