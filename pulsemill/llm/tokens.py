@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pulsemill.llm.worker import kept
 
 TOKENIZER = "byte_bpe_50k.json"
-PIECES_KEPT, LONGEST_KEPT, BYTES_AT_ONCE, WORDS_AT_ONCE = 800_000, 60, 8_000_000, 6
+PIECES_KEPT, LONGEST_KEPT, BYTES_AT_ONCE, WORDS_AT_ONCE = 400_000, 60, 4_000_000, 6
 
 # Kinds of bytes. OTHER is anything that may be white space, SOLID a character that is not white space
 # and of no kind that texts are cut by. Only letters that all versions of Unicode agree on are LETTERs.
